@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -221,3 +221,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a component of null ids only has no least id; its rows keep null
     out = placed.join(least, F.col("root") == F.col("least_root"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that stand for their component: one row of its least id.
+
+    Rows with a null id stay, as nothing names them.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"))
+    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
+    rows = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept")
+    one = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
+    rows = rows.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    return rows.unionByName(docs.where("doc_id is null"))

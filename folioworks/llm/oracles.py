@@ -23,4 +23,91 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_
 from documents d left join n using (doc_id) left join sets using (doc_id) left join node using (k) left join comp on comp.x = node.d
 """
 
-ORACLES = {"op8_jaccard_join": OP8}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# Items of at least five words; the tables' items all are.
+OP2 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') as ws from documents),
+i as (select item_id, regexp_extract_all({_LOWER}, '{_PLAIN}') as ws from benchmark),
+di as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) as g from d),
+it as (select distinct item_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) as g from i),
+n as (select item_id, count(*) as n_item from it group by item_id)
+select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item, count(*)::double / any_value(n_item) as containment
+from di join it using (g) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(n_item)
+"""
+
+OP9 = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as draw
+  from documents),
+r as (select *, length(size::varchar) * 10 + substr(size::varchar, 1, 1)::int as class, draw % 64 as slot from d),
+s as (select source, sum(size)::hugeint as source_size from r group by source),
+w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::hugeint as weight, 3 * source_size as cap from s),
+o as (
+  select *, sum(source_size) over () as total,
+    coalesce(sum(cap) over (order by cap::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(weight) over (order by cap::double / weight, source nulls last rows between current row and unbounded following) as rest
+  from w),
+c as (select *, (total - before) * weight > cap * rest as capped from o),
+t as (
+  select source, source_size, case when capped then cap::double else (weight * (total - coalesce(sum(case when capped then cap end) over (), 0)))::double
+    / (sum(case when not capped then weight end) over ())::double end as target,
+    (('0x' || substr(md5('mix-1#' || coalesce(source, chr(0))), 1, 4))::bigint::double + 0.5) / 65536.0::double as u
+  from c),
+k as (select *, row_number() over (partition by source order by class, slot, size, draw, doc_id) as place from r),
+e as (
+  select k.doc_id, k.size, t.source_size, t.target, t.u, place, case when t.source_size > 0 then t.target / t.source_size::double else 0 end as rate
+  from k join t on k.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size::bigint as source_size, target,
+  (floor(u + rate * place) - floor(u + rate * (place - 1)))::bigint * size as taken
+from e
+"""
+
+OP10 = r"""
+with d as (select doc_id, md5(text) as digest, text, regexp_extract_all(text, '[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+') as us from documents where text is not null),
+u as (select doc_id, digest, unnest(us) as unit, generate_subscripts(us, 1) - 1 as pos from d),
+v as (select doc_id, digest, pos, trim(replace(unit, chr(10), ' ')) as bare, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) as words from u),
+c as (select *, sum(words) over (partition by doc_id, digest order by pos) as upto from v where words > 0),
+b as (select *, upto - words as since from c),
+x as (
+  select doc_id, digest, pos, since, max(pos) over r as last, max(upto) over r as "end", array_to_string(list(bare) over r, chr(1)) as body
+  from b window r as (partition by doc_id, digest order by since range between current row and 29 following)),
+y as (select * from x where "end" - since >= 30),
+z as (select *, row_number() over (partition by body order by doc_id, digest, pos) as nth from y),
+g as (select distinct doc_id, digest, unnest(range(pos, last + 1)) as pos from z where nth > 1),
+k as (
+  select u.doc_id, u.digest, coalesce(string_agg(unit, '' order by u.pos) filter (g.pos is null), '') as text, count(g.pos) as n_removed
+  from u left join g on u.doc_id = g.doc_id and u.digest = g.digest and u.pos = g.pos group by u.doc_id, u.digest)
+select o.doc_id, coalesce(k.text, o.text) as text, coalesce(k.n_removed, 0) as n_removed
+from documents o left join k on o.doc_id = k.doc_id and md5(o.text) = k.digest
+"""
+
+OP4 = r"""
+with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, coalesce(rest, '') as rest from a)),
+r(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f as (
+  select b.page_id, b.host, b.path, r.h || r.p as rule, r.v, row_number() over (partition by b.page_id, b.host, b.path order by length(r.h) desc, length(r.p) desc) as k
+  from b left join r on (b.host = r.h or ends_with(b.host, '.' || r.h)) and starts_with(b.path, r.p))
+select page_id, host, path, rule, coalesce(v, case when host = '' then 'block' else 'allow' end) as verdict from f where k = 1
+"""
+
+OP7 = r"""
+with recursive v as materialized (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, l.b from reach r join links l on l.a = r.y),
+comp as (select x, min(y) as c from reach group by x)
+select m.vec_id, count(l.b) as n_links, any_value(comp.c) as component_id, any_value(comp.c) = m.vec_id as kept
+from embeddings m join comp on comp.x = m.vec_id left join links l on l.a = m.vec_id group by m.vec_id
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10}
