@@ -1,10 +1,59 @@
-"""A cleaning pipeline over ``documents``: language, repeated passages, near duplicates, benchmark leaks, mixing."""
+"""A cleaning pipeline over ``documents``: language, repeated passages, near duplicates, benchmark leaks, mixing.
+
+Each stage takes what its predecessor kept and, but for the last, returns the columns of ``documents``. A stage that
+changes a text also sets ``n_chars``. The last emits each document as often as the mix takes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioworks.llm.decontaminate import find_leaks
+from folioworks.llm.jaccard_join import representatives
+from folioworks.llm.language import keep_identified
+from folioworks.llm.line_dedup import dedup_lines
+from folioworks.llm.mixing import mix_sources
+from folioworks.llm.stage import cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, no letters) go."""
+    return keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repetitions of runs of lines go; so do documents of which nothing is left."""
+    cleaned = dedup_lines(docs, removed="__removed")
+    changed = F.col("__removed") > 0
+    cleaned = cleaned.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the least id."""
+    return representatives(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = cut(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, numbered by ``copy``."""
+    mixed = mix_sources(docs, whole=True).where("copies > 0")
+    own = [c for c in ("copy", "size", "source_size", "target", "taken") if c not in docs.columns]
+    mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*(F.col("document")[c].alias(c) for c in docs.columns), *own)
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("benchmark_decontamination", benchmark_decontamination), ("mixing", mixing)]
+#: SQL can't express the cross-parsing of the first stage; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
