@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grading
+from . import auditing, chains, grading, pages, queueing, references, retrieval, statistics
 
-MODULES = (grading,)
+MODULES = (grading, statistics, retrieval, references, chains, auditing, queueing, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

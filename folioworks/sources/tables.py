@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order and line number, which the raw table repeats."""
+    rest = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in rest))
