@@ -74,12 +74,15 @@ class SuffixAutomaton:
     def jump_table(self, symbols: int) -> np.ndarray:
         """``table[state * symbols + s]``: the next state, or, if none, minus the state after restarting with ``s`` less one.
 
-        A greedy parse therefore needs one look-up a symbol: a negative entry ends a phrase.
+        A greedy parse therefore needs one look-up a symbol: a negative entry starts a phrase. One more state, the
+        last, has no way on at all: a parse starts there, and a symbol that the sample lacks, a phrase of its own,
+        leads there.
         """
-        root = np.zeros(symbols, dtype=np.int32)
+        alone = len(self.next)
+        root = np.full(symbols, alone, dtype=np.int32)
         for symbol, state in self.next[0].items():
             root[symbol] = state
-        table = np.tile(-root - 1, (len(self.next), 1))
+        table = np.tile(-root - 1, (alone + 1, 1))
         for state, steps in enumerate(self.next):
             for symbol, to in steps.items():
                 table[state, symbol] = to

@@ -83,7 +83,7 @@ class Model:
             table = automaton.jump_table(SYMBOLS)
             states = len(table) // SYMBOLS
             tables.append(np.where(table >= 0, table + at, table - at))
-            self.starts.append(at)
+            self.starts.append(at + states - 1)
             self.scale.append(np.log2(max(size, 2)))
             at += states
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
@@ -99,12 +99,12 @@ class Model:
         out = np.empty((len(blocks), len(self.languages)))
         for k, start in enumerate(self.starts):
             state = np.full(len(blocks), start * SYMBOLS, dtype=np.int32)
-            count = np.ones(len(blocks), dtype=np.int32)
+            count = np.zeros(len(blocks), dtype=np.int32)
             for step, n in zip(grid, live, strict=True):
                 to = self.table.take(state[:n] + step[:n])
                 ended = to < 0
                 count[:n] += ended
-                to ^= -ended.astype(np.int32)  # -x - 1 where a phrase ended
+                to ^= -ended.astype(np.int32)  # -x - 1 where a phrase started
                 np.multiply(to, SYMBOLS, out=state[:n])
             out[order, k] = count * self.scale[k]
         return out
