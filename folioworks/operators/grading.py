@@ -59,7 +59,8 @@ def parse_judgement(text: Column, schema: str) -> Column:
     clean = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     clean = F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")
     clean = F.regexp_replace(F.regexp_replace(clean, r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
-    first, last = F.instr(clean, "{"), F.length(clean) - F.instr(F.reverse(clean), "}") + 1
+    back = F.instr(F.reverse(clean), "}")
+    first, last = F.instr(clean, "{"), F.when(back > 0, F.length(clean) - back + 1).otherwise(0)
     body = F.when((first > 0) & (last > first), F.substring(clean, first, last - first + 1))
     value = F.from_json(body, schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     error = F.when(body.isNull(), "parse_fail").when(value["_corrupt"].isNotNull(), "json_fail")
