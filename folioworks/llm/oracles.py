@@ -66,22 +66,21 @@ from e
 """
 
 OP10 = r"""
-with d as (select doc_id, md5(text) as digest, text, regexp_extract_all(text, '[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+') as us from documents where text is not null),
-u as (select doc_id, digest, unnest(us) as unit, generate_subscripts(us, 1) - 1 as pos from d),
-v as (select doc_id, digest, pos, trim(replace(unit, chr(10), ' ')) as bare, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) as words from u),
-c as (select *, sum(words) over (partition by doc_id, digest order by pos) as upto from v where words > 0),
-b as (select *, upto - words as since from c),
+with d as (select doc_id, text, regexp_extract_all(text, '[^.,;:!?\n]{1,80}[.,;:!?\n]*|[.,;:!?\n]+') as us from documents where text is not null),
+u as (select doc_id, unnest(us) as unit, generate_subscripts(us, 1) - 1 as pos from d),
 x as (
-  select doc_id, digest, pos, since, max(pos) over r as last, max(upto) over r as "end", array_to_string(list(bare) over r, chr(1)) as body
-  from b window r as (partition by doc_id, digest order by since range between current row and 29 following)),
-y as (select * from x where "end" - since >= 30),
-z as (select *, row_number() over (partition by body order by doc_id, digest, pos) as nth from y),
-g as (select distinct doc_id, digest, unnest(range(pos, last + 1)) as pos from z where nth > 1),
+  select doc_id, pos, array_to_string(list(trim(unit, chr(10) || ' ')) over r, chr(1)) as body, count(*) over r as n
+  from u window r as (partition by doc_id order by pos rows between current row and 3 following)),
+z as (select *, row_number() over (partition by body order by doc_id, pos) as nth from x where n = 4),
+y as (select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 4 then 0 else 1 end as opens from z where nth > 1),
+o as (select *, sum(opens) over (partition by doc_id order by pos) as run from y),
+g as (select doc_id, run, unnest(range(min(pos), max(pos) + 4)) as pos from o group by doc_id, run),
+c as (select g.doc_id, g.run from g join u using (doc_id, pos) group by g.doc_id, g.run having sum(length(unit)) >= 180),
+h as (select g.doc_id, g.pos from g join c using (doc_id, run)),
 k as (
-  select u.doc_id, u.digest, coalesce(string_agg(unit, '' order by u.pos) filter (g.pos is null), '') as text, count(g.pos) as n_removed
-  from u left join g on u.doc_id = g.doc_id and u.digest = g.digest and u.pos = g.pos group by u.doc_id, u.digest)
-select o.doc_id, coalesce(k.text, o.text) as text, coalesce(k.n_removed, 0) as n_removed
-from documents o left join k on o.doc_id = k.doc_id and md5(o.text) = k.digest
+  select u.doc_id, coalesce(string_agg(unit, '' order by u.pos) filter (h.pos is null), '') as text, count(h.pos) as n_removed
+  from u left join h on u.doc_id = h.doc_id and u.pos = h.pos group by u.doc_id)
+select o.doc_id, coalesce(k.text, o.text) as text, coalesce(k.n_removed, 0) as n_removed from documents o left join k on o.doc_id = k.doc_id
 """
 
 OP4 = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Reliable checkpoint: the rows survive the loss of any executor.
+
+    Shuffle files of what came before go when the driver's heap lets go of them; ``free`` asks for that now, after
+    steps that shuffled much.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if free:
+        df.sparkSession._jvm.System.gc()
+    return out
+
+
+class Written:
+    """A table of the shared folder, for rows too many for a checkpoint: compressed, and gone when it is dropped."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        self.spark, self.path = spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: str = "doc_id"):
