@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import auditing, chains, grading, layouts, pages, queueing, references, retrieval, statistics
+from . import auditing, chains, grading, itemwork, layouts, pages, queueing, references, retrieval, statistics
 
-MODULES = (grading, statistics, retrieval, references, chains, auditing, queueing, pages, layouts)
+MODULES = (grading, statistics, retrieval, references, chains, auditing, queueing, pages, layouts, itemwork)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
