@@ -11,7 +11,8 @@ elsewhere, and starts of words (three letters or more) of which the same holds f
 precision (lower bound). A logistic function of the evidence of the distinct lexicon words that a document holds, of
 the evidence of the strongest and of their share in its words, fitted on the same rows, gives the score.
 
-Labels are learned from rows that are not held out, at most ``LABELLED`` of either label, by hash of the text.
+Labels are learned from rows that are not held out, at most ``LABELLED`` toxic ones and twice as many others, by hash of
+the id.
 
 Defined results: null and empty texts score 0; so does everything when nothing toxic is labelled; labels that are null
 or unmatched teach nothing; repeated rows get equal scores; documents labelled twice teach twice.
@@ -231,12 +232,15 @@ def _both(held: tuple, feature: str, p: float) -> tuple:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[CharacterModel, dict[str, float], np.ndarray | None]:
     """The character model of all ``docs(doc_id, text)``; the lexicon and weights of the labelled rows that aren't held out."""
     model = CharacterModel(trigram_counts(docs))
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("l_id"), "toxic")
-    rows = docs.where("text is not null").where(~held_out()).join(known, F.col("doc_id") == F.col("l_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
-    restore, texts = Restorer(model), []
-    for y in (1, 0):
-        picked = rows.where(F.col("toxic") == y).withColumn("h", F.xxhash64("text")).orderBy("h").limit(labelled * (1 if y else 2)).select("text")
-        texts += [(restore(t), y) for t in picked.toArrow().column("text").to_pylist()]
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
+    draw = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(n)
+    # a bounded number of ids, so that the documents stay where they are
+    picked = F.broadcast(draw(1, labelled).unionByName(draw(0, 2 * labelled)))
+    rows = docs.where("text is not null").join(picked, F.col("doc_id") == F.col("l_id")).select("text", "toxic", F.xxhash64("text").alias("h"))
+    restore = Restorer(model)
+    # one order on every run
+    got = sorted((r["toxic"], r["h"], r["text"]) for r in rows.toArrow().to_pylist())
+    texts = [(restore(t), y) for y, _, t in got]
     lexicon = learn_lexicon(texts)
     scorer = Scorer(lexicon)
     known = [(e, y) for e, y in ((scorer.evidence(t), y) for t, y in texts) if e] if lexicon else []
