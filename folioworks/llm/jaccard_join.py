@@ -12,18 +12,22 @@ every order and can't be shared, so a document whose prefix holds only those is
 
 Steps
 1. Equal sets become one node, known by 128 bits summed over the set.
-2. The shingles go, packed per chunk of documents and per range of hashes (``48 + 16`` bits in blobs, not a row each),
-   to the task that counts their documents. Those of two documents or more go back to their chunk with that number.
+2. The shingles go, packed per chunk of documents and per range of hashes (32 bits each in blobs, not a row each), to
+   the task that counts their documents. Those of two documents or more go back to their chunk with that number, and
+   a node with too few of them to link is done. What is left is counted once more, each node once, so that copies
+   don't make a shingle look shared.
 3. Each chunk makes the prefixes of the nodes that can still link.
 4. Each prefix shingle elects the node with the fewest shingles of its own. Only pairs with an elected node are
-   verified first, as many rows as prefix shingles; what they join into components needs no pairs any more. Only
-   pairs of one prefix shingle, in different components, whose shared shingles could still suffice, follow. So a group
-   of near copies costs rows in proportion to its size, and every link between components is still found.
+   compared first, as many rows as prefix shingles; what they join into components needs no pairs any more. Only pairs
+   of one prefix shingle, in different components, follow, and only if they could share enough: what two nodes share
+   inside the elected one is at most the lesser of what either shares with it, and outside at most the lesser of
+   their other shared shingles. So a group of near copies hardly costs more rows than it has members, and every link
+   between components is still found.
 5. Components by alternating stars.
 
 Defined results: null ids keep their row, and are ignored as the least id of a component (null if it has no other);
 null texts count as empty; repeated rows are copies of each other; more columns are ignored. An empty table gives no
-rows. Hashes have 64 bits within a document and 48 between documents, in place of the shingles' strings.
+rows. Hashes have 64 bits within a document and 42 to 48 between documents, in place of the shingles' strings.
 """
 
 from __future__ import annotations
@@ -66,15 +70,12 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(tokens: np.ndarray) -> bytes:
-    """The low 40 bits of each, in five bytes."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The low 32 bits of each."""
+    return tokens.astype("<u4").tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    five = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), dtype=np.uint8)
-    out[:, :5] = five
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(blob, dtype="<u4").astype(np.uint64)
 
 
 _BLOBS = "bucket int, chunk long, tokens binary, refs binary, counts binary"
@@ -83,36 +84,66 @@ _BLOB_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("token
 _NODES = b"nodes"
 
 
-def _scatter(bits: int):
-    """Chunks of documents to packed shingles by bucket, the leading ``bits`` of the hash."""
+def _pack_refs(refs: np.ndarray) -> bytes:
+    """Rising 16-bit numbers by their steps: one byte each, or two where a step is larger."""
+    steps = np.diff(refs, prepend=np.uint16(0))
+    return steps.astype(np.uint8).tobytes() if steps.max(initial=0) < 256 else refs.tobytes()
+
+
+def _unpack_refs(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint16) if len(blob) == 2 * n else np.cumsum(np.frombuffer(blob, np.uint8), dtype=np.uint16)
+
+
+def _texts(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
+    """(node, size, the leading ``bits + 32`` bits of the shingles' hashes) of texts."""
+    for _, members in S.shingle_sets(batch.column("text"), S.BLANK_WORDS):
+        if len(members):
+            yield _node(members), len(members), members >> _U(32 - bits)
+
+
+def _members(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
+    """The same of nodes."""
+    for node, n, members in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("members"), strict=True):
+        yield node, n, members.values.to_numpy().astype(np.uint64)
+
+
+def _scatter(bits: int, sets):
+    """Chunks of sets to packed shingles by bucket, their leading ``bits``."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 24
         for batch in batches:
             for start in range(0, batch.num_rows, 65_536):
-                kept: dict[bytes, np.ndarray] = {}
-                for _, members in S.shingle_sets(batch.column("text").slice(start, 65_536), S.BLANK_WORDS):
-                    if len(members):
-                        kept.setdefault(_node(members), members)
+                kept: dict[bytes, tuple[int, np.ndarray]] = {}
+                for node, n, tokens in sets(batch.slice(start, 65_536), bits):
+                    kept.setdefault(node, (n, tokens))
                 if not kept:
                     continue
                 serial += 1
-                sizes = np.array([len(x) for x in kept.values()], dtype=np.uint32)
-                tokens = np.concatenate(list(kept.values()))
-                refs = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-                bucket = (tokens >> _U(64 - bits)).astype(np.uint16)
+                tokens = np.concatenate([x for _, x in kept.values()])
+                refs = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for _, x in kept.values()])
+                bucket = (tokens >> _U(32)).astype(np.uint16)
                 order = np.argsort(bucket, kind="stable")
-                low, refs, bucket = (tokens >> _U(64 - bits - 40))[order], refs[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                rows = [(serial % (1 << bits), serial, b"".join(kept), sizes.tobytes(), _NODES)]
-                rows += [(b, serial, _pack(low[i:j]), refs[i:j].tobytes(), None) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+                tokens, refs, bucket = tokens[order], refs[order], bucket[order]
+                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
+                rows = [(serial % (1 << bits), serial, b"".join(kept), np.array([n for n, _ in kept.values()], np.uint32).tobytes(), _NODES)]
+                rows += [(b, serial, _pack(tokens[i:j]), _pack_refs(refs[i:j]), None) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
 
     return scatter
 
 
+def _spread(group: pa.Table) -> pa.Table:
+    """One bucket: the shingles that several documents have, back by chunk."""
+    return _several(group, False)
+
+
 def _count(group: pa.Table) -> pa.Table:
-    """One bucket: the shingles that several documents have, with that number, back by chunk."""
+    """The same, with the number of documents."""
+    return _several(group, True)
+
+
+def _several(group: pa.Table, numbers: bool) -> pa.Table:
     rows = list(zip(*(group.column(c).to_pylist() for c in ("bucket", "chunk", "tokens", "refs", "counts")), strict=True))
     out = [r for r in rows if r[4] is not None]
     rows = [r for r in rows if r[4] is None]
@@ -130,38 +161,52 @@ def _count(group: pa.Table) -> pa.Table:
         for r, own, i, j in zip(rows, packed, at[:-1], at[1:], strict=True):
             several = counts[i:j] > 1
             if several.any():
-                out.append((r[0], r[1], _pack(own[several]), np.frombuffer(r[3], np.uint16)[several].tobytes(), counts[i:j][several].tobytes()))
+                out.append((r[0], r[1], _pack(own[several]), _pack_refs(_unpack_refs(r[3], len(own))[several]), counts[i:j][several].tobytes() if numbers else b""))
     return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_BLOB_SCHEMA)], schema=_BLOB_SCHEMA)
 
 
+_SETS = "node binary, n int, members array<long>"
 _PREFIXES = "node binary, n int, m int, members array<long>, first array<long>, second array<long>, third array<long>"
 _LONGS = pa.list_(pa.int64())
+_SET_SCHEMA = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("members", _LONGS)])
 _PREFIX_SCHEMA = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("m", pa.int32()), *((c, _LONGS) for c in ("members", "first", "second", "third"))])
 
 
-def _prefixes(group: pa.Table) -> pa.Table:
-    """One chunk: the nodes that can still link, with their shared shingles and prefixes."""
+def _possible(group: pa.Table) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]]:
+    """(node, size, shared shingles, their counts) of the nodes of a chunk that can still link."""
     nodes, sizes, parts = b"", np.zeros(0, np.int64), []
     for bucket, tokens, refs, counts in zip(*(group.column(c).to_pylist() for c in ("bucket", "tokens", "refs", "counts")), strict=True):
         if counts == _NODES:
             nodes, sizes = tokens, np.frombuffer(refs, np.uint32).astype(np.int64)
         else:
-            parts.append((_unpack(tokens) | _U(bucket << 40), np.frombuffer(refs, np.uint16), np.frombuffer(counts, np.uint32)))
+            own = _unpack(tokens)
+            parts.append((own | _U(bucket << 32), _unpack_refs(refs, len(own)), np.frombuffer(counts, np.uint32) if counts else np.zeros(len(own), np.uint32)))
+    if not parts:
+        return
+    tokens, refs, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(refs, kind="stable")
+    tokens, refs, counts = tokens[order], refs[order], counts[order]
+    at = np.searchsorted(refs, np.arange(len(sizes) + 1))
+    for i in np.flatnonzero((np.diff(at) >= _need(sizes)) & (sizes > 0)):
+        yield nodes[16 * i : 16 * i + 16], int(sizes[i]), tokens[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    return _table([(node, n, own.astype(np.int64)) for node, n, own, _ in _possible(group)], _SET_SCHEMA)
+
+
+def _prefixes(group: pa.Table) -> pa.Table:
     out: list[tuple] = []
-    if parts:
-        tokens, refs, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(refs, kind="stable")
-        tokens, refs, counts = tokens[order], refs[order], counts[order]
-        at = np.searchsorted(refs, np.arange(len(sizes) + 1))
-        shared = np.diff(at)
-        for i in np.flatnonzero((shared >= _need(sizes)) & (sizes > 0)):
-            n, m = int(sizes[i]), int(shared[i])
-            own, many = tokens[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
-            length = n - int(_need(np.int64(n))) + 1 - (n - m)
-            rough = np.log2(many).astype(np.int64)
-            orders = (np.lexsort((own, many)), np.lexsort((S.mix(own, 11), rough)), np.lexsort((S.mix(own, 12), rough // 2)))
-            out.append((nodes[16 * i : 16 * i + 16], n, m, np.sort(own).astype(np.int64), *(own[o[:length]].astype(np.int64) for o in orders)))
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_PREFIX_SCHEMA)], schema=_PREFIX_SCHEMA)
+    for node, n, own, many in _possible(group):
+        length = len(own) - int(_need(np.int64(n))) + 1
+        rough = np.log2(many).astype(np.int64)
+        orders = (np.lexsort((own, many)), np.lexsort((S.mix(own, 11), rough)), np.lexsort((S.mix(own, 12), rough // 2)))
+        out.append((node, n, len(own), np.sort(own).astype(np.int64), *(own[o[:length]].astype(np.int64) for o in orders)))
+    return _table(out, _PREFIX_SCHEMA)
 
 
 def shingle_nodes(docs: DataFrame) -> DataFrame:
@@ -173,38 +218,59 @@ def shingle_nodes(docs: DataFrame) -> DataFrame:
 def candidate_nodes(docs: DataFrame) -> DataFrame:
     """The nodes that can link with another one, once each, with their prefixes under the three orders."""
     spark = docs.sparkSession
-    bits = int(min(16, max(8, np.ceil(np.log2(4 * conf_int(spark, "spark.sql.shuffle.partitions", 200))))))
-    blobs = docs.select(F.col("text").cast("string")).mapInArrow(_scatter(min(bits, 16)), _BLOBS)
-    shared = blobs.groupBy("bucket").applyInArrow(_count, _BLOBS)
-    return cut(shared.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES).dropDuplicates(["node"]))
+    bits = int(min(16, max(10, np.ceil(np.log2(4 * conf_int(spark, "spark.sql.shuffle.partitions", 200))))))
+    blobs = docs.select(F.col("text").cast("string")).mapInArrow(_scatter(bits, _texts), _BLOBS)
+    shared = blobs.groupBy("bucket").applyInArrow(_spread, _BLOBS)
+    sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]), free=True)
+    again = sets.mapInArrow(_scatter(bits, _members), _BLOBS).groupBy("bucket").applyInArrow(_count, _BLOBS)
+    return cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
 
 
-def _could(na: str, ma: str, nb: str, mb: str) -> str:
-    """Whether the shared shingles could suffice: I >= 80 % of (na + nb - I)."""
-    return f"{100 + PERCENT} * least({ma}, {mb}) >= {PERCENT} * ({na} + {nb})"
+#: I >= 80 % of (na + nb - I)
+_ENOUGH = f"{100 + PERCENT} * {{shared}} >= {PERCENT} * (n_a + n_b)"
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with sizes, the number of shared shingles, and whether they link.
+
+    To link, they must share prefix shingles under the other orders too.
+    """
+    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "members", "second", "third")))
+    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    both = both.withColumn("shared", F.size(F.array_intersect("members_a", "members_b")))
+    links = F.expr("arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b) and " + _ENOUGH.format(shared="shared"))
+    return both.select("a", "b", "shared", links.alias("links"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share prefix shingles under every order, and then enough of their sets."""
+def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that link: all filters come before the sets are compared."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "members", "second", "third")))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     both = both.where("arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b)")
-    return both.where(f"{100 + PERCENT} * size(array_intersect(members_a, members_b)) >= {PERCENT} * (n_a + n_b)").select("a", "b")
+    return both.where(_ENOUGH.format(shared="size(array_intersect(members_a, members_b))")).select("a", "b")
 
 
 def node_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Links that span the components of the nodes, as ``(a, b)``, and the components of those nodes."""
     posts = cut(nodes.select("node", "n", "m", F.explode("first").alias("token")))
-    elected = posts.groupBy("token").agg(F.min(F.struct(F.expr("n - m").alias("alone"), "n", "m", "node")).alias("e"), F.count("*").alias("many")).where("many > 1").select("token", "e")
-    near = posts.join(elected, "token").where("node <> e.node").where(_could("n", "m", "e.n", "e.m"))
-    links = cut(_verified(near.select(F.col("node").alias("a"), F.col("e.node").alias("b")).distinct(), nodes))
+    best = F.min(F.struct(F.expr("n - m").alias("alone"), F.expr("-m").alias("least"), "node"))
+    elected = posts.groupBy("token").agg(best.alias("e"), F.count("*").alias("many")).where("many > 1").select("token", F.col("e.node").alias("centre"))
+    near = posts.select("node", "token").join(elected, "token").where("node <> centre")
+    near = cut(_compared(near.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), nodes))
+    links = near.where("links").select("a", "b")
     parts = cut(connected_components(links, "a", "b"))
     placed = posts.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    placed = cut(placed.join(mixed, "token", "left_semi"))
-    other = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "m", "root")))
-    rest = placed.join(other, (placed["token"] == other["token"]) & F.expr(f"node < node_b and root <> root_b and {_could('n', 'm', 'n_b', 'm_b')}"))
-    more = cut(_verified(rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), nodes))
+    placed = placed.join(mixed, "token", "left_semi").join(elected, "token")
+    inside = near.select(F.col("a").alias("node"), F.col("b").alias("centre"), "shared")
+    placed = placed.join(inside, ["node", "centre"], "left").withColumn("inside", F.when(F.col("node") == F.col("centre"), F.col("m")).otherwise(F.col("shared")))
+    placed = cut(placed.select("token", "node", "n", "root", "inside", (F.col("m") - F.col("inside")).alias("outside")).join(nodes.select("node", "first"), "node"))
+    side = lambda x: placed.select(*(F.col(c).alias(f"{c}_{x}") for c in placed.columns))
+    could = _ENOUGH.format(shared="(least(inside_a, inside_b) + least(outside_a, outside_b))")
+    # a pair counts once, at the least shingle that its prefixes share
+    once = "token_a = array_min(array_intersect(first_a, first_b))"
+    rest = side("a").join(side("b"), (F.col("token_a") == F.col("token_b")) & F.expr(f"node_a < node_b and root_a <> root_b and {could} and {once}"))
+    more = cut(_linked(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), nodes))
     if more.isEmpty():
         return links, parts
     links = links.unionByName(more)
