@@ -253,8 +253,11 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string"))
     if tagger is None:
-        sample = docs.where("length(text) > 40").select(F.substring("text", 1, CONTEXT_CHARS).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(CONTEXT_TEXTS)
-        tagger = train([r["text"] for r in sample.select("text").collect()])
+        # the least hashes first, as numbers; then the texts that have them
+        hashed = docs.where("length(text) > 40").select(F.xxhash64("text").alias("h"), F.substring("text", 1, CONTEXT_CHARS).alias("text"))
+        last = hashed.select("h").distinct().orderBy("h").limit(CONTEXT_TEXTS).agg(F.max("h")).first()[0]
+        sample = hashed.where(F.col("h") <= last).dropDuplicates(["h"]) if last is not None else hashed.limit(0)
+        tagger = train([r["text"] for r in sorted(sample.collect(), key=lambda r: r["h"])])
     shared = spark.sparkContext.broadcast(tagger)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
