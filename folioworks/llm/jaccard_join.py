@@ -292,11 +292,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` that stand for their component: one row of its least id.
 
-    Rows with a null id stay, as nothing names them.
+    A component is one of texts: rows that share an id but no component each stand for their own. Rows without shingles
+    and rows with a null id stay, the latter as nothing names them.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept")
-    one = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
-    rows = rows.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
+    digest = F.md5(F.col("text").cast("binary"))
+    # a row is named by its id and its text
+    named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    rows = cut(shingle_nodes(named).where("doc_id.doc_id is not null and node is not null").select("doc_id.*", "node").distinct())
+    _, parts = node_links(candidate_nodes(docs.select("text")))
+    placed = rows.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    stands = placed.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    stands = cut(stands.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")))
+    # each name once among equal rows; names without shingles stand in no component
+    known = rows.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.lit(True).alias("__known"))
+    kept = cut(known.join(stands.withColumn("__kept", F.lit(True)), ["__id", "__digest"], "left").select("__id", "__digest", F.col("__kept").isNotNull().alias("__kept")))
+    both = docs.withColumn("__text", digest).join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left")
+    one = Window.partitionBy("doc_id", "__text").orderBy(F.lit(1))
+    standing = both.where("__kept").withColumn("__row", F.row_number().over(one)).where("__row = 1")
+    return standing.select(*docs.columns).unionByName(both.where("__kept is null").select(*docs.columns))

@@ -79,6 +79,14 @@ def test_jaccard_join_odd_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 0, 3, 7, 8, 9]
 
 
+def test_versions_stand_for_their_own_components(spark):
+    shared, clean, other = "a b c d e f g h i j", "k l m n o p q r s t", "quite another text of more than five words"
+    rows = [(1, shared), (2, shared), (2, clean), (2, clean), (3, clean + " u"), (4, other), (4, clean), (5, ""), (5, None)]
+    for order in (1, -1):
+        kept = jaccard_join.representatives(spark.createDataFrame(rows[::order], DOCS)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, shared), (2, clean), (4, other), (5, ""), (5, None)], key=str)
+
+
 def test_long_documents_link(spark):
     r = random.Random(4)
     base = [str(r.randrange(10**6)) for _ in range(30_000)]
