@@ -15,6 +15,11 @@ at most ``TEXTS`` texts are taken, up to ``SAMPLE`` characters. Those bounds are
 Defined results: ``und`` with score 0 for a null text or one without letters, and for every text when there is nothing
 to learn from; ties go to the language that is first by code point; repeated rows get equal results. The score is
 ``1 - best / next best`` phrases mapped to 0..1 (1 when only one language is known).
+
+``keep_identified`` rejects texts without letters, and texts that need more normalised phrases a symbol than held-in text
+of their best language does. That limit is fitted on the sample: one half of a language's texts is parsed against the
+other, in pieces of each of ``PIECES`` symbols, and a text is held to the pieces that are not longer than it. Texts
+shorter than the shortest piece, and languages with too little text to fit a limit, are not rejected.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ SAMPLE = 24_000
 #: Most texts of a language that are looked at to fill its sample.
 TEXTS = 64
 BLOCK = 512
+#: Lengths of the held-in pieces that limits are fitted on, the fewest pieces for a limit, and its deviations above their mean.
+PIECES, FEWEST, DEVIATIONS = (32, 64, 128, 256, 512), 8, 6.0
 SYMBOLS = 68
 BLANK = 0
 UNDETERMINED = "und"
@@ -131,6 +138,35 @@ class Model:
         parse()
         return costs, letters
 
+    def identified(self, texts: list[str]) -> np.ndarray:
+        """Whether each text has letters and parses like held-in text of its best language."""
+        costs, letters = self.costs(texts)
+        if not self.languages:
+            return letters
+        best = costs.argmin(axis=1)
+        sizes = np.array([len(symbols_of(t)) for t in texts])
+        limit = self.limits[best, np.searchsorted(PIECES, sizes, "right")]
+        return letters & (costs[np.arange(len(texts)), best] <= limit * sizes)
+
+    def fit_limits(self, samples: dict[str, list[str]]) -> None:
+        """Most normalised phrases a symbol of held-in text, by language and by how many of ``PIECES`` a text reaches."""
+        self.limits = np.full((len(self.languages), len(PIECES) + 1), np.inf)
+        for k, name in enumerate(self.languages):
+            halves = [samples[name][::2], samples[name][1::2]]
+            if not halves[1]:
+                text = samples[name][0]
+                halves = [[text[: len(text) // 2]], [text[len(text) // 2 :]]]
+            models = [Model({name: half}) for half in halves]
+            for at, size in enumerate(PIECES):
+                rates: list[float] = []
+                for model, half in zip(models, reversed(halves), strict=True):
+                    sequences = [symbols_of(t) for t in half]
+                    pieces = [s[i : i + size] for s in sequences for i in range(0, len(s) - size + 1, size)]
+                    if pieces:
+                        rates += (model.phrases(pieces)[:, 0] / size).tolist()
+                # too few pieces: what shorter ones allow
+                self.limits[k, at + 1] = max(max(rates), np.mean(rates) + DEVIATIONS * np.std(rates)) if len(rates) >= FEWEST else self.limits[k, at]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -142,7 +178,12 @@ class Model:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Automata of ``rows(text, lang)``: per language at most ``sample`` symbols, from as many texts as needed."""
+    """Automata of the samples of ``rows(text, lang)``."""
+    return Model(samples_of(rows, sample))
+
+
+def samples_of(rows: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
+    """Texts of each language of ``rows(text, lang)``: at most ``sample`` symbols, from as many texts as needed."""
     rows = rows.where("text is not null and lang is not null and length(trim(text)) > 0")
     ranked = rows.select("lang", F.substring("text", 1, sample).alias("text"), F.xxhash64("text").alias("h"))
     # the limit is applied in every task before rows move
@@ -154,7 +195,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         text = row["text"][: max(0, sample - sum(map(len, taken)))]
         if text:
             taken.append(text)
-    return Model(samples)
+    return samples
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -179,11 +220,13 @@ def language_of(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` whose language can be told, all columns as they are.
+    """The rows of ``docs(doc_id, text, lang, ...)`` that parse like text of a learned language, all columns as they are.
 
     With no labelled text to learn from nothing can be rejected but texts without letters.
     """
-    model = train(docs.where(~held_out()).select("text", "lang"), sample)
+    samples = samples_of(docs.where(~held_out()).select("text", "lang"), sample)
+    model = Model(samples)
+    model.fit_limits(samples)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -192,10 +235,6 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
                 texts = [t or "" for t in part.column(place).to_pylist()]
-                if shared.value.languages:
-                    known = [name != UNDETERMINED for name in shared.value.predict(texts)[0]]
-                else:
-                    known = [bool((symbols_of(t) != BLANK).any()) for t in texts]
-                yield part.filter(pa.array(known, pa.bool_()))
+                yield part.filter(pa.array(shared.value.identified(texts), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

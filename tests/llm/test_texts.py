@@ -41,6 +41,18 @@ def test_language_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == len(rows) + 4
 
 
+def test_junk_and_foreign_text_is_not_identified(spark):
+    r = random.Random(6)
+    rows = [(i, sentence(r, lang, r.randint(4, 400)), lang) for i, lang in enumerate(r.choice(["aa", "bb"]) for _ in range(150))]
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000))
+    docs = spark.createDataFrame([*rows, (1, letters, None), (4, letters[:150], "aa"), (7, sentence(r, "cc", 80), None), (10, sentence(r, "aa", 3000), "bb")], "doc_id long, text string, lang string")
+    kept = language.keep_identified(docs).collect()
+    texts = {x.text for x in kept}
+    assert {t for _, t, _ in rows} <= texts
+    assert letters not in texts and letters[:150] not in texts
+    assert len(kept) == len(rows) + 1  # the foreign one is gone, the long one stays
+
+
 def test_cross_parse_is_greedy():
     r = random.Random(5)
     samples = {"x": ["".join(r.choice("abc") for _ in range(40))], "y": ["".join(r.choice("bcd") for _ in range(40))]}
