@@ -3,8 +3,8 @@
 The base finds emails, IPv4 addresses, payment cards and phone numbers by pattern. The method adds spans: a
 character-level bidirectional LSTM with CRF transitions (numpy), trained from labelled spans. Those are written from
 templates (plain and disguised forms, and look-alikes that aren't personal data) into stretches of a bounded sample of
-the corpus. It reads overlapping windows of ``WINDOW`` characters around every place that could belong to a span (a
-digit, an ``@`` or a spelled-out one); the emissions of overlapping windows are averaged by the distance to the window's
+the corpus. It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a
+digit, an ``@`` or a spelled-out one), as far as the longest span reaches to both sides, and half a window more; the emissions of overlapping windows are averaged by the distance to the window's
 edge, and one Viterbi search over the whole stretch settles the spans, however many windows it has.
 Spans that overlap a base span, or lack what their kind needs (digits, parts), are not added.
 
@@ -39,8 +39,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-#: Where a span could be.
-_TRIGGER = re.compile(r"[0-9@]+|[(\[{] ?(?:at|dot) ?[)\]}]|(?<= )dot(?= )", re.IGNORECASE)
+_AT = r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])"
+_DOT = r"(?<![A-Za-z0-9])dot(?![A-Za-z0-9])"
+#: What every valid span holds one of.
+_TRIGGER = re.compile(rf"[0-9]+|@|{_AT}", re.IGNORECASE)
+_AN_AT, _A_DOT = re.compile(rf"@|{_AT}", re.IGNORECASE), re.compile(rf"\.|{_DOT}", re.IGNORECASE)
+#: Characters of the longest valid address, and of the longest span without one.
+LONGEST, LONGEST_NUMBER = 80, 40
 _TAGS = 1 + 2 * len(KINDS)
 
 
@@ -101,7 +106,7 @@ def _entity(r: random.Random) -> tuple[int, str]:
     if kind == 0:
         user = _name(r) + r.choice(("", "." + n(2), "_" + _name(r), n(2), "." + _name(r)))
         host, top = r.choice((_name(r), f"mail{n(1)}.example")), r.choice(("com", "org", "net", "de", "fr", "io"))
-        at, dot = r.choice((("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" @ ", " . ")))
+        at, dot = r.choice((("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" @ ", " . "), (" at ", "."), ("_at_", "."), ("_at_", "_dot_")))
         return 0, user + at + host + dot + top
     if kind == 1:
         parts = [str(r.randint(0, 255)) for _ in range(4)]
@@ -157,22 +162,38 @@ def train(contexts: list[str], n: int = EXAMPLES, epochs: int = EPOCHS) -> Tagge
 # -- reading
 
 
+def _reach(text: str, m: re.Match) -> tuple[int, int]:
+    """The range of the valid spans that hold a trigger; empty if there can be none."""
+    if "0" <= m.group()[0] <= "9":
+        return m.start() - LONGEST_NUMBER, m.end() + LONGEST_NUMBER
+    a, b = m.end() - LONGEST, m.start() + LONGEST
+    # an address holds a dot as well
+    dots = [(d.start(), d.end()) for d in _A_DOT.finditer(text, max(0, a), min(len(text), b))]
+    return min((max(m.end(), e) - LONGEST for _, e in dots), default=0), max((min(m.start(), s) + LONGEST for s, _ in dots), default=0)
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where a span could be, with room on both sides, as disjoint ranges of at least a window (or the whole text)."""
+    """Where a span could be, with room for half a window on both sides, as disjoint ranges."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - STRIDE - 8), min(len(text), m.end() + STRIDE)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
+        a, b = _reach(text, m)
+        if a >= b:
+            continue
+        a, b = max(0, a - STRIDE), min(len(text), b + STRIDE)
+        while out and a <= out[-1][1]:
+            first, last = out.pop()
+            a, b = min(a, first), max(b, last)
+        out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def _valid(kind: int, found: str) -> bool:
+def _valid(kind: int, text: str, start: int, end: int) -> bool:
+    found = text[start:end]
     digits = sum(c in "0123456789" for c in found)
     if kind == 0:
-        return bool(re.search(r"@|\bat\b", found, re.IGNORECASE)) and bool(re.search(r"\.|\bdot\b", found, re.IGNORECASE)) and len(found) <= 80
+        # within the text: the end of a word isn't one of its own
+        held = lambda sign: any(m.end() <= end for m in sign.finditer(text, start, min(len(text), end + 1)))
+        return len(found) <= LONGEST and held(_AN_AT) and held(_A_DOT)
     if kind == 1:
         parts = re.findall("[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(found) <= 40
@@ -236,8 +257,9 @@ class Reader:
                 found = texts[k][a + t : a + end]
                 lead = len(found) - len(found.lstrip(" \n.,;:"))
                 found = found.strip(" \n.,;:")
-                if found and _valid(kind, found):
-                    out[k].append((a + t + lead, kind, a + t + lead + len(found)))
+                start = a + t + lead
+                if found and _valid(kind, texts[k], start, start + len(found)):
+                    out[k].append((start, kind, start + len(found)))
                 t = end
 
 

@@ -163,6 +163,27 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs.limit(0), tagger).collect() == []
 
 
+def test_every_valid_span_is_in_a_stretch():
+    r = random.Random(8)
+    kinds = ["jane.doe at example.com", "jane_at_example.com", "jane AT example dot com", "christopher.alexanderson at engineering-department dot com", "a [at] b.c", "10(.)0(.)0(.)1", "x" * 60 + "@" + "y" * 15 + ".com"]
+    for _ in range(200):
+        found = r.choice(kinds)
+        text = "word, " * r.randint(0, 60) + found + " word" * r.randint(0, 60)
+        at = text.index(found)
+        assert any(pii._valid(kind, text, at, at + len(found)) for kind in (0, 1))
+        assert any(a <= max(0, at - pii.WINDOW // 2) and min(len(text), at + len(found) + pii.WINDOW // 2) <= b for a, b in pii.stretches(text)), text
+    assert not pii._valid(0, "a chat.room", 4, 11)
+
+
+def test_spelled_out_addresses_are_read():
+    r = random.Random(4)
+    reader = pii.Reader(pii.train([sentence(r, k, 60) for k in SYLLABLES]))
+    for found in ("jane.doe at example.com", "jane_at_example.com", "jane AT example.com"):
+        text = f"{sentence(r, 'aa', 30)} write to {found} {sentence(r, 'bb', 30)}"
+        at = text.index(found)
+        assert any(kind == 0 and a <= at and at + len(found) <= b for a, kind, b in reader.spans([text])[0]), (found, reader.spans([text]))
+
+
 def test_tagger_finds_held_out_examples():
     tagger = pii.train([], n=2000, epochs=6)
     ids, gold = pii.examples([], 300, seed=77)
