@@ -9,8 +9,10 @@ of 256 code points folded into eight, and one blank for runs of anything else. P
 so that many blocks, of all texts and lengths, are parsed in lock-step with array look-ups; a restart adds at most one
 phrase a block, to all languages alike.
 
-Training rows: non-null text and language, held-out ids excluded, in the order of a hash of the text; per language
-at most ``TEXTS`` texts are taken, up to ``SAMPLE`` characters. Those bounds are parameters; the parse covers every symbol of every text.
+Training rows: non-null text and language, held-out ids excluded, distinct texts in the order of their hash; per language
+``SAMPLE`` characters are taken, a piece from a hashed place of each text: pieces are as long as ``TEXTS`` texts need to
+fill the sample, more texts are taken where some are shorter, and pieces are longer where there are fewer. Those bounds
+are parameters; the parse covers every symbol of every text.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for every text when there is nothing
 to learn from; ties go to the language that is first by code point; repeated rows get equal results. The score is
@@ -37,7 +39,7 @@ from .shingles import utf8
 from .stage import held_out
 
 SAMPLE = 24_000
-#: Most texts of a language that are looked at to fill its sample.
+#: Texts of a language that its sample is spread over, if they are long enough.
 TEXTS = 64
 BLOCK = 512
 #: Lengths of the held-in pieces that limits are fitted on, the fewest pieces for a limit, and its deviations above their mean.
@@ -182,15 +184,36 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(samples_of(rows, sample))
 
 
+def _level(lengths: list[int], sample: int, piece: int) -> int:
+    """The least size of a piece, ``piece`` or more, with which the texts fill the sample."""
+    rest, left = sample, len(lengths)
+    for n in sorted(lengths):
+        if n * left >= rest:
+            break
+        rest, left = rest - n, left - 1
+    return max(piece, -(-rest // left)) if left else max(piece, *lengths)
+
+
 def samples_of(rows: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Texts of each language of ``rows(text, lang)``: at most ``sample`` symbols, from as many texts as needed."""
-    rows = rows.where("text is not null and lang is not null and length(trim(text)) > 0")
-    ranked = rows.select("lang", F.substring("text", 1, sample).alias("text"), F.xxhash64("text").alias("h"))
-    # the limit is applied in every task before rows move
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    picked = ranked.withColumn("k", F.row_number().over(first)).where(F.col("k") <= TEXTS).orderBy("lang", "k")
+    """Pieces of distinct texts of each language of ``rows(text, lang)``: ``sample`` characters, or all there are."""
+    rows = rows.where("text is not null and lang is not null and length(trim(text)) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    piece = max(1, sample // TEXTS)
+    # a text gives a character at least: so many texts fill every sample
+    first = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    share = F.least("n", F.lit(piece))
+    picked = ranked.withColumn("before", F.sum(share).over(first.rowsBetween(Window.unboundedPreceding, 0)) - share).where(F.col("before") < sample)
+    lengths: dict[str, list[tuple[int, int]]] = {}
+    for row in picked.select("lang", "h", "n").toLocalIterator():
+        lengths.setdefault(row["lang"], []).append((row["h"], row["n"]))
+    if not lengths:
+        return {}
+    levels = {name: _level([n for _, n in held], sample, piece) for name, held in lengths.items()}
+    chosen = rows.sparkSession.createDataFrame([(name, h, levels[name]) for name, held in lengths.items() for h, _ in held], "lang string, h long, level int")
+    start = F.expr("cast(1 + pmod(xxhash64(text, 1), greatest(length(text) - level, 0) + 1) as int)")
+    pieces = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.col("text").substr(start, F.col("level")).alias("text")).dropDuplicates(["lang", "h"])
     samples: dict[str, list[str]] = {}
-    for row in picked.toLocalIterator():
+    for row in pieces.orderBy("lang", "h").toLocalIterator():
         taken = samples.setdefault(row["lang"], [])
         text = row["text"][: max(0, sample - sum(map(len, taken)))]
         if text:

@@ -41,6 +41,16 @@ def test_language_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.count() == len(rows) + 4
 
 
+def test_language_samples_spread_over_distinct_texts(spark):
+    r = random.Random(12)
+    texts = [sentence(r, "aa", 300) for _ in range(100)]
+    rows = [(t, "aa") for t in texts for _ in range(80)] + [("short " + str(i), "bb") for i in range(500)] + [(sentence(r, "cc", 2000), "cc")] * 3
+    got = language.samples_of(spark.createDataFrame(rows, "text string, lang string").repartition(5), 6400)
+    assert len(set(got["aa"])) == len(got["aa"]) == 64 and all(any(x in t for t in texts) for x in got["aa"])
+    assert not all(any(t.startswith(x) for t in texts) for x in got["aa"])
+    assert len(set(got["bb"])) == 500 and sum(map(len, got["aa"])) == sum(map(len, got["cc"])) == 6400 and len(got["cc"]) == 1
+
+
 def test_junk_and_foreign_text_is_not_identified(spark):
     r = random.Random(6)
     rows = [(i, sentence(r, lang, r.randint(4, 400)), lang) for i, lang in enumerate(r.choice(["aa", "bb"]) for _ in range(150))]
