@@ -221,7 +221,7 @@ def candidate_nodes(docs: DataFrame) -> DataFrame:
     bits = int(min(16, max(10, np.ceil(np.log2(4 * conf_int(spark, "spark.sql.shuffle.partitions", 200))))))
     blobs = docs.select(F.col("text").cast("string")).mapInArrow(_scatter(bits, _texts), _BLOBS)
     shared = blobs.groupBy("bucket").applyInArrow(_spread, _BLOBS)
-    sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]), free=True)
+    sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]))
     again = sets.mapInArrow(_scatter(bits, _members), _BLOBS).groupBy("bucket").applyInArrow(_count, _BLOBS)
     return cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
 

@@ -66,20 +66,20 @@ from e
 """
 
 OP10 = r"""
-with d as (select doc_id, text, regexp_extract_all(text, '[^.,;:!?\n]{1,80}[.,;:!?\n]*|[.,;:!?\n]+') as us from documents where text is not null),
-u as (select doc_id, unnest(us) as unit, generate_subscripts(us, 1) - 1 as pos from d),
+with d as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ws from documents where text is not null),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from d),
+u as (select doc_id, pos, word, trim(word, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from w),
+e as (
+  select *, lag(contains(word, chr(10)) or regexp_matches(bare, '[.!?;:…。！？；：؟؛।]$') or (unicode(right(bare, 1)) > 96 and unicode(right(bare, 1)) % 6 = 0)) over (partition by doc_id order by pos) as opens
+  from u),
 x as (
-  select doc_id, pos, array_to_string(list(trim(unit, chr(10) || ' ')) over r, chr(1)) as body, count(*) over r as n
-  from u window r as (partition by doc_id order by pos rows between current row and 3 following)),
-z as (select *, row_number() over (partition by body order by doc_id, pos) as nth from x where n = 4),
-y as (select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 4 then 0 else 1 end as opens from z where nth > 1),
-o as (select *, sum(opens) over (partition by doc_id order by pos) as run from y),
-g as (select doc_id, run, unnest(range(min(pos), max(pos) + 4)) as pos from o group by doc_id, run),
-c as (select g.doc_id, g.run from g join u using (doc_id, pos) group by g.doc_id, g.run having sum(length(unit)) >= 180),
-h as (select g.doc_id, g.pos from g join c using (doc_id, run)),
+  select doc_id, pos, coalesce(opens, true) or pos + 30 = count(*) over (partition by doc_id) as opens, string_agg(bare, ' ') over r as body, count(*) over r as n
+  from e window r as (partition by doc_id order by pos rows between current row and 29 following)),
+z as (select doc_id, pos, row_number() over (partition by body order by doc_id, pos) as nth from x where opens and n = 30),
+g as (select distinct doc_id, unnest(range(pos, pos + 30)) as pos from z where nth > 1),
 k as (
-  select u.doc_id, coalesce(string_agg(unit, '' order by u.pos) filter (h.pos is null), '') as text, count(h.pos) as n_removed
-  from u left join h on u.doc_id = h.doc_id and u.pos = h.pos group by u.doc_id)
+  select u.doc_id, coalesce(string_agg(word, '' order by u.pos) filter (g.pos is null), '') as text, count(g.pos) as n_removed
+  from u left join g on u.doc_id = g.doc_id and u.pos = g.pos group by u.doc_id having count(g.pos) > 0)
 select o.doc_id, coalesce(k.text, o.text) as text, coalesce(k.n_removed, 0) as n_removed from documents o left join k on o.doc_id = k.doc_id
 """
 

@@ -4,42 +4,79 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests), a folder of our own."""
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete_on_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The application's own folder within the cluster's ``spark.checkpoint.dir``; it goes when the driver's JVM ends.
+
+    Only a session in one process may do without that setting and use a folder of this machine.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folioworks-")
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="folioworks-")
         context.setCheckpointDir(folder)
+        held = context._jsc.sc().getCheckpointDir()
+        _delete_on_exit(spark, held.get())
+    return held.get()
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor.
+@contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
+    """What is executed here drops its shuffle files when it is done: its rows stand in the shared folder."""
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
 
-    Shuffle files of what came before go when the driver's heap lets go of them; ``free`` asks for that now, after
-    steps that shuffled much.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if free:
-        df.sparkSession._jvm.System.gc()
-    return out
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows survive the loss of any executor."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _shuffles_end_with_the_job(spark):
+        return df.checkpoint(eager=True)
 
 
 class Written:
-    """A table of the shared folder, for rows too many for a checkpoint: compressed, and gone when it is dropped."""
+    """A table of the shared folder, for rows too many for a checkpoint: compressed, and gone after the ``with`` block."""
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
-        self.spark, self.path = spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+        try:
+            with _shuffles_end_with_the_job(spark):
+                df.write.parquet(self.path)
+        except BaseException:
+            self.drop()
+            raise
         self.rows = spark.read.schema(df.schema).parquet(self.path)
 
+    def __enter__(self) -> DataFrame:
+        return self.rows
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from folioworks.llm import line_dedup, mixing
 
 from .test_shingles import BLANK, shingles
@@ -11,27 +13,27 @@ from .test_shingles import BLANK, shingles
 DOCS = "doc_id long, text string"
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def tokens(text):
+    return re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
+
+
 def plain_dedup(rows):
-    """Later repetitions of windows of four units, in runs of enough characters."""
-    units = {d: re.findall(line_dedup.UNIT, t) for d, t in rows if t}
-    bare = {d: [u.strip(" \n") for u in us] for d, us in units.items()}
+    """Words of windows of thirty words, from the start of a line or the last ones, that a lesser id, or the text itself, holds before."""
+    words = {d: tokens(t) for d, t in rows}
+    bare = {d: [w.strip(WHITE) for w in ws] for d, ws in words.items()}
+    ends = lambda w: "\n" in w or w.strip(WHITE)[-1] in line_dedup.ENDINGS or (ord(w.strip(WHITE)[-1]) > 96 and ord(w.strip(WHITE)[-1]) % 6 == 0)
+    starts = {d: [i for i in range(len(ws) - 29) if i == 0 or i == len(ws) - 30 or ends(ws[i - 1])] for d, ws in words.items()}
     first = {}
-    for d in sorted(bare):
-        for i in range(len(bare[d]) - 3):
-            first.setdefault(tuple(bare[d][i : i + 4]), (d, i))
+    for d in sorted(starts):
+        for i in starts[d]:
+            first.setdefault(tuple(bare[d][i : i + 30]), (d, i))
     out = {}
-    for d, us in units.items():
-        starts = [i for i in range(len(us) - 3) if first[tuple(bare[d][i : i + 4])] != (d, i)]
-        gone, run = set(), []
-        for i in [*starts, None]:
-            if run and (i is None or i - run[-1] > 4):
-                span = range(run[0], run[-1] + 4)
-                if sum(len(us[k]) for k in span) >= line_dedup.MIN_CHARS:
-                    gone.update(span)
-                run = []
-            if i is not None:
-                run.append(i)
-        out[d] = ("".join(u for k, u in enumerate(us) if k not in gone), len(gone))
+    for d, t in rows:
+        gone = {k for i in starts[d] if first[tuple(bare[d][i : i + 30])] != (d, i) for k in range(i, i + 30)}
+        out[d] = ("".join(w for k, w in enumerate(words[d]) if k not in gone) if gone else t, len(gone))
     return out
 
 
@@ -54,20 +56,35 @@ def texts(seed):
 def test_line_dedup_is_brute_force(spark):
     for seed in (1, 2):
         rows = texts(seed)
-        want = plain_dedup(rows)
         got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
-        assert got == {d: want.get(d, (t, 0)) for d, t in rows}
+        assert got == plain_dedup(rows)
         assert sum(n > 0 for _, n in got.values()) > 20
 
 
+def test_pasted_passages_go(spark):
+    """Passages of fifty words and more, with and without punctuation, at any place of a line: 95 % leave no fifty words."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwyzйюя") for _ in range(r.randint(2, 7)))
+    words = lambda n, p: " ".join(word() + (r.choice([".", ",", ".\n"]) if r.random() < p else "") for _ in range(n))
+    passages = [words(r.randint(50, 80), p) for p in (0, 0.1, 0.2) for _ in range(40)]
+    rows = [(100 * k + j, f"{words(r.randint(0, 60), 0.1)} {q} {words(r.randint(0, 60), 0.1)}") for k, q in enumerate(passages) for j in range(2)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    holds = lambda t, q: any(" ".join(q[i : i + 50]) in " ".join(t.split()) for i in range(len(q) - 49))
+    assert all(got[100 * k] == rows[2 * k][1] for k in range(len(passages)))
+    assert sum(not holds(got[100 * k + 1], q.split()) for k, q in enumerate(passages)) >= 0.95 * len(passages)
+    # nothing but the passage goes
+    assert all(len(tokens(got[100 * k + 1])) >= len(tokens(rows[2 * k + 1][1])) - len(q.split()) for k, q in enumerate(passages))
+
+
 def test_line_dedup_odd_rows(spark):
     text = ". ".join(f"some words number {i} of a passage" for i in range(12)) + "."
-    rows = [(5, text, "a"), (5, text, "a"), (2, "own. " + text, "b"), (None, text, "c"), (None, None, "d"), (7, None, "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, runs string").withColumnRenamed("runs", "digest")
+    rows = [(5, text, "a"), (5, text, "a"), (2, "own. " + text, "b"), (None, text, "c"), (None, None, "d"), (7, None, "e"), (8, " \n ", "f"), (9, "", "g"), (10, "x " * 29, "h"), (11, " " + "y z. " * 200_000, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, runs string").withColumnRenamed("runs", "digest").withColumn("w", F.lit(1)).withColumn("r_id", F.lit(2))
     out = line_dedup.dedup_lines(docs)
-    assert out.columns == ["doc_id", "text", "digest", "n_removed"]
+    assert out.columns == ["doc_id", "text", "digest", "w", "r_id", "n_removed"]
     got = sorted(((x.doc_id, x.text, x.digest) for x in out.collect()), key=str)
-    assert got == sorted([(5, "", "a"), (5, "", "a"), (2, "own. " + text, "b"), (None, "", "c"), (None, None, "d"), (7, None, "e")], key=str)
+    want = [(5, "", "a"), (5, "", "a"), (2, "own. " + text, "b"), (None, "", "c"), *rows[4:9], (11, " y z. ", "i")]
+    assert got == sorted(want, key=str)
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
@@ -139,7 +156,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert gone == {103, 104} and now == {d: t for d, t in before.items() if d in now}
         if name == "line_dedup":
             want = plain_dedup(list(before.items()))
-            assert now == {d: t for d, (t, n) in want.items() if t.strip() or not n}
+            assert now == {d: t for d, (t, n) in want.items() if t.strip(WHITE) or not n}
             assert 100 in gone and len(now[111]) < len(before[111]) and now[110] == before[110]
         if name == "ngram_jaccard_join":
             sets = {d: shingles(t) for d, t in before.items()}
