@@ -9,12 +9,15 @@ Each document of a source is expected ``target / source size`` times. Documents
 (by size to two leading digits' magnitude, then pseudo-randomly), the expected copies are summed along it, one offset
 per source is added, and a document is emitted once for each integer that its part of the sum crosses. Sorting by size
 first keeps the words taken near the target. As the expectation is the same for all documents of a source, the prefix
-sum is the rank times it, and the rank is the rows of earlier groups (counted per source, size class and slot, at most
-some thousands a source however long it is) plus the row number within the group. So no source is ever one task.
+sum is the rank times it, and the rank is the rows of earlier groups (counted per source, size class and slot) plus the
+row number within the group. A size class has a slot for each ``SLOT_ROWS`` of its rows, so no source is ever one task.
+
+The words are counted once; what is ranked are rows of some fifty bytes. Whole documents join their copies at the end.
 
 Defined results: a null text, or one without words, has size 0 and is taken 0 words; null sources are one source;
-repeated rows and ids each count; a source without words has target 0; an empty table gives no rows.
-Reruns agree: the order and offsets come from md5 of the id, the source and the seed.
+repeated rows and ids each count; a source without words has target 0; an empty table gives no rows; columns may have
+any name. Reruns agree: the order and offsets come from md5 of the id, the source and the seed, and rows of one id, or
+without one, go by a hash of all their columns (but maps), so only rows that are equal in all of them can swap places.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SLOTS = 64
+SLOT_ROWS = 100_000
 SEED = "mix-1"
 
 
@@ -55,23 +60,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return table.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, slots: int = SLOTS, whole: bool = False) -> DataFrame:
+def _digest(docs: DataFrame):
+    """A hash of a document's columns."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Equal rows told apart by a number."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "digest").orderBy(F.lit(1))))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, slot_rows: int = SLOT_ROWS, whole: bool = False) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)`` per row of ``docs(doc_id, text, source)``; ``whole``: and the row itself, as ``document``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     digits = F.length(F.col("size").cast("string"))
-    key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = [F.struct(*docs.columns).alias("document")] if whole else []
-    rows = docs.select("doc_id", "source", *kept, size.alias("size"))
-    rows = rows.withColumn("class", digits * 10 + F.substring(F.col("size").cast("string"), 1, 1).cast("int")).withColumn("draw", _hex(key, 1, 12))
-    rows = rows.withColumn("slot", F.col("draw") % slots)
-    groups = rows.groupBy("source", "class", "slot").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    shares = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    key = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("digest").cast("string"))))
+    rows = docs.select("doc_id", "source", (_digest(docs) if whole else F.xxhash64("text")).alias("digest"), size.alias("size"))
+    rows = _numbered(rows) if whole else rows
+    rows = cut(rows.withColumn("class", digits * 10 + F.substring(F.col("size").cast("string"), 1, 1).cast("int")).withColumn("draw", _hex(key, 1, 12)))
+    counts = cut(rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    shares = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    slots = counts.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.ceil(F.col("n") / slot_rows).alias("slots"))
+    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).withColumn("slot", F.col("draw") % F.col("slots")).drop("c_source", "c_class", "slots")
+    groups = rows.groupBy("source", "class", "slot").agg(F.count("*").alias("n"))
     along = Window.partitionBy("source").orderBy("class", "slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("source", "class", "slot", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
     offset = (_hex(F.concat(F.lit(seed + "#"), F.coalesce("source", F.lit("\u0000"))), 1, 4).cast("double") + 0.5) / 65536.0
     plan = starts.alias("s").join(shares.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     plan = plan.select(F.col("s.source").alias("p_source"), F.col("class").alias("p_class"), F.col("slot").alias("p_slot"), "start", "source_size", "target")
-    within = Window.partitionBy("source", "class", "slot").orderBy("size", "draw", "doc_id")
+    within = Window.partitionBy("source", "class", "slot").orderBy("size", "draw", "doc_id", "digest")
     ranked = rows.withColumn("place", F.row_number().over(within).cast("long"))
     ranked = ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")) & (F.col("slot") == F.col("p_slot")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
@@ -79,4 +96,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     ranked = ranked.withColumn("rate", rate).withColumn("u", offset)
     crossed = F.floor(F.col("u") + F.col("rate") * rank) - F.floor(F.col("u") + F.col("rate") * (rank - 1))
     out = ranked.withColumn("copies", crossed.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["document"] if whole else []))
+    out = out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["source", "digest", "nth"] if whole else []))
+    if not whole:
+        return out
+    both = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.digest") == F.col("m.digest")) & (F.col("d.nth") == F.col("m.nth"))
+    named = _numbered(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("document"), "doc_id", "source", _digest(docs).alias("digest")))
+    return named.alias("d").join(out.alias("m"), both).select("m.doc_id", "size", "source_size", "target", "copies", "taken", "document")

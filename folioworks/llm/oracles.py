@@ -42,7 +42,8 @@ with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
     ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as draw
   from documents),
-r as (select *, length(size::varchar) * 10 + substr(size::varchar, 1, 1)::int as class, draw % 64 as slot from d),
+q as (select *, length(size::varchar) * 10 + substr(size::varchar, 1, 1)::int as class from d),
+r as (select *, draw % ceil(count(*) over (partition by source, class) / 100000)::bigint as slot from q),
 s as (select source, sum(size)::hugeint as source_size from r group by source),
 w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::hugeint as weight, 3 * source_size as cap from s),
 o as (

@@ -127,6 +127,26 @@ def test_mixing(spark):
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(900, 0.02 * t)
     assert mixing.mix_sources(docs.limit(0)).collect() == []
+    slotted = mixing.mix_sources(docs, slot_rows=7).collect()
+    for s, t in want.items():
+        assert abs(sum(x.taken for x in slotted if x.source_size == sizes[s]) - t * list(sizes.values()).count(sizes[s])) <= max(900, 0.02 * t)
+
+
+def test_mixing_ties_and_clashing_columns(spark):
+    """Rows of one id and size: the same texts are taken on every run; a document's own columns come back as they are."""
+    words = [f"w{i} x y" for i in range(40)]
+    rows = [(7, w, "a", 1, i) for i, w in enumerate(words)] + [(None, w, "a", 1, i) for i, w in enumerate(words)] + [(7, words[0], "a", 1, 0)] * 2 + [(8, "o " * 400, "b", 2, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copy int").withColumn("target", F.lit("t"))
+    runs = []
+    for n in (1, 3, 8):
+        got = mixing.mix_sources(docs.repartition(n), whole=True).select("copies", "document.*").collect()
+        assert len(got) == len(rows) and {x.target for x in got} == {"t"}
+        runs.append(sorted((str(x.doc_id), x.text, x["copy"], x["size"], x.copies) for x in got))
+    assert runs[0] == runs[1] == runs[2] and len({x[-1] for x in runs[0]}) > 1
+    import corpus_pipeline
+
+    out = corpus_pipeline.mixing(spark, docs, "")
+    assert out.columns == [*docs.columns, "source_size", "taken"] and {x["copy"] for x in out.collect()} <= set(range(40))
 
 
 def test_pipeline_stages(spark, tmp_path):
