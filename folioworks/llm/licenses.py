@@ -5,11 +5,16 @@ one generalised suffix automaton, whose states know every template and place whe
 streamed through it, which gives for each word the longest template factor that ends there (the matching statistics;
 words between no two template words that ever stand together can't lengthen a match and are passed over in bulk).
 Matches of at least ``MIN_MATCH`` words are chained per template: in the order of both texts, with gaps of at most
-``MAX_GAP`` words. A chain that covers ``MIN_COVER`` of its template gives the template's label and a span of words.
+``MAX_GAP`` words, so that the chain covers as many words of the template as it can (dynamic programming over the matches;
+of equal chains the one that starts first). A chain that covers ``MIN_COVER`` of its template gives the template's label
+and a span of words; the next chains of that template are made of the other matches.
 
-Beside that the base phrases are looked up exactly; their labels always stay.
+Beside that the base phrases are looked up exactly; their labels always stay. The score is the greatest share of a
+template that a chain covers, long enough for a label or not; a base phrase counts its words over ``MIN_MATCH``, 1 at most.
 
-Defined results: null and empty texts have no words, no labels and score 0; repeated rows get equal results.
+Defined results: null and empty texts have no words, no labels and score 0; repeated rows get equal results; more columns
+are ignored, whatever their names; an empty table gives no rows. Time grows in proportion to the text, however often a
+phrase or a piece of a template stands in it.
 """
 
 from __future__ import annotations
@@ -115,43 +120,58 @@ class Scanner:
                     size = 0
         return found
 
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(words covered, first, last) of the chains of one template's matches, each of matches that no better one has."""
+        matches = sorted(matches)
+        best, before, near = [0] * len(matches), [-1] * len(matches), 0
+        longest = max(size for _, _, size in matches)
+        for j, (at, place, size) in enumerate(matches):
+            best[j] = size
+            while matches[near][0] + longest + MAX_GAP < at:
+                near += 1
+            for i in range(near, j):
+                a, p, n = matches[i]
+                ahead = max(a + n - at, p + n - place, 0)  # words of this match that the one before has passed
+                fits = a < at and p < place and size > ahead and at + ahead - (a + n) <= MAX_GAP and place + ahead - (p + n) <= MAX_GAP
+                if fits and best[i] + size - ahead > best[j]:
+                    best[j], before[j] = best[i] + size - ahead, i
+        used, out = [False] * len(matches), []
+        for j in sorted(range(len(matches)), key=lambda j: (-best[j], j)):
+            last, first, covered, at = j, j, best[j], j
+            while at >= 0 and not used[at]:
+                used[at], first, at = True, at, before[at]
+            if at == j:
+                continue
+            if at >= 0:  # the rest belongs to a better chain
+                covered -= best[at]
+            out.append((covered, matches[first][0], matches[last][0] + matches[last][2] - 1))
+        return out
+
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, last word, coverage) of the chains that cover enough of their templates."""
-        out = []
-        for k, matches in self.matches(words).items():
-            need = MIN_COVER * self.sizes[k]
-            chains: list[list[int]] = []  # first, end in text, end in template, covered
-            for at, place, size in sorted(matches):
-                for chain in chains:
-                    ahead = max(chain[1] - at, chain[2] - place, 0)
-                    if at >= chain[0] and size > ahead and 0 <= at + ahead - chain[1] <= MAX_GAP and 0 <= place + ahead - chain[2] <= MAX_GAP:
-                        chain[1], chain[2], chain[3] = at + size, place + size, chain[3] + size - ahead
-                        break
-                else:
-                    chains.append([at, at + size, place + size, size])
-                if len(chains) > 64:  # those too far behind can't go on
-                    out += [(k, c[0], c[1] - 1, c[3] / self.sizes[k]) for c in chains if c[3] >= need and at - c[1] > MAX_GAP]
-                    chains = [c for c in chains if at - c[1] <= MAX_GAP]
-            out += [(k, c[0], c[1] - 1, c[3] / self.sizes[k]) for c in chains if c[3] >= need]
+        """(template, first word, last word, coverage) of all chains."""
+        out = [(k, first, last, min(1.0, covered / self.sizes[k])) for k, matches in self.matches(words).items() for covered, first, last in self._chains(matches)]
         return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
         joined = b" " + b" ".join(words) + b" "
-        starts, base = [], set()
+        starts, base, strength = [], set(), 0.0
         for phrase, label in self.base:
-            at = joined.find(phrase)
+            at, seen, passed = joined.find(phrase), 0, 0
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                seen, passed = seen + joined.count(b" ", passed, at), at
+                starts.append(seen)
                 base.add(label)
+                strength = max(strength, min(1.0, (phrase.count(b" ") - 1) / MIN_MATCH))
                 at = joined.find(phrase, at + 1)
-        spans = self.spans(words)
+        chains = self.spans(words)
+        spans = [s for s in chains if s[3] >= MIN_COVER]
         labels = base | {self.labels[k] for k, *_ in spans}
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)),
-            "score": 1.0 if base else min(1.0, max((s[3] for s in spans), default=0.0)),
-            "spans": [{"label": self.labels[k], "first": a, "last": b, "cover": min(1.0, c)} for k, a, b, c in spans],
+            "score": max([strength, *(s[3] for s in chains)]),
+            "spans": [{"label": self.labels[k], "first": a, "last": b, "cover": c} for k, a, b, c in spans],
         }
 
 
