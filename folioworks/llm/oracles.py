@@ -67,17 +67,18 @@ from e
 """
 
 OP10 = r"""
-with d as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ws from documents where text is not null),
-w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from d),
-u as (select doc_id, pos, word, trim(word, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from w),
-e as (
-  select *, lag(contains(word, chr(10)) or regexp_matches(bare, '[.!?;:…。！？；：؟؛।]$') or (unicode(right(bare, 1)) > 96 and unicode(right(bare, 1)) % 6 = 0)) over (partition by doc_id order by pos) as opens
-  from u),
-x as (
-  select doc_id, pos, coalesce(opens, true) or pos + 30 = count(*) over (partition by doc_id) as opens, string_agg(bare, ' ') over r as body, count(*) over r as n
-  from e window r as (partition by doc_id order by pos rows between current row and 29 following)),
-z as (select doc_id, pos, row_number() over (partition by body order by doc_id, pos) as nth from x where opens and n = 30),
-g as (select distinct doc_id, unnest(range(pos, pos + 30)) as pos from z where nth > 1),
+with t as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ts, regexp_extract_all(text, '[^\x20\x09-\x0D]+\n?') as ws from documents where text is not null),
+d as (select *, list_transform(ws, lambda w: unicode(right(w, 1))::bigint) as cs, len(ws) as n from t where len(ws) >= 30),
+l as (select doc_id, n, ws, cs, unnest(list_filter(range(n - 29), lambda i: i = 0 or cs[i] <= 10 or regexp_matches(chr(cs[i]::int), '[.!?;:…。！？；：؟؛।]') or (cs[i] > 96 and cs[i] % 6 = 0))) as pos from d),
+h as (select doc_id, pos, n, ws, (cs[pos + 1] * 7919 + cs[pos + 2] * 104729 + cs[pos + 3] * 1299709 + cs[pos + 4] * 15485863) % 1000003 as h from l),
+m as (
+  select *, coalesce(lag(h, 2) over w >= h, true) as l2, coalesce(lag(h) over w >= h, true) as l1, coalesce(lead(h) over w >= h, true) as r1, coalesce(lead(h, 2) over w >= h, true) as r2
+  from h window w as (partition by doc_id order by pos)),
+s as (select doc_id, pos, n, ws from m where (l1 and l2) or (l1 and r1) or (r1 and r2) union select doc_id, n - 30, n, ws from d),
+x as (select doc_id, pos, ws, greatest(30, coalesce(lead(pos) over (partition by doc_id order by pos) - pos, 0)) as k from s),
+z as (select doc_id, pos, k, row_number() over (partition by array_to_string(ws[pos + 1:pos + k], ' ') order by doc_id, pos) as nth from x),
+g as (select distinct doc_id, unnest(range(pos, pos + k)) as pos from z where nth > 1),
+u as (select doc_id, unnest(ts) as word, generate_subscripts(ts, 1) - 1 as pos from t),
 k as (
   select u.doc_id, coalesce(string_agg(word, '' order by u.pos) filter (g.pos is null), '') as text, count(g.pos) as n_removed
   from u left join g on u.doc_id = g.doc_id and u.pos = g.pos group by u.doc_id having count(g.pos) > 0)

@@ -20,20 +20,28 @@ def tokens(text):
     return re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text or "")
 
 
+def plain_windows(text):
+    """(start, words) of the windows of a text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+\n?", text or "")
+    last = [ord(w[-1]) for w in words]
+    starts = [i for i in range(len(words) - 29) if i == 0 or words[i - 1][-1] in "\n" + line_dedup.ENDINGS or (last[i - 1] > 96 and last[i - 1] % 6 == 0)]
+    hashes = [sum(last[i + k] * f for k, f in enumerate(line_dedup.FACTORS)) % line_dedup.MODULUS for i in starts]
+    least = lambda k, first: all(hashes[j] >= hashes[k] for j in range(first, first + 3) if 0 <= j < len(hashes))
+    picked = sorted({p for k, p in enumerate(starts) if any(least(k, k - j) for j in range(3))} | ({len(words) - 30} if len(words) >= 30 else set()))
+    return [(p, tuple(words[p : max(p + 30, q)])) for p, q in zip(picked, [*picked[1:], 0], strict=True)]
+
+
 def plain_dedup(rows):
-    """Words of windows of thirty words, from the start of a line or the last ones, that a lesser id, or the text itself, holds before."""
-    words = {d: tokens(t) for d, t in rows}
-    bare = {d: [w.strip(WHITE) for w in ws] for d, ws in words.items()}
-    ends = lambda w: "\n" in w or w.strip(WHITE)[-1] in line_dedup.ENDINGS or (ord(w.strip(WHITE)[-1]) > 96 and ord(w.strip(WHITE)[-1]) % 6 == 0)
-    starts = {d: [i for i in range(len(ws) - 29) if i == 0 or i == len(ws) - 30 or ends(ws[i - 1])] for d, ws in words.items()}
+    """Words of windows that a lesser id, or the text itself, holds before."""
+    windows = {d: plain_windows(t) for d, t in rows}
     first = {}
-    for d in sorted(starts):
-        for i in starts[d]:
-            first.setdefault(tuple(bare[d][i : i + 30]), (d, i))
+    for d in sorted(windows):
+        for i, w in windows[d]:
+            first.setdefault(w, (d, i))
     out = {}
     for d, t in rows:
-        gone = {k for i in starts[d] if first[tuple(bare[d][i : i + 30])] != (d, i) for k in range(i, i + 30)}
-        out[d] = ("".join(w for k, w in enumerate(words[d]) if k not in gone) if gone else t, len(gone))
+        gone = {k for i, w in windows[d] if first[w] != (d, i) for k in range(i, i + len(w))}
+        out[d] = ("".join(w for k, w in enumerate(tokens(t)) if k not in gone) if gone else t, len(gone))
     return out
 
 
