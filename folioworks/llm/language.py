@@ -4,17 +4,19 @@ For every language seen in labelled text a suffix automaton of a bounded sample
 against each: from the left, the longest factor of the sample, then the next, and so on; the language whose parse has
 the fewest phrases, per symbol and normalised by the logarithm of its sample's length, wins.
 
-Symbols are a small fixed alphabet: a-z, the Latin-1 letters (lower-cased), one symbol for all other letters by block
-of 256 code points folded into eight, and one blank for runs of anything else. Parses restart every ``BLOCK`` symbols
-so that many blocks, of all texts and lengths, are parsed in lock-step with array look-ups; a restart adds at most one
-phrase a block, to all languages alike.
+Symbols are learned: every letter (Unicode category L, of any plane, lower-cased) or mark (category M, which many scripts
+write vowels with) of the samples is a symbol of its own, a run of anything else is one blank, and a letter that no sample
+has is one that matches nothing. Each language numbers the letters of its own sample, so that a script costs only the
+languages written in it. Parses restart every ``BLOCK`` symbols so that many blocks, of all texts and lengths, are parsed
+in lock-step with array look-ups; a restart adds at most one phrase a block, to all languages alike. Steps stand in dense
+tables as long as those of all languages fit into ``DENSE`` entries, and else as sorted lists; both give equal parses.
 
 Training rows: non-null text and language, held-out ids excluded, distinct texts in the order of their hash; per language
-``SAMPLE`` characters are taken, a piece from a hashed place of each text: pieces are as long as ``TEXTS`` texts need to
+``sample`` characters are taken, a piece from a hashed place of each text: pieces are as long as ``texts`` texts need to
 fill the sample, more texts are taken where some are shorter, and pieces are longer where there are fewer. Those bounds
-are parameters; the parse covers every symbol of every text.
+are parameters (``SAMPLE`` and ``TEXTS`` by default); the parse covers every symbol of every text.
 
-Defined results: ``und`` with score 0 for a null text or one without letters, and for every text when there is nothing
+Defined results: ``und`` with score 0 for a null text or one without letters (digits, signs and emoji are none), and for every text when there is nothing
 to learn from; ties go to the language that is first by code point; repeated rows get equal results. The score is
 ``1 - best / next best`` phrases mapped to 0..1 (1 when only one language is known).
 
@@ -44,58 +46,101 @@ TEXTS = 64
 BLOCK = 512
 #: Lengths of the held-in pieces that limits are fitted on, the fewest pieces for a limit, and its deviations above their mean.
 PIECES, FEWEST, DEVIATIONS = (32, 64, 128, 256, 512), 8, 6.0
-SYMBOLS = 68
 BLANK = 0
+#: Entries (four bytes each) of all languages' dense tables.
+DENSE = 1 << 26
 UNDETERMINED = "und"
 _LANES = 1 << 14
 
 
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point of the basic plane; 0 for what isn't a letter."""
-    table = np.zeros(1 << 16, dtype=np.uint8)
-    for c in range(1 << 16):
-        if unicodedata.category(chr(c))[0] == "L":
-            low = ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c
-            table[c] = low - 96 if low < 128 else low - 0xDF + 27 if 0xDF <= low <= 0xFF else 60 + (low >> 8) % 8
-    return table
+_POINTS = 0x40000  # no letters or marks of scripts stand beyond, but for _LATE
+_LATE = range(0xE0100, 0xE01F0)
+_KINDS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-_TABLE: list[np.ndarray] = []
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 2 for letters, 1 for marks, 0 for anything else; and its lower case."""
+    if not _KINDS:
+        kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int32)
+        for c in (*range(_POINTS), *_LATE):
+            x = chr(c)
+            if x.isalpha():
+                kind[c] = 2
+                low = x.lower()
+                if low != x and len(low) == 1:
+                    lower[c] = ord(low)
+            elif unicodedata.category(x)[0] == "M":
+                kind[c] = 1
+        _KINDS.append((kind, lower))
+    return _KINDS[0]
 
 
-def symbols_of(text: str) -> np.ndarray:
-    """The symbols of a text, runs of other characters as one blank each."""
-    if not _TABLE:
-        _TABLE.append(_alphabet())
+def letters_of(text: str) -> tuple[np.ndarray, bool]:
+    """The lower-case letters and marks of a text, runs of other characters as one 0 each; and whether there are letters."""
+    kind, lower = _kinds()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    wide = points >> 16
-    out = _TABLE[0][(points & 0xFFFF).astype(np.uint16)]
-    if wide.any():
-        out = np.where(wide > 0, np.uint8(60 + 7), out)
+    of = kind[points]
+    out = np.where(of > 0, lower[points], BLANK)
     keep = out != BLANK
     keep[1:] |= out[:-1] != BLANK
-    return out[keep]
+    return out[keep], bool((of == 2).any())
+
+
+class _Steps:
+    """The steps of one language's automaton, dense or as a sorted list, over its own symbols."""
+
+    def __init__(self, automaton: SuffixAutomaton, symbols: int, dense: bool):
+        self.symbols, self.alone = symbols, len(automaton.next)
+        root = np.full(symbols, self.alone, dtype=np.int32)
+        for symbol, state in automaton.next[0].items():
+            root[symbol] = state
+        self.root, self.table = root, None
+        if dense:
+            self.table = automaton.jump_table(symbols)
+        else:
+            known = [(state * symbols + symbol, to) for state, steps in enumerate(automaton.next) for symbol, to in steps.items()]
+            keys, to = np.array(sorted(known), dtype=np.int64).T
+            # one more key than any: a search never ends beyond
+            self.keys, self.to = np.append(keys, np.iinfo(np.int64).max), np.append(to, 0).astype(np.int32)
+
+    def take(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states; where there is no step on, minus the state after a restart less one."""
+        if self.table is not None:
+            return self.table.take(state * self.symbols + symbol)
+        key = state.astype(np.int64) * self.symbols + symbol
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], -self.root[symbol] - 1)
 
 
 class Model:
-    """One jump table a language, put end to end."""
+    """The automata of the samples of languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], dense: int = DENSE):
         self.languages = sorted(samples)
-        tables, self.starts, self.scale, at = [], [], [], 0
+        sequences = {name: [letters_of(t)[0] for t in samples[name]] for name in self.languages}
+        learned = {name: np.union1d([BLANK], np.concatenate(sequences[name])) for name in self.languages}
+        #: every learned letter in order; symbols are places in it, the last one for all others
+        self.letters = np.unique(np.concatenate([np.array([BLANK]), *learned.values()])).astype(np.int32)
+        self.of = np.full(0x110000, len(self.letters), dtype=np.uint32)
+        self.of[self.letters] = np.arange(len(self.letters))
+        self.steps, self.own, self.scale = [], [], []
+        automata = []
         for name in self.languages:
-            automaton, size = SuffixAutomaton(), 0
-            for text in samples[name]:
-                sequence = symbols_of(text)
-                automaton.add(sequence)
-                size += len(sequence)
-            table = automaton.jump_table(SYMBOLS)
-            states = len(table) // SYMBOLS
-            tables.append(np.where(table >= 0, table + at, table - at))
-            self.starts.append(at + states - 1)
-            self.scale.append(np.log2(max(size, 2)))
-            at += states
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+            own = np.full(len(self.letters) + 1, len(learned[name]), dtype=np.int32)
+            own[self.of[learned[name]]] = np.arange(len(learned[name]))
+            automaton = SuffixAutomaton()
+            for sequence in sequences[name]:
+                automaton.add(own[self.of[sequence]])
+            automata.append(automaton)
+            self.own.append(own)
+            self.scale.append(np.log2(max(sum(map(len, sequences[name])), 2)))
+        sizes = [(len(a.next) + 1) * (len(learned[name]) + 1) for a, name in zip(automata, self.languages, strict=True)]
+        self.steps = [_Steps(a, len(learned[name]) + 1, sum(sizes) <= dense) for a, name in zip(automata, self.languages, strict=True)]
+
+    def symbols_of(self, text: str) -> tuple[np.ndarray, bool]:
+        """The symbols of a text, and whether it has letters."""
+        found, letters = letters_of(text)
+        return self.of[found], letters
 
     def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
         """Phrases of each block (of at most ``BLOCK`` symbols) against each language."""
@@ -106,15 +151,16 @@ class Model:
             grid[: len(blocks[i]), lane] = blocks[i]
         live = np.searchsorted(-sizes, -np.arange(len(grid)), "left")
         out = np.empty((len(blocks), len(self.languages)))
-        for k, start in enumerate(self.starts):
-            state = np.full(len(blocks), start * SYMBOLS, dtype=np.int32)
+        for k, (steps, own) in enumerate(zip(self.steps, self.own, strict=True)):
+            state = np.full(len(blocks), steps.alone, dtype=np.int32)
             count = np.zeros(len(blocks), dtype=np.int32)
-            for step, n in zip(grid, live, strict=True):
-                to = self.table.take(state[:n] + step[:n])
+            mine = own[grid]
+            for step, n in zip(mine, live, strict=True):
+                to = steps.take(state[:n], step[:n])
                 ended = to < 0
                 count[:n] += ended
                 to ^= -ended.astype(np.int32)  # -x - 1 where a phrase started
-                np.multiply(to, SYMBOLS, out=state[:n])
+                state[:n] = to
             out[order, k] = count * self.scale[k]
         return out
 
@@ -130,8 +176,7 @@ class Model:
                 owner.clear()
 
         for i, text in enumerate(texts):
-            sequence = symbols_of(text)
-            letters[i] = bool((sequence != BLANK).any())
+            sequence, letters[i] = self.symbols_of(text)
             for at in range(0, len(sequence), BLOCK):
                 blocks.append(sequence[at : at + BLOCK])
                 owner.append(i)
@@ -146,9 +191,9 @@ class Model:
         if not self.languages:
             return letters
         best = costs.argmin(axis=1)
-        sizes = np.array([len(symbols_of(t)) for t in texts])
+        sizes = np.array([len(letters_of(t)[0]) for t in texts])
         limit = self.limits[best, np.searchsorted(PIECES, sizes, "right")]
-        return letters & (costs[np.arange(len(texts)), best] <= limit * sizes)
+        return letters & (costs[np.arange(len(texts)), best] <= limit * np.maximum(sizes, 1))
 
     def fit_limits(self, samples: dict[str, list[str]]) -> None:
         """Most normalised phrases a symbol of held-in text, by language and by how many of ``PIECES`` a text reaches."""
@@ -162,7 +207,7 @@ class Model:
             for at, size in enumerate(PIECES):
                 rates: list[float] = []
                 for model, half in zip(models, reversed(halves), strict=True):
-                    sequences = [symbols_of(t) for t in half]
+                    sequences = [model.symbols_of(t)[0] for t in half]
                     pieces = [s[i : i + size] for s in sequences for i in range(0, len(s) - size + 1, size)]
                     if pieces:
                         rates += (model.phrases(pieces)[:, 0] / size).tolist()
@@ -179,9 +224,9 @@ class Model:
         return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0).tolist()
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
+def train(rows: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> Model:
     """Automata of the samples of ``rows(text, lang)``."""
-    return Model(samples_of(rows, sample))
+    return Model(samples_of(rows, sample, texts))
 
 
 def _level(lengths: list[int], sample: int, piece: int) -> int:
@@ -194,10 +239,10 @@ def _level(lengths: list[int], sample: int, piece: int) -> int:
     return max(piece, -(-rest // left)) if left else max(piece, *lengths)
 
 
-def samples_of(rows: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
+def samples_of(rows: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> dict[str, list[str]]:
     """Pieces of distinct texts of each language of ``rows(text, lang)``: ``sample`` characters, or all there are."""
     rows = rows.where("text is not null and lang is not null and length(trim(text)) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    piece = max(1, sample // TEXTS)
+    piece = max(1, sample // texts)
     # a text gives a character at least: so many texts fill every sample
     first = Window.partitionBy("lang").orderBy("h")
     ranked = rows.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
@@ -237,9 +282,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
-def language_of(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def language_of(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> DataFrame:
     """Train on the rows of ``docs(doc_id, text, lang)`` that aren't held out, then identify all rows."""
-    return identify(docs, train(docs.where(~held_out()).select("text", "lang"), sample))
+    return identify(docs, train(docs.where(~held_out()).select("text", "lang"), sample, texts))
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

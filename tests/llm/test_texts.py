@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,19 +276,81 @@ def test_toxicity(spark):
     assert all(got[i].held_out == held(i) for i, _ in labels)
     right = sum(got[i].predicted == y for i, y in labels if held(i))
     assert right / len(test) > 0.95
-    assert got[900].score == got[901].score == 0 and got[None].predicted == 1 and got[902].predicted == 1
+    assert got[900].score == got[901].score < 0.5 and got[None].predicted == 1 and got[902].predicted == 1
     nothing = toxicity.score_toxicity(docs, known.where("toxic = 7")).collect()
     assert {x.score for x in nothing} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), known).collect() == []
 
 
+def model_of(text):
+    s = np.concatenate(([0, 0], toxicity.symbols_of(text), [0])).astype(int)
+    counts = np.bincount((s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], minlength=toxicity.SYMBOLS**3)
+    return toxicity.CharacterModel(counts)
+
+
+def test_viterbi_is_the_best_of_all_readings():
+    """Against every path through the lattice of short stretches."""
+    r = random.Random(18)
+    model = model_of(" ".join(["the idiot loser said a trash talk at it", "list of total tools"] * 20))
+    cost, code = model.cost, toxicity._code
+
+    def paths(parts, place, a, b, price, word):
+        if place == len(parts):
+            yield price + (float(cost[a, b, 0]) if b else 0.0), word
+            return
+        c = parts[place]
+
+        def blank(price, sign):
+            if b == 0:
+                return paths(parts, place + 1, a, b, price, word + (sign if sign != " " else ""))
+            return paths(parts, place + 1, b, 0, price + float(cost[a, b, 0]), word + sign)
+
+        if c[0] in " ._*-":
+            yield from paths(parts, place + 1, a, b, price + (toxicity.SEPARATE_RUN if len(c) > 1 else toxicity.SEPARATE), word)
+            yield from blank(price + (toxicity.KEEP_RUN if len(c) > 1 else toxicity.KEEP_BLANK), " ")
+            return
+        if c in toxicity.LEET:
+            yield from blank(price + toxicity.KEEP_SIGN, c)
+        three = any(parts[i : i + 3] == [c] * 3 for i in range(max(0, place - 2), place + 1))
+        for x, more in [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET[c]] if c in toxicity.LEET else [(c, 0.0)]:
+            k = code(x)
+            if b == k:
+                yield from paths(parts, place + 1, a, b, price + more + (toxicity.REPEAT if three else toxicity.REPEAT_ONCE), word)
+            yield from paths(parts, place + 1, b, k, price + more + float(cost[a, b, k]) + toxicity.KEEP_REPEAT * (a == b == k), word + x)
+
+    for _ in range(150):
+        seen = "".join(r.choice(["i", "1", "t", "0", " ", "  ", "l", "a", "o", "5", "tt", "."]) for _ in range(r.randint(1, 8)))
+        every = dict((w, p) for p, w in sorted(paths(re.findall(r"[ ._*-]+|.", seen), 0, 0, 0, 0.0, ""), reverse=True))
+        got = model.restore(seen)
+        assert got in every and every[got] == pytest.approx(min(every.values()), abs=1e-4), seen
+
+
+def test_restored_stretches_of_any_length():
+    restore = toxicity.Restorer(model_of(" ".join(["you are the idiot and a loser here it is trash now"] * 50)))
+    assert restore("i" + 100 * "d" + "iot") == "idiot"
+    assert restore("a i d i o t") == "a idiot" and restore("i d i o t 2 times") in ("idiot2 times", "idiot 2 times")
+    assert restore("t  r  a  s  h") == "trash" and restore("a.r.e") == "are" and restore("i_d_1_0_t") == "idiot"
+    spaced = " ".join("trash" * 12)
+    assert restore(spaced).replace(" ", "") == "trash" * 12
+    assert restore("1 2 3 4 5 6") == "1 2 3 4 5 6" and restore.restored == 0
+    assert len(restore("1d10t" * 40_000)) <= 200_000
+
+
+def test_toxicity_in_other_scripts(spark):
+    r = random.Random(19)
+    word = lambda: "".join(r.choice("абвгдежзиклмнопрст") for _ in range(r.randint(2, 7)))
+    rows = [(i, " ".join([*(word() for _ in range(r.randint(5, 40))), *(["дурачина"] if i % 3 == 0 else [])])) for i in range(300)]
+    rows += [(900, "д у р а ч и н а " + word()), (901, word() + " дурааааачина"), (902, "\U0001f600 " * 50_000), (902, "x" * 300_000 + "1" * 300_000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("toxic", F.lit(1)).withColumn("score", F.lit("x"))
+    got = toxicity.score_toxicity(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")).collect()
+    assert all(x.predicted == int(x.doc_id % 3 == 0) for x in got if x.doc_id < 300)
+    assert {x.predicted for x in got if x.doc_id in (900, 901)} == {1} and {x.predicted for x in got if x.doc_id == 902} == {0}
+    assert len(got) == len(rows)
+
+
 def test_restored_words():
     text = " ".join(["the idiot loser is pathetic and disgusting trash"] * 50)
-    import numpy as np
-
-    s = np.concatenate(([0, 0], language.symbols_of(text), [0])).astype(int)
-    counts = np.bincount((s[:-2] * language.SYMBOLS + s[1:-1]) * language.SYMBOLS + s[2:], minlength=language.SYMBOLS**3)
-    restore = toxicity.Restorer(toxicity.CharacterModel(counts))
+    restore = toxicity.Restorer(model_of(text))
     assert restore("1d10t l0ser p a t h e t i c d1sgust1ng t.r.a.s.h idiiiiot") == "idiot loser pathetic disgusting trash idiot"
     assert restore("the plain book of 12 words, v2") == "the plain book of 12 words, v2"
 
