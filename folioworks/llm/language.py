@@ -20,7 +20,7 @@ Defined results: ``und`` with score 0 for a null text or one without letters (di
 to learn from; ties go to the language that is first by code point; repeated rows get equal results. The score is
 ``1 - best / next best`` phrases mapped to 0..1 (1 when only one language is known).
 
-``keep_identified`` rejects texts without letters, and texts that need more normalised phrases a symbol than held-in text
+``keep_identified`` gives rows without a language the predicted one, and rejects texts without letters, and texts that need more normalised phrases a symbol than held-in text
 of their best language does. That limit is fitted on the sample: one half of a language's texts is parsed against the
 other, in pieces of each of ``PIECES`` symbols, and a text is held to the pieces that are not longer than it. Texts
 shorter than the shortest piece, and languages with too little text to fit a limit, are not rejected.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,15 +186,15 @@ class Model:
         parse()
         return costs, letters
 
-    def identified(self, texts: list[str]) -> np.ndarray:
-        """Whether each text has letters and parses like held-in text of its best language."""
+    def identified(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
+        """Whether each text has letters and parses like held-in text of its best language; and that language."""
         costs, letters = self.costs(texts)
         if not self.languages:
-            return letters
+            return letters, [None] * len(texts)
         best = costs.argmin(axis=1)
         sizes = np.array([len(letters_of(t)[0]) for t in texts])
         limit = self.limits[best, np.searchsorted(PIECES, sizes, "right")]
-        return letters & (costs[np.arange(len(texts)), best] <= limit * np.maximum(sizes, 1))
+        return letters & (costs[np.arange(len(texts)), best] <= limit * np.maximum(sizes, 1)), [self.languages[b] for b in best]
 
     def fit_limits(self, samples: dict[str, list[str]]) -> None:
         """Most normalised phrases a symbol of held-in text, by language and by how many of ``PIECES`` a text reaches."""
@@ -287,22 +288,27 @@ def language_of(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> Da
     return identify(docs, train(docs.where(~held_out()).select("text", "lang"), sample, texts))
 
 
-def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` that parse like text of a learned language, all columns as they are.
+def keep_identified(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` that parse like text of a learned language, with a null ``lang`` filled in.
 
-    With no labelled text to learn from nothing can be rejected but texts without letters.
+    All other columns, and languages that are given, are as they were. With no labelled text to learn from nothing can be
+    rejected but texts without letters, and nothing be filled in. Repeated rows fare alike; null ids count as not held out.
     """
-    samples = samples_of(docs.where(~held_out()).select("text", "lang"), sample)
+    samples = samples_of(docs.where(~held_out()).select("text", F.col("lang").cast("string")), sample, texts)
     model = Model(samples)
     model.fit_limits(samples)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
+    place, named = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                texts = [t or "" for t in part.column(place).to_pylist()]
-                yield part.filter(pa.array(shared.value.identified(texts), pa.bool_()))
+                kept, names = shared.value.identified([t or "" for t in part.column(place).to_pylist()])
+                given = part.column(named)
+                if pa.types.is_string(given.type) or pa.types.is_large_string(given.type):
+                    filled = pc.if_else(pc.is_null(given), pa.array(names, given.type), given)
+                    part = pa.RecordBatch.from_arrays([filled if i == named else c for i, c in enumerate(part.columns)], schema=part.schema)
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -65,10 +65,43 @@ def test_junk_and_foreign_text_is_not_identified(spark):
     assert len(kept) == len(rows) + 1  # the foreign one is gone, the long one stays
 
 
-def test_cross_parse_is_greedy():
+def test_null_languages_are_filled(spark):
+    r = random.Random(7)
+    rows = [(i, sentence(r, lang, r.randint(40, 400)), lang if i % 5 else None, i) for i, lang in enumerate(["aa", "bb"] * 60)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], None, 1), (None, rows[0][1], None, 1)], "doc_id long, text string, lang string, lang_pred long")
+    got = language.keep_identified(docs).collect()
+    assert sorted((x.doc_id, x.lang) for x in got if x.doc_id is not None) == sorted((i, ["aa", "bb"][i % 2]) for i, *_ in rows)
+    assert [x.lang for x in got if x.doc_id is None] == ["aa", "aa"]
+    nothing = language.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(nothing) == len(rows) + 2 and {x.lang for x in nothing} == {None}
+
+
+def test_languages_of_any_script(spark):
+    """Two Cyrillic and two Latin languages beyond Latin-1; emoji, digits and astral letters; a thousand copies of one text."""
+    r = random.Random(14)
+    made = {"ru": ["ст", "ый", "ов", "при", "ть"], "uk": ["сть", "ій", "ів", "при", "ти"], "pl": ["sz", "ł", "ść", "nie", "ą"], "cs": ["ř", "ně", "ů", "né", "š"]}
+    text = lambda lang, n: " ".join("".join(r.choice(made[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(lang, r.randint(8, 300)), lang) for i, lang in enumerate(r.choice(list(made)) for _ in range(300))]
+    copies = [(10_000 + i, "ст ст ст", "ru") for i in range(1000)]
+    odd = [(900, "\U0001f600\U0001f680", None), (901, "1234 !", None), (902, "\U00010400\U00010401", None), (903, "\u0301\u0302", None), (904, text("uk", 100_000), None)]
+    got = {x.doc_id: x.lang_pred for x in language.language_of(spark.createDataFrame([*rows, *copies, *odd], "doc_id long, text string, lang string").withColumn("score", F.lit(1))).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+    assert [got[i] for i in (900, 901, 903)] == ["und"] * 3 and got[902] != "und" and got[904] == "uk"
+
+
+def test_sorted_steps_parse_like_dense_ones():
+    r = random.Random(13)
+    samples = {k: [sentence(r, k, 60), sentence(r, k, 5)] for k in SYLLABLES}
+    dense, listed = language.Model(samples), language.Model(samples, dense=0)
+    texts = [sentence(r, r.choice(list(SYLLABLES)), 80) + "Ж" for _ in range(20)] + ["", "ЖЖ", "x" * 2000]
+    assert (dense.costs(texts)[0] == listed.costs(texts)[0]).all() and dense.costs(texts)[0].any()
+
+
+@pytest.mark.parametrize("dense", [0, language.DENSE])
+def test_cross_parse_is_greedy(dense):
     r = random.Random(5)
     samples = {"x": ["".join(r.choice("abc") for _ in range(40))], "y": ["".join(r.choice("bcd") for _ in range(40))]}
-    model = language.Model(samples)
+    model = language.Model(samples, dense)
     for _ in range(30):
         text = "".join(r.choice("abcd") for _ in range(r.randint(1, 60)))
         got, _ = model.costs([text])
