@@ -67,9 +67,9 @@ from e
 """
 
 OP10 = r"""
-with t as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ts, regexp_extract_all(text, '[^\x20\x09-\x0D]+\n?') as ws from documents where text is not null),
+with t as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ts, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from documents where text is not null),
 d as (select *, list_transform(ws, lambda w: unicode(right(w, 1))::bigint) as cs, len(ws) as n from t where len(ws) >= 30),
-l as (select doc_id, n, ws, cs, unnest(list_filter(range(n - 29), lambda i: i = 0 or cs[i] <= 10 or regexp_matches(chr(cs[i]::int), '[.!?;:…。！？；：؟؛।]') or (cs[i] > 96 and cs[i] % 3 = 0))) as pos from d),
+l as (select doc_id, n, ws, cs, unnest(list_filter(range(n - 29), lambda i: i = 0 or regexp_matches(chr(cs[i]::int), '[.!?;:…。！？；：؟؛।]') or (cs[i] > 96 and cs[i] % 3 = 0))) as pos from d),
 h as (select doc_id, pos, n, ws, (cs[pos + 1] * 7919 + cs[pos + 2] * 104729 + cs[pos + 3] * 1299709 + cs[pos + 4] * 15485863) % 1000003 as h from l),
 m as (select *, min(h) over (partition by doc_id order by pos rows between current row and 4 following) as least from h),
 s as (

@@ -22,9 +22,9 @@ def tokens(text):
 
 def plain_windows(text):
     """(start, words) of the windows of a text."""
-    words = re.findall(r"[^\x20\x09-\x0D]+\n?", text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     last = [ord(w[-1]) for w in words]
-    starts = [i for i in range(len(words) - 29) if i == 0 or words[i - 1][-1] in "\n" + line_dedup.ENDINGS or (last[i - 1] > 96 and last[i - 1] % line_dedup.CUT == 0)]
+    starts = [i for i in range(len(words) - 29) if i == 0 or words[i - 1][-1] in line_dedup.ENDINGS or (last[i - 1] > 96 and last[i - 1] % line_dedup.CUT == 0)]
     hashes = [sum(last[i + k] * f for k, f in enumerate(line_dedup.FACTORS)) % line_dedup.MODULUS for i in starts]
     least = lambda k, first: all(hashes[j] >= hashes[k] for j in range(first, first + line_dedup.SPREAD) if 0 <= j < len(hashes))
     picked = sorted({p for k, p in enumerate(starts) if any(least(k, k - j) for j in range(line_dedup.SPREAD))} | ({len(words) - 30} if len(words) >= 30 else set()))
