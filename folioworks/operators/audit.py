@@ -15,13 +15,14 @@ def verify_quotes(verdicts: DataFrame, corpus: DataFrame, key: str, text: str =
     """[C3] Verdicts whose quote the item's loaded text does not hold become ``uncertain``; the old one is kept.
 
     ``verdicts(key, verdict, quote)``; ``corpus(key, text)`` is one row per key. Verdicts ``verified`` and
-    ``uncertain`` are not touched; a missing verdict without a quote that can be found is demoted too.
+    ``uncertain`` are not touched, and their quotes count as not verified; a missing verdict without a quote that can be found is demoted too.
     """
     rows = verdicts.join(corpus.select(key, normalised(F.col(text)).alias("loaded")), key, "left")
     quote = normalised(F.coalesce("quote", F.lit("")))
     found = (quote != "") & F.contains(F.coalesce("loaded", F.lit("")), quote)
-    demoted = ~F.coalesce(F.col("verdict").isin("verified", "uncertain"), F.lit(False)) & ~found
-    return rows.select(*verdicts.columns, F.when(demoted, "uncertain").otherwise(F.col("verdict")).alias("checked"), F.when(demoted, F.col("verdict")).alias("original"), found.alias("quote_verified"))
+    open_ = ~F.coalesce(F.col("verdict").isin("verified", "uncertain"), F.lit(False))
+    demoted = open_ & ~found
+    return rows.select(*verdicts.columns, F.when(demoted, "uncertain").otherwise(F.col("verdict")).alias("checked"), F.when(demoted, F.col("verdict")).alias("original"), (open_ & found).alias("quote_verified"))
 
 
 def pairing_spine(items: DataFrame, key: str, n: str) -> DataFrame:

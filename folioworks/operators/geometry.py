@@ -137,23 +137,33 @@ def assign_spans(spans: DataFrame, blocks: DataFrame, on: list[str], span: str,
     return pairs.groupBy(*on, span).agg(F.min_by("block_b", "block_order_b").alias(block))
 
 
-def assign_chars(chars: DataFrame, spans: DataFrame, on: list[str], cell: float) -> DataFrame:
-    """[J12][F16] Each character to the first span that holds its centre, by a grid of rows of height ``cell``.
+# Marks that end and start a line, and the share of a span's height that centres may differ by.
+LINE_STOP_FLAG = (".", "!", "?", "。", "！", "？", ")", "）", '"', "”", ":", "：", ";", "；", "]", "】", "}", "}", ">", "》", "、", ",", "，", "-", "—", "–")
+LINE_START_FLAG = ("(", "（", '"', "“", "【", "{", "《", "<", "「", "『", "【", "[")
+SPAN_HEIGHT_RATIO = 0.33
+
 
-    The centre lies in the box, and its height differs from the span's by less than a third of the span's height;
-    closing marks may lie a height beyond the right edge, and opening ones before the left.
+def char_in_span(c: Box, s: Box, ch: Column) -> Column:
+    """[F16] Whether a span's box takes a character: its centre lies in the box, near the middle line.
+
+    A mark that ends a line may instead start within one height of the right edge, and one that starts a line end within
+    one height of the left edge.
     """
-    stops, starts = ("!", ".", ",", "?", ")", ";", ":", "}", "]", "。", "，", "！", "？", "；", "："), ("(", "[", "{", "（", "【")
+    cx, cy, h = (c.x0 + c.x1) / 2, (c.y0 + c.y1) / 2, s.y1 - s.y0
+    level = (cy > s.y0) & (cy < s.y1) & (F.abs(cy - (s.y0 + s.y1) / 2) < h * SPAN_HEIGHT_RATIO)
+    stop = ch.isin(*LINE_STOP_FLAG)
+    centred = (cx > s.x0) & (cx < s.x1)
+    closing = stop & (c.x0 > s.x1 - h) & (c.x0 < s.x1) & (cx > s.x0)
+    opening = ~stop & ch.isin(*LINE_START_FLAG) & (c.x1 > s.x0) & (c.x1 < s.x0 + h) & (cx < s.x1)
+    return level & (centred | closing | opening)
+
+
+def assign_chars(chars: DataFrame, spans: DataFrame, on: list[str], cell: float) -> DataFrame:
+    """[J12][F16] Each character to the topmost span that takes it, by a grid of rows of height ``cell``."""
     rows = spans.withColumn("row", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
     other = rows.select(*on, "row", *(F.col(c).alias(f"{c}_b") for c in ("span_ix", *SIDES)))
-    c, s = Box(), Box("_b")
-    cx, cy, h = (c.x0 + c.x1) / 2, (c.y0 + c.y1) / 2, s.y1 - s.y0
-    near = F.abs(cy - (s.y0 + s.y1) / 2) < h / 3
-    fits = (cx > s.x0) & (cx < s.x1) & (cy > s.y0) & (cy < s.y1) & near
-    right = F.col("ch").isin(*stops) & (cx > s.x0) & (c.x0 < s.x1 + h) & near
-    left = F.col("ch").isin(*starts) & (c.x1 > s.x0 - h) & (cx < s.x1) & near
-    pairs = chars.withColumn("row", F.floor(cy / cell)).join(other, [*on, "row"]).where(fits | right | left)
-    return pairs.groupBy(*on, "char_idx").agg(F.min("span_ix_b").alias("span_ix"))
+    pairs = chars.withColumn("row", F.floor((F.col("y0") + F.col("y1")) / 2 / cell)).join(other, [*on, "row"]).where(char_in_span(Box(), Box("_b"), F.col("ch")))
+    return pairs.groupBy(*on, "char_idx").agg(F.min_by("span_ix_b", F.struct("y0_b", "span_ix_b")).alias("span_ix"))
 
 
 def match_cells(ocr: DataFrame, cells: DataFrame, on: list[str], list_misses: bool = False) -> DataFrame:
@@ -221,14 +231,16 @@ def merge_intervals(rows: DataFrame, on: list[str], low: str = "lo", high: str =
 
 
 def subtract_intervals(whole: DataFrame, masks: DataFrame, on: list[str]) -> DataFrame:
-    """[W15][W17] What the (merged) masks leave of each interval ``(on, lo, hi)``."""
+    """[W15][W17] What the (merged) masks leave of each interval ``(on, lo, hi)``; both ends belong to an interval, so a
+    piece ends one before a mask and goes on one after it."""
     merged = merge_intervals(masks, on).select(*on, F.struct("lo", "hi").alias("m"))
     held = whole.join(merged.groupBy(*on).agg(F.sort_array(F.collect_list("m")).alias("ms")), on, "left")
-    inner = F.filter(F.coalesce("ms", F.array().cast("array<struct<lo:double,hi:double>>")), lambda m: (m["hi"] > F.col("lo")) & (m["lo"] < F.col("hi")))
-    held = held.withColumn("ms", inner)
-    starts = F.concat(F.array("lo"), F.transform("ms", lambda m: m["hi"]))
-    ends = F.concat(F.transform("ms", lambda m: m["lo"]), F.array("hi"))
-    left = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))), lambda i: i["hi"] > i["lo"])
+    kind = dict(whole.dtypes)["lo"]
+    near = F.filter(F.coalesce("ms", F.array().cast(f"array<struct<lo:{kind},hi:{kind}>>")), lambda m: (m["hi"] >= F.col("lo")) & (m["lo"] <= F.col("hi")))
+    held = held.withColumn("ms", near)
+    starts = F.concat(F.array("lo"), F.transform("ms", lambda m: F.greatest(m["hi"] + 1, F.col("lo"))))
+    piece = lambda start, m: F.struct(start.alias("lo"), F.coalesce(m["lo"] - 1, F.col("hi")).alias("hi"), F.coalesce(start < m["lo"], start <= F.col("hi")).alias("left"))
+    left = F.filter(F.zip_with(starts, "ms", piece), lambda i: i["left"])
     return held.select(*on, F.explode(left).alias("i")).select(*on, "i.lo", "i.hi")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, ends_in_hyphen
+from ..functions.text import CJK, ends_in_hyphen, language_guess
+from .refs import stripped
 
 # Marks that end a sentence or a list item.
 LINE_STOPS = (".", "!", "?", "。", "！", "？", ")", "）", '"', "”", ":", "：", ";", "；")
@@ -54,27 +55,29 @@ def vlm_ocr(mode: Column, lang: Column, formula: Column, forced: Column | None =
 
 
 def chars_to_text(chars: DataFrame, on: list[str], span: str = "span_ix") -> DataFrame:
-    """[C9] Characters of a span as text, with a blank where the gap exceeds a quarter of the median width."""
+    """[C9] Characters of a span, by index, as text, with a blank where the gap exceeds a quarter of the median width."""
     width = F.median(F.col("x1") - F.col("x0")).alias("median_w")
     rows = chars.join(chars.groupBy(*on, span).agg(width), [*on, span])
-    w = Window.partitionBy(*on, span).orderBy("x0", "char_idx")
+    w = Window.partitionBy(*on, span).orderBy("char_idx")
     gap = F.lead("x0").over(w) - F.col("x1")
     blank = (gap > 0.25 * F.col("median_w")) & (F.col("ch") != " ") & (F.lead("ch").over(w) != " ")
     bits = rows.withColumn("bit", F.concat("ch", F.when(F.coalesce(blank, F.lit(False)), " ").otherwise("")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "char_idx", "bit"))), lambda b: b["bit"]), "")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("char_idx", "bit"))), lambda b: b["bit"]), "")
     return bits.groupBy(*on, span).agg(joined.alias("content"))
 
 
 def merge_lines(lines: DataFrame, on: list[str], order: str, text: str = "text") -> DataFrame:
-    """[C10] Lines as one paragraph: CJK lines without blanks, a word broken by a hyphen put together if the next line
-    starts in lower case, otherwise a blank between lines."""
+    """[C10] Lines as one paragraph: without blanks if its text is Chinese, Japanese or Korean, else with a blank between
+    lines, but a word broken by a hyphen is put together, without the hyphen if the next line starts with a small letter.
+    Blank lines go."""
     w = Window.partitionBy(*on).orderBy(order)
-    following = F.lead(text).over(w)
-    own = F.regexp_replace(F.col(text), r"(?U)\s+$", "")
-    broken = ends_in_hyphen(own) & F.coalesce(following.rlike(r"^[a-z]"), F.lit(False))
-    bit = F.when(following.isNull(), own).when(own.rlike(CJK + r"$"), own).when(broken, F.regexp_replace(own, r"-$", "")).otherwise(F.concat(own, F.when(ends_in_hyphen(own), "").otherwise(" ")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("bit")))), lambda b: b["bit"]), "")
-    return lines.withColumn("bit", bit).groupBy(*on).agg(joined.alias("text"))
+    own = stripped(F.col(text))
+    rows = lines.withColumn("own", own).withColumn("next_small", F.coalesce(F.lead(text).over(w).rlike(r"^\p{IsLowercase}"), F.lit(False)))
+    members = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "own", "next_small"))), lambda r: F.struct(r["own"].alias("own"), r["next_small"].alias("next_small")))
+    blocks = rows.groupBy(*on).agg(members.alias("rows")).withColumn("cjk", language_guess(F.array_join(F.transform("rows", lambda r: r["own"]), "")).isin("zh", "ja", "ko"))
+    western = lambda r: F.when(~ends_in_hyphen(r["own"]), F.concat(r["own"], F.lit(" "))).when(r["next_small"], F.regexp_replace(r["own"], "-$", "")).otherwise(r["own"])
+    bits = F.transform(F.filter("rows", lambda r: r["own"] != ""), lambda r: F.when(F.col("cjk"), r["own"]).otherwise(western(r)))
+    return blocks.select(*on, stripped(F.array_join(bits, "")).alias("text"))
 
 
 def classify_paragraphs(lines: DataFrame, on: list[str]) -> DataFrame:
@@ -85,27 +88,29 @@ def classify_paragraphs(lines: DataFrame, on: list[str]) -> DataFrame:
     w = Window.partitionBy(*on).orderBy("line")
     h = F.first(F.col("y1") - F.col("y0")).over(w)
     width, left, right = F.col("bx1") - F.col("bx0"), F.abs(F.col("x0") - F.col("bx0")), F.col("bx1") - F.col("x1")
-    cjk = F.col("text").rlike(CJK)
-    ragged = F.when(cjk | (width / F.col("page_w") >= 0.5), 0.26).otherwise(0.36) * width
-    inset = (left > 0.7 * h) & (right > 0.7 * h)
+    cjk = language_guess(F.array_join(F.collect_list(F.col("text")).over(Window.partitionBy(*on)), "")).isin("zh", "ja", "ko")
+    ragged = F.when(cjk | (F.coalesce(width / F.nullif(F.col("page_w"), F.lit(0.0)), F.lit(0.0)) >= 0.5), 0.26).otherwise(0.36) * width
+    last = F.row_number().over(Window.partitionBy(*on).orderBy(F.col("line").desc())) == 1
+    inset = (F.col("x0") - F.col("bx0") > 0.7 * h) & (right > 0.7 * h)
     centred = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("bx0") + F.col("bx1")) / 2) < h / 2
-    clean = F.trim("text")
+    clean = stripped(F.col("text"))
     rows = lines.select(
-        *on, "line", F.lit(0).alias("z"), (left < h / 2).alias("flush"), (F.col("x0") - F.col("bx0") > h).alias("indented"), (F.abs(right) < h).alias("right_flush"), (right > ragged).alias("ragged"), inset.alias("inset"), centred.alias("centred"),
-        clean.rlike(r"^\d").alias("d0"), clean.rlike(r"\d$").alias("d1"), F.right(clean, F.lit(1)).isin(*ITEM_STOPS).alias("stop"),
-        ((F.col("by1") - F.col("by0")) / width).alias("shape"), (F.row_number().over(w) == 1).alias("is_first"), (F.row_number().over(Window.partitionBy(*on).orderBy(F.col("line").desc())) == 1).alias("is_last"),
+        *on, "line", F.lit(0).alias("z"), (left < h / 2).alias("flush"), ((left >= h / 2) & (F.col("x0") - F.col("bx0") > h)).alias("indented"), (F.abs(right) < h).alias("right_flush"), ((F.abs(right) >= h) & (right > ragged)).alias("ragged"), inset.alias("inset"), centred.alias("centred"),
+        clean.rlike(r"(?U)^\d").alias("d0"), clean.rlike(r"(?U)\d$").alias("d1"), F.right(clean, F.lit(1)).isin(*ITEM_STOPS).alias("stop"),
+        ((F.col("by1") - F.col("by0")) / width).alias("shape"),
+        ((F.row_number().over(w) == 1) & (F.col("x0") - F.col("bx0") > h / 2)).alias("first_in"), (last & (left < h / 2) & (right > h)).alias("last_short"),
     )
     n = F.count("*")
     share = lambda c: F.count_if(F.col(c)) / n
     agg = rows.groupBy(*on).agg(
         n.alias("n"), *(F.count_if(F.col(c)).alias(c) for c in ("flush", "indented", "right_flush", "ragged", "inset")), F.bool_and("centred").alias("all_centred"), F.max("shape").alias("shape"),
         ((share("d0") >= 0.8) | (share("d1") >= 0.8)).alias("digits"), (share("stop") >= 0.8).alias("stops"),
-        F.bool_or(F.col("is_first") & F.col("indented")).alias("first_in"), F.bool_or(F.col("is_last") & F.col("flush") & F.col("ragged")).alias("last_short"),
+        F.bool_or("first_in").alias("first_in"), F.bool_or("last_short").alias("last_short"),
     )
     few = F.col("n") < 2
     index = ((F.col("flush") / F.col("n") >= 0.8) | (F.col("right_flush") / F.col("n") >= 0.8)) & F.col("digits")
     middle = (F.col("inset") >= 2) & (F.col("inset") / F.col("n") >= 0.5) & F.col("all_centred") & (F.col("shape") > 0.4)
-    plain_shape = F.col("first_in") & F.col("last_short") & (F.col("indented") == 1) & (F.col("ragged") == 1)
+    plain_shape = F.col("first_in") & F.col("last_short")
     items = (F.col("flush") >= 2) & ((F.col("ragged") >= 2) | F.col("stops") | (F.col("indented") >= 2)) & ~plain_shape
     return agg.select(*on, F.when(few, "text").when(index, "index").when(middle | items, "list").otherwise("text").alias("kind"))
 

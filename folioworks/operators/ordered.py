@@ -83,10 +83,10 @@ def drop_overlapping(spans: DataFrame, on: list[str], threshold: float = 0.9) ->
 
 
 def drop_smaller(spans: DataFrame, on: list[str], threshold: float = 0.65) -> DataFrame:
-    """[W6] Of two spans that share more than the threshold of the smaller one, that one goes."""
+    """[W6] Of two spans that share more than the threshold of the smaller one, that one goes (the first of equals)."""
 
     def loser(i: int, j: int, b: list) -> int | None:
-        small = i if _area(b[i]) < _area(b[j]) else j
+        small = i if _area(b[i]) <= _area(b[j]) else j
         return small if _area(b[small]) > 0 and _shared(b[i], b[j]) / _area(b[small]) > threshold else None
 
     return _per_group(spans, on, lambda rows: _survivors(rows, loser))
@@ -197,12 +197,16 @@ def keep_first_distinct(tables: DataFrame, doc: str, threshold: float = 0.92) ->
 
 
 def xy_cut(boxes: DataFrame, on: list[str]) -> DataFrame:
-    """[W19] Reading order by recursive cuts: horizontal bands first, then columns; ties by top, left and place."""
+    """[W19] Reading order by recursive cuts: horizontal bands, in each of them columns, and those cut again.
+
+    A cut needs a gap: boxes that touch stand in one band. A band that is one column is read by left edges (ties by top
+    and place).
+    """
 
     def bands(rows: list, low: str, high: str) -> list[list]:
         out, reach = [], None
         for r in sorted(rows, key=lambda r: (r[low], r[high])):
-            if reach is None or r[low] >= reach:
+            if reach is None or r[low] > reach:
                 out.append([])
                 reach = r[high]
             out[-1].append(r)
@@ -210,11 +214,11 @@ def xy_cut(boxes: DataFrame, on: list[str]) -> DataFrame:
         return out
 
     def cut(rows: list) -> list:
-        for low, high in (("y0", "y1"), ("x0", "x1")):
-            parts = bands(rows, low, high)
-            if len(parts) > 1:
-                return [r for part in parts for r in cut(part)]
-        return sorted(rows, key=lambda r: (r["y0"], r["x0"], r["pos"]))
+        out = []
+        for band in bands(rows, "y0", "y1"):
+            columns = bands(band, "x0", "x1")
+            out += sorted(band, key=lambda r: (r["x0"], r["y0"], r["pos"])) if len(columns) == 1 else [r for part in columns for r in cut(part)]
+        return out
 
     def run(rows: list[dict]) -> list[dict]:
         return [{c: r[c] for c in on} | {"pos": r["pos"], "read_index": k} for k, r in enumerate(cut(rows))]

@@ -25,31 +25,53 @@ class Pattern:
 # The reference grammars of the two corpora.
 ABSOLUTE = Pattern(1, r"(?U)Pt\.?\s*(\d+)\s+Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)\s*\[([^\]]+)\]", 4)
 SECTION = Pattern(2, r"(?U)Sec\.?\s*(\d+)\s*\[([^\]]+)\]", 2, 30, r"(?U)Ch\.?\s*\d+\s*$")
-CHAPTER = Pattern(3, r"(?U)(?<!Pt\.\s)Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)(?:\s*\[([^\]]+)\])?", 3, 15, r"(?U)Pt\.?\s*\d+\s*$")
-SAME_PART = Pattern(4, r"(?U)§\s*217\.(\d+[a-z]?)((?:\([A-Za-z0-9]+\))*)", 2)
+CHAPTER = Pattern(3, r"(?U)(?<!Pt\.\s)Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)\s*(?:\[([^\]]+)\])?", 3, 15, r"(?U)Pt\.?\s*\d+\s*$")
+SAME_PART = Pattern(4, r"(?U)§\s*217\.(\d+[a-z]?)((?:\([a-z0-9]+\))*)", 2)
 OTHER_PART = Pattern(5, r"(?U)12\s+CFR\s+(?:part\s+)?(\d+)(?:\.(\d+[a-z]?))?", 2)
 SUBPART = Pattern(6, r"(?Ui)subpart\s+([A-J])\s+of\s+this\s+part", 1)
 APPENDIX = Pattern(7, r"(?Ui)appendix\s+([A-Z])\s+(?:to|of)\s+(?:this\s+)?part", 1)
-PARAGRAPH = Pattern(8, r"(?Ui)paragraph\s*((?:\([A-Za-z0-9]+\))+)\s+of\s+this\s+section", 1)
+PARAGRAPH = Pattern(8, r"(?Ui)paragraph\s*((?:\([a-z0-9]+\))+)\s+of\s+this\s+section", 1)
 
-# Classes of giveaways in a question, and what they look like.
+# Classes of giveaways in a question, what they look like (in any letter case), and their names.
 LEAKS = (
-    r"(?i)§\s*\d", r"(?i)\bsec(?:tion)?\.?\s*217", r"(?i)\bpart\s+217", r"(?i)12\s+CFR", r"(?i)\bsubpart\s+[A-J]\b", r"(?i)\bparagraph\s*\(",
-    r"(?i)\([a-z]\)\(\d", r"(?i)\(\d+\)\([ivx]+\)", r"(?i)according to", r"(?i)under §", r"(?i)as defined in",
-)
+    (r"§\s*\d", "§ literal"),
+    (r"\bSec(tion)?\.?\s*217\b", "Section 217"),
+    (r"\bPart\s*217\b", "Part 217"),
+    (r"12\s*CFR", "12 CFR"),
+    (r"\bSubpart\s+[A-J]\b", "Subpart letter"),
+    (r"\bparagraph\s*\(", "paragraph (X)"),
+    (r"\(\s*[a-z]\s*\)\s*\(\s*\d", "(a)(1) id"),
+    (r"\(\s*\d+\s*\)\s*\(\s*[ivx]+\s*\)", "(1)(i) id"),
+    (r"\baccording\s+to\b", "according to"),
+    (r"\bunder\s+§", "under §"),
+    (r"\bas\s+defined\s+in", "as defined in"),
+)
 
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """[X1-X8] All matches, as an array of ``(raw, offset, g1..)`` with 0-based code-point offsets."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
+    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found[0], F.length)
+    sizes = F.transform(raws, F.length)
     # running offsets: one pass that appends to the offsets so far
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(sizes)), sizes, lambda b, s: F.struct(b.alias("b"), F.coalesce(s, F.lit(0)).alias("s")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs"))
     offs = F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x["b"] + x["s"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"] + x["b"])).alias("offs")))["offs"]
-    names = ["raw", *(f"g{k}" for k in range(1, groups + 1))]
-    return F.transform(F.arrays_zip(*(f.alias(n) for f, n in zip(found, names, strict=True)), offs.alias("offset")), lambda m: m)
+    # groups are read from each match: the text is searched for whole matches only
+    return F.zip_with(raws, offs, lambda raw, at: F.struct(raw.alias("raw"), *(F.regexp_extract(raw, pattern, k).alias(f"g{k}") for k in range(1, groups + 1)), at.alias("offset")))
+
+
+def find_each(sections: DataFrame, patterns: tuple[Pattern, ...], text: str = "text") -> DataFrame:
+    """One row per match of any of the patterns that its surroundings allow: one pass over the sections."""
+    most = max(p.groups for p in patterns)
+    group = lambda p, m, k: (m[f"g{k}"] if k <= p.groups else F.lit("")).alias(f"g{k}")
+    shaped = lambda p: F.transform(matches(F.col(text), p.regex, p.groups), lambda m: F.struct(F.lit(p.number).alias("pattern_no"), m["raw"].alias("raw"), m["offset"].alias("char_offset"), *(group(p, m, k) for k in range(1, most + 1))))
+    rows = sections.withColumn("m", F.explode(F.concat(*map(shaped, patterns)))).select(*sections.columns, "m.*")
+    before = lambda n: F.substr(F.col(text), F.greatest(F.col("char_offset") - n, F.lit(0)) + 1, F.least(F.lit(n), F.col("char_offset")))
+    for p in patterns:
+        if p.before:
+            rows = rows.where((F.col("pattern_no") != p.number) | ~before(p.before_chars).rlike(p.before))
+    return rows
 
 
 def find_all(sections: DataFrame, pattern: Pattern, text: str = "text") -> DataFrame:
@@ -102,25 +124,20 @@ def crossing(spt: Column, sch: Column, ssec: Column, tpt: Column, tch: Column, t
 
 def corpus1_edges(sections: DataFrame) -> DataFrame:
     """[X1][X2][X3] Edges of ``sections(section_id, pt, ch, sec, text)`` in all three forms, duplicates included."""
-    own = sections.select("section_id", "pt", "ch", "sec", "text")
+    found = find_each(sections.select("section_id", "pt", "ch", "sec", "text"), (ABSOLUTE, SECTION, CHAPTER))
+    by = lambda absolute, section, chapter: F.when(F.col("pattern_no") == 1, absolute).when(F.col("pattern_no") == 2, section).otherwise(chapter)
     number = lambda c: F.col(c).cast("int")
-    absolute = find_all(own, ABSOLUTE).select("*", number("g1").alias("tpt"), number("g2").alias("tch"), number("g3").alias("tsec"), F.col("g4").alias("clause"))
-    section = find_all(own, SECTION).select("*", F.col("pt").alias("tpt"), F.col("ch").alias("tch"), number("g1").alias("tsec"), F.col("g2").alias("clause")).where("tsec <> sec")
-    chapter = find_all(own, CHAPTER).select("*", F.col("pt").alias("tpt"), number("g1").alias("tch"), number("g2").alias("tsec"), F.coalesce("g3", F.lit("")).alias("clause")).where("tch <> ch")
-    t = [F.col(c) for c in ("pt", "ch", "sec", "tpt", "tch", "tsec")]
-    flags = {1: crossing(*t), 2: (F.lit(False), F.lit(False), F.lit(True)), 3: (F.lit(False), F.lit(True), F.lit(False))}
-    out = []
-    for k, rows in enumerate((absolute, section, chapter), 1):
-        p, c, s = flags[k]
-        out.append(
-            rows.select(
-                F.col("section_id").alias("source"), canonical(F.col("tpt"), F.col("tch"), F.col("tsec")).alias("target_section"),
-                canonical(F.col("tpt"), F.col("tch"), F.col("tsec"), F.col("clause")).alias("target_clause"), "clause", "raw", "pattern_no",
-                p.alias("crosses_part"), c.alias("crosses_chapter"), s.alias("crosses_section"),
-                context(F.col("text"), F.col("char_offset"), F.length("raw")).alias("context"), "char_offset",
-            )
-        )
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    rows = found.withColumns({
+        "tpt": by(number("g1"), F.col("pt"), F.col("pt")), "tch": by(number("g2"), F.col("ch"), number("g1")), "tsec": by(number("g3"), number("g1"), number("g2")), "clause": by(F.col("g4"), F.col("g2"), F.col("g3")),
+    })
+    rows = rows.where(by(F.lit(True), F.col("tsec") != F.col("sec"), F.col("tch") != F.col("ch")))
+    part, chapter, section = crossing(*(F.col(c) for c in ("pt", "ch", "sec", "tpt", "tch", "tsec")))
+    target = [F.col("tpt"), F.col("tch"), F.col("tsec")]
+    return rows.select(
+        F.col("section_id").alias("source"), canonical(*target).alias("target_section"), canonical(*target, F.col("clause")).alias("target_clause"), "clause", "raw", "pattern_no",
+        by(part, F.lit(False), F.lit(False)).alias("crosses_part"), by(chapter, F.lit(False), F.lit(True)).alias("crosses_chapter"), by(section, F.lit(True), F.lit(False)).alias("crosses_section"),
+        context(F.col("text"), F.col("char_offset"), F.length("raw")).alias("context"), "char_offset",
+    )
 
 
 def corpus2_edges(sections: DataFrame, part: int = 217) -> DataFrame:
@@ -130,22 +147,24 @@ def corpus2_edges(sections: DataFrame, part: int = 217) -> DataFrame:
     is written (a small letter finds none); other parts' targets are kept as they are.
     """
     own = sections.select("section_id", "subpart", "sec", "text")
-    index = sections.where("sec is not null").select(F.col("sec").alias("t_sec"), F.col("section_id").alias("target"), F.col("subpart").alias("t_subpart"))
-    shape = lambda rows, kind, hint, para: rows.select(F.col("section_id").alias("source"), "target", kind.alias("kind"), hint.alias("tier_hint"), "raw", para.alias("paragraphs"), context(F.col("text"), F.col("char_offset"), F.length("raw")).alias("context"), "char_offset", "pattern_no")
-    none = F.lit("")
-    same = find_all(own, SAME_PART).join(index, F.col("g1") == F.col("t_sec"))
-    kind = F.when(F.col("target") == F.col("section_id"), "same_section").when(F.col("t_subpart") == F.col("subpart"), "same_subpart").otherwise("cross_subpart")
-    hint = F.when(kind == "same_section", 1).when(kind == "same_subpart", 2).otherwise(3)
-    out = [shape(same, kind, hint, F.col("g2"))]
-    other = find_all(own, OTHER_PART).where(F.col("g1") != str(part)).withColumn("target", F.concat(F.lit("CFR"), "g1", F.when(F.coalesce("g2", F.lit("")) != "", F.concat(F.lit("."), "g2")).otherwise("")))
-    out.append(shape(other, F.lit("cross_part"), F.lit(4), none))
-    firsts = sections.where("subpart is not null").groupBy(F.col("subpart").alias("t_subpart")).agg(F.min("section_id").alias("target"))
-    subpart = find_all(own, SUBPART).join(firsts, F.col("g1") == F.col("t_subpart")).where(~F.col("g1").eqNullSafe(F.col("subpart")))
-    out.append(shape(subpart, F.lit("subpart_rep"), F.lit(3), none))
-    appendices = sections.where("appendix is not null").select(F.col("appendix").alias("t_app"), F.col("section_id").alias("target"))
-    out.append(shape(find_all(own, APPENDIX).join(appendices, F.col("g1") == F.col("t_app")), F.lit("appendix_ref"), F.lit(3), none))
-    out.append(shape(find_all(own, PARAGRAPH).withColumn("target", F.col("section_id")), F.lit("same_section_paragraph"), F.lit(1), F.col("g1")))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    found = find_each(own, (SAME_PART, OTHER_PART, SUBPART, APPENDIX, PARAGRAPH))
+    kinds = lambda *each: F.coalesce(*(F.when(F.col("pattern_no") == p.number, v) for p, v in zip((SAME_PART, OTHER_PART, SUBPART, APPENDIX, PARAGRAPH), each, strict=True)))
+    # what a match names, looked up in one index of sections, subparts and appendices
+    names = [sections.where("sec is not null").select(F.lit(SAME_PART.number).alias("t_no"), F.col("sec").alias("t_name"), F.col("section_id").alias("t_id"), F.col("subpart").alias("t_subpart"))]
+    firsts = sections.where("subpart is not null and sec is not null").groupBy("subpart").agg(F.min("section_id").alias("t_id"))
+    names.append(firsts.select(F.lit(SUBPART.number), "subpart", "t_id", "subpart"))
+    names.append(sections.where("appendix is not null").select(F.lit(APPENDIX.number), "appendix", "section_id", F.lit(None).cast("string")))
+    rows = found.join(names[0].union(names[1]).union(names[2]), (F.col("pattern_no") == F.col("t_no")) & (F.col("g1") == F.col("t_name")), "left")
+    elsewhere = F.concat(F.lit("Pt"), "g1", F.when(F.col("g2") != "", F.concat(F.lit(".Sec"), "g1", F.lit("."), "g2")).otherwise(""))
+    rows = rows.withColumn("target", kinds(F.col("t_id"), elsewhere, F.col("t_id"), F.col("t_id"), F.col("section_id")))
+    rows = rows.where(F.col("target").isNotNull() & kinds(F.lit(True), F.col("g1") != str(part), ~F.col("g1").eqNullSafe(F.col("subpart")), F.lit(True), F.lit(True)))
+    same = F.when(F.col("g1") == F.col("sec"), 1).when(F.col("t_subpart").eqNullSafe(F.col("subpart")), 2).otherwise(3)
+    kind = F.when(same == 1, "same_section").when(same == 2, "same_subpart").otherwise("cross_subpart")
+    return rows.select(
+        F.col("section_id").alias("source"), "target", kinds(kind, F.lit("cross_part"), F.lit("subpart_rep"), F.lit("appendix_ref"), F.lit("same_section_paragraph")).alias("kind"),
+        kinds(same, F.lit(4), F.lit(3), F.lit(3), F.lit(1)).alias("tier_hint"), "raw", kinds(F.col("g2"), F.lit(""), F.lit(""), F.lit(""), F.col("g1")).alias("paragraphs"),
+        context(F.col("text"), F.col("char_offset"), F.length("raw")).alias("context"), "char_offset", "pattern_no",
+    )
 
 
 def first_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,17 +176,20 @@ def first_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def loose_references(text: Column, pt: Column, ch: Column, own: Column) -> Column:
-    """[X11] Sorted ids that a text names, in full, by chapter (full ones masked) or locally; its own id left out."""
+    """[X11] Sorted ids that a text names: in full, by chapter (parts masked, so that a full one names this part's chapter
+    too), or locally, unless a chapter stands right before; its own id left out."""
     full = F.transform(matches(text, r"(?U)Pt\.?\s*(\d+)\s+Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)", 3), lambda m: canonical(m["g1"], m["g2"], m["g3"]))
     masked = F.regexp_replace(text, r"(?U)Pt\.?\s*\d+\s+", "__MASKED__ ")
-    chapter = F.transform(F.filter(matches(masked, r"(?U)(__MASKED__ )?Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)", 3), lambda m: m["g1"] == ""), lambda m: canonical(pt, m["g2"], m["g3"]))
-    local = F.transform(F.filter(matches(text, r"(?U)(Ch\.?\s*\d+\s+)?Sec\.?\s*(\d+)\s*\[", 2), lambda m: m["g1"] == ""), lambda m: canonical(pt, ch, m["g2"]))
+    chapter = F.transform(matches(masked, r"(?U)(?<!Pt\.\s)Ch\.?\s*(\d+)\s+Sec\.?\s*(\d+)", 2), lambda m: canonical(pt, m["g1"], m["g2"]))
+    before = lambda m: F.substr(text, F.greatest(m["offset"] - 15, F.lit(0)) + 1, F.least(m["offset"], F.lit(15)))
+    alone = F.filter(matches(text, r"(?U)Sec\.?\s*(\d+)\s*\[", 1), lambda m: ~before(m).rlike(r"(?U)Ch\.?\s*\d+\s*$"))
+    local = F.transform(alone, lambda m: canonical(pt, ch, m["g1"]))
     return F.array_sort(F.array_except(F.array_distinct(F.concat(full, chapter, local)), F.array(own)))
 
 
-def leak_scan(text: Column, patterns: tuple[str, ...] = LEAKS) -> Column:
+def leak_scan(text: Column, patterns: tuple[tuple[str, str], ...] = LEAKS) -> Column:
     """[X12] The first match of each class of giveaways, in the classes' order and as written."""
-    return F.filter(F.array(*(F.regexp_extract(text, p, 0) for p in patterns)), lambda x: x != "")
+    return F.filter(F.array(*(F.regexp_extract(text, f"(?Ui){p}", 0) for p, _ in patterns)), lambda x: x != "")
 
 
 def marker_scan(log: Column, markers: list[str], preamble_end: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Query terms (some thirty bytes each) that are sent to all executors.
+BROADCAST_TERMS = 500_000
+
+
 def tokens(text: Column) -> Column:
     """[R1b] Lower-cased words between white space of any kind."""
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
@@ -15,18 +19,21 @@ def bm25_scores(docs: DataFrame, doc: str, queries: DataFrame, query: str, text:
     """[R2] Okapi scores of all pairs with a term in common: ``(query, doc, score)``.
 
     Terms that are more frequent than half the documents get ``epsilon`` times the mean raw idf of the vocabulary.
-    Repeated query terms count each time. Only the queries' terms are joined with the postings; the number of
-    documents, their mean length and the mean idf are one row.
+    Repeated query terms count each time. Documents without text are not in the index. Document frequencies are summed
+    before they move; term counts are made of the queries' terms alone, which filter the words before these move if there
+    are at most ``BROADCAST_TERMS``. The number of documents, their mean length and the mean idf are one row.
     """
-    # terms come grouped per document, so that lengths and frequencies need no second pass
-    posted = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
-    terms = posted.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    posted = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
     size = posted.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    df = posted.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")))
+    wanted = asked.select("term").distinct()
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    terms = posted.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    terms = terms.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")))
     hits = terms.join(idf.select("term", "idf", "avgdl"), "term").join(asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query", "doc").agg(F.sum(part).alias("score"))

@@ -51,8 +51,19 @@ def _cells(grid: Column) -> Column:
     return F.flatten(grid)
 
 
+def clean(cell: Column) -> Column:
+    """A cell's text with white space of any kind as single blanks; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"(?U)\s+", " "))
+
+
 def _solid(cells: Column) -> Column:
-    return F.filter(cells, lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    return F.filter(F.transform(cells, clean), lambda c: c != "")
+
+
+def _padded(grid: Column) -> Column:
+    """Clean cells, all rows of one width."""
+    n = columns_of(grid)
+    return F.transform(grid, lambda r: F.concat(F.transform(r, clean), F.array_repeat(F.lit(""), n - F.size(r))))
 
 
 def columns_of(grid: Column) -> Column:
@@ -66,61 +77,77 @@ def structure_reason(grid: Column) -> Column:
 
 
 def low_quality(grid: Column) -> Column:
-    """Empty, or many columns of fragments."""
+    """Empty, or eight columns and more with mostly short cells, or with many single letters among cells with letters."""
     cells = _solid(_cells(grid))
     n = F.greatest(F.size(cells), F.lit(1))
     short = F.size(F.filter(cells, lambda c: F.length(c) <= 2)) / n
-    alpha = F.filter(cells, lambda c: c.rlike(r"(?U)^\p{L}+$"))
-    single = F.size(F.filter(alpha, lambda c: F.length(c) == 1)) / F.greatest(F.size(alpha), F.lit(1))
+    alpha = F.size(F.filter(cells, lambda c: c.rlike("[A-Za-z]")))
+    single = F.size(F.filter(cells, lambda c: c.rlike("^[A-Za-z]$"))) / F.greatest(alpha, F.lit(1))
     return (F.size(cells) == 0) | ((columns_of(grid) >= 8) & ((short > 0.55) | (single > 0.35)))
 
 
+def _rest(row: Column, first: int) -> Column:
+    return F.slice(row, F.lit(first), F.greatest(F.size(row) - first + 1, F.lit(0)))
+
+
 def definition_table(grid: Column) -> Column:
-    """A header of term and definition, with little in any further column."""
-    head, body = F.get(grid, F.lit(0)), F.slice(grid, F.lit(2), F.greatest(F.size(grid) - 1, F.lit(0)))
+    """A header of term and definition, with little in any further column, and rows enough that have both."""
+    rows = _padded(grid)
+    head, body = F.get(rows, F.lit(0)), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
     named = (F.lower(F.get(head, F.lit(0))) == "term") & (F.lower(F.get(head, F.lit(1))) == "definition")
-    rest = F.slice(head, F.lit(3), F.greatest(F.size(head) - 2, F.lit(0)))
-    symbols = F.forall(rest, lambda c: ~c.rlike(r"(?U)[\p{L}\p{N}]"))
-    extra = F.size(F.filter(body, lambda r: F.exists(F.slice(r, F.lit(3), F.greatest(F.size(r) - 2, F.lit(0))), lambda c: F.trim(c) != "")))
-    both = F.size(F.filter(body, lambda r: (F.coalesce(F.get(r, F.lit(0)), F.lit("")) != "") & (F.coalesce(F.get(r, F.lit(1)), F.lit("")) != "")))
+    bare = F.forall(_rest(head, 3), lambda c: ~c.rlike("[A-Za-z0-9]"))
+    extra = F.size(F.filter(body, lambda r: F.exists(_rest(r, 3), lambda c: c != "")))
+    both = F.size(F.filter(body, lambda r: (F.get(r, F.lit(0)) != "") & (F.get(r, F.lit(1)) != "")))
     n = F.size(body)
-    return F.coalesce(named & symbols & (extra <= F.greatest(F.lit(1), (n * 0.25).cast("int"))) & (both >= F.greatest(F.lit(2), (n * 0.4).cast("int"))), F.lit(False))
+    return F.coalesce(named & bare & (n > 0) & (extra <= F.greatest(F.lit(1), (n * 0.25).cast("int"))) & (both >= F.greatest(F.lit(2), (n * 0.4).cast("int"))), F.lit(False))
+
+
+def noisy(text: Column) -> Column:
+    """What a page's frame leaves behind: a page number with the publisher's name, a header of three names, or misread words."""
+    low = F.lower(clean(text))
+    # Words of frames and headers, and misread ones.
+    frame = low.rlike(r"(?U)\bpage\s*\d+\b") & low.rlike(r"(?U)\bdnv as\b")
+    header = low.rlike(r"(?U)\bclass notation\b") & low.rlike(r"(?U)\bapplication\b") & low.rlike(r"(?U)\brule reference\b")
+    return frame | header | F.contains(low, F.lit("5tr")) | F.contains(low, F.lit("shiswththenotation"))
 
 
-def noisy(text: Column, patterns: list[str], least: int = 1) -> Column:
-    """At least so many of the patterns occur."""
-    return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0)) >= least
+# What a cell of symbols holds, the words and forms that open a new block, and words that start a sentence.
+SYMBOLS = r"^[-–—|:;.,_~`]*$"
+NEW_BLOCK = r"(?U)\b(table\s+\d+|class notation|description|application|rule reference|term|definition)\b|^\d+(\.\d+)+\b|^section |^chapter "
+SENTENCE_START = r"(?i)^(a|an|the|class|assignment|verbal)\b"
 
 
 def repaired_rows(grid: Column) -> Column:
-    """[C21] Rows that go on with the one before are merged into it, cell by cell.
+    """[C21] Rows that go on with the one before end its second cell.
 
-    A row goes on if its first cell holds symbols only (or nothing) and the rest doesn't start something new: no
-    number, bullet or capital heads it.
+    Cells are cleaned, empty rows go, short rows are filled up. A row goes on if its first cell is empty or symbols only,
+    the others hold text that opens no new block, and the row before has a first cell; grids of one column stay as they are.
     """
-    symbol = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"(?U)[\p{L}\p{N}]")
-    rest = lambda r: F.array_join(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), " ")
-    fresh = lambda r: F.trim(rest(r)).rlike(r"(?U)^(\d|[-•*]|\p{Lu})")
-    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.trim(F.concat_ws(" ", F.nullif(x, F.lit("")), F.nullif(y, F.lit("")))))
+    rows = F.filter(_padded(grid), lambda r: F.exists(r, lambda c: c != ""))
+    text = lambda r: F.array_join(F.filter(_rest(r, 2), lambda c: c != ""), " ")
 
     def step(kept, row):
-        goes_on = (F.size(kept) > 0) & symbol(F.get(row, F.lit(0))) & ~fresh(row)
-        last = F.element_at(kept, -1)
-        return F.when(goes_on, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(joined(last, row)))).otherwise(F.concat(kept, F.array(row)))
+        last, more = F.element_at(kept, -1), text(row)
+        goes_on = (F.size(kept) > 0) & F.get(row, F.lit(0)).rlike(SYMBOLS) & (more != "") & (F.get(last, F.lit(0)) != "") & ~F.lower(more).rlike(NEW_BLOCK)
+        longer = F.concat(F.slice(last, 1, 1), F.array(F.trim(F.concat_ws(" ", F.nullif(F.get(last, F.lit(1)), F.lit("")), more))), _rest(last, 3))
+        return F.when(F.coalesce(goes_on, F.lit(False)), F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(row)))
 
-    return F.aggregate(grid, F.array().cast(CELLS), step)
+    return F.when(columns_of(rows) < 2, rows).otherwise(F.aggregate(rows, F.array().cast(CELLS), step))
 
 
 def collapsed_definitions(grid: Column) -> Column:
-    """[C22] Two columns: the term, and all further cells as one text, fragments that start a sentence first."""
+    """[C22] A table of definitions with more than two columns as two: the term, and all further cells as one text,
+    fragments that start a sentence first. Any other grid stays as it is."""
+    starts = lambda c: c.rlike(SENTENCE_START) | c.rlike("^[A-Z]")
 
     def row(r):
-        more = _solid(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))
-        starts = F.filter(more, lambda c: c.rlike(r"(?U)^\p{Lu}"))
-        others = F.filter(more, lambda c: ~c.rlike(r"(?U)^\p{Lu}"))
-        return F.array(F.coalesce(F.get(r, F.lit(0)), F.lit("")), F.array_join(F.concat(starts, others), " "))
+        more = F.filter(_rest(r, 2), lambda c: c != "")
+        return F.array(F.get(r, F.lit(0)), F.array_join(F.concat(F.filter(more, starts), F.filter(more, lambda c: ~starts(c))), " "))
 
-    return F.transform(grid, row)
+    rows = _padded(grid)
+    body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), row)
+    collapsed = F.concat(F.array(F.array(F.lit("Term"), F.lit("Definition"))), body)
+    return F.when((columns_of(grid) > 2) & definition_table(grid), collapsed).otherwise(grid)
 
 
 def grid_markdown(grid: Column) -> Column:
@@ -154,9 +181,9 @@ def block_scores(tables: DataFrame, blocks: DataFrame, doc: str) -> DataFrame:
 def arbitration(stats: DataFrame) -> DataFrame:
     """[A20] Wireless or wired by physical cells (a, b), cells that aren't blank, and text hits."""
     a, b, fa, fb = (F.col(c) for c in ("wireless_cells", "wired_cells", "wireless_filled", "wired_filled"))
-    s = F.round(F.sqrt(fb))
+    s = F.bround(F.sqrt(fb))
     many = (fa > fb) & (fa + 3 >= F.greatest(fb + 2 * s, s * (s + 2)))
-    near = (a - b).between(0, 5) & (b <= F.round(a * 0.75))
+    near = (a - b).between(0, 5) & (b <= F.bround(a * 0.75))
     tiny = (a == b) & (b <= 4)
     hits = (F.col("wired_hits") <= 0.6 * F.col("wireless_hits")) & (F.col("wireless_hits") >= 10)
     return stats.withColumn("choice", F.when(F.coalesce(many | near | tiny | hits, F.lit(True)), "wireless").otherwise("wired"))

@@ -14,9 +14,9 @@ def quote_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Each document is asked for two phrases: one of its own and one that it may not have."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     own = F.trim(F.substring("text", 20, 30))
-    verdicts = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("wrong_value").alias("verdict"), own.alias("quote")), F.struct(F.lit("missing_override").alias("verdict"), F.lit("no such phrase").alias("quote")), F.struct(F.lit("verified").alias("verdict"), F.lit("").alias("quote")))).alias("v")).select("doc_id", "v.*")
+    verdicts = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("wrong_value").alias("verdict"), own.alias("quote")), F.struct(F.lit("missing_override").alias("verdict"), F.lit("no such phrase").alias("quote")), F.struct(F.lit("verified").alias("verdict"), F.lit("").alias("quote")), F.struct(F.lit("uncertain").alias("verdict"), own.alias("quote")))).alias("v")).select("doc_id", "v.*")
     checked = A.verify_quotes(verdicts, docs.select("doc_id", "text"), "doc_id")
-    return checked.select("doc_id", "verdict", "checked", F.coalesce("original", F.lit("-")).alias("original"))
+    return checked.select("doc_id", "verdict", "checked", F.coalesce("original", F.lit("-")).alias("original"), "quote_verified")
 
 
 def _verdicts(spark: SparkSession, sf: str, a: int) -> DataFrame:
@@ -76,9 +76,9 @@ g as (select *, first not in ('verified', 'unknown') or second not in ('verified
 
 ORACLES = {
     "quote_verify": r"""with d as (select doc_id, trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) as t, trim(regexp_replace(trim(substr(text, 20, 30)), '[\s\x{00A0}]+', ' ', 'g')) as q from documents)
-select doc_id, 'wrong_value' as verdict, case when q <> '' and contains(t, q) then 'wrong_value' else 'uncertain' end as checked, case when q <> '' and contains(t, q) then '-' else 'wrong_value' end as original from d
-union all select doc_id, 'missing_override', case when contains(t, 'no such phrase') then 'missing_override' else 'uncertain' end, case when contains(t, 'no such phrase') then '-' else 'missing_override' end from d
-union all select doc_id, 'verified', 'verified', '-' from d""",
+select doc_id, 'wrong_value' as verdict, case when q <> '' and contains(t, q) then 'wrong_value' else 'uncertain' end as checked, case when q <> '' and contains(t, q) then '-' else 'wrong_value' end as original, q <> '' and contains(t, q) as quote_verified from d
+union all select doc_id, 'missing_override', case when contains(t, 'no such phrase') then 'missing_override' else 'uncertain' end, case when contains(t, 'no such phrase') then '-' else 'missing_override' end, contains(t, 'no such phrase') from d
+union all select doc_id, 'verified', 'verified', '-', false from d union all select doc_id, 'uncertain', 'uncertain', '-', false from d""",
     "verdict_fusion": _V + "select * from g",
     "confusion_pr": _V + """, h as (select g.*, coalesce(l.s = 'F', false) as human from g left join l on l.qid = g.qid and l.n = g.fact_idx),
 c as (select count(*) filter (either and human) as tp, count(*) filter (either and not human) as fp, count(*) filter (not either and human) as fn, count(*) filter (not either and not human) as tn from h)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -41,8 +41,48 @@ def _grids(spark: SparkSession, sf: str) -> DataFrame:
     return cells.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]).alias("grid"))
 
 
+def _odd_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Grids on both sides of the tests: narrow, wide with fragments or letters, and terms with definitions, some of them not."""
+    f, st, p, q, o = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int"), F.col("l_orderkey").cast("int")
+    pick = lambda test, a, b: F.when(test, F.lit(a)).otherwise(F.lit(b))
+    narrow = F.array(f, p.cast("string"), F.when(p % 2 != 0, st))
+    wide = F.array(pick(p % 4 == 0, "x", "word"), pick(p % 3 == 0, "yy", " some  text "), pick(q % 3 == 0, "z", "other"), pick(q % 2 == 0, "12", "number"), pick(o % 3 == 0, "a", "cell one"), pick(o % 5 < 2, "b", "42"), F.lit(""), pick((p + q) % 4 != 0, "c", "long cell"), f)
+    terms = F.array(F.concat(pick(p % 7 == 0, "—", "term "), pick(p % 7 == 0, "", "t")), pick(q % 5 == 0, " ", "and so on"), pick(p % 4 == 0, "The class is", ""), pick(q % 6 == 0, "more", ""))
+    row = F.when(o % 3 == 0, narrow).when(o % 3 == 1, wide).otherwise(terms)
+    head = F.array(F.lit(" Term"), F.lit("Definition "), pick(o % 4 == 1, "Note", "—"), F.lit(None).cast("string"))
+    cells = lines(spark, sf).select("l_orderkey", F.struct("l_linenumber", row.alias("row")).alias("r"))
+    grids = cells.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]).alias("grid"))
+    return grids.withColumn("grid", F.when(o % 3 == 2, F.concat(F.array(head), F.col("grid"))).otherwise(F.col("grid")))
+
+
+def _shown(grid: Column) -> Column:
+    return F.array_join(F.transform(grid, lambda r: F.array_join(r, "|", "~")), "/")
+
+
 def table_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return _grids(spark, sf).select("l_orderkey", T.structure_reason(F.col("grid")).alias("reason"), T.low_quality(F.col("grid")).alias("low"), T.definition_table(F.col("grid")).alias("definitions"))
+    return _odd_grids(spark, sf).select("l_orderkey", T.structure_reason(F.col("grid")).alias("reason"), T.low_quality(F.col("grid")).alias("low"), T.definition_table(F.col("grid")).alias("definitions"))
+
+
+def definition_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return _odd_grids(spark, sf).select("l_orderkey", _shown(T.collapsed_definitions(F.col("grid"))).alias("rows"))
+
+
+def table_repair(spark: SparkSession, sf: str) -> DataFrame:
+    p, q = F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int")
+    rest = F.get(F.array(*map(F.lit, ("goes on", "4.2 new rule", "see Table 7 here", "Section two", "", "the Definition of", "12 more", "subsections"))), p % 8)
+    row = F.array(F.when(q % 3 == 0, F.lit(" —: ")).when(q % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("key "), q)), rest, F.when(p % 3 == 0, F.lit("and  more")))
+    cells = lines(spark, sf).select("l_orderkey", F.struct("l_linenumber", row.alias("row")).alias("r"))
+    grids = cells.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]).alias("grid"))
+    return grids.select("l_orderkey", _shown(T.repaired_rows(F.col("grid"))).alias("rows"))
+
+
+# Fixed values of the fixture: texts on both sides of the rules.
+_FRAMES = ("Page 12 of DNV AS rules", "page12 by dnv as", "pages 12 of dnv as", "page 3 of dnv", "Class  notation, application and rule reference", "class notation and application", "a 5TR b", "ShisWthTheNotation x", "plain")
+
+
+def noisy_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    line = lines(spark, sf)
+    return line.select("l_orderkey", "l_linenumber", T.noisy(F.get(F.array(*map(F.lit, _FRAMES)), (F.col("l_partkey") % len(_FRAMES)).cast("int"))).alias("noisy"))
 
 
 def table_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,27 +195,56 @@ def otsl_html(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        para_merge, text_functions, language_guess, table_quality, table_markdown, markdown_table_blocks, token_overlap, table_choice, table_rows, chars_text, parse_mode, list_groups, markdown_pages, content_list,
+        para_merge, text_functions, language_guess, table_quality, definition_columns, table_repair, noisy_blocks, table_markdown, markdown_table_blocks, token_overlap, table_choice, table_rows, chars_text, parse_mode, list_groups, markdown_pages, content_list,
         sequential_nms, smaller_spans, absorbed_blocks, united_tables, containers, reading_order, captions_by_distance, block_matches, grid_occupancy, otsl_html,
     )
 }
 
 _G = LINES + """, g as (select l_orderkey, l_linenumber as n, l_returnflag as a, l_partkey::varchar as b, case when l_partkey % 2 = 0 then '' else l_linestatus end as c from lines)
 """
+# The odd grids, their clean cells, and whether they are of terms.
+_Q = LINES + r""", r as (select l_orderkey, l_linenumber, l_orderkey::int % 3 as kind, case l_orderkey::int % 3 when 0 then [l_returnflag, l_partkey::varchar, case when l_partkey % 2 <> 0 then l_linestatus end]
+  when 1 then [case when l_partkey % 4 = 0 then 'x' else 'word' end, case when l_partkey % 3 = 0 then 'yy' else ' some  text ' end, case when l_suppkey % 3 = 0 then 'z' else 'other' end, case when l_suppkey % 2 = 0 then '12' else 'number' end,
+    case when l_orderkey % 3 = 0 then 'a' else 'cell one' end, case when l_orderkey % 5 < 2 then 'b' else '42' end, '', case when (l_partkey + l_suppkey) % 4 <> 0 then 'c' else 'long cell' end, l_returnflag]
+  else [case when l_partkey % 7 = 0 then '—' else 'term t' end, case when l_suppkey % 5 = 0 then ' ' else 'and so on' end, case when l_partkey % 4 = 0 then 'The class is' else '' end, case when l_suppkey % 6 = 0 then 'more' else '' end] end as row from lines),
+g as (select l_orderkey, any_value(kind) as kind, list(row order by l_linenumber) as rows from r group by l_orderkey),
+h as (select l_orderkey, case when kind = 2 then list_concat([[' Term', 'Definition ', case when l_orderkey::int % 4 = 1 then 'Note' else '—' end, null]], rows) else rows end as grid from g),
+c as (select *, list_max(list_transform(grid, lambda r: len(r))) as n_cols, list_transform(grid, lambda r: list_transform(r, lambda x: trim(regexp_replace(coalesce(x, ''), '\s+', ' ', 'g')))) as c from h),
+z as (select *, list_filter(flatten(c), lambda x: x <> '') as solid, coalesce(lower(c[1][1]) = 'term' and lower(c[1][2]) = 'definition' and not regexp_matches(array_to_string(c[1][3:], ' '), '[A-Za-z0-9]') and len(c) > 1
+  and len(list_filter(c[2:], lambda r: array_to_string(r[3:], '') <> '')) <= greatest(1, trunc((len(c) - 1) * 0.25::double)) and len(list_filter(c[2:], lambda r: r[1] <> '' and r[2] <> '')) >= greatest(2, trunc((len(c) - 1) * 0.4::double)), false) as terms from c)
+"""
 _K = _B + """, k as (select page as doc, pos, case kind when 'R' then 'title' when 'A' then 'table' else 'text' end as kind, pos - 1 as level, case when pos % 2 = 0 then 'cap' else '' end as cap,
   case when pos % 3 = 0 then 'note' else '' end as note, x0, y0, x1, y1 from b)
 """
 
 ORACLES = {
     "para_merge": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
-o as (select doc_id, n, regexp_replace(t, '[\s\x{00A0}]+$', '') as own, lead(t) over (partition by doc_id order by n) as nx from l),
-b as (select doc_id, n, case when nx is null then own when regexp_matches(own, '[A-Za-z]+-\s*$') and regexp_matches(nx, '^[a-z]') then regexp_replace(own, '-$', '') when regexp_matches(own, '[A-Za-z]+-\s*$') then own else own || ' ' end as bit from o)
-select doc_id, md5(string_agg(bit, '' order by n)) as text_md5 from b group by doc_id""",
+o as (select doc_id, n, regexp_replace(t, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') as own, lead(t) over (partition by doc_id order by n) as nx from l),
+b as (select doc_id, n, case when own = '' then '' when not regexp_matches(own, '[A-Za-z]+-\s*$') then own || ' ' when regexp_matches(coalesce(nx, ''), '^\p{Ll}') then regexp_replace(own, '-$', '') else own end as bit from o)
+select doc_id, md5(regexp_replace(string_agg(bit, '' order by n), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) as text_md5 from b group by doc_id""",
     "text_functions": r"""select s_suppkey, s_suppkey::varchar as half, 'B_T1_' || lpad(s_suppkey::varchar, greatest(4, length(s_suppkey::varchar))::int, '0') as item_id, regexp_replace(s_name, '[^a-zA-Z0-9_]', '_', 'g') as cache_name,
   'pt5-ch' || s_suppkey as anchor, '1. ' || s_name || chr(10) || '2. ' || s_suppkey as facts, s_suppkey || ' of ' || s_name as prompt, upper(md5(s_name)) as md5_upper, md5(s_name) as md5, sha256(s_name) as sha256,
   left(sha256(s_name), 16) as request, left(sha256(s_name), 8) as response, '\*' || s_suppkey || '\$' as escaped from supplier""",
     "language_guess": "select doc_id, case when regexp_matches(text, '[^\\s]') then 'en' else '' end as guess from documents",
-    "table_quality": _G + """select l_orderkey, case when count(*) < 2 then 'too_few_rows' else 'ok' end as reason, false as low, false as definitions from g group by l_orderkey""",
+    "table_quality": _Q + r"""
+select l_orderkey, case when len(grid) < 2 then 'too_few_rows' when n_cols < 2 then 'too_few_columns' when len(solid) < 4 then 'too_few_cells' when len(list_filter(c, lambda r: len(list_filter(r, lambda x: x <> '')) >= 2)) < 2 then 'too_few_full_rows' else 'ok' end as reason,
+  len(solid) = 0 or (n_cols >= 8 and len(list_filter(solid, lambda x: length(x) <= 2)) / len(solid)::double > 0.55::double)
+    or (n_cols >= 8 and len(list_filter(solid, lambda x: regexp_full_match(x, '[A-Za-z]'))) / greatest(len(list_filter(solid, lambda x: regexp_matches(x, '[A-Za-z]'))), 1)::double > 0.35::double) as low, terms as definitions from z""",
+    "definition_columns": _Q + r"""
+select l_orderkey, array_to_string(case when not terms or n_cols <= 2 then list_transform(grid, lambda r: array_to_string(list_transform(r, lambda x: coalesce(x, '~')), '|'))
+  else list_concat(['Term|Definition'], list_transform(c[2:], lambda r: r[1] || '|' || array_to_string(list_concat(list_filter(r[2:], lambda x: x <> '' and (regexp_matches(x, '(?i)^(a|an|the|class|assignment|verbal)\b') or regexp_matches(x, '^[A-Z]'))),
+    list_filter(r[2:], lambda x: x <> '' and not (regexp_matches(x, '(?i)^(a|an|the|class|assignment|verbal)\b') or regexp_matches(x, '^[A-Z]')))), ' '))) end, '/') as rows from z""",
+    "table_repair": LINES + r""", r as (select l_orderkey, l_linenumber, [case l_suppkey::int % 3 when 0 then '—:' when 1 then '' else 'key ' || l_suppkey::int end, ['goes on', '4.2 new rule', 'see Table 7 here', 'Section two', '', 'the Definition of', '12 more', 'subsections'][l_partkey::int % 8 + 1],
+  case when l_partkey::int % 3 = 0 then 'and more' else '' end] as row from lines),
+g as (select l_orderkey, list([row] order by l_linenumber) filter (array_to_string(row, '') <> '') as rows from r group by l_orderkey),
+x as (select l_orderkey, list_reduce(rows, lambda kept, new: case
+  when regexp_full_match(new[1][1], '[-–—|:;.,_~`]*') and trim(new[1][2] || new[1][3]) <> '' and kept[-1][1] <> ''
+    and not regexp_matches(lower(trim(new[1][2] || ' ' || new[1][3])), '\b(table\s+\d+|class notation|description|application|rule reference|term|definition)\b|^\d+(\.\d+)+\b|^section |^chapter ')
+  then list_concat(kept[:-2], [[kept[-1][1], trim(kept[-1][2] || ' ' || trim(new[1][2] || ' ' || new[1][3])), kept[-1][3]]]) else list_concat(kept, new) end) as rows from g)
+select r.l_orderkey, coalesce(array_to_string(list_transform(rows, lambda r: array_to_string(r, '|')), '/'), '') as rows from (select distinct l_orderkey from r) r left join x using (l_orderkey)""",
+    "noisy_blocks": LINES + f", t as (select l_orderkey, l_linenumber, lower(regexp_replace(({list(_FRAMES)}::varchar[])[l_partkey % {len(_FRAMES)} + 1], '\\s+', ' ', 'g')) as t from lines)"
+    + r""" select l_orderkey, l_linenumber, (regexp_matches(t, '\bpage\s*\d+\b') and regexp_matches(t, '\bdnv as\b')) or (regexp_matches(t, '\bclass notation\b') and regexp_matches(t, '\bapplication\b') and regexp_matches(t, '\brule reference\b'))
+  or contains(t, '5tr') or contains(t, 'shiswththenotation') as noisy from t""",
     "table_markdown": _G + """, m as (select l_orderkey, n, '| ' || a || ' | ' || b || ' | ' || c || ' |' as t, row_number() over (partition by l_orderkey order by n) as k from g)
 select l_orderkey, md5(string_agg(t || case when k = 1 then chr(10) || '| --- | --- | --- |' else '' end, chr(10) order by n)) as markdown_md5 from m group by l_orderkey""",
     "markdown_table_blocks": """with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
@@ -184,13 +253,13 @@ select doc_id, min(line)::int as first, max(line)::int as last from p group by d
     "token_overlap": """with t as (select conv_id, turn, role, list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)) as w from conversations)
 select distinct a.conv_id, a.turn, b.turn as turn_b, round(case when least(len(a.w), len(b.w)) > 0 then len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::double else 0 end, 9) as score
 from t a join t b using (conv_id) where a.role = 'user' and b.role = 'assistant'""",
-    "table_choice": LINES + """, s as (select l_orderkey, l_linenumber, l_partkey % 40 as a, l_suppkey % 37 as b, l_partkey % 23 as fa, l_suppkey % 19 as fb, l_partkey % 15 as ha, l_suppkey % 11 as hb, round(sqrt(l_suppkey % 19)) as s from lines)
-select l_orderkey, l_linenumber, case when (fa > fb and fa + 3 >= greatest(fb + 2 * s, s * (s + 2))) or (a - b between 0 and 5 and b <= round(a * 0.75::double)) or (a = b and b <= 4) or (hb <= 0.6::double * ha and ha >= 10) then 'wireless' else 'wired' end as choice from s""",
+    "table_choice": LINES + """, s as (select l_orderkey, l_linenumber, l_partkey % 40 as a, l_suppkey % 37 as b, l_partkey % 23 as fa, l_suppkey % 19 as fb, l_partkey % 15 as ha, l_suppkey % 11 as hb, round_even(sqrt(l_suppkey % 19), 0) as s from lines)
+select l_orderkey, l_linenumber, case when (fa > fb and fa + 3 >= greatest(fb + 2 * s, s * (s + 2))) or (a - b between 0 and 5 and b <= round_even(a * 0.75::double, 0)) or (a = b and b <= 4) or (hb <= 0.6::double * ha and ha >= 10) then 'wireless' else 'wired' end as choice from s""",
     "table_rows": _B + """, o as (select page, pos, y0, x0, case when abs(y0 - lag(y0) over (partition by page order by y0, x0 + pos / 100.0::double)) <= 10 then 0 else 1 end as o from b)
 select page, pos, (sum(o) over (partition by page order by y0, x0 + pos / 100.0::double rows unbounded preceding) - 1)::bigint as row from o""",
     "chars_text": _B + """, m as (select page, median(x1 - x0) as m from b group by page),
-g as (select b.page, pos, x0, kind || case when lead(x0) over (partition by b.page order by x0, pos) - x1 > 0.25::double * m.m then ' ' else '' end as bit from b join m on m.page = b.page)
-select page, string_agg(bit, '' order by x0, pos) as content from g group by page""",
+g as (select b.page, pos, kind || case when lead(x0) over (partition by b.page order by pos) - x1 > 0.25::double * m.m then ' ' else '' end as bit from b join m on m.page = b.page)
+select page, string_agg(bit, '' order by pos) as content from g group by page""",
     "parse_mode": LINES + """, p as (select l_suppkey as doc, l_orderkey * 10 + l_linenumber as page, l_partkey % 90 as chars, l_partkey % 7 as cids, (l_partkey % 10) / 10.0::double as share from lines),
 k as (select *, row_number() over (partition by doc order by md5(doc || '|' || page)) as k from p)
 select doc, case when avg(chars) < 50 or sum(cids)::double / greatest(sum(chars), 1) > 0.05 or avg((share >= 0.8)::int) >= 0.8 then 'ocr' else 'txt' end as mode from k where k <= 10 group by doc""",

@@ -106,8 +106,10 @@ select page, pos, (sum(o) over (partition by page order by y0, pos rows unbounde
     "interval_merge": _B + """, p as (select page, x0, x1, max(x1) over (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding) as m from b),
 o as (select *, sum(case when m is null or x0 > m then 1 else 0 end) over (partition by page order by x0, x1 rows unbounded preceding) as i from p) select page, min(x0) as lo, max(x1) as hi from o group by page, i""",
     "interval_subtract": _B + """, p as (select page, x0, x1, max(x1) over (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding) as m from b),
-g as (select page, coalesce(m, 0) as lo, x0 as hi from p where x0 > coalesce(m, 0) union all select page, max(x1), 500.0::double from b group by page having max(x1) < 500)
-select page, lo, least(hi, 500) as hi from g where lo < 500""",
+o as (select *, sum(case when m is null or x0 > m then 1 else 0 end) over (partition by page order by x0, x1 rows unbounded preceding) as i from p),
+u as (select page, min(x0) as a, max(x1) as b from o group by page, i), v as (select * from u where b >= 0 and a <= 500),
+g as (select page, greatest(coalesce(lag(b) over (partition by page order by a) + 1, 0), 0) as lo, a - 1 as hi, a from v union all select page, greatest(coalesce(max(b) + 1, 0), 0), 500.0::double, null from v group by page)
+select page, lo, hi from g where case when a is null then lo <= hi else lo < a end""",
     "span_assign": _B + f" select a.page, a.pos, min(c.pos) as block_ix from b a join b c on a.page = c.page where a.kind <> 'R' and c.kind = 'R' and {_I} / ({_AA}) > 0.2::double group by a.page, a.pos",
     "caption_by_index": _B + f""", k as (select a.page, a.pos as "index", c.pos as body, row_number() over (partition by a.page, a.pos order by abs(a.pos - c.pos), floor({_E} / 2), -c.pos, {_D}) as k
   from b a join b c on a.page = c.page where a.kind = 'N' and c.kind <> 'N') select page, "index", body from k where k = 1""",

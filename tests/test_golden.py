@@ -63,7 +63,7 @@ def test_references(spark):
     ]
     found = refs.corpus2_edges(spark.createDataFrame(other, "section_id string, subpart string, sec string, appendix string, text string")).collect()
     assert sorted((r.kind, r.target, r.tier_hint) for r in found) == [
-        ("appendix_ref", "Pt217.AppA", 3), ("cross_part", "CFR225", 4), ("cross_part", "CFR225.8", 4), ("cross_subpart", "Pt217.SubpartB.Sec217.2", 3), ("same_section_paragraph", "Pt217.SubpartA.Sec217.1", 1), ("subpart_rep", "Pt217.SubpartB.Sec217.2", 3),
+        ("appendix_ref", "Pt217.AppA", 3), ("cross_part", "Pt225", 4), ("cross_part", "Pt225.Sec225.8", 4), ("cross_subpart", "Pt217.SubpartB.Sec217.2", 3), ("same_section_paragraph", "Pt217.SubpartA.Sec217.1", 1), ("subpart_rep", "Pt217.SubpartB.Sec217.2", 3),
     ]
 
 
@@ -73,6 +73,30 @@ def test_quotes(spark):
     assert [(r.checked, r.quote_verified) for r in got] == [("wrong_value", True), ("uncertain", False), ("verified", False), ("uncertain", False), ("uncertain", False)]
 
 
+def test_leaks_and_loose_references(spark):
+    """Texts on both sides of the patterns."""
+    leaks = lambda t: one(spark, refs.leak_scan(F.lit(t)))
+    assert [leaks(t) for t in ("Part217", "12CFR 3", "according  to", "( a ) ( 1", "section 2170", "apart 217", "under§ 3")] == [["Part217"], ["12CFR"], ["according  to"], ["( a ) ( 1"], [], [], ["§ 3"]]
+    loose = lambda t: one(spark, refs.loose_references(F.lit(t), F.lit(5), F.lit(2), F.lit("Pt5.Ch2.Sec1")))
+    assert loose("Ch.2Sec.3 [a]") == [] and loose("Sec.3 [a], Sec.1 [b] and Sec.4") == ["Pt5.Ch2.Sec3"]
+    assert loose("Pt.3 Ch.6 Sec.7") == ["Pt3.Ch6.Sec7", "Pt5.Ch6.Sec7"] and loose("Ch.3 Sec.7  [x]") == ["Pt5.Ch3.Sec7"]
+    rows = spark.createDataFrame([("S", 5, 2, 4, "see Ch.3 Sec.7  and")], "section_id string, pt int, ch int, sec int, text string")
+    assert [r.raw for r in refs.corpus1_edges(rows).collect()] == ["Ch.3 Sec.7  "]
+
+
+def test_characters_and_intervals(spark):
+    chars = spark.createDataFrame([("p", 1, 0, "a", 5.0, 6.0), ("p", 1, 1, "b", 0.0, 1.0), ("p", 1, 2, "c", 9.0, 10.0)], "page string, span_ix int, char_idx int, ch string, x0 double, x1 double")
+    assert [r.content for r in layout.chars_to_text(chars, ["page"]).collect()] == ["ab c"]
+    span = [("p", 7, 0.0, 0.0, 100.0, 10.0), ("p", 8, 0.0, 1.0, 100.0, 11.0)]
+    marks = [(0, "a", 50.0, 60.0), (1, "a", 98.0, 106.0), (2, "-", 98.0, 106.0), (3, ".", 89.0, 113.0), (4, "(", -4.0, 3.0), (5, "(", -30.0, 11.0), (6, "。", 101.0, 104.0)]
+    boxes = spark.createDataFrame([("p", i, c, a, 2.0, b, 8.0) for i, c, a, b in marks], "page string, char_idx int, ch string, x0 double, y0 double, x1 double, y1 double")
+    got = geometry.assign_chars(boxes, spark.createDataFrame(span, "page string, span_ix int, x0 double, y0 double, x1 double, y1 double"), ["page"], 5.0)
+    assert {r.char_idx: r.span_ix for r in got.collect()} == {0: 7, 2: 7, 4: 7}
+    whole = spark.createDataFrame([("p", 0, 10)], "page string, lo int, hi int")
+    left = lambda *masks: [(r.lo, r.hi) for r in geometry.subtract_intervals(whole, spark.createDataFrame([("p", *m) for m in masks], whole.schema), ["page"]).orderBy("lo").collect()]
+    assert left((3, 5)) == [(0, 2), (6, 10)] and left((0, 4), (6, 10)) == [(5, 5)] and left((20, 30)) == [(0, 10)] and left((-3, 12)) == []
+
+
 def test_recall_and_packing(spark):
     assert one(spark, retrieve.recall(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")))) == 0.5
     assert one(spark, retrieve.recall(F.array(F.lit("a")), F.array().cast("array<string>"))) is None
@@ -87,7 +111,7 @@ def test_geometry(spark):
     assert [r.pos for r in geometry.drop_contained(b, ["page"], "pos").collect()] == [3]
     assert [r.pos for r in geometry.iou_losers(b, ["page"], "pos").collect()] == [1]
     assert sorted(r.pos for r in ordered.drop_overlapping(b, ["page"]).collect()) == [0, 2, 3]
-    assert sorted(r.pos for r in ordered.drop_smaller(b, ["page"]).collect()) == [0, 3]
+    assert sorted(r.pos for r in ordered.drop_smaller(b, ["page"]).collect()) == [1, 3]  # of equals the first goes
     grown = spark.createDataFrame([("p", 0, 0.0, 0.0, 10.0, 10.0, 0.9), ("p", 1, 9.0, 0.0, 10.5, 2.0, 0.5), ("p", 2, 10.1, 0.1, 10.6, 1.0, 0.5)], b.schema)
     got = ordered.absorb_smaller(grown, ["page"], 0.6).collect()
     assert [(r.pos, r.x1) for r in got] == [(0, 10.6)]
@@ -101,6 +125,9 @@ def test_reading_order(spark):
     boxes = [("p", 0, 0.0, 0.0, 100.0, 10.0), ("p", 1, 55.0, 20.0, 100.0, 90.0), ("p", 2, 0.0, 20.0, 45.0, 50.0), ("p", 3, 0.0, 60.0, 45.0, 90.0)]
     got = ordered.xy_cut(spark.createDataFrame(boxes, "page string, pos int, x0 double, y0 double, x1 double, y1 double"), ["page"]).orderBy("read_index").collect()
     assert [r.pos for r in got] == [0, 2, 3, 1]
+    touching = [("p", 0, 50.0, 0.0, 100.0, 10.0), ("p", 1, 0.0, 10.0, 40.0, 20.0), ("p", 2, 20.0, 20.0, 45.0, 30.0)]
+    got = ordered.xy_cut(spark.createDataFrame(touching, "page string, pos int, x0 double, y0 double, x1 double, y1 double"), ["page"]).orderBy("read_index").collect()
+    assert [r.pos for r in got] == [1, 2, 0]  # one band, as nothing lies between; columns, the left one of touching boxes
     near = ordered.text_box_order(spark.createDataFrame(boxes[1:3], "page string, pos int, x0 double, y0 double, x1 double, y1 double"), ["page"]).orderBy("read_index").collect()
     assert [r.pos for r in near] == [2, 1]
 
@@ -117,11 +144,21 @@ def test_tables(spark):
     assert ordered.cells_html(ordered.otsl_cells("<ched>a<lcel><nl><fcel>b<ecel><nl><ucel><fcel>c<nl>")) == '<table><tr><th colspan="2">a</th></tr><tr><td rowspan="2">b</td><td></td></tr><tr><td>c</td></tr></table>'
     assert one(spark, tables.html_text(F.lit(html))) == "a | b\nc | d e"
     grid = lambda rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
-    assert one(spark, tables.repaired_rows(grid([["x", "one"], ["—", "and two"], ["y", "three"], ["-", "4 new"]]))) == [["x —", "one and two"], ["y", "three"], ["-", "4 new"]]
+    repaired = lambda rows: one(spark, tables.repaired_rows(grid(rows)))
+    assert repaired([["x", "one"], ["—", "and  two"], ["y", "three"], ["-", "4.1 new"], ["", ""]]) == [["x", "one and two"], ["y", "three"], ["-", "4.1 new"]]
+    assert repaired([["x", "", "c"], ["", "goes", "on"], ["", "Table 3"], ["", "Section 2"]]) == [["x", "goes on", "c"], ["", "Table 3", ""], ["", "Section 2", ""]]
+    assert repaired([["", "head"], ["", "no key above"]]) == [["", "head"], ["", "no key above"]] and repaired([["a"], [""], ["b"]]) == [["a"], ["b"]]
     assert one(spark, tables.definition_table(grid([["Term", "Definition"], ["a", "b"], ["c", "d"]]))) is True
     assert one(spark, tables.structure_reason(grid([["a", "b"], ["", "d"]]))) == "too_few_cells"
     assert one(spark, tables.grid_markdown(grid([["a", "b|c"], ["d"]])).alias("m")) == "| a | b\\|c |\n| --- | --- |\n| d |  |"
-    assert one(spark, tables.collapsed_definitions(grid([["t", "and more", "First this."]]))) == [["t", "First this. and more"]]
+    plain = [["t", "and more", "First this."]]
+    assert one(spark, tables.collapsed_definitions(grid(plain))) == plain
+    terms = [["Term", "Definition", "—"], ["t", "and more", "the class"], ["u", "x", ""], ["v", "y", ""], ["w", "z", ""]]
+    assert one(spark, tables.collapsed_definitions(grid(terms))) == [["Term", "Definition"], ["t", "the class and more"], ["u", "x"], ["v", "y"], ["w", "z"]]
+    assert one(spark, tables.definition_table(grid([["Term", "Definition", "x"], *terms[1:]]))) is False
+    fragments = [["a", "b", "c", "d", "one word", "two words", "three words", "four words", "five"]] * 2
+    assert one(spark, tables.low_quality(grid(fragments))) is True and one(spark, tables.low_quality(grid([r[1:8] for r in fragments]))) is False
+    assert [one(spark, tables.noisy(F.lit(t))) for t in ("Page 3, DNV AS", "page 3", "x 5tr", None)] == [True, False, True, False]
 
 
 def test_page_tables_merge(spark):
@@ -143,6 +180,13 @@ def test_paragraphs(spark):
     rows += [("t", i, 0.0, 10.0 * i, 100.0 if i < 2 else 50.0, 10.0 * i + 8, "plain words", 0.0, 0.0, 100.0, 40.0, 300.0) for i in range(3)]
     got = layout.classify_paragraphs(spark.createDataFrame(rows, "block string, line int, x0 double, y0 double, x1 double, y1 double, text string, bx0 double, by0 double, bx1 double, by1 double, page_w double"), ["block"]).collect()
     assert {r.block: r.kind for r in got} == {"b": "index", "t": "text"}
+    # two paragraphs' worth of indents is a list unless the first line is indented and the last one short and flush
+    shape = lambda name, xs: [(name, i, a, 10.0 * i, b, 10.0 * i + 8, "words", 0.0, 0.0, 100.0, 40.0, 300.0) for i, (a, b) in enumerate(xs)]
+    lines = shape("para", [(6.0, 100.0), (0.0, 50.0), (0.0, 40.0), (0.0, 30.0)]) + shape("list", [(0.0, 100.0), (0.0, 50.0), (0.0, 40.0), (0.0, 30.0)])
+    got = layout.classify_paragraphs(spark.createDataFrame(lines, "block string, line int, x0 double, y0 double, x1 double, y1 double, text string, bx0 double, by0 double, bx1 double, by1 double, page_w double"), ["block"]).collect()
+    assert {r.block: r.kind for r in got} == {"para": "text", "list": "list"}
+    merged = lambda *ts: [r.text for r in layout.merge_lines(spark.createDataFrame([("d", i, t) for i, t in enumerate(ts)], "doc string, line int, text string"), ["doc"], "line").collect()]
+    assert merged("zu-", "über", "", "A-", "B") == ["zuüber A-B"] and merged("漢字", "仮名 x") == ["漢字仮名 x"]
 
 
 def test_text_functions(spark):
