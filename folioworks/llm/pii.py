@@ -3,13 +3,19 @@
 The base finds emails, IPv4 addresses, payment cards and phone numbers by pattern. The method adds spans: a
 character-level bidirectional LSTM with CRF transitions (numpy), trained from labelled spans. Those are written from
 templates (plain and disguised forms, and look-alikes that aren't personal data) into stretches of a bounded sample of
-the corpus. It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a
-digit, an ``@`` or a spelled-out one), as far as the longest span reaches to both sides, and half a window more; the emissions of overlapping windows are averaged by the distance to the window's
-edge, and one Viterbi search over the whole stretch settles the spans, however many windows it has.
-Spans that overlap a base span, or lack what their kind needs (digits, parts), are not added.
+the corpus (``CONTEXT_TEXTS`` texts, a piece from a hashed place of each). It also tags secrets (the value of a password,
+token or key), which have columns of their own.
+
+It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a digit, an ``@``
+or the word at, alone or in brackets, with a dot in reach), as far as the longest span reaches to both sides, and half a
+window more: all text that a valid span can cover. The emissions of overlapping windows are averaged by the distance to
+the window's edge, and one Viterbi search over the whole stretch settles the spans, however many windows it has. Ends are
+then set to the ends of the words or numbers that they stand in. Spans that overlap a base span, or lack what their kind
+needs (digits, parts, a check digit), are not added.
 
 Places are code points, ends exclusive. Defined results: null texts are empty and hold nothing; repeated rows get equal
-results; with an empty table there are no rows (the tagger is trained on the templates alone).
+results; with an empty table there are no rows (the tagger is trained on the templates alone); more columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +35,10 @@ from pyspark.sql import functions as F
 from .tagger import Tagger, classes_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the tagger knows beside them.
+SECRET = len(KINDS)
 WINDOW, STRIDE = 64, 32
-EXAMPLES, EPOCHS = 3_000, 6
+EXAMPLES, EPOCHS, HIDDEN = 6_000, 7, 24
 #: Texts of the corpus that training examples are written into, and characters taken of each.
 CONTEXT_TEXTS, CONTEXT_CHARS = 200, 2_000
 
@@ -46,7 +56,7 @@ _TRIGGER = re.compile(rf"[0-9]+|@|{_AT}", re.IGNORECASE)
 _AN_AT, _A_DOT = re.compile(rf"@|{_AT}", re.IGNORECASE), re.compile(rf"\.|{_DOT}", re.IGNORECASE)
 #: Characters of the longest valid address, and of the longest span without one.
 LONGEST, LONGEST_NUMBER = 80, 40
-_TAGS = 1 + 2 * len(KINDS)
+_TAGS = 1 + 2 * (len(KINDS) + 1)
 
 
 def luhn(digits: str) -> bool:
@@ -100,29 +110,49 @@ def _card_number(r: random.Random) -> str:
     return next(body + c for c in "0123456789" if luhn(body + c))
 
 
-def _entity(r: random.Random) -> tuple[int, str]:
-    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    kind = r.randrange(4)
+# Forms that examples are written in; those of the second tuple are never trained on: tests read them.
+_ATS = (("@", "@", " at ", " (at) ", " [at] ", "(at)", "[at]", "_at_", " AT ", " @ ", "-at-"), (" {at} ", "<at>", " (AT) ", "[ at ]"))
+_DOTS = ((".", ".", " dot ", "(dot)", " (dot) ", "[dot]", "[.]", " . ", "_dot_", " DOT "), ("{dot}", " <dot> ", "(.)", "{.}"))
+_POINTS = ((".", "[.]", " . ", "(.)", "-", " dot ", "(dot)", " [dot] "), ("{.}", "[dot]", "<.>"))
+_GAPS = (("", " ", "-", ".", "  ", "/", "_", " / ", "--", " . ", "|", ",", " -", " : ", ";", "- "), (":", " - ", ", "))
+_PHONE_GAPS = ((" ", "-", ".", "/", " ", " / ", " -", "  "), ("_", " - "))
+_KEYS = (("password", "passwd", "token", "api_key", "secret", "pwd", "key", "PASSWORD", "Token"), ("access_token", "SECRET_KEY", "auth_key"))
+_EQUALS = (("=", ": ", " = ", ":", '="', ' = "'), (":= ", " => "))
+
+
+def _digits(r: random.Random, k: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(k))
+
+
+def _entity(r: random.Random, unseen: int = 0, kind: int | None = None) -> tuple[int, str, str]:
+    """Kind, what stands before the span, and the span."""
+    kind = r.randrange(len(KINDS) + 1) if kind is None else kind
     if kind == 0:
-        user = _name(r) + r.choice(("", "." + n(2), "_" + _name(r), n(2), "." + _name(r)))
-        host, top = r.choice((_name(r), f"mail{n(1)}.example")), r.choice(("com", "org", "net", "de", "fr", "io"))
-        at, dot = r.choice((("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" @ ", " . "), (" at ", "."), ("_at_", "."), ("_at_", "_dot_")))
-        return 0, user + at + host + dot + top
+        user = _name(r) + r.choice(("", "", "." + _digits(r, 2), "_" + _name(r), _digits(r, 2), "." + _name(r)))
+        hosts = [r.choice((_name(r), f"mail{_digits(r, 1)}", _name(r) + "-" + _name(r))) for _ in range(r.choice((1, 1, 2)))] + [r.choice(("com", "org", "net", "de", "fr", "io", "co"))]
+        at, dot = r.choice((("@", "."), (r.choice((" at ", "_at_", " AT ")), "."), (r.choice(_ATS[0]), r.choice(_DOTS[0])))) if not unseen else (r.choice(_ATS[1]), r.choice((*_DOTS[1], ".")))
+        return 0, "", user + at + dot.join(hosts)
     if kind == 1:
-        parts = [str(r.randint(0, 255)) for _ in range(4)]
-        return 1, r.choice((".", ".", "[.]", " . ", "(.)", "-")).join(parts) if r.random() < 0.5 else ".".join(parts)
+        return 1, "", r.choice(_POINTS[unseen]).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == 2:
         card = _card_number(r)
-        sep = r.choice(("", " ", "-", ".", "  ", "/"))
-        return 2, sep.join(card[i : i + 4] for i in range(0, len(card), 4))
-    a, b, c = n(3), n(3), n(4)
-    return 3, r.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{n(2)} {n(2)} {n(7)}", f"+{n(2)}-{n(3)}-{n(6)}", f"00{n(2)} {n(3)} {n(6)}", f"tel {a} {b} {c}"[4:]))
+        return 2, "", r.choice(_GAPS[unseen]).join(card[i : i + 4] for i in range(0, len(card), 4))
+    if kind == 3:
+        gap, area = r.choice(_PHONE_GAPS[unseen]), _digits(r, r.choice((2, 3, 3)))
+        country = r.choice(("", "", f"+{_digits(r, r.choice((1, 2)))}{r.choice((' ', gap))}", f"00{_digits(r, 2)} "))
+        area = r.choice((area, area, f"({area})" if not unseen else f"(0){area}"))
+        rest = gap.join(_digits(r, k) for k in r.choice(((3, 4), (7,), (4, 4), (3, 2, 2), (6,))))
+        found = country + area + gap + rest
+        return (3, "", found) if 9 <= sum(c.isdigit() for c in found) <= 15 else _entity(r, unseen, 3)
+    value = "".join(r.choice(r.choice(("0123456789abcdef", "0123456789ABCDEFGHabcdefghxyz"))) for _ in range(r.choice((12, 16, 18, 24, 32, 40))))
+    return SECRET, r.choice(_KEYS[unseen]) + r.choice(_EQUALS[unseen]), value[:5] + r.choice("0123456789") + value[6:]
 
 
 def _look_alike(r: random.Random) -> str:
-    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    n = lambda k: _digits(r, k)
     hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
-    return r.choice((f"password={hexed(18)}", f'token = "{hexed(40)}"', hexed(32), f"20{n(2)}-{n(2)}-{n(2)}", f"{n(1)}.{n(1)}", f"v{n(1)}.{n(2)}.{n(1)}", n(4), n(6), f"{n(2)}:{n(2)}", f"{n(3)},{n(3)}", f"{n(1)}.{n(2)}", n(8), f"Version {n(1)}.0.", f"#{n(5)}", f"@{_name(r)}", n(24)))
+    w = lambda: _name(r)
+    return r.choice((hexed(32), hexed(40), f"20{n(2)}-{n(2)}-{n(2)}", f"{n(1)}.{n(1)}", f"v{n(1)}.{n(2)}.{n(1)}", n(4), n(6), f"{n(2)}:{n(2)}", f"{n(3)},{n(3)}", f"{n(1)}.{n(2)}", n(8), f"Version {n(1)}.0.", f"#{n(5)}", f"@{w()}", n(24), f"{w()} at {w()}. {w().title()}", f"at {w()} {w()}. {w().title()} at {w()}", f"{w()} at {w()}, {w()}.", f"19{n(2)}-19{n(2)}", f"{n(3)}-{n(3)}", f"key {w()} token {w()}", f"password: {w()}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(1)}.{n(1)}.{n(1)}", f"the dot at {w()} {n(2)}. {w().title()}"))
 
 
 def examples(contexts: list[str], n: int = EXAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +171,9 @@ def examples(contexts: list[str], n: int = EXAMPLES, seed: int = 3) -> tuple[np.
             gap = r.choice((" ", " ", " ", ": ", "\n", " (", ", "))
             text, tags = text + gap, tags + [0] * len(gap)
             if r.random() < 0.65:
-                kind, found = _entity(r)
-                tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(found) - 1)
+                kind, before, found = _entity(r)
+                tags += [0] * len(before) + [1 + 2 * kind] + [2 + 2 * kind] * (len(found) - 1)
+                found = before + found
             else:
                 found = _look_alike(r)
                 tags += [0] * len(found)
@@ -154,7 +185,7 @@ def examples(contexts: list[str], n: int = EXAMPLES, seed: int = 3) -> tuple[np.
 
 
 def train(contexts: list[str], n: int = EXAMPLES, epochs: int = EPOCHS) -> Tagger:
-    tagger = Tagger(_TAGS)
+    tagger = Tagger(_TAGS, hidden=HIDDEN)
     tagger.fit(*examples(contexts, n), epochs=epochs)
     return tagger
 
@@ -187,19 +218,69 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+_IN_NUMBER, _IN_NAME, _IN_VALUE = re.compile("[0-9]"), re.compile("[A-Za-z0-9._%+-]"), re.compile("[A-Za-z0-9_/+-]")
+
+
+# An address as it may be written: the name, the sign, and labels between dots; a dot that can't end a sentence.
+_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_SIGN = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|[\s_-]+at[\s_-]+|\s?@\s?)"
+_BETWEEN = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|[\s_-]+dot[\s_-]+|\s\.\s|\.)"
+_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]*[A-Za-z0-9]{_SIGN}{_LABEL}(?:(?:{_BETWEEN}|\.\s){_LABEL})+", re.IGNORECASE)
+_MORE = re.compile(rf"{_BETWEEN}{_LABEL}", re.IGNORECASE)
+
+
+def _address(text: str, start: int, end: int) -> tuple[int, int]:
+    """Of a span that holds an address the address itself, and all its labels."""
+    found = _ADDRESS.search(text, start, end)
+    if not found:
+        return start, end
+    start, end = found.span()
+    while (more := _MORE.match(text, end)) and more.end() - start <= LONGEST:
+        end = more.end()
+    return start, end
+
+
+def _snapped(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """The span to the ends of the words or numbers that its ends stand in, at most ``LONGEST`` characters on."""
+    inside = _IN_NAME if kind == 0 else _IN_VALUE if kind == SECRET else _IN_NUMBER
+    least, most = max(0, start - LONGEST), min(len(text), end + LONGEST)
+    while start < end and text[start] in " \n\t.,;:=\"'_-/" + ("()[]{}<>" if kind != 3 else "[]{}<>)"):
+        start += 1
+    while end > start and text[end - 1] in " \n\t.,;:=\"'_-/()[]{}<>":
+        end -= 1
+    if start < end:
+        while start > least and inside.match(text[start]) and inside.match(text[start - 1]):
+            start -= 1
+        while end < most and inside.match(text[end - 1]) and inside.match(text[end]):
+            end += 1
+        while kind in (0, SECRET) and end > start and text[end - 1] in "._%+-/":
+            end -= 1
+        while kind in (0, SECRET) and start < end and text[start] in "._%+-/":
+            start += 1
+    if kind == 0:
+        return _address(text, start, end)
+    if kind == 3 and start > 0 and text[start - 1] == "(" and ")" in text[start:end]:
+        start -= 1
+    if kind == 3 and start > 0 and text[start - 1] == "+":
+        start -= 1
+    return start, end
+
+
 def _valid(kind: int, text: str, start: int, end: int) -> bool:
     found = text[start:end]
     digits = sum(c in "0123456789" for c in found)
     if kind == 0:
         # within the text: the end of a word isn't one of its own
         held = lambda sign: any(m.end() <= end for m in sign.finditer(text, start, min(len(text), end + 1)))
-        return len(found) <= LONGEST and held(_AN_AT) and held(_A_DOT)
+        return len(found) <= LONGEST and held(_AN_AT) and held(_A_DOT) and found[:1].isalnum()
     if kind == 1:
         parts = re.findall("[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(found) <= 40
     if kind == 2:
         number = re.sub("[^0-9]", "", found)
-        return 14 <= digits <= 19 and luhn(number)
+        return 14 <= digits <= 19 and luhn(number) and len(found) <= LONGEST_NUMBER
+    if kind == SECRET:
+        return 8 <= len(found) <= 64 and digits > 0 and not re.search(r"\s", found)
     return 9 <= digits <= 15 and not re.search("[A-Za-z]", found) and len(found) <= 30
 
 
@@ -254,12 +335,11 @@ class Reader:
                 kind, end = (int(tags[t]) - 1) // 2, t + 1
                 while end < len(tags) and tags[end] == 2 + 2 * kind:
                     end += 1
-                found = texts[k][a + t : a + end]
-                lead = len(found) - len(found.lstrip(" \n.,;:"))
-                found = found.strip(" \n.,;:")
-                start = a + t + lead
-                if found and _valid(kind, texts[k], start, start + len(found)):
-                    out[k].append((start, kind, start + len(found)))
+                first, last = _snapped(kind, texts[k], a + t, a + end)
+                if kind == 3 and _valid(2, texts[k], first, last):
+                    kind = 2  # as long as a card's number, with its check digit
+                if first < last and _valid(kind, texts[k], first, last) and (not out[k] or out[k][-1][2] <= first):
+                    out[k].append((first, kind, last))
                 t = end
 
 
@@ -267,16 +347,24 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-_NAMES = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+def _apart(own: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of the second list, in order, that overlap none of the first."""
+    starts, ends = [s[0] for s in own], list(accumulate((s[2] for s in own), max))
+    # of the base spans that start before a span ends, the furthest end
+    return [s for s in more if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[0]]
+
+
+_NAMES = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "secrets")
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: base counts, the digest of the base spans, and all spans."""
+    """Per row of ``docs(doc_id, text)``: base counts, the digest of the base spans, all spans, how many spans and secrets there are, and the secrets."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string"))
     if tagger is None:
         # the least hashes first, as numbers; then the texts that have them
-        hashed = docs.where("length(text) > 40").select(F.xxhash64("text").alias("h"), F.substring("text", 1, CONTEXT_CHARS).alias("text"))
+        start = F.expr(f"cast(1 + pmod(xxhash64(text, 1), greatest(length(text) - {CONTEXT_CHARS}, 0) + 1) as int)")
+        hashed = docs.where("length(text) > 40").select(F.xxhash64("text").alias("h"), F.substr("text", start, F.lit(CONTEXT_CHARS)).alias("text"))
         last = hashed.select("h").distinct().orderBy("h").limit(CONTEXT_TEXTS).agg(F.max("h")).first()[0]
         sample = hashed.where(F.col("h") <= last).dropDuplicates(["h"]) if last is not None else hashed.limit(0)
         tagger = train([r["text"] for r in sorted(sample.collect(), key=lambda r: r["h"])])
@@ -288,13 +376,16 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             added = reader.spans(texts)
-            counts, digests, shown = [[] for _ in KINDS], [], []
+            counts, digests, shown, many, hidden = [[] for _ in KINDS], [], [], [], []
             for own, more in zip(base, added, strict=True):
                 for kind, column in enumerate(counts):
                     column.append(sum(s[1] == kind for s in own))
                 digests.append(hashlib.sha256(_shown(own).encode()).hexdigest())
-                shown.append(_shown(sorted(own + [s for s in more if not any(s[0] < o[2] and o[0] < s[2] for o in own)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string())], list(_NAMES))
+                new = _apart(own, more)
+                shown.append(_shown(sorted(own + [s for s in new if s[1] != SECRET])))
+                hidden.append(",".join(f"{start}:{end}" for start, kind, end in new if kind == SECRET))
+                many.append(len(own) + len(new))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string()), pa.array(many, pa.int64()), pa.array(hidden, pa.string())], list(_NAMES))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_found long, secrets string")

@@ -8,10 +8,23 @@ import numpy as np
 CLASSES = 99
 
 
+def _alike() -> np.ndarray:
+    """Of ASCII: letters in one case, all digits as one, brackets by their side."""
+    table = np.arange(128)
+    table[ord("A") : ord("Z") + 1] += 32
+    table[ord("0") : ord("9") + 1] = ord("0")
+    for brackets, one in (("([{<", "("), (")]}>", ")")):
+        table[[ord(c) for c in brackets]] = ord(one)
+    return table
+
+
+_ALIKE = _alike()
+
+
 def classes_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.where((points >= 32) & (points < 127), points - 31, np.where(points < 32, 96, np.where(points >= 0xC0, 97, 98)))
-    return out.astype(np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    shown = (points >= 32) & (points < 127)
+    return np.where(shown, _ALIKE[np.where(shown, points, 0)] - 31, np.where(points < 32, 96, np.where(points >= 0xC0, 97, 98)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
