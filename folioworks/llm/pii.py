@@ -9,8 +9,8 @@ token or key), which have columns of their own.
 It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a digit, an ``@``
 or the word at, alone or in brackets, with a dot in reach), as far as the longest span reaches to both sides, and half a
 window more: all text that a valid span can cover. The emissions of overlapping windows are averaged by the distance to
-the window's edge, and one Viterbi search over the whole stretch settles the spans, however many windows it has. Ends are
-then set to the ends of the words or numbers that they stand in. Spans that overlap a base span, or lack what their kind
+the window's edge, raised where text has the shape of an address, and one Viterbi search over the whole stretch settles
+the spans, however many windows it has. Ends are then set to the ends of the words or numbers that they stand in. Spans that overlap a base span, or lack what their kind
 needs (digits, parts, a check digit), are not added.
 
 Places are code points, ends exclusive. Defined results: null texts are empty and hold nothing; repeated rows get equal
@@ -227,13 +227,15 @@ _SIGN = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|[\s_-]+at[\s_-]+|\s?@\s?)"
 _BETWEEN = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|[\s_-]+dot[\s_-]+|\s\.\s|\.)"
 _ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]*[A-Za-z0-9]{_SIGN}{_LABEL}(?:(?:{_BETWEEN}|\.\s){_LABEL})+", re.IGNORECASE)
 _MORE = re.compile(rf"{_BETWEEN}{_LABEL}", re.IGNORECASE)
+#: What has the shape of an address, without a full stop between sentences, and the nats by which that is likelier one.
+_SHAPED, SHAPED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]{_SIGN}{_LABEL}(?:{_BETWEEN}{_LABEL})+", re.IGNORECASE), 2.0
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int]:
     """Of a span that holds an address the address itself, and all its labels."""
-    found = _ADDRESS.search(text, start, end)
+    found = _ADDRESS.search(text, start, end) or next((m for m in _SHAPED.finditer(text, max(0, start - LONGEST), min(len(text), end + LONGEST)) if m.start() < end and start < m.end()), None)
     if not found:
-        return start, end
+        return start, start
     start, end = found.span()
     while (more := _MORE.match(text, end)) and more.end() - start <= LONGEST:
         end = more.end()
@@ -326,7 +328,11 @@ class Reader:
                 sums[s][at : at + n] += e[:n, lane] * self.weight[:n]
                 weights[s][at : at + n] += self.weight[:n]
         for (k, a, _), total, weight in zip(todo, sums, weights, strict=True):
-            tags = self.tagger.decode(total / weight)
+            scores = total / weight
+            for m in _SHAPED.finditer(texts[k], a, a + len(scores)):
+                scores[m.start() - a, 1] += SHAPED
+                scores[m.start() - a + 1 : m.end() - a, 2] += SHAPED
+            tags = self.tagger.decode(scores)
             t = 0
             while t < len(tags):
                 if tags[t] == 0:
