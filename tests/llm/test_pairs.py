@@ -129,6 +129,36 @@ def test_embeddings_are_brute_force(spark):
     assert embeddings.near_embeddings(empty).collect() == []
 
 
+@pytest.mark.parametrize("width", [700, 2048])
+def test_wide_embeddings_are_brute_force(spark, width):
+    """More dimensions than float32 adds up exactly, a pair at the threshold, clashing columns, vectors of other lengths."""
+    g = np.random.default_rng(8)
+    centres = g.standard_normal((3, width))
+    rows = [(i, [float(v) for v in centres[i % 3] + g.standard_normal(width) * g.choice([0.1, 0.27, 0.28])], "s" if i % 7 else "t") for i in range(90)]
+    rows += [(200, [1.0] + [0.0] * 9, "s"), (201, [0.93, (1 - 0.93**2) ** 0.5] + [0.0] * 8, "s"), (202, [0.929, (1 - 0.929**2) ** 0.5] + [0.0] * 8, "s")]
+    links = []
+    for (a, x, s), (b, y, t) in itertools.combinations(rows, 2):
+        if s == t and len(x) == len(y) and np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)) >= 0.93:
+            links.append((a, b))
+    want = components([r[0] for r in rows], links)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("key", F.lit(1)).withColumn("raw", F.lit("x"))
+    got = embeddings.near_embeddings(docs, tile=16).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(n, sum(n in x for x in links), c) for n, c in want.items()}
+    q, r = (g.integers(-127, 128, (8, width), dtype=np.int8) | np.int8(120) for _ in "ab")
+    assert (embeddings.products(q, r) == q.astype(int) @ r.astype(int).T).all()
+
+
+def test_few_pairs_are_computed_again():
+    """The bounds settle all pairs but those near the threshold."""
+    g = np.random.default_rng(9)
+    x = embeddings.normalised(g.standard_normal((5, 64))[g.integers(5, size=600)] + 0.3 * g.standard_normal((600, 64)))
+    tile = embeddings.quantised(x)
+    sure, opened = embeddings.tile_links(tile, tile, 0.93)
+    cosines = x @ x.T
+    assert (cosines[sure] >= 0.93).all() and (np.abs(cosines[opened] - 0.93) < 0.04).all()
+    assert len(sure[0]) + (cosines[opened] >= 0.93).sum() == (cosines >= 0.93).sum() and len(opened[0]) < 0.1 * cosines.size
+
+
 def test_quantised_bounds_hold():
     g = np.random.default_rng(5)
     x, y = (embeddings.normalised(g.standard_normal((200, 24)) * np.exp(3 * g.standard_normal((200, 24)))) for _ in "ab")
