@@ -17,17 +17,20 @@ Steps
    a node with too few of them to link is done. What is left is counted once more, each node once, so that copies
    don't make a shingle look shared.
 3. Each chunk makes the prefixes of the nodes that can still link.
-4. Each prefix shingle elects the node with the fewest shingles of its own. Only pairs with an elected node are
-   compared first, as many rows as prefix shingles; what they join into components needs no pairs any more. Only pairs
+4. Each prefix shingle elects the node with the fewest shingles of its own. Only pairs with an elected node come
+   first, as many rows as prefix shingles. Those that share no prefix member under the second and third order are done;
+   the sets of the others are intersected; what links into components needs no pairs any more. Only pairs
    of one prefix shingle, in different components, follow, and only if they could share enough: what two nodes share
    inside the elected one is at most the lesser of what either shares with it, and outside at most the lesser of
-   their other shared shingles. So a group of near copies hardly costs more rows than it has members, and every link
+   their other shared shingles (of a pair that the orders dropped only that it shares too few to link). So a group of near copies hardly costs more rows than it has members, and every link
    between components is still found.
 5. Components by alternating stars.
 
 Defined results: null ids keep their row, and are ignored as the least id of a component (null if it has no other);
 null texts count as empty; repeated rows are copies of each other; more columns are ignored. An empty table gives no
-rows. Hashes have 64 bits within a document and 42 to 48 between documents, in place of the shingles' strings.
+rows. Columns may have any name. Hashes have 64 bits within a document and 42 or more between documents, in place of the
+shingles' strings: 32, and as many as there are ranges of hashes, of which there is one for each ``BUCKET_SHINGLES``
+shingles of the documents (2 ** 20 at most).
 """
 
 from __future__ import annotations
@@ -42,9 +45,11 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import connected_components
-from .stage import conf_int, cut
+from .stage import cut
 
 PERCENT = 80
+#: Shingles of all documents that one task counts at a time, of some six bytes each.
+BUCKET_SHINGLES, LEAST_BITS, MOST_BITS = 1 << 18, 10, 20
 _U = np.uint64
 _BINARY = pa.large_binary()
 
@@ -122,12 +127,13 @@ def _scatter(bits: int, sets):
                 serial += 1
                 tokens = np.concatenate([x for _, x in kept.values()])
                 refs = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for _, x in kept.values()])
-                bucket = (tokens >> _U(32)).astype(np.uint16)
+                bucket = (tokens >> _U(32)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 tokens, refs, bucket = tokens[order], refs[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
+                held, first = np.unique(bucket, return_index=True)
+                spans = zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)
                 rows = [(serial % (1 << bits), serial, b"".join(kept), np.array([n for n, _ in kept.values()], np.uint32).tobytes(), _NODES)]
-                rows += [(b, serial, _pack(tokens[i:j]), _pack_refs(refs[i:j]), None) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+                rows += [(b, serial, _pack(tokens[i:j]), _pack_refs(refs[i:j]), None) for b, i, j in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
 
     return scatter
@@ -215,10 +221,12 @@ def shingle_nodes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_sets_of, f"doc_id {kind}, node binary, n long")
 
 
-def candidate_nodes(docs: DataFrame) -> DataFrame:
-    """The nodes that can link with another one, once each, with their prefixes under the three orders."""
-    spark = docs.sparkSession
-    bits = int(min(16, max(10, np.ceil(np.log2(4 * conf_int(spark, "spark.sql.shuffle.partitions", 200))))))
+def candidate_nodes(docs: DataFrame, shingles: int) -> DataFrame:
+    """The nodes that can link with another one, once each, with their prefixes under the three orders.
+
+    ``shingles`` is the number of shingles of all documents.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (shingles // BUCKET_SHINGLES).bit_length()))
     blobs = docs.select(F.col("text").cast("string")).mapInArrow(_scatter(bits, _texts), _BLOBS)
     shared = blobs.groupBy("bucket").applyInArrow(_spread, _BLOBS)
     sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]))
@@ -230,23 +238,26 @@ def candidate_nodes(docs: DataFrame) -> DataFrame:
 _ENOUGH = f"{100 + PERCENT} * {{shared}} >= {PERCENT} * (n_a + n_b)"
 
 
+_FILTERED = "arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b)"
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with sizes, the number of shared shingles, and whether they link.
+    """Pairs (a, b) with whether they link, and the most shingles that they share: exact if the filters let them be compared.
 
-    To link, they must share prefix shingles under the other orders too.
+    To link, they must share prefix shingles under the other orders too; only then their sets are intersected.
     """
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "members", "second", "third")))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    both = both.withColumn("shared", F.size(F.array_intersect("members_a", "members_b")))
-    links = F.expr("arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b) and " + _ENOUGH.format(shared="shared"))
-    return both.select("a", "b", "shared", links.alias("links"))
+    both = both.withColumn("shared", F.when(F.expr(_FILTERED), F.size(F.array_intersect("members_a", "members_b"))))
+    links = F.coalesce(F.expr(_ENOUGH.format(shared="shared")), F.lit(False))
+    return both.select("a", "b", "shared", F.expr(f"cast(ceil({PERCENT} * (n_a + n_b) / {100 + PERCENT}.0) - 1 as int)").alias("too_few"), links.alias("links"))
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that link: all filters come before the sets are compared."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "members", "second", "third")))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    both = both.where("arrays_overlap(second_a, second_b) and arrays_overlap(third_a, third_b)")
+    both = both.where(_FILTERED)
     return both.where(_ENOUGH.format(shared="size(array_intersect(members_a, members_b))")).select("a", "b")
 
 
@@ -262,9 +273,12 @@ def node_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     placed = posts.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     placed = placed.join(mixed, "token", "left_semi").join(elected, "token")
-    inside = near.select(F.col("a").alias("node"), F.col("b").alias("centre"), "shared")
-    placed = placed.join(inside, ["node", "centre"], "left").withColumn("inside", F.when(F.col("node") == F.col("centre"), F.col("m")).otherwise(F.col("shared")))
-    placed = cut(placed.select("token", "node", "n", "root", "inside", (F.col("m") - F.col("inside")).alias("outside")).join(nodes.select("node", "first"), "node"))
+    seen = near.select(F.col("a").alias("node"), F.col("b").alias("centre"), "shared", "too_few")
+    placed = placed.join(seen, ["node", "centre"], "left")
+    own = F.col("node") == F.col("centre")
+    placed = placed.withColumn("inside", F.when(own, F.col("m")).otherwise(F.coalesce("shared", F.least("m", "too_few"))))
+    placed = placed.withColumn("outside", F.when(own | F.col("shared").isNotNull(), F.col("m") - F.col("inside")).otherwise(F.col("m")))
+    placed = cut(placed.select("token", "node", "n", "root", "inside", "outside").join(nodes.select("node", "first"), "node"))
     side = lambda x: placed.select(*(F.col(c).alias(f"{c}_{x}") for c in placed.columns))
     could = _ENOUGH.format(shared="(least(inside_a, inside_b) + least(outside_a, outside_b))")
     # a pair counts once, at the least shingle that its prefixes share
@@ -277,10 +291,14 @@ def node_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return links, connected_components(links, "a", "b")
 
 
+def _total(rows: DataFrame) -> int:
+    return rows.agg(F.sum("n")).first()[0] or 0
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``; see the module for every case."""
     rows = cut(shingle_nodes(docs))
-    _, parts = node_links(candidate_nodes(docs))
+    _, parts = node_links(candidate_nodes(docs, _total(rows)))
     placed = rows.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left").withColumn("root", F.coalesce("root", "node"))
     placed = cut(placed.select("doc_id", "n", "root"))
     least = cut(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").select(F.col("root").alias("least_root"), "least"))
@@ -298,8 +316,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     digest = F.md5(F.col("text").cast("binary"))
     # a row is named by its id and its text
     named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
-    rows = cut(shingle_nodes(named).where("doc_id.doc_id is not null and node is not null").select("doc_id.*", "node").distinct())
-    _, parts = node_links(candidate_nodes(docs.select("text")))
+    found = cut(shingle_nodes(named).select("doc_id.*", "node", "n"))
+    rows = cut(found.where("doc_id is not null and node is not null").drop("n").distinct())
+    _, parts = node_links(candidate_nodes(docs.select("text"), _total(found)))
     placed = rows.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left").withColumn("root", F.coalesce("root", "node"))
     stands = placed.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     stands = cut(stands.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")))
