@@ -196,3 +196,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.count() == len(docs.select("doc_id", "copy").distinct().collect())
     size = sum(len(re.findall(BLANK, t)) for t in before.values())
     assert abs(sum(x["size"] for x in docs.collect()) - size) < 0.25 * size
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated ids with other texts, repeated rows, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["th", "on", "er", "an", "re", "ing"]) for _ in range(r.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n)) + "."
+    item, shared = text(30), text(90)
+    rows = [(i, text(120), "en", f"s{i % 2}", 7, i, "x") for i in range(30)]
+    rows += [(None, text(80), "en", None, 7, 1, "x"), (None, text(60) + " " + item, None, "s0", 7, 2, "y"), (40, text(50), None, "s1", 7, 3, None), (40, shared, "en", "s1", 7, 4, None)]
+    rows += [(41, shared + " " + text(4), "en", "s1", 7, 5, None)] + [(42, text(70), "en", "s0", 7, 6, "z")] * 2 + [(43, None, "en", "s0", None, 7, None), (44, "", None, None, 0, 8, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy long, digest string"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, table in (("full", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(table, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, str(folder))
+            assert out.columns[:7] == docs.columns[:7]
+            out.write.parquet(str(folder / stage))
+            docs = spark.read.parquet(str(folder / stage))
+            got = [(x.doc_id, x.text) for x in docs.collect()]
+            if not table:
+                assert got == []
+            elif k == 0:
+                assert {x.lang for x in docs.collect()} == {"en"} and len(got) == len(rows) - 2
+            elif k == 1:
+                assert sum(t == shared for _, t in got) == 1 and len(got) == len(rows) - 2 and {t for d, t in got if d == 42} == {rows[-4][1]}
+            elif k == 2:
+                assert sum(d == 42 for d, _ in got) == 1 and sum(d is None for d, _ in got) == 2 and sum(d == 40 for d, _ in got) == 2
+            elif k == 3:
+                assert not any(item in t for _, t in got) and sum(d is None for d, _ in got) == 1
+    assert set(docs.columns) == {*schema.replace(",", "").split()[::2], "size", "source_size", "target", "taken"}
