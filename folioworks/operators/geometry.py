@@ -125,6 +125,27 @@ def beaten(boxes: DataFrame, winners: DataFrame, on: list[str], key: str, condit
     return page_pairs(boxes, winners, on, condition).select(*on, key).distinct()
 
 
+def resolve_blocks(blocks: DataFrame, discarded: DataFrame, on: list[str], key: str, page_w: Column, page_h: Column) -> DataFrame:
+    """[W11] Blocks ``(on, key, kind, box)`` less those that others overrule, in this order: titles that a text meets (IoU
+    above 0.8), blocks mostly on a discarded one (0.6), texts that a display equation meets (0.8), and blocks below a
+    footnote that covers 0.8 of them in x; footnotes are discarded blocks of some size low on the page."""
+    out = lambda rows, lost: rows.join(lost, [*on, key], "left_anti")
+    kind = lambda rows, k: rows.where(F.col("kind") == k)
+    rows = out(blocks, beaten(kind(blocks, "title"), kind(blocks, "text"), on, key, lambda a, b: iou(a, b) > 0.8))
+    rows = out(rows, beaten(rows, discarded, on, key, lambda a, b: overlap_of_first(a, b) > 0.6))
+    rows = out(rows, beaten(kind(rows, "text"), kind(rows, "interline_equation"), on, key, lambda a, b: iou(a, b) > 0.8))
+    notes = discarded.where(footnotes(None, page_w, page_h))
+    return out(rows, beaten(rows, notes, on, key, lambda a, b: (a.y0 >= b.y1) & (x_overlap(a, b) >= 0.8)))
+
+
+def spans_in_blocks(spans: DataFrame, blocks: DataFrame, discarded: DataFrame, on: list[str], key: str) -> DataFrame:
+    """[W12] Spans ``(on, key, type, box)`` that a discarded block covers by 0.4, or a block of their kind by 0.5: images and
+    tables their bodies, anything else any other block."""
+    wanted = F.when(F.col("type") == "image", F.col("kind_b") == "image_body").when(F.col("type") == "table", F.col("kind_b") == "table_body").otherwise(~F.col("kind_b").isin("image_body", "table_body"))
+    kept = beaten(spans, discarded, on, key, lambda a, b: overlap_of_first(a, b) > 0.4).union(beaten(spans, blocks, on, key, lambda a, b: (overlap_of_first(a, b) > 0.5) & wanted))
+    return spans.join(kept.distinct(), [*on, key], "left_semi")
+
+
 def footnotes(blocks: DataFrame, page_w: Column, page_h: Column) -> Column:
     """Wide enough, tall enough, and low on the page."""
     b = Box()

@@ -30,9 +30,9 @@ def low_contrast(std: Column, mean: Column) -> Column:
 
 def span_fits_block(span_type: Column, block_type: Column) -> Column:
     """Which kinds of spans a block takes."""
-    # Kinds of text blocks, and the spans that they hold.
-    textual = ("text", "title", "list", "index", "image_caption", "image_footnote", "table_caption", "table_footnote")
-    return F.when(block_type.isin(*textual), span_type.isin("text", "inline_equation")).when(block_type == "interline_equation", span_type.isin("interline_equation", "text")).when(block_type == "image_body", span_type == "image").when(block_type == "table_body", span_type == "table").otherwise(False)
+    # Kinds of blocks that hold text, and the spans that the others hold.
+    textual = ("text", "title", "image_caption", "image_footnote", "table_caption", "table_footnote", "discarded")
+    return F.when(span_type.isin("text", "inline_equation"), block_type.isin(*textual)).when(span_type == "interline_equation", block_type.isin("interline_equation", "text")).when(span_type == "image", block_type == "image_body").when(span_type == "table", block_type == "table_body").otherwise(False)
 
 
 def parse_mode(pages: DataFrame, doc: str) -> DataFrame:

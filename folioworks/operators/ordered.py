@@ -167,16 +167,18 @@ def caption_by_distance(rows: DataFrame, on: list[str], factor: float = 3.0) ->
     return _per_group(rows, on, run, _typed(rows, on, "caption int, body int"))
 
 
-def greedy_one_to_one(scores: DataFrame, doc: str, least: float = 0.6) -> DataFrame:
-    """[J18] Pairs by falling score, each side once; ties by table and block. ``least`` is 0.45 for noisy blocks."""
+def greedy_one_to_one(scores: DataFrame, doc: str, least: float = 0.6, least_noisy: float = 0.45) -> DataFrame:
+    """[J18] Tables in order, each to the best block that none before it took (the first of equals), if the score is enough:
+    less is asked of a ``noisy`` block, where the scores have that column. A score of 0 is none."""
 
     def run(rows: list[dict]) -> list[dict]:
-        left, right, keep = set(), set(), []
-        for r in sorted((r for r in rows if r["score"] >= least), key=lambda r: (-r["score"], r["table_ix"], r["block_ix"])):
-            if r["table_ix"] not in left and r["block_ix"] not in right:
-                left.add(r["table_ix"])
-                right.add(r["block_ix"])
-                keep.append(r)
+        taken, keep = set(), []
+        for t in sorted({r["table_ix"] for r in rows}):
+            free = [r for r in rows if r["table_ix"] == t and r["block_ix"] not in taken and r["score"] > 0]
+            best = min(free, key=lambda r: (-r["score"], r["block_ix"]), default=None)
+            if best and best["score"] >= (least_noisy if best.get("noisy") else least):
+                taken.add(best["block_ix"])
+                keep.append(best)
         return keep
 
     return _per_group(scores, [doc], run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .refs import matches
+from .refs import matches, stripped
 
 CELLS = "array<array<string>>"
 
@@ -192,16 +192,19 @@ def arbitration(stats: DataFrame) -> DataFrame:
 def replace_blocks(lines: DataFrame, doc: str, placed: DataFrame, loose: DataFrame) -> DataFrame:
     """[C24] Matched blocks replaced by their tables; unmatched tables follow the last replaced one, or the text.
 
-    ``lines(doc, line, content)``, ``placed(doc, first, last, markdown)``, ``loose(doc, table_ix, markdown)``.
+    ``lines(doc, line, content)``, ``placed(doc, first, last, markdown)``, ``loose(doc, table_ix, markdown)``; returns the
+    text, stripped and with a line break at its end, and how many tables were replaced and appended.
     """
-    spans = placed.select(doc, "first", "last", "markdown")
-    covered = lines.join(spans.select(doc, "first", "last"), doc, "left").groupBy(doc, "line", "content").agg(F.bool_or(F.coalesce(F.col("line").between(F.col("first"), F.col("last")), F.lit(False))).alias("gone"))
-    kept = covered.where("not gone").select(doc, F.col("line").cast("double").alias("at"), F.lit(0).alias("sub"), "content")
-    tables = spans.select(doc, F.col("first").cast("double").alias("at"), F.lit(0).alias("sub"), F.col("markdown").alias("content"))
-    ends = lines.groupBy(doc).agg(F.max("line").alias("end")).join(spans.groupBy(doc).agg(F.max("first").alias("after")), doc, "left")
-    more = loose.join(ends, doc).select(doc, F.coalesce("after", "end").cast("double").alias("at"), (F.col("table_ix") + 1).alias("sub"), F.col("markdown").alias("content"))
-    rows = kept.unionByName(tables).unionByName(more)
-    return rows.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "sub", "content"))), lambda r: r["content"]), "\n").alias("text"), F.count_if(F.col("sub") > 0).alias("appended"))
+    spans = F.collect_list(F.struct("first", "last", "markdown"))
+    held = lines.join(placed.groupBy(doc).agg(spans.alias("spans"), F.max("first").alias("after")), doc, "left")
+    own = F.get(F.filter(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int,markdown:string>>")), lambda s: F.col("line").between(s["first"], s["last"])), F.lit(0))
+    content = F.when(own.isNull(), F.col("content")).when(own["first"] == F.col("line"), own["markdown"])
+    kept = held.select(doc, F.col("line").cast("int").alias("at"), F.lit(0).alias("sub"), content.alias("content"), "after", F.size(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int,markdown:string>>"))).alias("replaced"))
+    ends = kept.groupBy(doc).agg(F.max("at").alias("end"), F.max("after").alias("after"), F.max("replaced").alias("replaced"))
+    more = loose.join(ends, doc).select(doc, F.coalesce("after", "end").alias("at"), (F.col("table_ix") + 1).alias("sub"), F.col("markdown").alias("content"), "after", "replaced")
+    rows = kept.where("content is not null").unionByName(more)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "sub", "content"))), lambda r: r["content"]), "\n")
+    return rows.groupBy(doc).agg(F.concat(stripped(text), F.lit("\n")).alias("text"), F.max("replaced").alias("replaced"), F.count_if(F.col("sub") > 0).alias("appended"))
 
 
 def row_groups(cells: DataFrame, on: list[str], gap: float = 10.0) -> DataFrame:
