@@ -6,8 +6,8 @@ templates (plain and disguised forms, and look-alikes that aren't personal data)
 the corpus (``CONTEXT_TEXTS`` texts, a piece from a hashed place of each). It also tags secrets (the value of a password,
 token or key), which have columns of their own.
 
-It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a digit, an ``@``
-or the word at, alone or in brackets, with a dot in reach), as far as the longest span reaches to both sides, and half a
+It reads overlapping windows of ``WINDOW`` characters around every place that a span must hold one of (a digit, or an ``@``
+or the word at, alone or in brackets, that two labels with a dot between them follow), as far as the longest span reaches to both sides, and half a
 window more: all text that a valid span can cover. The emissions of overlapping windows are averaged by the distance to
 the window's edge, raised where text has the shape of an address, and one Viterbi search over the whole stretch settles
 the spans, however many windows it has. Ends are then set to the ends of the words or numbers that they stand in. Spans that overlap a base span, or lack what their kind
@@ -197,10 +197,8 @@ def _reach(text: str, m: re.Match) -> tuple[int, int]:
     """The range of the valid spans that hold a trigger; empty if there can be none."""
     if "0" <= m.group()[0] <= "9":
         return m.start() - LONGEST_NUMBER, m.end() + LONGEST_NUMBER
-    a, b = m.end() - LONGEST, m.start() + LONGEST
-    # an address holds a dot as well
-    dots = [(d.start(), d.end()) for d in _A_DOT.finditer(text, max(0, a), min(len(text), b))]
-    return min((max(m.end(), e) - LONGEST for _, e in dots), default=0), max((min(m.start(), s) + LONGEST for s, _ in dots), default=0)
+    # an address goes on with labels and a dot between them
+    return (m.end() - LONGEST, m.start() + LONGEST) if _GOES_ON.match(text, m.end()) else (0, 0)
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
@@ -227,6 +225,8 @@ _SIGN = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|[\s_-]+at[\s_-]+|\s?@\s?)"
 _BETWEEN = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|[\s_-]+dot[\s_-]+|\s\.\s|\.)"
 _ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]*[A-Za-z0-9]{_SIGN}{_LABEL}(?:(?:{_BETWEEN}|\.\s){_LABEL})+", re.IGNORECASE)
 _MORE = re.compile(rf"{_BETWEEN}{_LABEL}", re.IGNORECASE)
+#: What follows the sign of all that is taken for an address.
+_GOES_ON = re.compile(rf"\s*[\])}}>]?[\s_-]*{_LABEL}(?:{_BETWEEN}|\.\s){_LABEL}", re.IGNORECASE)
 #: What has the shape of an address, without a full stop between sentences, and the nats by which that is likelier one.
 _SHAPED, SHAPED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]{_SIGN}{_LABEL}(?:{_BETWEEN}{_LABEL})+", re.IGNORECASE), 2.0
 
