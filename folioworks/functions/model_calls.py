@@ -33,11 +33,27 @@ def with_retry(fn: ModelFn, prompt: str, model: str, waits: tuple[float, ...] =
     raise AssertionError
 
 
-def call_model(requests: DataFrame, cache: DataFrame, fn: ModelFn, model: str, params: str = "", waits: tuple[float, ...] = BACKOFF) -> tuple[DataFrame, DataFrame]:
-    """[J11] ``requests(prompt, ...)`` with their ``response``, and the cache rows to be appended.
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept: in the folder of ``spark.checkpoint.dir``, or by a local session in memory and on disk."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder:
+            kept = df.persist()
+            kept.count()
+            return kept
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
-    Distinct prompts that ``cache(cache_key, response)`` lacks, or holds an error for, are called once each. The new
-    rows should be written before they are read twice, so that no call is made twice.
+
+def call_model(requests: DataFrame, cache: DataFrame, fn: ModelFn, model: str, params: str = "", waits: tuple[float, ...] = BACKOFF, in_flight: int = 8) -> tuple[DataFrame, DataFrame]:
+    """[J11][Q11] ``requests(prompt, ...)`` with their ``response``, and the cache rows to be appended.
+
+    Distinct prompts that ``cache(cache_key, response)`` lacks, or holds an error for, are called once each, at most
+    ``in_flight`` of them at a time. The calls are made here, and their replies kept, so that reading either result, or
+    both, calls nothing again.
     """
     keyed = requests.withColumn("cache_key", cache_key(F.col("prompt"), F.lit(model), F.lit(params)))
     good = cache.where(~F.startswith("response", F.lit("[ERROR"))).select("cache_key", "response").dropDuplicates(["cache_key"])
@@ -47,5 +63,5 @@ def call_model(requests: DataFrame, cache: DataFrame, fn: ModelFn, model: str, p
         for pdf in batches:
             yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": [with_retry(fn, p, model, waits) for p in pdf["prompt"]]})
 
-    fresh = missing.mapInPandas(call, "cache_key string, response string")
+    fresh = settled(missing.repartition(in_flight, "cache_key").mapInPandas(call, "cache_key string, response string"))
     return keyed.join(good.unionByName(fresh), "cache_key", "left"), fresh

@@ -128,3 +128,28 @@ def page_range(page: Column, first: Column, last: Column, n_pages: Column) -> Co
     """[S15] Whether a 0-based page is in the inclusive range; a null or negative end means the last page."""
     end = F.when(last.isNull() | (last < 0) | (last > n_pages - 1), n_pages - 1).otherwise(last)
     return page.between(F.coalesce(first, F.lit(0)), end)
+
+
+# How files of some kinds of code begin, or what only they hold; the first that fits counts.
+CODE = (
+    ("html", r"(?i)^\s*(<!doctype html|<html)"), ("xml", r"^\s*<\?xml"), ("json", r"(?s)^\s*[\[{]\s*(\"[^\"\n]*\"\s*[:,\]]|[\]}])"), ("shell", r"^#!.*\b(ba|z)?sh\b"),
+    ("python", r"(?m)^#!.*\bpython|^\s*(def \w+\(.*\).*:|class \w+.*:|from [\w.]+ import |import \w+$)"), ("c", r"(?m)^\s*#\s*include\s*[<\"]"), ("java", r"(?m)^\s*(public\s+)?(final\s+)?(class|interface)\s+\w+.*\{"),
+    ("sql", r"(?i)^\s*(select\b.*\bfrom|insert\s+into|create\s+(table|view))\b"), ("javascript", r"(?m)^\s*(const|let|var)\s+\w+\s*=|^\s*function\s+\w+\s*\("),
+)
+
+
+def code_language(x: Column) -> Column:
+    """[C14] The kind of a piece of code by its marks, where no model is plugged in; ``txt`` if none fits."""
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(CODE):
+        found = F.when(x.rlike(pattern), name).otherwise(found)
+    return F.coalesce(found, F.lit("txt"))
+
+
+def suffix_guess(content: Column, path: Column) -> Column:
+    """[C14] A file's suffix by its first bytes, else by its text; what looks like html or has a drawing's name is a pdf if
+    it is named one and begins like one."""
+    by_bytes = magic_type(content)
+    text = code_language(F.decode(F.substring(content, 1, 2_000), "ISO-8859-1"))
+    named = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)) == "pdf"
+    return F.when(named & (F.hex(F.substring(content, 1, 4)) == "25504446"), "pdf").otherwise(F.coalesce(by_bytes, text))

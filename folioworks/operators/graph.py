@@ -104,8 +104,12 @@ def sample_chains(chained: DataFrame, n: int, seed: str) -> DataFrame:
 
 def round_robin(items: DataFrame, item: str, n: int, seed: str) -> DataFrame:
     """[G10] n rows that go round the shuffled items; ``variant`` counts the rounds."""
-    w = Window.orderBy(drawn(F.col(item), seed))
-    listed = items.select(item, (F.row_number().over(w) - 1).alias("at"))
+    # places by two steps, so that no task sorts all items: ranges of draws, and places within them
+    draws = items.select(item, drawn(F.col(item), seed).alias("draw")).withColumn("bucket", F.substring(F.col("draw").cast("string"), 1, 3))
+    starts = draws.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = starts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("draw"))
+    listed = draws.withColumn("own", own).join(starts, "bucket").select(item, (F.col("start") + F.col("own") - 1).alias("at"))
     length = items.agg(F.count("*").alias("len"))
     turns = items.sparkSession.range(n).withColumnRenamed("id", "i").crossJoin(F.broadcast(length))
     turns = turns.withColumn("at", F.col("i") % F.col("len")).join(listed, "at")

@@ -10,7 +10,7 @@ from ..operators import layout as L
 from ..operators import ordered as O
 from ..operators import tables as T
 from ..sources.tables import lines, table
-from .pages import ON, boxes
+from .pages import _AA, _AC, _E, _I, ON, boxes
 from .pages import ORACLES as _PAGES
 from .retrieval import LINES
 
@@ -145,7 +145,7 @@ def content_list(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc", "pos", "type", "text_level", F.array_join(F.transform("bbox", lambda b: b.cast("string")), ",").alias("bbox"), F.size("captions").alias("n_captions"))
 
 
-# Order-dependent operators: rows only, tested on their own.
+# Order-dependent operators: their SQL folds the pairs of a page in order.
 
 
 def sequential_nms(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,6 +217,10 @@ _K = _B + """, k as (select page as doc, pos, case kind when 'R' then 'title' wh
   case when pos % 3 = 0 then 'note' else '' end as note, x0, y0, x1, y1 from b)
 """
 
+# The places that go, by folding ordered pairs of (first, second, loser or 0) of which both are still there.
+_GONE = "list_reduce(ps, lambda acc, p: case when p[3] > 0 and not list_contains(acc, p[1]) and not list_contains(acc, p[2]) then list_append(acc, p[3]) else acc end, []::int[])"
+_IOU = f"{_I} / ({_AA} + {_AC} - {_I})"
+
 ORACLES = {
     "para_merge": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
 o as (select doc_id, n, regexp_replace(t, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') as own, lead(t) over (partition by doc_id order by n) as nx from l),
@@ -270,4 +274,26 @@ select page, pos, kind <> 'R' and count(*) filter (kind <> 'R') over w > 1 and b
 select doc, md5(string_agg(m, chr(10) || chr(10) order by pos)) as markdown_md5 from m group by doc""",
     "content_list": _K + """select doc, pos, case kind when 'title' then 'text' else kind end as type, case when kind = 'title' and level > 0 then least(level, 4) end as text_level,
   trunc(x0 * 1000 / 900)::int || ',' || trunc(y0 * 1000 / 700)::int || ',' || trunc(x1 * 1000 / 900)::int || ',' || trunc(y1 * 1000 / 700)::int as bbox, (cap <> '')::int as n_captions from k""",
+    "sequential_nms": _B + f""", p as (select a.page, list([a.pos, c.pos, case when {_IOU} > 0.2::double then case when a.score < c.score then a.pos else c.pos end else 0 end] order by a.pos, c.pos) as ps
+  from b a join b c on a.page = c.page and a.pos < c.pos group by a.page),
+g as (select page, {_GONE} as gone from p) select b.* from b left join g using (page) where not coalesce(list_contains(gone, pos), false)""",
+    "smaller_spans": _B + f""", p as (select a.page, list([a.pos, c.pos, case when {_I} / least({_AA}, {_AC}) > 0.65::double then case when {_AA} <= {_AC} then a.pos else c.pos end else 0 end] order by a.pos, c.pos) as ps
+  from b a join b c on a.page = c.page and a.pos < c.pos group by a.page),
+g as (select page, {_GONE} as gone from p) select b.* from b left join g using (page) where not coalesce(list_contains(gone, pos), false)""",
+    "containers": _B + f""", i as (select a.page, a.pos, list(c.pos) filter ({_AC} < {_AA} and {_I} / ({_AC}) > 0.8::double) as inner_pos from b a join b c on a.page = c.page group by a.page, a.pos),
+p as (select page, list([pos] order by pos) as ps, map(list(pos), list(score)) as score, map(list(i.pos), list(coalesce(inner_pos, []))) as inners from b join i using (page, pos) group by page),
+g as (select page, list_reduce(ps, lambda acc, k: case when list_contains(acc, k[1]) or len(list_filter(inners[k[1]], lambda x: not list_contains(acc, x))) < 2 then acc
+  when score[k[1]] > list_avg(list_transform(list_filter(inners[k[1]], lambda x: not list_contains(acc, x)), lambda x: score[x])) then list_concat(acc, list_filter(inners[k[1]], lambda x: not list_contains(acc, x))) else list_append(acc, k[1]) end, []::int[]) as gone from p)
+select b.* from b join g using (page) where not list_contains(gone, pos)""",
+    "captions_by_distance": _B + f""", d as (select a.page, a.pos as i, c.pos as j, {_E} as d from b a join b c on a.page = c.page where a.kind = 'N' and c.kind <> 'N'),
+m as (select *, min(d) over (partition by page, i) as nearest, row_number() over (partition by page, i order by d, j) as k from d),
+p as (select page, list([i, j, (d <= 3 * nearest + 1e-9::double)::int] order by d, i, j) as ps from m group by page),
+g as (select page, list_reduce(ps, lambda acc, x: case when x[3] = 1 and not list_contains(list_transform(acc, lambda y: y // 100), x[1]) and not list_contains(list_transform(acc, lambda y: y % 100), x[2]) then list_append(acc, x[1] * 100 + x[2]) else acc end, []::int[]) as taken from p)
+select page, i as caption, coalesce(list_filter(taken, lambda y: y // 100 = i)[1] % 100, j)::int as body from m join g using (page) where k = 1""",
+    "block_matches": LINES + """, s as (select l_orderkey as doc, l_linenumber::int as t, (l_partkey % 5)::int as b, (l_partkey % 11) / 10.0::double as score from lines),
+p as (select doc, list([t, b] order by t) as ps, map(list(t), list(score)) as score from s group by doc),
+g as (select doc, list_reduce(ps, lambda acc, x: case when score[x[1]] >= 0.6::double and not list_contains(list_transform(acc, lambda y: y % 100), x[2]) then list_append(acc, x[1] * 100 + x[2]) else acc end, []::int[]) as kept from p)
+select doc, t as table_ix, b as block_ix, score from s join g using (doc) where list_contains(kept, t * 100 + b)""",
+    "grid_occupancy": LINES + """ select l_orderkey * 10 + l_linenumber as table_id, r0, r1, c0, c1, coalesce(text, l_returnflag) as text, header from lines, (values (0, 0, 0, 1, 'a', false), (0, 1, 2, 2, null, false), (1, 1, 0, 0, 'c', true), (1, 1, 1, 1, 'd', false)) v(r0, r1, c0, c1, text, header)""",
+    "otsl_html": LINES + """ select l_orderkey * 10 + l_linenumber as table_id, '<table><tr><th colspan="2">a</th></tr><tr><td rowspan="2">' || l_returnflag || '</td><td>b</td></tr><tr><td></td></tr></table>' as html from lines""",
 }

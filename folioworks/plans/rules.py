@@ -232,10 +232,21 @@ def ocr_parts(spark: SparkSession, sf: str) -> DataFrame:
     return I.layout_parts(rows, ON)["ocr"].select("page", "pos")
 
 
+_CODE = ("<!DOCTYPE html><p>", '{"a": 1}', "#!/bin/bash\nls", "import os\nx = 1", "#include <a.h>", "public class A {", "select a from b", "const x = 1", "plain words", "<?xml version='1'?>")
+
+
+def code_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """[C14]"""
+    code = _choice(_CODE, F.col("l_partkey"))
+    content = F.concat(F.when(F.col("l_suppkey") % 3 == 0, F.lit("%PDF-1.7")).otherwise(""), code).cast("binary")
+    path = F.when(F.col("l_suppkey") % 2 == 0, "a/b.PDF").otherwise("a/b.html")
+    return lines(spark, sf).select("l_orderkey", "l_linenumber", X.code_language(code).alias("code"), X.suffix_guess(content, path).alias("suffix"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts,
+        code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts,
         index_runs, nearer_figures, replaced_tables, paragraph_kinds, paragraph_islands, title_levels, table_shapes, table_texts, enqueued_tasks, text_cleaners, vertical_lines, retry_waits, selected_pages, ocr_parts,
     )
 }
@@ -246,7 +257,10 @@ _N = _B + """, k as (select page, pos, x0 % 60 as x0, y0 % 40 + case when kind =
 _OF = f"{_I} / ({_AA})"
 _IOU = f"{_I} / ({_AA} + {_AC} - {_I})"
 
+_KINDS = "(['html', 'json', 'shell', 'python', 'c', 'java', 'sql', 'javascript', 'txt', 'xml'])[l_partkey % 10 + 1]"
+
 ORACLES = {
+    "code_kinds": LINES + f" select l_orderkey, l_linenumber, {_KINDS} as code, case when l_suppkey % 3 = 0 then 'pdf' else {_KINDS} end as suffix from lines",
     "confident_boxes": _B + " select page, pos from b where score > 0.3::double and pos % 4 <> 0 and x1 > x0 and y1 > y0",
     "unreleased_items": "select o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 3 <> 0",
     "char_spans": LINES + f""", l as (select l_orderkey as page, l_linenumber::int as pos, l_partkey::int as p, l_suppkey::int as s from lines),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,23 @@ def resume_stream(spark: SparkSession, folder: str, schema: str, work, checkpoin
     """[Q10] Each file of a folder is worked on once, whatever stops in between: the checkpoint knows what is done."""
     rows = work(spark.readStream.schema(schema).parquet(folder))
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+
+
+def poll(claim: Callable[[], list], work: Callable[[object], None], idle: Callable[[int], float | None], sleep: Callable[[float], None] = time.sleep) -> int:
+    """[Q8] A worker's loop: claim tasks, work on each, and wait ``idle(empty rounds)`` seconds when there are none; ends, and
+    returns the number of tasks, once that is None. A task that fails is left to its owner: the loop goes on."""
+    done = empty = 0
+    while True:
+        tasks = claim()
+        for task in tasks:
+            try:
+                work(task)
+                done += 1
+            except Exception:  # any failure of a task
+                continue
+        empty = 0 if tasks else empty + 1
+        if not tasks:
+            wait = idle(empty)
+            if wait is None:
+                return done
+            sleep(wait)

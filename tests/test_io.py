@@ -72,3 +72,17 @@ def test_stream_equals_batch(spark, tmp_path):
         if x.task_id not in got or x.applied + x.refused > got[x.task_id][2] + got[x.task_id][3]:
             got[x.task_id] = tuple(x)[1:]
     assert got == want
+
+
+def test_poll_loop():
+    from folioworks.streaming.tasks import poll
+
+    queue, waits, seen = [[1, 2], [], ["bad"], []], [], []
+
+    def work(task):
+        if task == "bad":
+            raise ValueError
+        seen.append(task)
+
+    done = poll(lambda: queue.pop(0) if queue else [], work, lambda empty: None if empty == 2 else 0.5 * empty, waits.append)
+    assert done == 2 and seen == [1, 2] and waits == [0.5, 0.5]
