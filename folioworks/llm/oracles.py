@@ -114,4 +114,34 @@ select m.vec_id, count(l.b) as n_links, any_value(comp.c) as component_id, any_v
 from embeddings m join comp on comp.x = m.vec_id left join links l on l.a = m.vec_id group by m.vec_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10}
+BASE_LICENSES = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') as ws from documents),
+b as (select *, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' and ws[i + 1] = 'by') as cc, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' and ws[i + 1] = 'public' and ws[i + 2] = 'license') as gpl,
+  list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' and ws[i + 1] = 'rights' and ws[i + 2] = 'reserved') as reserved from d)
+select doc_id, len(ws) as n_words, len(cc) + len(gpl) + len(reserved) as n_base, coalesce(list_min(list_concat(cc, gpl, reserved)) - 1, -1) as first_word, coalesce(list_max(list_concat(cc, gpl, reserved)) - 1, -1) as last_word,
+  array_to_string(list_filter([case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end, case when len(reserved) > 0 then 'reserved' end], lambda x: x is not null), ',') as base_labels from b
+"""
+
+_SPANS = " union all ".join(
+    f"select doc_id, '{kind}' as kind, {n} as ord, regexp_extract_all(coalesce(text, ''), '{rx}') as ms, string_split_regex(coalesce(text, ''), '{rx}') as ps from documents"
+    for n, (kind, rx) in enumerate(
+        (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    )
+)
+BASE_PERSONAL_DATA = rf"""
+with m as ({_SPANS}),
+e as (select doc_id, kind, ord, ms, ps, unnest(range(1, len(ms) + 1)) as i from m),
+s as (
+  select doc_id, kind, ord, ms[i] as found, regexp_replace(ms[i], '[^0-9]', '', 'g') as digits,
+    (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start from e),
+v as (
+  select *, kind || ':' || start || ':' || (start + length(found)) as shown from s
+  where kind = 'email' or (kind = 'ip' and len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(right('000' || x, 3) as int), 0) > 255)) = 0)
+    or (kind = 'card' and length(digits) between 14 and 19
+      and list_sum(list_transform(range(length(digits)), lambda i: case when i % 2 = 0 then substr(reverse(digits), i + 1, 1)::int else 2 * substr(reverse(digits), i + 1, 1)::int - case when substr(reverse(digits), i + 1, 1)::int > 4 then 9 else 0 end end)) % 10 = 0)
+    or (kind = 'phone' and length(digits) between 10 and 15))
+select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+  sha256(coalesce(string_agg(shown, ',' order by start, ord), '')) as base_sha256 from documents d left join v using (doc_id) group by d.doc_id
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}

