@@ -35,6 +35,10 @@ def _iou(a, b) -> float:
     return _shared(a, b) / union if union > 0 else 0.0
 
 
+def _union(a, b) -> list[float]:
+    return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+
+
 def _per_group(rows: DataFrame, on: list[str], run: Callable[[list[dict]], list[dict]], schema: str | None = None) -> DataFrame:
     """``run`` over the rows of each group, as dictionaries in no set order."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,20 +97,26 @@ def drop_smaller(spans: DataFrame, on: list[str], threshold: float = 0.65) -> Da
 
 
 def absorb_smaller(blocks: DataFrame, on: list[str], threshold: float = 0.8) -> DataFrame:
-    """[W7] A block that lies mostly in a larger one is taken in, and the larger grows around it before the next test."""
+    """[W7] Of two blocks that share more than the threshold of the smaller one, that one (the first of equals) goes, and
+    the other grows around it before the next test; what has gone is still tested as it was, and grows."""
 
-    def loser(i: int, j: int, b: list) -> int | None:
-        small, large = (i, j) if _area(b[i]) < _area(b[j]) else (j, i)
-        if _area(b[small]) <= 0 or _shared(b[i], b[j]) / _area(b[small]) <= threshold:
-            return None
-        b[large] = [min(b[i][0], b[j][0]), min(b[i][1], b[j][1]), max(b[i][2], b[j][2]), max(b[i][3], b[j][3])]
-        return small
+    def run(rows: list[dict]) -> list[dict]:
+        rows = _placed(rows)
+        b, gone = [_box(r) for r in rows], set()
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows)):
+                small, large = (i, j) if _area(b[i]) <= _area(b[j]) else (j, i)
+                if small not in gone and _area(b[small]) > 0 and _shared(b[i], b[j]) / _area(b[small]) > threshold:
+                    b[large] = _union(b[i], b[j])
+                    gone.add(small)
+        return [r | dict(zip(BOX, box, strict=True)) for k, (r, box) in enumerate(zip(rows, b, strict=True)) if k not in gone]
 
-    return _per_group(blocks, on, lambda rows: _survivors(rows, loser))
+    return _per_group(blocks, on, run)
 
 
 def union_to_fixpoint(tables: DataFrame, on: list[str], threshold: float = 0.7) -> DataFrame:
-    """[W8] Tables above the IoU become their common box, with the better one's other columns, until none are."""
+    """[W8] While there are two tables above the IoU, the first such pair becomes their common box, with the first one's
+    other columns, and goes to the end of the list."""
 
     def run(rows: list[dict]) -> list[dict]:
         rows = _placed(rows)
@@ -114,32 +124,54 @@ def union_to_fixpoint(tables: DataFrame, on: list[str], threshold: float = 0.7)
             pair = next(((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if _iou(_box(rows[i]), _box(rows[j])) > threshold), None)
             if pair is None:
                 return rows
-            first, second = rows[pair[0]], rows.pop(pair[1])
-            better = first if first["score"] >= second["score"] else second
-            sides = (min(first["x0"], second["x0"]), min(first["y0"], second["y0"]), max(first["x1"], second["x1"]), max(first["y1"], second["y1"]))
-            rows[pair[0]] = better | dict(zip(BOX, sides, strict=True)) | {"pos": first["pos"]}
+            second, first = rows.pop(pair[1]), rows.pop(pair[0])
+            rows.append(first | dict(zip(BOX, _union(_box(first), _box(second)), strict=True)))
+
+    return _per_group(tables, on, run)
+
+
+def drop_nesting(tables: DataFrame, on: list[str], overlap: float = 0.8, area: float = 0.8) -> DataFrame:
+    """[W8] A table goes if three others or more lie in it (by ``overlap``), apart from each other, and fill ``area`` of it."""
+
+    def run(rows: list[dict]) -> list[dict]:
+        b, kept = [_box(r) for r in rows], []
+        for i, r in enumerate(rows):
+            inner = [j for j in range(len(rows)) if j != i and 0 < _shared(b[i], b[j]) >= overlap * _area(b[j])]
+            apart = all(_shared(b[j], b[k]) <= 0 for n, j in enumerate(inner) for k in inner[n + 1 :])
+            if not (len(inner) >= 3 and apart and sum(_area(b[j]) for j in inner) > area * _area(b[i])):
+                kept.append(r)
+        return kept
 
     return _per_group(tables, on, run)
 
 
 def container_or_children(boxes: DataFrame, on: list[str], threshold: float = 0.8, least: int = 2) -> DataFrame:
-    """[W9] A box with two others or more inside it stays if its score beats their mean, else they do."""
+    """[W9] A box that holds two others or more (by the threshold, those that have gone left out) stays and grows around them
+    if its score beats their mean, and they go; else it goes. What lies in what is asked of the boxes as they came."""
 
     def run(rows: list[dict]) -> list[dict]:
         rows = _placed(rows)
         b, gone = [_box(r) for r in rows], set()
+        grown = [list(x) for x in b]
         for i in range(len(rows)):
-            inner = [j for j in range(len(rows)) if j != i and j not in gone and 0 < _area(b[j]) < _area(b[i]) and _shared(b[i], b[j]) / _area(b[j]) > threshold]
-            if i not in gone and len(inner) >= least:
-                gone.update(inner if rows[i]["score"] > sum(rows[j]["score"] for j in inner) / len(inner) else [i])
-        return [r for k, r in enumerate(rows) if k not in gone]
+            inner = [j for j in range(len(rows)) if j != i and j not in gone and 0 < _shared(b[i], b[j]) >= threshold * _area(b[j])]
+            if i in gone or len(inner) < least:
+                continue
+            if rows[i]["score"] > sum(rows[j]["score"] for j in inner) / len(inner):
+                gone.update(inner)
+                for j in inner:
+                    grown[i] = _union(grown[i], b[j])
+            else:
+                gone.add(i)
+        return [r | dict(zip(BOX, box, strict=True)) for k, (r, box) in enumerate(zip(rows, grown, strict=True)) if k not in gone]
 
     return _per_group(boxes, on, run)
 
 
 def caption_by_distance(rows: DataFrame, on: list[str], factor: float = 3.0) -> DataFrame:
-    """[J16] Captions to bodies, nearest pair first, one caption a body as long as both are free and no body is by far
-    (three times) nearer to the caption; captions left over go to their nearest body.
+    """[J16] Captions to bodies, from the upper left: of what is open, the box nearest to the common corner meets the nearest
+    of the other kind. They are a pair unless some body (taken or not) is ``factor`` times nearer to the caption: then the
+    body is passed over. Captions left when no pair can be made go to their nearest body.
 
     ``rows(on, pos, role, box)`` with roles ``caption`` and ``body``; returns ``(on, caption, body)``.
     """
@@ -149,20 +181,30 @@ def caption_by_distance(rows: DataFrame, on: list[str], factor: float = 3.0) ->
         return (dx * dx + dy * dy) ** 0.5
 
     def run(members: list[dict]) -> list[dict]:
-        own = {role: [(r["pos"], _box(r)) for r in _placed(members) if r["role"] == role] for role in ("caption", "body")}
-        pairs = sorted((apart(c, b), i, j) for i, c in own["caption"] for j, b in own["body"])
-        nearest: dict[int, float] = {}
-        for d, i, _ in pairs:
-            nearest.setdefault(i, d)
-        taken, used = {}, set()
-        for d, i, j in pairs:
-            if i not in taken and j not in used and d <= factor * nearest[i] + 1e-9:
-                taken[i] = j
-                used.add(j)
-        for _, i, j in pairs:
-            taken.setdefault(i, j)
+        # in order of the distance from the origin, bodies first
+        boxes = sorted(((r["role"] != "body", _box(r), r["pos"]) for r in _placed(members)), key=lambda x: (x[0], x[1][0] ** 2 + x[1][1] ** 2))
+        bodies = [k for k, x in enumerate(boxes) if not x[0]]
+        nearest = {k: min((apart(boxes[k][1], boxes[j][1]) for j in bodies), default=0.0) for k, x in enumerate(boxes) if x[0]}
+        still, matched, pairs = list(range(len(boxes))), set(), {}
+        while len(matched) < len(bodies) and still:
+            left, top = min(boxes[k][1][0] for k in still), min(boxes[k][1][1] for k in still)
+            by_corner = sorted(still, key=lambda k: (boxes[k][1][0] - left) ** 2 + (boxes[k][1][1] - top) ** 2)
+            first = by_corner[0]
+            by_first = sorted(by_corner, key=lambda k: apart(boxes[first][1], boxes[k][1]))
+            other = next((k for k in by_first[1:] if boxes[k][0] != boxes[first][0]), None)
+            if other is None:
+                break
+            body, caption = (other, first) if boxes[first][0] else (first, other)
+            still.remove(body)
+            if apart(boxes[body][1], boxes[caption][1]) < factor * nearest[caption] or nearest[caption] == float("inf"):
+                still.remove(caption)
+                matched.add(body)
+                pairs[caption] = body
+        for k in nearest:
+            if k not in pairs and bodies:
+                pairs[k] = min(bodies, key=lambda j: (apart(boxes[k][1], boxes[j][1]), j))
         key = {c: members[0][c] for c in on}
-        return [key | {"caption": i, "body": j} for i, j in sorted(taken.items())]
+        return [key | {"caption": boxes[i][2], "body": boxes[j][2]} for i, j in sorted(pairs.items())]
 
     return _per_group(rows, on, run, _typed(rows, on, "caption int, body int"))
 
@@ -243,17 +285,33 @@ def text_box_order(boxes: DataFrame, on: list[str], row: float = 10.0) -> DataFr
     return _per_group(boxes, on, run, _typed(boxes, boxes.columns, "read_index int"))
 
 
-def gathered_rows(cells: DataFrame, on: list[str], char: float = 10.0) -> DataFrame:
-    """[W22] Cells of a row as one text, with blanks in proportion to the gaps."""
+def gathered_rows(cells: DataFrame, on: list[str], char: float = 10.0, threshold: float = 0.2) -> DataFrame:
+    """[W22] Cells in order of place gather those after them that stand in one row (either's height lies in the other's but for
+    the threshold): texts are joined with a blank for each whole ``char`` of the gap, and boxes grow.
+
+    ``cells(on, pos, box, content)``; returns a row for each gathered one, under the place of its first cell.
+    """
+
+    def beside(a: list, b: list) -> bool:
+        shared = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        return any(h > 0 and (h - shared) / h < threshold for h in (a[3] - a[1], b[3] - b[1]))
 
     def run(rows: list[dict]) -> list[dict]:
-        text, reach = "", None
-        for r in sorted(rows, key=lambda r: r["x0"]):
-            text += ("" if reach is None else " " * max(1, round((r["x0"] - reach) / char))) + r["content"]
-            reach = r["x1"]
-        return [{c: rows[0][c] for c in on} | {"text": text}]
+        rows = [[r, _box(r), r["content"]] for r in _placed(rows)]
+        out = []
+        while rows:
+            (first, box, text), rest = rows[0], []
+            for other in rows[1:]:
+                if beside(box, other[1]):
+                    text += " " * int(max(other[1][0] - box[2], 0) / char) + other[2]
+                    box = _union(box, other[1])
+                else:
+                    rest.append(other)
+            out.append({c: first[c] for c in on} | {"pos": first["pos"], "text": text})
+            rows = rest
+        return out
 
-    return _per_group(cells, on, run, _typed(cells, on, "text string"))
+    return _per_group(cells, on, run, _typed(cells, on, "pos int, text string"))
 
 
 _ROW, _CELL = re.compile(r"(?is)<tr\b[^>]*>(.*?)</tr>"), re.compile(r"(?is)<t([dh])\b([^>]*)>(.*?)</t[dh]>")
@@ -404,26 +462,48 @@ def merge_page_tables(tables: DataFrame, doc: str) -> DataFrame:
     return _per_group(tables, [doc], run)
 
 
+# How a condition's line starts, and the two lines that belong together.
+CONDITION = "for hatchway corners"
+_FIGURE = re.compile(r"(?m)^(for hatchway corners.*HC3\s*)\n(in Figure \d+)\s*$")
+
+
+def _is_condition(line: str) -> bool:
+    return re.sub(r"\s+", " ", line).strip().lower().startswith(CONDITION)
+
+
+def _array_rows(body: str) -> list[str]:
+    """The rows of a LaTeX array, without the marks of their first cell and an outer brace."""
+    body = re.sub(r"\\begin\{array\}\s*\{[^}]*\}|\\end\{array\}", "", body)
+    rows = (re.sub(r"\s*\}\s*$", "", re.sub(r"^\{\s*", "", re.sub(r"^\s*&\s*", "", row.strip()))).strip() for row in body.split("\\\\"))
+    return [r for r in rows if r]
+
+
 def split_conditions(text: str) -> str:
-    r"""[X17] Each ``$$ … $$`` array is followed by the condition lines that belong to it; three line breaks become two."""
-    out, formula, inside = [], [], False
-    for line in (text or "").split("\n"):
-        if line.strip().startswith("$$") and not inside:
-            inside, formula = not line.strip().endswith("$$") or len(line.strip()) < 4, [line]
-            if not inside:
-                out.append("\n".join(formula))
-        elif inside:
-            formula.append(line)
-            if line.strip().endswith("$$"):
-                inside = False
-                out.append("\n".join(formula))
-        elif re.match(r"(?i)\s*for hatchway corners", line) and out and out[-1].rstrip().endswith("$$"):
-            out[-1] += "\n" + line.strip()
+    r"""[X17] An array between ``$$`` lines whose rows are as many as the condition line before it and those after it becomes
+    a formula for each, under its condition; any other stays. Three line breaks and more become two."""
+    lines, out, at = (text or "").splitlines(), [], 0
+    while at < len(lines):
+        close = next((k for k in range(at + 1, len(lines)) if lines[k].strip() == "$$"), None) if lines[at].strip() == "$$" else None
+        if close is None:
+            out.append(lines[at])
+            at += 1
+            continue
+        body = "\n".join(lines[at + 1 : close]).strip()
+        rows = _array_rows(body) if "\\begin{array}" in body else []
+        before = next((k for k in range(len(out) - 1, -1, -1) if out[k].strip()), None)
+        after, conditions = close + 1, []
+        while after < len(lines) and (not lines[after].strip() or _is_condition(lines[after])):
+            conditions += [lines[after]] if lines[after].strip() else []
+            after += 1
+        if rows and before is not None and _is_condition(out[before]) and len(rows) == 1 + len(conditions):
+            conditions.insert(0, out.pop(before))
+            for condition, row in zip(conditions, rows, strict=True):
+                out += [condition, "", "$$", row, "$$", ""]
+            at = after
         else:
-            out.append(line)
-    if inside:
-        out.append("\n".join(formula))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out))
+            out += lines[at : close + 1]
+            at = close + 1
+    return re.sub(r"\n{3,}", "\n\n", _FIGURE.sub(r"\1 \2", "\n".join(out))).strip() + "\n"
 
 
 def conditions_split(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:

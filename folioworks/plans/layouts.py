@@ -220,6 +220,7 @@ _K = _B + """, k as (select page as doc, pos, case kind when 'R' then 'title' wh
 # The places that go, by folding ordered pairs of (first, second, loser or 0) of which both are still there.
 _GONE = "list_reduce(ps, lambda acc, p: case when p[3] > 0 and not list_contains(acc, p[1]) and not list_contains(acc, p[2]) then list_append(acc, p[3]) else acc end, []::int[])"
 _IOU = f"{_I} / ({_AA} + {_AC} - {_I})"
+_GOES = "list_transform(acc, lambda y: case when y % 100 = 0 then y // 100 else y % 100 end)"
 
 ORACLES = {
     "para_merge": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
@@ -280,16 +281,14 @@ g as (select page, {_GONE} as gone from p) select b.* from b left join g using (
     "smaller_spans": _B + f""", p as (select a.page, list([a.pos, c.pos, case when {_I} / least({_AA}, {_AC}) > 0.65::double then case when {_AA} <= {_AC} then a.pos else c.pos end else 0 end] order by a.pos, c.pos) as ps
   from b a join b c on a.page = c.page and a.pos < c.pos group by a.page),
 g as (select page, {_GONE} as gone from p) select b.* from b left join g using (page) where not coalesce(list_contains(gone, pos), false)""",
-    "containers": _B + f""", i as (select a.page, a.pos, list(c.pos) filter ({_AC} < {_AA} and {_I} / ({_AC}) > 0.8::double) as inner_pos from b a join b c on a.page = c.page group by a.page, a.pos),
+    "containers": _B + f""", i as (select a.page, a.pos, list(c.pos) filter (a.pos <> c.pos and {_I} > 0 and {_I} >= 0.8::double * {_AC}) as inner_pos from b a join b c on a.page = c.page group by a.page, a.pos),
 p as (select page, list([pos] order by pos) as ps, map(list(pos), list(score)) as score, map(list(i.pos), list(coalesce(inner_pos, []))) as inners from b join i using (page, pos) group by page),
-g as (select page, list_reduce(ps, lambda acc, k: case when list_contains(acc, k[1]) or len(list_filter(inners[k[1]], lambda x: not list_contains(acc, x))) < 2 then acc
-  when score[k[1]] > list_avg(list_transform(list_filter(inners[k[1]], lambda x: not list_contains(acc, x)), lambda x: score[x])) then list_concat(acc, list_filter(inners[k[1]], lambda x: not list_contains(acc, x))) else list_append(acc, k[1]) end, []::int[]) as gone from p)
-select b.* from b join g using (page) where not list_contains(gone, pos)""",
-    "captions_by_distance": _B + f""", d as (select a.page, a.pos as i, c.pos as j, {_E} as d from b a join b c on a.page = c.page where a.kind = 'N' and c.kind <> 'N'),
-m as (select *, min(d) over (partition by page, i) as nearest, row_number() over (partition by page, i order by d, j) as k from d),
-p as (select page, list([i, j, (d <= 3 * nearest + 1e-9::double)::int] order by d, i, j) as ps from m group by page),
-g as (select page, list_reduce(ps, lambda acc, x: case when x[3] = 1 and not list_contains(list_transform(acc, lambda y: y // 100), x[1]) and not list_contains(list_transform(acc, lambda y: y % 100), x[2]) then list_append(acc, x[1] * 100 + x[2]) else acc end, []::int[]) as taken from p)
-select page, i as caption, coalesce(list_filter(taken, lambda y: y // 100 = i)[1] % 100, j)::int as body from m join g using (page) where k = 1""",
+-- what happens, as 100 i for a container that goes, and 100 i + j for what i takes in
+f as (select page, list_reduce(ps, lambda acc, k: case when list_contains({_GOES}, k[1]) or len(list_filter(inners[k[1]], lambda x: not list_contains({_GOES}, x))) < 2 then acc
+  when score[k[1]] > list_avg(list_transform(list_filter(inners[k[1]], lambda x: not list_contains({_GOES}, x)), lambda x: score[x])) then list_concat(acc, list_transform(list_filter(inners[k[1]], lambda x: not list_contains({_GOES}, x)), lambda x: k[1] * 100 + x))
+  else list_append(acc, k[1] * 100) end, []::int[]) as acc from p),
+u as (select a.page, a.pos, min(least(a.x0, c.x0)) as x0, min(least(a.y0, c.y0)) as y0, max(greatest(a.x1, c.x1)) as x1, max(greatest(a.y1, c.y1)) as y1 from b a join f on a.page = f.page join b c on a.page = c.page and (c.pos = a.pos or list_contains(acc, a.pos * 100 + c.pos)) group by a.page, a.pos)
+select u.*, b.score, b.kind from u join b using (page, pos) join f using (page) where not list_contains({_GOES}, pos)""",
     "block_matches": LINES + """, s as (select l_orderkey as doc, l_linenumber::int as t, (l_partkey % 5)::int as b, (l_partkey % 11) / 10.0::double as score from lines),
 p as (select doc, list([t, b] order by t) as ps, map(list(t), list(score)) as score from s group by doc),
 g as (select doc, list_reduce(ps, lambda acc, x: case when score[x[1]] >= 0.6::double and not list_contains(list_transform(acc, lambda y: y % 100), x[2]) then list_append(acc, x[1] * 100 + x[2]) else acc end, []::int[]) as kept from p)

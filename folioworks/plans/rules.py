@@ -127,10 +127,29 @@ def outside_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_texts(spark: SparkSession, sf: str) -> DataFrame:
-    cells = boxes(spark, sf).select("page", (F.col("x0") + F.col("pos") / 16).alias("x0"), "x1", F.concat("kind", F.col("pos").cast("string")).alias("content"))
+    """Cells of two rows a page, in order of place."""
+    row = F.col("pos") % 2 * 30
+    cells = boxes(spark, sf).select("page", "pos", "x0", (row + F.col("x0") % 2).cast("double").alias("y0"), "x1", (row + 20).cast("double").alias("y1"), F.concat("kind", F.col("pos").cast("string")).alias("content"))
     return O.gathered_rows(cells, ON)
 
 
+_FORMULAS = (
+    "for hatchway corners A\n$$\n\\begin{array}{l} { a } \\\\ & b \\end{array}\n$$\n\nFor  hatchway corners B\nrest", "x\n\n\n\n$$\na\n$$", "for hatchway corners A\n$$\n\\begin{array}{l} a \\\\ b \\end{array}\n$$\nno", "$$\nopen",
+)
+
+
+def split_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """[X17]"""
+    return O.conditions_split(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc"), _choice(_FORMULAS, F.col("s_suppkey")).alias("text")), "doc")
+
+
+def nesting_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """[W8] Three tables beside each other in a large one, which they fill or not."""
+    n = lambda c: c.cast("double")
+    row = boxes(spark, sf).select("page", "pos", F.when(F.col("pos") == 4, 0.0).otherwise(n(F.col("pos") * 100)).alias("x0"), F.lit(0.0).alias("y0"), F.when(F.col("pos") == 4, 400.0).otherwise(n(F.col("pos") * 100 + 90 - F.col("y0") % 3 * 20)).alias("x1"), F.when(F.col("pos") == 4, 50.0).otherwise(50.0 + F.col("x0") % 2 * 30).alias("y1"))
+    return O.drop_nesting(row, ON).select("page", "pos")
+
+
 def index_runs(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines(spark, sf).select("l_orderkey", (F.col("l_partkey") % 9).cast("int").alias("index")).distinct()
     return G.runs_of_index(rows, ["l_orderkey"], "index")
@@ -246,7 +265,7 @@ def code_kinds(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts,
+        code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts, split_formulas, nesting_tables,
         index_runs, nearer_figures, replaced_tables, paragraph_kinds, paragraph_islands, title_levels, table_shapes, table_texts, enqueued_tasks, text_cleaners, vertical_lines, retry_waits, selected_pages, ocr_parts,
     )
 }
@@ -298,9 +317,15 @@ select page, pos, kind from r3 a where not exists (select 1 from k c where c.pag
   and a.y0 >= c.y1 and greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / (a.x1 - a.x0) >= 0.8::double)""",
     "outside_spans": _N + f""" select page, pos from b a where exists (select 1 from k c where c.page = a.page and c.kind = 'discarded' and {_OF} > 0.4::double)
   or exists (select 1 from k c where c.page = a.page and c.kind <> 'discarded' and {_OF} > 0.5::double and case a.pos % 3 when 1 then c.kind = 'image_body' when 2 then c.kind = 'table_body' else c.kind not in ('image_body', 'table_body') end)""",
-    "row_texts": _B + """, c as (select page, x0 + pos / 16::double as x0, x1, kind || pos as content from b),
-g as (select page, x0, content, lag(x1) over (partition by page order by x0) as reach from c)
-select page, string_agg(case when reach is null then '' else repeat(' ', greatest(1, round_even((x0 - reach) / 10, 0))::int) end || content, '' order by x0) as text from g group by page""",
+    "row_texts": _B + """, g as (select page, pos, pos % 2 as r, x0, kind || pos as content, max(x1) over (partition by page, pos % 2 order by pos rows between unbounded preceding and 1 preceding) as reach from b)
+select page, min(pos)::int as pos, string_agg(case when reach is null then '' else repeat(' ', trunc(greatest(x0 - reach, 0) / 10)::int) end || content, '' order by pos) as text from g group by page, r""",
+    "split_formulas": r"""select s_suppkey as doc, (['for hatchway corners A' || chr(10) || chr(10) || '$$' || chr(10) || 'a' || chr(10) || '$$' || chr(10) || chr(10) || 'For  hatchway corners B' || chr(10) || chr(10) || '$$' || chr(10) || 'b' || chr(10) || '$$' || chr(10) || chr(10) || 'rest' || chr(10),
+  'x' || chr(10) || chr(10) || '$$' || chr(10) || 'a' || chr(10) || '$$' || chr(10), 'for hatchway corners A' || chr(10) || '$$' || chr(10) || '\begin{array}{l} a \\ b \end{array}' || chr(10) || '$$' || chr(10) || 'no' || chr(10), '$$' || chr(10) || 'open' || chr(10)])[s_suppkey % 4 + 1] as text from supplier""",
+    "nesting_tables": _B + """, t as (select page, pos, case when pos = 4 then 0 else pos * 100 end::double as x0, 0.0::double as y0, case when pos = 4 then 400 else pos * 100 + 90 - y0 % 3 * 20 end::double as x1, case when pos = 4 then 50 else 50 + x0 % 2 * 30 end::double as y1 from b),
+i as (select a.page, a.pos, c.pos as o, c.x0, c.x1, (c.x1 - c.x0) * (c.y1 - c.y0) as area, (a.x1 - a.x0) * (a.y1 - a.y0) as big from t a join t c on a.page = c.page and a.pos <> c.pos
+  where greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) > 0 and greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) >= 0.8::double * (c.x1 - c.x0) * (c.y1 - c.y0)),
+m as (select a.page, a.pos from i a join i c on a.page = c.page and a.pos = c.pos and a.o < c.o where least(a.x1, c.x1) > greatest(a.x0, c.x0)),
+g as (select page, pos from i group by page, pos having count(*) >= 3 and sum(area) > 0.8::double * any_value(big)) select page, pos from t where (page, pos) not in (select (page, pos) from g where (page, pos) not in (select (page, pos) from m))""",
     "index_runs": LINES + """, d as (select distinct l_orderkey, (l_partkey % 9)::int as "index" from lines), o as (select *, case when "index" - lag("index") over (partition by l_orderkey order by "index") <= 1 then 0 else 1 end as opens from d)
 select l_orderkey, "index", (sum(opens) over (partition by l_orderkey order by "index" rows unbounded preceding))::bigint as run from o""",
     "nearer_figures": _B + f""", d as (select a.page, a.pos, min(case when c.pos % 3 = 1 then {_E} end) as d1, min(case when c.pos % 3 = 2 then {_E} end) as d2 from b a left join b c on a.page = c.page and c.pos % 3 > 0 where a.pos % 3 = 0 group by a.page, a.pos)

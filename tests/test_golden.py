@@ -138,6 +138,33 @@ def test_captions(spark):
     assert {(r.caption, r.body) for r in got} == {(2, 0), (3, 0)}
 
 
+def test_order_dependent_rules(spark):
+    """Ties, growth and order, worked by hand."""
+    schema = "page string, pos int, x0 double, y0 double, x1 double, y1 double, score double"
+    frame = lambda *rows: spark.createDataFrame([("p", i, *map(float, r)) for i, r in enumerate(rows)], schema)
+    boxes = lambda df: sorted((r.pos, r.x0, r.y0, r.x1, r.y1) for r in df.collect())
+    equal = frame((0, 0, 10, 10, 0.5), (0, 0, 10, 10, 0.6))
+    assert boxes(ordered.absorb_smaller(equal, ["page"])) == [(1, 0, 0, 10, 10)]
+    united = ordered.union_to_fixpoint(frame((0, 0, 10, 10, 0.1), (0, 0, 10, 11, 0.9), (0, 0, 10, 12, 0.2)), ["page"]).collect()
+    assert [(r.pos, r.y1, r.score) for r in united] == [(2, 12, 0.2)]  # the first pair goes to the end, behind the third
+    held = frame((0, 0, 100, 100, 0.9), (90, 0, 110, 50, 0.3), (10, 10, 20, 20, 0.4), (10, 60, 20, 70, 0.5))
+    assert boxes(ordered.container_or_children(held, ["page"])) == [(0, 0, 0, 100, 100), (1, 90, 0, 110, 50)]
+    over = frame((0, 0, 100, 100, 0.9), (88, 0, 102, 50, 0.3), (10, 10, 20, 20, 0.4))
+    assert boxes(ordered.container_or_children(over, ["page"])) == [(0, 0, 0, 102, 100)]
+    nest = frame((0, 0, 30, 10, 1), (0, 0, 10, 10, 1), (10, 0, 20, 10, 1), (20, 0, 30, 10, 1))
+    assert [r.pos for r in ordered.drop_nesting(nest, ["page"]).orderBy("pos").collect()] == [1, 2, 3]
+    assert ordered.drop_nesting(nest.where("pos < 3"), ["page"]).count() == 3
+    cells = [("p", 0, 0.0, 0.0, 10.0, 10.0, "a"), ("p", 1, 45.0, 1.0, 60.0, 9.0, "b"), ("p", 2, 0.0, 20.0, 5.0, 30.0, "c"), ("p", 3, 61.0, 0.0, 70.0, 10.0, "d")]
+    got = ordered.gathered_rows(spark.createDataFrame(cells, "page string, pos int, x0 double, y0 double, x1 double, y1 double, content string"), ["page"]).orderBy("pos").collect()
+    assert [(r.pos, r.text) for r in got] == [(0, "a   bd"), (2, "c")]
+    # a body that is three times as far as the nearest one is passed over; a caption that is left goes to the nearest
+    rows = [("p", 0, "body", 0.0, 0.0, 10.0, 10.0), ("p", 1, "body", 200.0, 0.0, 210.0, 10.0), ("p", 2, "caption", 0.0, 11.0, 10.0, 13.0), ("p", 3, "caption", 14.0, 0.0, 20.0, 10.0)]
+    got = ordered.caption_by_distance(spark.createDataFrame(rows, "page string, pos int, role string, x0 double, y0 double, x1 double, y1 double"), ["page"]).collect()
+    assert {(r.caption, r.body) for r in got} == {(2, 0), (3, 0)}
+    formula = "for hatchway corners A\n$$\n\\begin{array}{l} x \\\\ & y \\end{array}\n$$\nfor hatchway corners B"
+    assert ordered.split_conditions(formula) == "for hatchway corners A\n\n$$\nx\n$$\n\nfor hatchway corners B\n\n$$\ny\n$$\n"
+
+
 def test_tables(spark):
     html = '<table><tr><th rowspan="2">a</th><td colspan=2>b</td></tr><tr><td>c</td><td>d <b>e</b></td></tr></table>'
     assert ordered.occupancy(html) == [(0, 1, 0, 0, "a", True), (0, 0, 1, 2, "b", False), (1, 1, 1, 1, "c", False), (1, 1, 2, 2, "d e", False)]
