@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Query terms (some thirty bytes each) that are sent to all executors.
-BROADCAST_TERMS = 500_000
+#: Bytes of the queries' terms that are sent to all executors.
+BROADCAST_BYTES = 1 << 24
 
 
 def tokens(text: Column) -> Column:
@@ -20,8 +20,8 @@ def bm25_scores(docs: DataFrame, doc: str, queries: DataFrame, query: str, text:
 
     Terms that are more frequent than half the documents get ``epsilon`` times the mean raw idf of the vocabulary.
     Repeated query terms count each time. Documents without text are not in the index. Document frequencies are summed
-    before they move; term counts are made of the queries' terms alone, which filter the words before these move if there
-    are at most ``BROADCAST_TERMS``. The number of documents, their mean length and the mean idf are one row.
+    before they move; term counts are made of the queries' terms alone, which filter the words before these move if they
+    are at most ``BROADCAST_BYTES`` long. The number of documents, their mean length and the mean idf are one row.
     """
     posted = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
     size = posted.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
@@ -30,7 +30,7 @@ def bm25_scores(docs: DataFrame, doc: str, queries: DataFrame, query: str, text:
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = (wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) <= BROADCAST_BYTES
     terms = posted.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     terms = terms.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
     idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")))
