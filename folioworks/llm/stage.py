@@ -58,14 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Written:
-    """A table of the shared folder, for rows too many for a checkpoint: compressed, and gone after the ``with`` block."""
+    """A table of the shared folder, for rows too many for a checkpoint: compressed, and gone after the ``with`` block.
+
+    Its values hardly ever repeat: no dictionaries are tried.
+    """
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
         try:
             with _shuffles_end_with_the_job(spark):
-                df.write.parquet(self.path)
+                df.write.option("parquet.enable.dictionary", "false").parquet(self.path)
         except BaseException:
             self.drop()
             raise
