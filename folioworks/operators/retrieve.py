@@ -49,10 +49,24 @@ def top_k(scores: DataFrame, docs: DataFrame, doc: str, queries: DataFrame, quer
     return ranked.unionByName(fill).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+#: Parts that a query's documents are packed in before they meet.
+SALTS = 64
+
+
+def _in_reach(ranked: DataFrame, query: str, order: list[str], size: str, cap: int) -> DataFrame:
+    """The documents that a cap can reach: by parts of a query's documents, those before the part alone exceeds it.
+
+    What is left out has more than the cap before it, and so has all that follows it, so that sums up to the cap stay
+    right; of a query with very many documents hardly any go to the one task that packs them.
+    """
+    part = Window.partitionBy(query, F.pmod(F.xxhash64(*order), F.lit(SALTS))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.withColumn("before", F.coalesce(F.sum(size).over(part), F.lit(0))).where(F.col("before") <= cap).drop("before")
+
+
 def pack_until_overflow(ranked: DataFrame, query: str, order: list[str], size: str, cap: int) -> DataFrame:
     """[R4] In order, what fits before the first that does not."""
     w = Window.partitionBy(query).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= cap)
+    return _in_reach(ranked, query, order, size, cap).withColumn("used", F.sum(size).over(w)).where(F.col("used") <= cap)
 
 
 def pack_with_tail(ranked: DataFrame, query: str, order: list[str], size: str, cap: int, reserve: int = 200, least: int | None = 1000) -> DataFrame:
@@ -63,7 +77,7 @@ def pack_with_tail(ranked: DataFrame, query: str, order: list[str], size: str, c
     marks queries that lost text.
     """
     w = Window.partitionBy(query).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranked.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    rows = _in_reach(ranked, query, order, size, cap).withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)))
     after = F.col("before") + F.col(size)
     room = F.lit(cap) - F.col("before") - reserve
     take = F.when(after <= cap, F.col(size)).when((F.col("before") <= cap) & (room > (least or 0)), F.least(room, F.col(size)))
