@@ -214,6 +214,15 @@ def test_urls_are_brute_force(spark, block):
     assert none.collect() == []
 
 
+def test_urls_odd_rows(spark):
+    """Very long urls, repeated rows, and columns named like the operator's own."""
+    rules = [("org", "/", "allow"), ("a.org", "/" + "x" * 5000, "block")]
+    pages = [(1, "http://" + "b." * 20_000 + "org/" + "y" * 100_000), (2, "http://c.a.org/" + "x" * 6000 + "?q"), (2, "http://c.a.org/" + "x" * 6000 + "?q"), (3, "://" + "/" * 50_000), (4, "://" * 30_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("key", F.lit(1)).withColumn("rule", F.lit(None).cast("int"))
+    got = urls.judge_urls(frame, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, *plain_url(u, rules)) for i, u in pages), key=str)
+
+
 def plain_pii(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
