@@ -2,7 +2,8 @@
 
 For every language seen in labelled text a suffix automaton of a bounded sample is built. A text is cross-parsed
 against each: from the left, the longest factor of the sample, then the next, and so on; the language whose parse has
-the fewest phrases, per symbol and normalised by the logarithm of its sample's length, wins.
+the fewest phrases, per symbol and normalised by the logarithm of its sample's length, wins. Samples of less than
+``SMALLEST`` symbols count as that long: the logarithm of a few symbols would make their short phrases cheap.
 
 Symbols are learned: every letter (Unicode category L, of any plane, lower-cased) or mark (category M, which many scripts
 write vowels with) of the samples is a symbol of its own, a run of anything else is one blank, and a letter that no sample
@@ -45,6 +46,8 @@ SAMPLE = 24_000
 #: Texts of a language that its sample is spread over, if they are long enough.
 TEXTS = 64
 BLOCK = 512
+#: Symbols that a smaller sample is normalised as.
+SMALLEST = 4_096
 #: Lengths of the held-in pieces that limits are fitted on, the fewest pieces for a limit, and its deviations above their mean.
 PIECES, FEWEST, DEVIATIONS = (32, 64, 128, 256, 512), 8, 6.0
 BLANK = 0
@@ -134,7 +137,7 @@ class Model:
                 automaton.add(own[self.of[sequence]])
             automata.append(automaton)
             self.own.append(own)
-            self.scale.append(np.log2(max(sum(map(len, sequences[name])), 2)))
+            self.scale.append(np.log2(max(sum(map(len, sequences[name])), SMALLEST)))
         sizes = [(len(a.next) + 1) * (len(learned[name]) + 1) for a, name in zip(automata, self.languages, strict=True)]
         self.steps = [_Steps(a, len(learned[name]) + 1, sum(sizes) <= dense) for a, name in zip(automata, self.languages, strict=True)]
 

@@ -233,7 +233,7 @@ _SHAPED, SHAPED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9
 
 def _address(text: str, start: int, end: int) -> tuple[int, int]:
     """Of a span that holds an address the address itself, and all its labels."""
-    found = _ADDRESS.search(text, start, end) or next((m for m in _SHAPED.finditer(text, max(0, start - LONGEST), min(len(text), end + LONGEST)) if m.start() < end and start < m.end()), None)
+    found = _ADDRESS.search(text, start, min(end, start + 4 * LONGEST)) or next((m for m in _SHAPED.finditer(text, max(0, start - LONGEST), min(len(text), end + LONGEST)) if m.start() < end and start < m.end()), None)
     if not found:
         return start, start
     start, end = found.span()

@@ -89,6 +89,13 @@ def test_languages_of_any_script(spark):
     assert [got[i] for i in (900, 901, 903)] == ["und"] * 3 and got[902] != "und" and got[904] == "uk"
 
 
+def test_tiny_samples_win_nothing(spark):
+    r = random.Random(23)
+    rows = [(i, sentence(r, lang, 120), lang) for i, lang in enumerate(["aa", "bb"] * 40)] + [(900 + i, t, "xx") for i, t in enumerate(["th on", "123", "e", "!"] * 3)]
+    got = {x.doc_id: x.lang_pred for x in language.language_of(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if i < 900)
+
+
 def test_sorted_steps_parse_like_dense_ones():
     r = random.Random(13)
     samples = {k: [sentence(r, k, 60), sentence(r, k, 5)] for k in SYLLABLES}
