@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import auditing, chains, grading, itemwork, layouts, pages, queueing, references, retrieval, rules, statistics
+from . import auditing, chains, files, grading, itemwork, layouts, pages, queueing, references, retrieval, rules, statistics
 
-MODULES = (grading, statistics, retrieval, references, chains, auditing, queueing, pages, layouts, itemwork, rules)
+MODULES = (grading, statistics, retrieval, references, chains, auditing, queueing, pages, layouts, itemwork, rules, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
