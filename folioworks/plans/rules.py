@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import model_calls as M
 from ..functions import text as X
 from ..operators import geometry as G
 from ..operators import items as I
@@ -262,10 +263,30 @@ def code_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("l_orderkey", "l_linenumber", X.code_language(code).alias("code"), X.suffix_guess(content, path).alias("suffix"))
 
 
+def cached_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """[J11] Prompts that a cache answers, and those that a model must."""
+    prompts = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("key"), F.col("n_name").alias("prompt"))
+    held = prompts.where("key % 3 <> 0").select(M.cache_key(F.col("prompt"), F.lit("m"), F.lit("")).alias("cache_key"), F.when(F.col("key") % 3 == 1, "known").otherwise("[ERROR: down]").alias("response"))
+    return M.call_model(prompts, held, lambda prompt, model: f"{model}: {prompt.lower()}", "m")[0].select("key", "response")
+
+
+def distinct_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """[C5] Tables of an order less those too like one before them."""
+    first, n = F.col("l_suppkey").cast("int") % 4, F.col("l_partkey").cast("int") % 6
+    tokens = F.transform(F.sequence(first, first + n), lambda k: F.concat(F.lit("w"), k.cast("string")))
+    return O.keep_first_distinct(lines(spark, sf).select("l_orderkey", F.col("l_linenumber").cast("int").alias("pos"), tokens.alias("tokens")), "l_orderkey").select("l_orderkey", "pos")
+
+
+def box_order(spark: SparkSession, sf: str) -> DataFrame:
+    """[W21] The first two boxes of a page, on about one line or not."""
+    two = boxes(spark, sf).where("pos <= 2").withColumn("y0", F.col("y0") % 17).select("page", "pos", "x0", "y0")
+    return O.text_box_order(two, ON).select("page", "pos", "read_index")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts, split_formulas, nesting_tables,
+        cached_calls, distinct_tables, box_order, code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts, split_formulas, nesting_tables,
         index_runs, nearer_figures, replaced_tables, paragraph_kinds, paragraph_islands, title_levels, table_shapes, table_texts, enqueued_tasks, text_cleaners, vertical_lines, retry_waits, selected_pages, ocr_parts,
     )
 }
@@ -279,6 +300,12 @@ _IOU = f"{_I} / ({_AA} + {_AC} - {_I})"
 _KINDS = "(['html', 'json', 'shell', 'python', 'c', 'java', 'sql', 'javascript', 'txt', 'xml'])[l_partkey % 10 + 1]"
 
 ORACLES = {
+    "cached_calls": "select n_nationkey::int as key, case when n_nationkey % 3 = 1 then 'known' else 'm: ' || lower(n_name) end as response from nation",
+    "distinct_tables": LINES + """, p as (select l_orderkey, list([l_linenumber::int] order by l_linenumber) as ps, map(list(l_linenumber::int), list(l_suppkey::int % 4)) as a, map(list(l_linenumber::int), list(l_partkey::int % 6 + 1)) as n from lines group by l_orderkey),
+g as (select l_orderkey, list_reduce(ps, lambda acc, k: case when len(list_filter(acc, lambda u: greatest(0, least(a[u] + n[u], a[k[1]] + n[k[1]]) - greatest(a[u], a[k[1]]))::double / least(n[u], n[k[1]]) >= 0.92::double)) > 0 then acc else list_append(acc, k[1]) end, []::int[]) as kept from p)
+select l_orderkey, unnest(kept) as pos from g""",
+    "box_order": _B + """, t as (select page, pos, x0, y0 % 17 as y0 from b where pos <= 2), o as (select *, row_number() over w as k, lead(y0) over w as ny, lead(x0) over w as nx, lag(y0) over w as py, lag(x0) over w as px from t window w as (partition by page order by y0, x0, pos))
+select page, pos, case when k = 1 then case when abs(ny - y0) < 10 and nx < x0 then 1 else 0 end else case when abs(y0 - py) < 10 and x0 < px then 0 else 1 end end::int as read_index from o""",
     "code_kinds": LINES + f" select l_orderkey, l_linenumber, {_KINDS} as code, case when l_suppkey % 3 = 0 then 'pdf' else {_KINDS} end as suffix from lines",
     "confident_boxes": _B + " select page, pos from b where score > 0.3::double and pos % 4 <> 0 and x1 > x0 and y1 > y0",
     "unreleased_items": "select o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 3 <> 0",
