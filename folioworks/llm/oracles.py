@@ -144,4 +144,30 @@ select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (k
   sha256(coalesce(string_agg(shown, ',' order by start, ord), '')) as base_sha256 from documents d left join v using (doc_id) group by d.doc_id
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}
+# crc32 by its table, made from its rule; all code points of a word are below 256, two bytes from 192 on.
+OP13 = r"""
+with recursive t(v) as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) from (select unnest(range(256))::bigint as i)),
+r as (
+  select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as w from documents) group by all),
+h as (
+  select w, n, length(w) as len, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end))),
+    lambda c, b: xor(v[xor(c, b) % 256 + 1], c >> 8))) as h from r, t),
+k as (select case when h % 97 = 0 then substr(w, 1, (h % len)::int) || substr(w, (h % len)::int + 2) else w end as word, n from h),
+words as materialized (select word, sum(n)::bigint as n from k where length(word) >= 5 group by word having sum(n) >= 3),
+d as materialized (select word, n, length(word) as len, unnest(range(length(word))) as i from words),
+e as materialized (select word, n, len, i, substr(word, 1, i) || substr(word, i + 2) as less from d),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from e a join e b on a.len = b.len and a.i = b.i and a.less = b.less and a.word <> b.word
+  union select e.word, w.word, w.n from e join words w on w.word = e.less
+  union select w.word, e.word, e.n from e join words w on w.word = e.less),
+f as (select word, count(*) as n_near, max(near_n) as most from pairs group by word),
+b as (
+  select w.word, w.n, coalesce(f.n_near, 0) as n_near, case when f.most >= 2 * w.n then f.most end as form_n,
+    case when f.most >= 2 * w.n then (select min(p.near) from pairs p where p.word = w.word and p.near_n = f.most) end as form from words w left join f using (word)),
+c(word, last) as (select word, word from b union all select c.word, b.form from c join b on b.word = c.last where b.form is not null)
+select b.word, b.form, c.last as root, b.n, b.n_near, b.form_n from b join c on c.word = b.word join b z on z.word = c.last where z.form is null
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "op13_spelling": OP13, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}

@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, over whole tables."""
+"""The thin queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .pii import TAGS, find_personal_data
+from .spelling import group_spellings
 from .stage import held_out, table
 from .tagger import Tagger
 from .toxicity import score_toxicity
@@ -59,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 # What SQL can say of operators whose queries hold more than it can.
 
 
@@ -73,5 +78,5 @@ def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, base_licenses, base_personal_data)
+    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, op13_spelling, base_licenses, base_personal_data)
 }
