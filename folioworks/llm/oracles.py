@@ -144,6 +144,26 @@ select d.doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (k
   sha256(coalesce(string_agg(shown, ',' order by start, ord), '')) as base_sha256 from documents d left join v using (doc_id) group by d.doc_id
 """
 
+OP11 = rf"""
+with w as (
+  select lang, regexp_extract_all(piece, '[^ \t]+') as ws
+  from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\n\x0b\f\r]')) as piece from documents)),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) as phrase from w, range(1, 6) as t(m)),
+f as materialized (select lang, m, phrase, count(*) as a from g group by all having count(*) >= 100),
+longer as (
+  select lang, part, max(a) as most from (select lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:m - 1], ' '), array_to_string(string_split(phrase, ' ')[2:m], ' ')]) as part from f where m > 2) group by all),
+c as (
+  select f.lang, f.phrase, f.a, n.n, k.k, l.a as l, r.a as r, (1000 * f.a::hugeint * n.n::hugeint) // (l.a::hugeint * r.a::hugeint) as score
+  from f join n using (lang) left join longer on longer.lang = f.lang and longer.part = f.phrase join range(1, 5) as k(k) on k.k < f.m
+    join f l on l.lang = f.lang and l.m = k.k and l.phrase = array_to_string(string_split(f.phrase, ' ')[1:k.k::int], ' ')
+    join f r on r.lang = f.lang and r.m = f.m - k.k and r.phrase = array_to_string(string_split(f.phrase, ' ')[k.k::int + 1:f.m::int], ' ')
+  where f.m > 1 and (longer.most is null or 100 * longer.most < 100 * f.a)),
+s as (select *, row_number() over (partition by lang, phrase order by score, k) as nth from c)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from s
+where nth = 1 qualify rank <= 2000
+"""
+
 # crc32 by its table, made from its rule; all code points of a word are below 256, two bytes from 192 on.
 OP13 = r"""
 with recursive t(v) as (
@@ -170,4 +190,4 @@ c(word, last) as (select word, word from b union all select c.word, b.form from
 select b.word, b.form, c.last as root, b.n, b.n_near, b.form_n from b join c on c.word = b.word join b z on z.word = c.last where z.form is null
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "op13_spelling": OP13, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}
+ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_spelling": OP13, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontaminate import find_leaks
 from .embeddings import near_embeddings
 from .jaccard_join import near_duplicates
@@ -60,6 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(table(spark, sf_dir, "documents"))
 
@@ -78,5 +83,5 @@ def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, op13_spelling, base_licenses, base_personal_data)
+    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, op11_collocations, op13_spelling, base_licenses, base_personal_data)
 }

@@ -3,11 +3,14 @@
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from folioworks.llm import spelling
+from folioworks.llm import blocks, collocations, spelling
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -104,3 +107,103 @@ def test_slices_join_to_the_text():
         parts = list(spelling.slices(text, size))
         assert "".join(parts) == text
         assert [w for p in parts for w in re.findall(spelling.LETTERS, p)] == re.findall(spelling.LETTERS, text)
+
+
+def plain_collocations(rows, least, top=2000):
+    counts, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            ws = re.findall("[^ \t]+", piece)
+            n[lang or "und"] += len(ws)
+            for m in range(1, 6):
+                for i in range(len(ws) - m + 1):
+                    counts[lang or "und"][tuple(ws[i : i + m])] += 1
+    got = []
+    for lang, f in counts.items():
+        frequent = {p: a for p, a in f.items() if a >= least}
+        longest = Counter()
+        for p, a in frequent.items():
+            for i in range(len(p)):
+                for j in range(i + 1, len(p) + 1):
+                    if j - i < len(p):
+                        longest[p[i:j]] = max(longest[p[i:j]], a)
+        scored = []
+        for p, a in frequent.items():
+            if len(p) > 1 and longest[p] < a:
+                score, k = min(((1000 * a * n[lang]) // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        got += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(scored)[:top])]
+    return set(got)
+
+
+def sentences(seed, n=300):
+    r = random.Random(seed)
+    words = ["a", "b", "The", "of", "é", "Zu", "ñx", "rare", "\U0001f600", "x-y"]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    text = lambda: "".join(r.choices(words, weights)[0] + r.choice([" "] * 8 + ["  ", "\t", ".", ", ", "\n", " ! "]) for _ in range(r.randint(0, 40)))
+    return [(r.choice(["en", "en", "de", None, "und"]), r.choice([text(), "b of the a b of the a b of the a"])) for _ in range(n)]
+
+
+def mined(spark, rows, *args, **columns):
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for name, value in columns.items():
+        docs = docs.withColumn(name, value)
+    return [tuple(x) for x in collocations.collocations(docs, *args).collect()]
+
+
+@pytest.mark.parametrize("pivot, top", [(1 << 19, 2000), (40, 7)])
+def test_collocations_are_brute_force(spark, monkeypatch, pivot, top):
+    """Also with pivots dealt to several tasks, and a cut among ties."""
+    monkeypatch.setattr(collocations, "PIVOT_WORDS", pivot)
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 500)
+    for seed in (1, 2):
+        rows = sentences(seed)
+        got = mined(spark, rows, 5, top)
+        assert len(got) == len(set(got)) and set(got) == plain_collocations(rows, 5, top)
+        assert {x[0] for x in got} == {"en", "de", "und"} and any(len(x[2].split()) == 5 for x in got)
+
+
+def test_collocations_odd_rows(spark):
+    rows = [("en", None), ("en", ""), (None, " \t. "), ("xx", "one"), ("en", "go on " * 30_000), ("en", "go on"), ("en", "go on")]
+    assert set(mined(spark, rows, 100, key=F.lit(1), n=F.lit(2), chunk=F.lit("x"), word=F.lit("y"))) == plain_collocations(rows, 100)
+    assert mined(spark, [], 2) == []
+    # the default keeps what occurs a hundred times
+    assert [x[2:4] for x in mined(spark, [("en", "ever more")] * 100 + [("en", "never more")] * 99)] == [("ever more", 100)]
+
+
+def test_scores_are_exact(spark):
+    """Products beyond 64 bits, and quotients that doubles would round."""
+    r = random.Random(4)
+    rows = [("en", i, r.randrange(10**12, 10**14), r.randrange(10**14, 10**16), r.randrange(10**14, 10**16), r.randrange(10**15, 10**17)) for i in range(200)]
+    got = spark.createDataFrame(rows, "lang string, i long, a long, l long, r long, n long").select("i", F.expr(collocations._EXACT).alias("score")).collect()
+    assert {x.i: x.score for x in got} == {i: 1000 * a * n // (left * right) for _, i, a, left, right, n in rows}
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(collocations, "_row_hash", lambda rows: np.zeros(len(rows), dtype=np.uint64))
+    rows = np.array([[1, 2], [3, 4], [1, 2], [3, 5], [3, 4], [1, 2]], dtype=np.uint32)
+    held, sums = collocations._summed(rows, np.array([1, 1, 1, 1, 1, 5]))
+    assert sorted((*map(int, x), int(n)) for x, n in zip(held, sums, strict=True)) == [(1, 2, 7), (3, 4, 2), (3, 5, 1)]
+
+
+@pytest.mark.parametrize("context, before", [(0, None), (4, None), (0, 7), (3, 0)])
+def test_blocks_hold_each_word_once(context, before):
+    r = random.Random(6)
+    texts = ["", None, " ", "One"] + ["".join(r.choice(["ab", "É", " ", "\t", ".", "c d", "xyz" * 30]) for _ in range(r.choice((3, 50, 4000)))) for _ in range(20)]
+    inside, breaks = collocations._INSIDE, collocations._BREAKS
+    for size in (64, 1000, 1 << 20):
+        got, seen = defaultdict(list), 0
+        for b in blocks.blocks(pa.array(texts), inside, breaks, context, size, before):
+            words = b.words.to_pylist()
+            assert len(set(words)) == len(words) and set(b.codes.tolist()) == set(range(len(words)))
+            for k in range(*b.own):
+                got[int(b.text[k])].append((words[b.codes[k]], bool(b.fresh[k])))
+            left, right = b.own[0], len(b.codes) - b.own[1]
+            assert left <= (context if before is None else before) and right <= context
+            seen += b.ends * (b.texts[1] - b.texts[0])
+        assert seen == len(texts)
+        for i, t in enumerate(texts):
+            pieces = [re.findall("[^ \t]+", p) for p in re.split("[.,;:!?\n\x0b\x0c\r]", (t or "").translate(LOWER))]
+            assert [w for w, _ in got[i]] == [w for p in pieces for w in p]
+            if before is None and context:
+                assert [f for _, f in got[i]] == [k == 0 for p in pieces for k in range(len(p))]
