@@ -190,4 +190,16 @@ c(word, last) as (select word, word from b union all select c.word, b.form from
 select b.word, b.form, c.last as root, b.n, b.n_near, b.form_n from b join c on c.word = b.word join b z on z.word = c.last where z.form is null
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_spelling": OP13, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA}
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: unicode(c)::bigint)), lambda c, b: xor(v[xor(c, b) % 256 + 1], c >> 8)))"""
+BASE_WORD_MODEL = rf"""
+with t(v) as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) from (select unnest(range(256))::bigint as i)),
+d as (select doc_id, {_CRC} % 7 = 2 as held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), ' ') as ws from documents, t),
+w as (select doc_id, held_out, unnest(ws) as word from d),
+c as (select word, count(*) as c from w where not held_out group by word),
+n as (select sum(c)::bigint as n, count(*) as v from c)
+select w.doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c.c) as n_known, any_value(n.n) as train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + n.v + 1))), 6) as base_score
+from w left join c using (word), n group by w.doc_id
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_urls": OP4, "op7_embeddings": OP7, "op8_jaccard_join": OP8, "op9_mixing": OP9, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_spelling": OP13, "base_licenses": BASE_LICENSES, "base_personal_data": BASE_PERSONAL_DATA, "base_word_model": BASE_WORD_MODEL}

@@ -10,6 +10,7 @@ from .decontaminate import find_leaks
 from .embeddings import near_embeddings
 from .jaccard_join import near_duplicates
 from .language import language_of
+from .language_model import score_texts
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -65,6 +66,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(table(spark, sf_dir, "documents"))
 
@@ -81,7 +86,13 @@ def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"), Tagger(TAGS)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
+def base_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word model alone, beside a network that sees no windows."""
+    scored = score_texts(table(spark, sf_dir, "documents"), sample=0)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, op11_collocations, op13_spelling, base_licenses, base_personal_data)
+    for f in (op1_toxicity, op2_decontamination, op3_licenses, op4_urls, op5_language, op6_personal_data, op7_embeddings, op8_jaccard_join, op9_mixing, op10_line_dedup, op11_collocations, op12_language_model, op13_spelling, base_licenses, base_personal_data, base_word_model)
 }
