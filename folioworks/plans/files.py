@@ -1,13 +1,14 @@
-"""Files written from tables by the sinks and read again by the readers."""
+"""Files that executors write from tables by the sinks, read again by the readers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import bytefiles as B
 from ..sources import corpus as C
 from ..sources import sinks as K
 from ..sources.tables import table
@@ -27,84 +28,102 @@ def workspace(spark: SparkSession) -> str:
     return path.toString()
 
 
-def _put(spark: SparkSession, path: str, content: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(content.encode()))
-    out.close()
-
-
-def _nations(spark: SparkSession, sf: str) -> list[tuple[int, str, int]]:
-    """The five and twenty nations, which name a file each."""
-    return [tuple(r) for r in table(spark, sf, "nation").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int")).orderBy("n_nationkey").collect()]
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each supplier, which names files: its key ``k``, part ``pt``, chapter ``ch`` and name."""
+    k = F.col("s_suppkey").cast("int")
+    return table(spark, sf, "supplier").select(k.alias("k"), F.col("s_nationkey").cast("int").alias("pt"), (k % 3).cast("int").alias("ch"), F.trim("s_name").alias("name"))
 
 
 def json_files(spark: SparkSession, sf: str) -> DataFrame:
-    """[K1][K2][S7][S8] Lines of objects, and one file's array."""
+    """[K1][K2][S7][S8] Lines of objects, and files that hold an array each."""
     folder = workspace(spark)
     rows = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit('é "'), "s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).cast("int").alias("nation"))
     K.write_json(rows, f"{folder}/lines")
-    _put(spark, f"{folder}/whole.json", '[{"s_suppkey": -1, "name": "a\\nb"},\n {"s_suppkey": -2, "nation": 4}]')
+    whole = F.format_string('[{"s_suppkey": -%d, "name": "a\\nb"},\n {"s_suppkey": -%d, "nation": 4}]', F.col("k") * 2, F.col("k") * 2 + 1)
+    B.write_files(_suppliers(spark, sf).select(F.concat("k", F.lit(".json")).alias("path"), whole.alias("content")), f"{folder}/whole")
     schema = "s_suppkey long, name string, nation int"
-    found = C.json_lines(spark, f"{folder}/lines", schema).unionByName(C.json_documents(spark, f"{folder}/whole.json", schema))
+    found = C.json_lines(spark, f"{folder}/lines", schema).unionByName(C.json_documents(spark, f"{folder}/whole", schema))
     return found.select("s_suppkey", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce("nation", F.lit(-1)).alias("nation"))
 
 
 def ledger_file(spark: SparkSession, sf: str) -> DataFrame:
     """[S10] Quoted commas, quotes and line breaks."""
     folder = workspace(spark)
-    rows = "".join(f'{k},"{name}, ""{region}""\nend"\n' for k, name, region in _nations(spark, sf))
-    _put(spark, f"{folder}/ledger.csv", "key,text\n" + rows)
-    return C.ledger(spark, f"{folder}/ledger.csv", "key int, text string")
+    content = F.format_string('key,text\n%d,"%s, ""%d""\nend"\n', "k", "name", "pt")
+    B.write_files(_suppliers(spark, sf).select(F.concat("k", F.lit(".csv")).alias("path"), content.alias("content")), folder)
+    return C.ledger(spark, folder, "key int, text string")
+
+
+def _section_folder() -> Column:
+    return F.format_string("Rules-Pt%d-Chap%d-sec%d/", "pt", "ch", "k")
 
 
 def section_files(spark: SparkSession, sf: str) -> DataFrame:
     """[S1][S2][S3][S5] Section folders, polished and raw, and ids that have none."""
-    folder = workspace(spark)
-    for k, name, region in _nations(spark, sf):
-        own = f"{folder}/Rules-Pt{region}-Chap{k % 3}-sec{k}"
-        for file, text in (("b.md", "second"), ("a.md", f"text of {name}"), ("a_raw.md", f"raw {name}"), ("a_content.md", "none"), ("a.txt", "none")):
-            _put(spark, f"{own}/{file}", text)
-    _put(spark, f"{folder}/other/a.md", "elsewhere")
+    folder, rows = workspace(spark), _suppliers(spark, sf)
+    texts = {"b.md": F.lit("second"), "a.md": F.concat(F.lit("text of "), "name"), "a_raw.md": F.concat(F.lit("raw "), "name"), "a_content.md": F.lit("none"), "a.txt": F.lit("none")}
+    files = F.explode(F.array(*(F.struct(F.concat(_section_folder(), F.lit(n)).alias("path"), t.alias("content")) for n, t in texts.items()), F.struct(F.format_string("other%d/a.md", "k").alias("path"), F.lit("elsewhere").alias("content"))))
+    B.write_files(rows.select(files.alias("f")).select("f.*"), folder)
     polished, raw = (C.sections(spark, [folder], raw=r) for r in (False, True))
-    ids = table(spark, sf, "nation").select(F.concat(F.lit("Pt"), "n_regionkey", F.lit(".Ch"), F.col("n_nationkey") % 3, F.lit(".Sec"), F.col("n_nationkey") + F.when(F.col("n_nationkey") % 5 == 0, 100).otherwise(0)).alias("section_id"))
+    ids = rows.select(F.format_string("Pt%d.Ch%d.Sec%d", F.col("pt"), F.col("ch"), F.col("k") + F.when(F.col("k") % 5 == 0, 1_000_000_000).otherwise(0)).alias("section_id"))
     return C.lookup(ids, polished).withColumn("variant", F.lit("polished")).unionByName(C.lookup(ids, raw).withColumn("variant", F.lit("raw")))
 
 
 def section_listing(spark: SparkSession, sf: str) -> DataFrame:
     """[S4] A part's and a chapter's sections."""
     folder = workspace(spark)
-    for k, _, region in _nations(spark, sf):
-        _put(spark, f"{folder}/Rules-Pt{region}-Chap{k % 3}-sec{k}/a.md", "text")
+    B.write_files(_suppliers(spark, sf).select(F.concat(_section_folder(), F.lit("a.md")).alias("path"), F.lit("text").alias("content")), folder)
     found = C.sections(spark, [folder])
     return C.listed(found, 1).withColumn("of", F.lit("part")).unionByName(C.listed(found, 2, 0).withColumn("of", F.lit("chapter")))
 
 
 def regulation_file(spark: SparkSession, sf: str) -> DataFrame:
-    """[S6] Subparts with sections, and appendices."""
+    """[S6] Subparts with sections, and appendices: a file for each supplier, and one that is cut short."""
     folder = workspace(spark)
-    part = lambda k, name: f'<DIV6 N="{chr(65 + k)}" TYPE="SUBPART"><DIV8 N="217.{k}" TYPE="SECTION"><HEAD> {name}</HEAD><P>a <I>b{k}</I>\n c</P></DIV8><DIV8 N="9" TYPE="OTHER"/></DIV6><DIV6 TYPE="X"/>'
-    app = lambda k, name: f'<DIV9 N="Appendix {chr(65 + k)} to Part 217"><HEAD>App {name}</HEAD><P>x</P></DIV9>'
-    _put(spark, f"{folder}/rule.xml", "<R>" + "".join((part if k % 2 else app)(k, name) for k, name, _ in _nations(spark, sf)) + "</R>")
-    return C.xml_sections(spark, [f"{folder}/rule.xml"]).select("section_id", F.coalesce("subpart", F.lit("-")).alias("subpart"), "head", "text", "chars")
+    letter = F.expr("char(65 + k % 26)")
+    part = F.format_string('<R><DIV6 N="%s" TYPE="SUBPART"><DIV8 N="217.%d" TYPE="SECTION"><HEAD> %s</HEAD><P>a <I>b%d</I>\n c</P></DIV8><DIV8 N="9" TYPE="OTHER"/></DIV6><DIV6 TYPE="X"/></R>', letter, "k", "name", "k")
+    app = F.format_string('<R><DIV9 N="Appendix %s to Part 217"><HEAD>App %s</HEAD><P>x</P></DIV9></R>', letter, "name")
+    content = F.when(F.col("k") == 8, "<R><DIV9>").otherwise(F.when(F.col("k") % 2 == 1, part).otherwise(app))
+    B.write_files(_suppliers(spark, sf).select(F.concat("k", F.lit(".xml")).alias("path"), content.alias("content")), folder)
+    found = C.xml_sections(spark, [folder])
+    return found.select(F.coalesce("section_id", F.lit("-")).alias("section_id"), F.coalesce("subpart", F.lit("-")).alias("subpart"), F.coalesce("head", F.lit("-")).alias("head"), F.coalesce("text", F.lit("-")).alias("text"), F.coalesce("chars", F.lit(0)).alias("chars"), F.col("error").isNotNull().alias("broken"))
 
 
 def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """[S14] Files by their first bytes."""
     folder = workspace(spark)
-    for k, _, _ in _nations(spark, sf):
-        _put(spark, f"{folder}/{k}.bin", ("%PDF-1.7", "GIF89a", "BM12", "none")[k % 4])
+    content = F.get(F.array(*map(F.lit, ("%PDF-1.7", "GIF89a", "BM12", "none"))), F.col("k") % 4)
+    B.write_files(_suppliers(spark, sf).select(F.concat("k", F.lit(".bin")).alias("path"), content.alias("content")), folder)
     found = C.binary_documents(spark, folder)
     return found.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("int").alias("key"), F.coalesce("kind", F.lit("-")).alias("kind"), F.length("content").alias("size"))
 
 
+def _document_files(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """Whole texts of documents as files, ASCII, in a folder for each third; returns the table."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.format_string("d%d/%d.bin", (F.col("doc_id") % 3).cast("int"), "doc_id").alias("name"))
+    B.write_files(docs.select(F.col("name").alias("path"), K.ascii_bytes(F.coalesce("text", F.lit(""))).alias("content")), folder)
+    return docs
+
+
 def byte_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """[S11][S12][K5] Ranges that a path asks for, of texts as bytes."""
-    k = F.col("s_suppkey").cast("int")
-    path = F.when(k % 3 == 0, F.concat(F.lit("s3://b"), k % 4, F.lit("/k/"), "s_name")).otherwise(F.concat(F.lit("s3a://b/k?bytes="), k % 5, F.lit(","), k % 7 - 1))
-    r = C.parse_range(path)
-    content = K.ascii_bytes(F.concat(F.lit("é"), "s_name"))
-    return table(spark, sf, "supplier").select("s_suppkey", r["bucket"].alias("bucket"), r["offset"].alias("offset"), r["length"].alias("length"), C.byte_range(content, r["offset"], r["length"]).cast("string").alias("part"))
+    """[S11][S12][K5] Ranges of files that paths ask for: by a bucket, by the default bucket and by the file system's own path;
+    whole files, ranges that cross the end, and paths of files and buckets that aren't there."""
+    folder = workspace(spark)
+    docs = _document_files(spark, sf, folder)
+    stores = B.Stores({f"b{i}": f"{folder}/d{i}" for i in range(3)} | {"all": folder}, "all")
+    k = F.col("doc_id").cast("int")
+    base = F.when(k % 4 == 0, F.concat(F.lit("s3://b"), k % 3, F.lit("/"), "doc_id", F.lit(".bin"))).when(k % 4 == 1, F.col("name")).when(k % 4 == 2, F.concat(F.lit(f"{folder}/"), "name")).otherwise(F.concat(F.lit("s3a://b"), k % 5, F.lit("/"), "doc_id", F.lit(".bin")))
+    path = F.when(k % 7 == 0, base).otherwise(F.concat(base, F.format_string("?bytes=%d,%d", (k * 37) % 900, k % 300 - 1)))
+    got = B.read_ranges(docs.select("doc_id", F.when(k % 11 == 0, F.concat(base, F.lit(".gone"))).otherwise(path).alias("path")), stores)
+    return got.select("doc_id", F.coalesce(F.col("content").cast("string"), F.lit("-")).alias("part"), F.col("error").isNotNull().alias("failed"))
+
+
+def file_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """[S11] Blocks of files as a data source, chosen by offset and path before they are read."""
+    folder = workspace(spark)
+    _document_files(spark, sf, folder)
+    blocks = B.byte_blocks(spark, folder, block=4000).where((F.col("offset") >= 4000) & (F.col("offset") < 20_000) & F.col("path").endswith("0.bin"))
+    return blocks.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("doc_id"), "offset", "length", "size", F.md5("content").alias("digest"))
 
 
 def run_appends(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,23 +137,28 @@ def run_appends(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/runs").join(names, "s_nationkey").groupBy(F.col("run").cast("string").alias("run"), "n_name").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (json_files, ledger_file, section_files, section_listing, regulation_file, file_kinds, byte_ranges, run_appends)}
+QUERIES = {f.__name__: f for f in (json_files, ledger_file, section_files, section_listing, regulation_file, file_kinds, byte_ranges, file_blocks, run_appends)}
+
+_SUPPLIERS = "s as (select s_suppkey::int as k, s_nationkey::int as pt, (s_suppkey % 3)::int as ch, trim(s_name) as name from supplier)"
 
 ORACLES = {
     "json_files": """select s_suppkey::bigint as s_suppkey, 'é "' || s_name as name, case when s_suppkey % 3 = 0 then -1 else s_nationkey end::int as nation from supplier
-union all select * from (values (-1, 'a' || chr(10) || 'b', -1), (-2, '-', 4))""",
-    "ledger_file": "select n_nationkey::int as key, n_name || ', \"' || n_regionkey || '\"' || chr(10) || 'end' as text from nation",
-    "section_files": """with i as (select 'Pt' || n_regionkey || '.Ch' || n_nationkey % 3 || '.Sec' || (n_nationkey + case when n_nationkey % 5 = 0 then 100 else 0 end) as section_id, n_name, n_nationkey % 5 = 0 as gone from nation)
-select section_id, case when gone then '' else 'text of ' || n_name end as text, 'polished' as variant from i union all select section_id, case when gone then '' else 'raw ' || n_name end, 'raw' from i""",
-    "section_listing": """select 'Pt1.Ch' || n_nationkey % 3 || '.Sec' || n_nationkey as section_id, 'part' as of from nation where n_regionkey = 1
-union all select 'Pt2.Ch0.Sec' || n_nationkey, 'chapter' from nation where n_regionkey = 2 and n_nationkey % 3 = 0""",
-    "regulation_file": """with n as (select n_nationkey::int as k, n_name, chr(65 + n_nationkey::int) as letter from nation),
-r as (select case when k % 2 = 1 then 'Pt217.Subpart' || letter || '.Sec217.' || k else 'Pt217.App' || letter end as section_id, case when k % 2 = 1 then letter else '-' end as subpart, case when k % 2 = 1 then n_name else 'App ' || n_name end as head,
-  case when k % 2 = 1 then n_name || ' a b' || k || ' c' else 'App ' || n_name || ' x' end as text from n) select *, length(text)::int as chars from r""",
-    "file_kinds": "select n_nationkey::int as key, (['pdf', 'gif', 'bmp', '-'])[n_nationkey % 4 + 1] as kind, ([8, 6, 4, 4])[n_nationkey % 4 + 1] as size from nation",
-    "byte_ranges": """with s as (select s_suppkey, s_suppkey::int as k, '?' || s_name as t from supplier),
-r as (select *, case when k % 3 = 0 then 'b' || k % 4 else 'b' end as bucket, case when k % 3 = 0 then 0 else k % 5 end::bigint as o, case when k % 3 = 0 then -1 else k % 7 - 1 end::bigint as l from s)
-select s_suppkey, bucket, o as "offset", l as length, case when l < 0 then substr(t, (o + 1)::int) else substr(t, (o + 1)::int, l::int) end as part from r""",
+union all select -2 * s_suppkey, 'a' || chr(10) || 'b', -1 from supplier union all select -2 * s_suppkey - 1, '-', 4 from supplier""",
+    "ledger_file": f"with {_SUPPLIERS} select k as key, name || ', \"' || pt || '\"' || chr(10) || 'end' as text from s",
+    "section_files": f"""with {_SUPPLIERS}, i as (select 'Pt' || pt || '.Ch' || ch || '.Sec' || (k + case when k % 5 = 0 then 1000000000 else 0 end) as section_id, name, k % 5 = 0 as gone from s)
+select section_id, case when gone then '' else 'text of ' || name end as text, 'polished' as variant from i union all select section_id, case when gone then '' else 'raw ' || name end, 'raw' from i""",
+    "section_listing": f"""with {_SUPPLIERS} select 'Pt1.Ch' || ch || '.Sec' || k as section_id, 'part' as of from s where pt = 1
+union all select 'Pt2.Ch0.Sec' || k, 'chapter' from s where pt = 2 and ch = 0""",
+    "regulation_file": f"""with {_SUPPLIERS}, n as (select *, chr(65 + k % 26) as letter from s),
+r as (select case when k % 2 = 1 then 'Pt217.Subpart' || letter || '.Sec217.' || k else 'Pt217.App' || letter end as section_id, case when k % 2 = 1 then letter else '-' end as subpart, case when k % 2 = 1 then name else 'App ' || name end as head,
+  case when k % 2 = 1 then name || ' a b' || k || ' c' else 'App ' || name || ' x' end as text from n where k <> 8) select *, length(text)::int as chars, false as broken from r union all select '-', '-', '-', '-', 0, true from n where k = 8""",
+    "file_kinds": "select s_suppkey::int as key, (['pdf', 'gif', 'bmp', '-'])[s_suppkey % 4 + 1] as kind, ([8, 6, 4, 4])[s_suppkey % 4 + 1] as size from supplier",
+    "byte_ranges": """with d as (select doc_id, doc_id::int as k, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as t from documents),
+r as (select *, k % 11 = 0 or (k % 4 = 3 and k % 5 <> k % 3) as failed, k % 7 = 0 as whole, (k * 37) % 900 as o, k % 300 - 1 as n from d)
+select doc_id, case when failed then '-' when whole then t when n < 0 then substr(t, o + 1) else substr(t, o + 1, n) end as part, failed from r""",
+    "file_blocks": """with d as (select doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as t from documents),
+b as (select doc_id, t, unnest(range(0, length(t), 4000)) as o from d where doc_id % 10 = 0)
+select doc_id, o::bigint as "offset", least(4000, length(t) - o)::bigint as length, length(t)::bigint as size, md5(substr(t, o::int + 1, 4000)) as digest from b where o >= 4000 and o < 20000""",
     "run_appends": """select 'a' as run, n_name, count(*) as n from supplier join nation on s_nationkey = n_nationkey where s_nationkey < 5 group by all union all
 select 'b', n_name, count(*) from supplier join nation on s_nationkey = n_nationkey where s_nationkey > 10 group by all""",
 }

@@ -44,32 +44,39 @@ def listed(found: DataFrame, pt: int, ch: int | None = None) -> DataFrame:
 
 
 def xml_sections(spark: SparkSession, paths: list[str], part: int = 217) -> DataFrame:
-    """[S6] Sections of subparts and appendices of a regulation's XML, their texts put together without tags."""
+    """[S6] Sections of subparts and appendices of a regulation's XML, their texts put together without tags.
+
+    A file that isn't well-formed gives one row, with its ``path`` and the parser's ``error``, which others have as null.
+    """
 
     def text_of(node) -> str:
         return re.sub(r"\s+", " ", " ".join(t.strip() for t in node.itertext() if t.strip())).strip()
 
     def read(batches):
-        names = ["section_id", "part", "subpart", "sec", "appendix", "head", "text"]
+        names = ["section_id", "part", "subpart", "sec", "appendix", "head", "text", "path", "error"]
         for batch in batches:
             rows = []
-            for content in batch.column("content").to_pylist():
-                root = ET.fromstring(content)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    root = ET.fromstring(content)
+                except ET.ParseError as error:
+                    rows.append((*[None] * 7, path, str(error)))
+                    continue
                 for sub in root.iter("DIV6"):
                     if sub.get("TYPE") != "SUBPART":
                         continue
                     for sec in sub.iter("DIV8"):
                         if sec.get("TYPE") == "SECTION":
                             number = re.sub(r"^.*?\.", "", sec.get("N", ""))
-                            rows.append((f"Pt{part}.Subpart{sub.get('N')}.Sec{part}.{number}", part, sub.get("N"), number, None, (sec.findtext("HEAD") or "").strip(), text_of(sec)))
+                            rows.append((f"Pt{part}.Subpart{sub.get('N')}.Sec{part}.{number}", part, sub.get("N"), number, None, (sec.findtext("HEAD") or "").strip(), text_of(sec), path, None))
                 for app in root.iter("DIV9"):
                     m = re.search(r"Appendix\s+([A-Z])", app.get("N", "") + " " + (app.findtext("HEAD") or ""), re.IGNORECASE)
                     letter = m.group(1).upper() if m else app.get("N", "")
-                    rows.append((f"Pt{part}.App{letter}", part, None, None, letter, (app.findtext("HEAD") or "").strip(), text_of(app)))
+                    rows.append((f"Pt{part}.App{letter}", part, None, None, letter, (app.findtext("HEAD") or "").strip(), text_of(app), path, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if n == "part" else pa.string()) for k, n in enumerate(names)], names)
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    rows = files.mapInArrow(read, "section_id string, part int, subpart string, sec string, appendix string, head string, text string")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    rows = files.mapInArrow(read, "section_id string, part int, subpart string, sec string, appendix string, head string, text string, path string, error string")
     return rows.withColumn("chars", F.length("text"))
 
 
@@ -96,7 +103,7 @@ def parse_range(path: Column) -> Column:
 
 
 def byte_range(content: Column, offset: Column, length: Column) -> Column:
-    """[S11] Bytes from an offset on; a negative length means to the end."""
+    """Bytes of a column from an offset on; a negative length means to the end. Files are read by ``bytefiles``."""
     return F.when(length < 0, F.substr(content, offset.cast("int") + 1)).otherwise(F.substr(content, offset.cast("int") + 1, length.cast("int")))
 
 
