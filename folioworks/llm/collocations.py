@@ -6,7 +6,8 @@ first k words scores ``floor(1000 * a * n / (l * r))``, for its own count a, tho
 of its language; its lowest cut counts. A candidate goes if a longer one that contains it is as frequent.
 
 1. Words are counted by language, through the distinct words of blocks of texts; those that occur ``least`` times are
-   numbered from the most frequent one on, and the numbers come back to the blocks. All other words only break pieces.
+   numbered from the most frequent one on. The numbers are sent to all tasks up to ``DICTIONARY_BYTES``; beyond, the blocks
+   are written and their words' numbers come back to them by a join. All other words only break pieces.
 2. A phrase's *pivot* is its rarest word, at its first place in the phrase. Each place of a word yields one fragment: the
    word, up to four words before it that are more frequent, and up to four behind it that aren't rarer. So a phrase at a
    place is in the fragment of one pivot, once. Equal fragments of a block are one with a count.
@@ -24,15 +25,17 @@ can be numbered; more raise an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .blocks import blocks
+from .blocks import Block, blocks
 from .stage import Written, cut
 
 # What ends a piece.
@@ -40,34 +43,51 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Places of words of one language that a task mines at a time, and of one word before it is dealt to several.
 BUCKET_WORDS, PIVOT_WORDS = 1 << 20, 1 << 19
+#: Frequent words, in bytes, that are sent to all executors; more come back to written blocks by a join.
+DICTIONARY_BYTES = 1 << 25
 _U = np.uint64
 _NONE = np.uint32(0xFFFFFFFF)
 _BREAKS = np.isin(np.arange(256), list(map(ord, BREAKS)))
 _INSIDE = ~(_BREAKS | np.isin(np.arange(256), [0x20, 0x09]))
 _REACH = LONGEST - 1
 
-_CHUNKS = "chunk long, lang string, n long, words array<string>, counts array<long>, codes binary, first int, last int"
-_FRAGMENTS = "lang string, bucket int, whole boolean, shapes binary, ids binary, counts binary"
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
-_FRAGMENT_SCHEMA = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("whole", pa.bool_()), ("shapes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+_CHUNKS = "chunk long, lang string, words array<string>, codes binary, first int, last int"
+_FRAGMENTS = "lang string, bucket int, whole boolean, shapes binary, pivots binary, ids binary, counts binary"
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("codes", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
+_FRAGMENT_SCHEMA = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("whole", pa.bool_()), ("shapes", pa.binary()), ("pivots", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    serial = TaskContext.get().partitionId() << 32
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
+    """The blocks of each language that hold words of their own."""
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         order = np.argsort(langs.indices.to_numpy(), kind="stable")
         texts, at = batch.column("text").take(pa.array(order)), np.searchsorted(langs.indices.to_numpy()[order], np.arange(len(langs.dictionary) + 1))
         for lang, i, j in zip(langs.dictionary.to_pylist(), at[:-1], at[1:], strict=True):
             for block in blocks(texts.slice(i, j - i), _INSIDE, _BREAKS, context=_REACH):
-                first, last = block.own
-                if first == last:
-                    continue
-                serial += 1
-                counts = np.bincount(block.codes[first:last], minlength=len(block.words))
-                codes = (block.codes.astype(np.uint32) * 2 + block.fresh).astype("<u4").tobytes()
-                row = [[serial], [lang], [last - first], pa.ListArray.from_arrays([0, len(block.words)], block.words), [counts.tolist()], [codes], [first], [last]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(row, _CHUNK_SCHEMA, strict=True)], schema=_CHUNK_SCHEMA)
+                if block.own[0] < block.own[1]:
+                    yield lang, block
+
+
+def _codes(block: Block) -> np.ndarray:
+    return block.codes.astype(np.uint32) * 2 + block.fresh
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, f): the distinct words of each block, and null with the number of all."""
+    for lang, block in _blocks(batches):
+        first, last = block.own
+        counts = np.bincount(block.codes[first:last], minlength=len(block.words))
+        words = pa.concat_arrays([block.words, pa.array([None], pa.string())])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), words, pa.array(np.append(counts, last - first))], ["lang", "word", "f"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    serial = TaskContext.get().partitionId() << 32
+    for lang, block in _blocks(batches):
+        serial += 1
+        row = [[serial], [lang], pa.ListArray.from_arrays([0, len(block.words)], block.words), [_codes(block).astype("<u4").tobytes()], [block.own[0]], [block.own[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(row, _CHUNK_SCHEMA, strict=True)], schema=_CHUNK_SCHEMA)
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -125,40 +145,82 @@ def fragments_of(codes: np.ndarray, ids: np.ndarray, first: int, last: int) -> t
     return _summed(rows, np.ones(len(rows), dtype=np.int64))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by their first bytes, second bytes and so on: most of the later ones are zeros, which compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _dealt(lang: str, codes: np.ndarray, known: np.ndarray, first: int, last: int, buckets: int) -> pa.RecordBatch | None:
+    """The fragments of a block by bucket. ``known`` has (index, number, tasks) of its words that are frequent."""
+    size = int(codes.max() >> 1) + 1
+    ids = np.full(size, _NONE, dtype=np.uint32)
+    ids[known[:, 0]] = known[:, 1]
+    rows, counts = fragments_of(codes, ids, first, last)
+    if not len(rows):
+        return None
+    pivot = rows[:, _REACH]
+    known = known[np.argsort(known[:, 1])]
+    tasks = known[np.searchsorted(known[:, 1], pivot), 2].astype(np.uint64)
+    bucket = S.mix(S.mix(pivot.astype(np.uint64)) + _row_hash(rows) % tasks) % _U(buckets)
+    key = bucket.astype(np.int64) * 2 + (tasks == 1)
+    order = np.lexsort((pivot, key))
+    rows, counts, key = rows[order], counts[order], key[order]
+    held, at = np.unique(key, return_index=True)
+    inside = rows != _NONE
+    shapes = (inside[:, :_REACH].sum(axis=1) * 8 + inside[:, _REACH + 1 :].sum(axis=1)).astype(np.uint8)
+    inside[:, _REACH] = False
+    out = []
+    for k, i, j in zip(held.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+        pivots = np.diff(rows[i:j, _REACH], prepend=np.uint32(0))
+        out.append((lang, k >> 1, bool(k & 1), shapes[i:j].tobytes(), _planes(pivots), _planes(rows[i:j][inside[i:j]]), _planes(counts[i:j])))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _FRAGMENT_SCHEMA, strict=True)], schema=_FRAGMENT_SCHEMA)
+
+
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks that their words' numbers have come back to."""
     for batch in batches:
         for row in batch.to_pylist():
-            codes = np.frombuffer(row["codes"], "<u4")
-            size = int(codes.max() >> 1) + 1
-            ids, parts = np.full(size, _NONE, dtype=np.uint32), np.ones(size, dtype=np.int64)
-            known = np.array([(x["k"], x["id"], x["parts"]) for x in row["known"]], dtype=np.int64)
-            ids[known[:, 0]], parts[known[:, 0]] = known[:, 1], known[:, 2]
-            rows, counts = fragments_of(codes, ids, row["first"], row["last"])
-            if not len(rows):
+            known = np.array([(x["k"], x["id"], x["tasks"]) for x in row["known"]], dtype=np.int64)
+            found = _dealt(row["lang"], np.frombuffer(row["codes"], "<u4"), known, row["first"], row["last"], row["buckets"])
+            if found is not None:
+                yield found
+
+
+def _looked_up(dictionary: dict[str, tuple[pa.Array, np.ndarray, np.ndarray, int]]):
+    """The same of texts, by words, numbers, tasks and buckets of each language."""
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block in _blocks(batches):
+            words, ids, tasks, buckets = dictionary.get(lang, (None, None, None, 0))
+            if words is None:
                 continue
-            pivot = rows[:, _REACH]
-            order = np.argsort(known[:, 1])
-            tasks = known[order, 2][np.searchsorted(known[order, 1], pivot)].astype(np.uint64)
-            bucket = S.mix(S.mix(pivot.astype(np.uint64)) + _row_hash(rows) % tasks) % _U(row["buckets"])
-            key = bucket.astype(np.int64) * 2 + (tasks == 1)
-            order = np.argsort(key, kind="stable")
-            rows, counts, key = rows[order], counts[order], key[order]
-            held, at = np.unique(key, return_index=True)
-            inside = rows != _NONE
-            shapes = (inside[:, :_REACH].sum(axis=1) * 8 + inside[:, _REACH + 1 :].sum(axis=1)).astype(np.uint8)
-            out = []
-            for k, i, j in zip(held.tolist(), at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
-                out.append((row["lang"], k >> 1, bool(k & 1), shapes[i:j].tobytes(), rows[i:j][inside[i:j]].astype("<u4").tobytes(), counts[i:j].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _FRAGMENT_SCHEMA, strict=True)], schema=_FRAGMENT_SCHEMA)
+            at = pc.index_in(block.words, value_set=words)
+            here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            at = at.fill_null(0).to_numpy()[here]
+            found = len(here) and _dealt(lang, _codes(block), np.stack((here, ids[at], tasks[at]), axis=1), *block.own, buckets)
+            if found:
+                yield found
+
+    return looked_up
 
 
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The fragments of a bucket and their counts."""
-    shapes, flat, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("shapes", np.uint8), ("ids", "<u4"), ("counts", "<u4")))
-    column = np.arange(2 * _REACH + 1)
-    rows = np.full((len(shapes), len(column)), _NONE, dtype=np.uint32)
-    rows[(column >= _REACH - (shapes >> 3)[:, None]) & (column <= _REACH + (shapes & 7)[:, None])] = flat
-    return rows, counts.astype(np.int64)
+    column, parts, counts = np.arange(2 * _REACH + 1), [], []
+    for shapes, pivots, ids, many in zip(*(group.column(c).to_pylist() for c in ("shapes", "pivots", "ids", "counts")), strict=True):
+        shapes = np.frombuffer(shapes, np.uint8)
+        rows = np.full((len(shapes), len(column)), _NONE, dtype=np.uint32)
+        inside = (column >= _REACH - (shapes >> 3)[:, None]) & (column <= _REACH + (shapes & 7)[:, None])
+        inside[:, _REACH] = False
+        rows[inside] = _from_planes(ids)
+        rows[:, _REACH] = np.cumsum(_from_planes(pivots), dtype=np.uint32)
+        parts.append(rows)
+        counts.append(_from_planes(many))
+    return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
 
 
 def _mine(least: int):
@@ -206,20 +268,36 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     A phrase's key is its words' numbers, of four bytes each.
     """
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    with Written(named.mapInArrow(_chunks, _CHUNKS)) as chunks:
-        words = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "x")).select("chunk", "lang", "k", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-        langs = cut(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
-        numbered = cut(_numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)))
-        tasks = F.ceil(F.col("f") / PIVOT_WORDS)
-        known = words.drop("n").join(numbered.select("lang", "word", "id", tasks.alias("parts")), ["lang", "word"])
-        known = known.groupBy("chunk").agg(F.collect_list(F.struct("k", "id", "parts")).alias("known"))
-        sized = langs.select("lang", F.ceil(F.col("n") / BUCKET_WORDS).cast("int").alias("buckets"))
-        coded = chunks.select("chunk", "lang", "codes", "first", "last").join(known, "chunk").join(sized, "lang")
-        mined = coded.mapInArrow(_fragments, _FRAGMENTS).groupBy("lang", "bucket", "whole").applyInArrow(_mine(least), "lang string, key binary, a long")
+    counted = named.mapInArrow(_counts, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    counted = cut(counted.where(F.col("word").isNull() | (F.col("f") >= least)))
+    langs = counted.where("word is null").select("lang", F.col("f").alias("n"))
+    numbered = cut(_numbered(counted.where("word is not null")))
+    tasked = numbered.select("lang", "word", "id", F.ceil(F.col("f") / PIVOT_WORDS).alias("tasks"))
+    sized = langs.select("lang", F.ceil(F.col("n") / BUCKET_WORDS).cast("int").alias("buckets"))
+    size = numbered.agg(F.coalesce(F.sum(F.octet_length("word") + 20), F.lit(0))).first()[0]
+    with ExitStack() as tables:
+        if size <= DICTIONARY_BYTES:
+            fragments = named.mapInArrow(_looked_up(_dictionary(tasked.join(sized, "lang"))), _FRAGMENTS)
+        else:
+            chunks = tables.enter_context(Written(named.mapInArrow(_chunks, _CHUNKS)))
+            known = chunks.select("chunk", "lang", F.posexplode("words").alias("k", "word")).join(tasked, ["lang", "word"])
+            known = known.groupBy("chunk").agg(F.collect_list(F.struct("k", "id", "tasks")).alias("known"))
+            fragments = chunks.select("chunk", "lang", "codes", "first", "last").join(known, "chunk").join(sized, "lang").mapInArrow(_fragments, _FRAGMENTS)
+        mined = fragments.groupBy("lang", "bucket", "whole").applyInArrow(_mine(least), "lang string, key binary, a long")
         phrases = cut(mined.groupBy("lang", "key").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     return phrases, numbered, langs
 
 
+def _dictionary(rows: DataFrame) -> dict[str, tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """The frequent words of each language, of ``DICTIONARY_BYTES`` in all."""
+    table = rows.select("lang", "word", "id", "tasks", "buckets").toArrow()
+    out = {}
+    for lang in table.column("lang").unique().to_pylist():
+        own = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
+        out[lang] = (own.column("word").combine_chunks(), own.column("id").to_numpy(), own.column("tasks").to_numpy(), own.column("buckets")[0].as_py())
+    return out
+
+
 _EXACT = "cast(cast(1000 as decimal(38,0)) * (cast(a as decimal(19,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)"
 
 
