@@ -16,7 +16,7 @@ Steps
    the task that counts their documents. Those of two documents or more go back to their chunk with that number, and
    a node with too few of them to link is done. What is left is counted once more, each node once, so that copies
    don't make a shingle look shared.
-3. Each chunk makes the prefixes of the nodes that can still link.
+3. Each chunk makes the prefixes of the nodes that can still link; their texts are read again for their sets' whole hashes.
 4. Each prefix shingle elects the node with the fewest shingles of its own. Only pairs with an elected node come
    first, as many rows as prefix shingles. Those that share no prefix member under the second and third order are done;
    the sets of the others are intersected; what links into components needs no pairs any more. Only pairs
@@ -28,9 +28,9 @@ Steps
 
 Defined results: null ids keep their row, and are ignored as the least id of a component (null if it has no other);
 null texts count as empty; repeated rows are copies of each other; more columns are ignored. An empty table gives no
-rows. Columns may have any name. Hashes have 64 bits within a document and 42 or more between documents, in place of the
-shingles' strings: 32, and as many as there are ranges of hashes, of which there is one for each ``BUCKET_SHINGLES``
-shingles of the documents (2 ** 20 at most).
+rows. Columns may have any name. Shingles are compared by 64-bit hashes of their words. Candidates are searched by the leading
+32 bits and as many more as number the ranges of hashes, of which there is one for each ``BUCKET_SHINGLES`` shingles of the
+documents (2 ** 20 at most); sets that are intersected have all 64 bits, so that a pair never links by the bits left out.
 """
 
 from __future__ import annotations
@@ -50,8 +50,11 @@ from .stage import cut
 PERCENT = 80
 #: Shingles of all documents that one task counts at a time, of some six bytes each.
 BUCKET_SHINGLES, LEAST_BITS, MOST_BITS = 1 << 18, 10, 20
+#: Sets smaller than this link with equal ones only.
+LEAST_SHARED = -(-PERCENT // (100 - PERCENT))
+#: Nodes, of sixteen bytes each, that are sent to all tasks to fetch their whole sets.
+SENT_NODES = 1 << 20
 _U = np.uint64
-_BINARY = pa.large_binary()
 
 
 def _need(n: np.ndarray) -> np.ndarray:
@@ -193,7 +196,7 @@ def _possible(group: pa.Table) -> Iterator[tuple[bytes, int, np.ndarray, np.ndar
     order = np.argsort(refs, kind="stable")
     tokens, refs, counts = tokens[order], refs[order], counts[order]
     at = np.searchsorted(refs, np.arange(len(sizes) + 1))
-    for i in np.flatnonzero((np.diff(at) >= _need(sizes)) & (sizes > 0)):
+    for i in np.flatnonzero((np.diff(at) >= _need(sizes)) & (sizes >= LEAST_SHARED)):
         yield nodes[16 * i : 16 * i + 16], int(sizes[i]), tokens[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
 
 
@@ -215,6 +218,40 @@ def _prefixes(group: pa.Table) -> pa.Table:
     return _table(out, _PREFIX_SCHEMA)
 
 
+def _whole(wanted: frozenset[bytes] | None):
+    """(node, all its 64-bit hashes) of texts, of the wanted nodes or all; each node once a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for _, members in S.shingle_sets(batch.column("text"), S.BLANK_WORDS):
+                if len(members) >= LEAST_SHARED:
+                    node = _node(members)
+                    if node not in seen and (wanted is None or node in wanted):
+                        seen.add(node)
+                        rows.append((node, members.tobytes()))
+                if len(seen) > SENT_NODES:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["node", "whole"])
+
+    return whole
+
+
+def _exact(bits: int):
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The 64-bit hashes in place of the leading bits of those shingles that several nodes have."""
+        for batch in batches:
+            members = []
+            for held, blob in zip(batch.column("members"), batch.column("whole").to_pylist(), strict=True):
+                own = np.frombuffer(blob, np.uint64)
+                members.append(own[np.isin(own >> _U(32 - bits), held.values.to_numpy().view(np.uint64))].view(np.int64))
+            columns = [pa.array(members, _LONGS) if f.name == "members" else batch.column(f.name) for f in _PREFIX_SCHEMA]
+            yield pa.RecordBatch.from_arrays(columns, _PREFIX_SCHEMA.names)
+
+    return exact
+
+
 def shingle_nodes(docs: DataFrame) -> DataFrame:
     """``(doc_id, node, n)`` of every row: the set's identity (null if empty) and size."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -231,7 +268,15 @@ def candidate_nodes(docs: DataFrame, shingles: int) -> DataFrame:
     shared = blobs.groupBy("bucket").applyInArrow(_spread, _BLOBS)
     sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]))
     again = sets.mapInArrow(_scatter(bits, _members), _BLOBS).groupBy("bucket").applyInArrow(_count, _BLOBS)
-    return cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
+    nodes = cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
+    # links are decided by whole hashes, which only the nodes that can still link need
+    ids = nodes.select("node")
+    few = frozenset(bytes(x.node) for x in ids.collect()) if nodes.count() <= SENT_NODES else None
+    whole = docs.select(F.col("text").cast("string")).mapInArrow(_whole(few), "node binary, whole binary")
+    if few is None:
+        whole = whole.join(ids, "node", "left_semi")
+    whole = whole.groupBy("node").agg(F.first("whole").alias("whole"))
+    return cut(nodes.join(whole, "node").mapInArrow(_exact(bits), _PREFIXES))
 
 
 #: I >= 80 % of (na + nb - I)

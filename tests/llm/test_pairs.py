@@ -4,10 +4,12 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioworks.llm import embeddings, jaccard_join
+from folioworks.llm import shingles as S
 from folioworks.llm.components import connected_components
 from folioworks.llm.decontaminate import find_leaks
 
@@ -67,6 +69,27 @@ def test_jaccard_join_is_brute_force(spark, seed):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(sets[d]), want[d]) for d, _ in rows}
 
 
+def test_leading_bits_alone_link_nothing(spark, monkeypatch):
+    """Shingles whose leading bits agree: words that 42 bits can't tell apart, and, by 32 bits, a pair just below the threshold."""
+    rows = [(1, "w2106070"), (2, "w2665008"), (3, "w545580"), (4, "w846715"), (5, "w2106070")]
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    heads = [f"a{i} b{i} c d e{i % 7}" for i in range(250_000)]
+    hashes = np.concatenate([m for _, m in S.shingle_sets(pa.array(heads), S.BLANK_WORDS)]) >> np.uint64(32)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])[0]
+    tail = " ".join(f"t{i}" for i in range(40))
+    one, other = (f"{heads[order[k]]} {tail}" for k in (same, same + 1))
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 0)
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 0)
+    rows = [(1, one), (2, other), (3, f"{one} more"), (4, f"{other} more")]
+    sets, want = brute_components(rows)
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(jaccard_join, "SENT_NODES", sent)
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    assert want[1] != want[2]
+
+
 def test_jaccard_join_odd_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(5, text, 1), (3, text, 1), (3, text, 1), (None, text, 1), (None, None, 1), (7, None, 1), (8, "", 1), (9, "lone words here", 1), (None, "x y z q r s t", 1)]
