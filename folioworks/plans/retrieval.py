@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import postings as P
 from ..operators import retrieve as R
 from ..sources.tables import lines, table
+from .files import workspace
 
 
 def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
     docs, queries = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
-    return R.top_k(R.bm25_scores(docs, "doc_id", queries, "item_id"), docs, "doc_id", queries, "item_id", k)
+    found = P.search(P.write_index(docs, "doc_id", workspace(spark)), queries, "item_id", k)
+    return R.top_k(found.best, docs, "doc_id", queries, "item_id", k)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
