@@ -14,30 +14,61 @@ def adjacency(edges: DataFrame, distinct: bool) -> DataFrame:
     return edges.groupBy("source").agg(F.array_sort(collect("target")).alias("targets"))
 
 
+#: Half paths of one middle node that a task holds on a side; more are dealt to a grid of tasks.
+HUB_PATHS = 1 << 14
+
+
+def _mask(node: str) -> Column:
+    """One bit of 64 for a node: paths whose bits are disjoint share no node."""
+    return F.expr(f"shiftleft(1L, pmod(hash({node}), 64))")
+
+
+def _dealt(rows: DataFrame, middle: str, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
+    """Rows of a crowded middle node by their own part, and once for each part of the other side."""
+    own_part = F.when(F.col(own_parts) > 1, F.pmod(F.xxhash64("path"), F.col(own_parts))).otherwise(F.lit(0).cast("long")).cast("int")
+    return rows.withColumn(own, own_part).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Paths that end where others begin, joined to longer ones without a node twice.
+
+    A node with many paths on either side is met in a grid: each task has some of its left and some of its right paths, so
+    that no task holds more than ``HUB_PATHS`` of a side, however many edges the node has.
+    """
+    sides = left.groupBy(F.col("end").alias("middle")).agg(F.count("*").alias("n_left")).join(right.groupBy(F.col("start").alias("middle")).agg(F.count("*").alias("n_right")), "middle")
+    parts = lambda n: F.ceil(F.col(n) / HUB_PATHS).cast("int")
+    sides = sides.select("middle", parts("n_left").alias("lefts"), parts("n_right").alias("rights"))
+    one = left.withColumnRenamed("end", "middle").drop("internal").join(sides, "middle")
+    two = right.withColumnRenamed("start", "middle").join(sides, "middle")
+    one = _dealt(one, "middle", "i", "j", "lefts", "rights").drop("lefts", "rights")
+    two = _dealt(two, "middle", "j", "i", "rights", "lefts").select("middle", "i", "j", "end", F.slice("path", 2, 1 << 30).alias("tail"), F.col("edges").alias("more"), F.col("mask").alias("ahead"), "internal")
+    both = one.join(two, ["middle", "i", "j"]).where((F.col("mask").bitwiseOR(_mask("start")).bitwiseAND(F.col("ahead")) == 0) | ~F.arrays_overlap("path", "tail"))
+    whole = F.col("mask").bitwiseOR(F.col("ahead"))
+    return both.select("start", "end", F.concat("path", "tail").alias("path"), F.concat("edges", "more").alias("edges"), whole.alias("mask"), "internal")
+
+
 def chains(edges: DataFrame, starts: DataFrame, nodes: DataFrame, max_depth: int, keep_external: bool = False) -> DataFrame:
     """[G1][G2][J3] All simple paths along edges, one per choice of edges, up to ``max_depth`` of them.
 
     ``edges(source, target, ...)``: every further column comes back as part of the ``edges`` array. Targets that are no
-    node are dropped, or, with ``keep_external``, end a chain. Each depth is one join on the last node; the paths of a
-    depth are the only rows that grow.
+    node are dropped, or, with ``keep_external``, end a chain. Paths of a depth are two halves that meet in the middle; a
+    bitmap of nodes rules out most shared nodes before the paths are compared.
     """
     rest = [c for c in edges.columns if c not in ("source", "target")]
     step = edges.where("source <> target").join(nodes.select(F.col("node").alias("target"), F.lit(True).alias("internal")).distinct(), "target", "left")
     step = step.withColumn("internal", F.coalesce("internal", F.lit(False)))
     if not keep_external:
         step = step.where("internal")
-    step = step.select("source", "target", "internal", F.struct("target", *rest).alias("edge"))
-    grown = [
-        starts.select(F.col("node").alias("source")).join(step, "source")
-        .select(F.col("source").alias("start"), F.col("target").alias("end"), F.array("source", "target").alias("path"), F.array("edge").alias("edges"), "internal")
-    ]
-    for _ in range(max_depth - 1):
-        last = grown[-1].where("internal").select("start", "path", "edges", F.col("end").alias("source"))
-        grown.append(
-            last.join(step, "source").where(~F.array_contains("path", F.col("target")))
-            .select("start", F.col("target").alias("end"), F.concat("path", F.array("target")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"), "internal")
-        )
-    return reduce(DataFrame.unionByName, grown).withColumn("depth", F.size("edges"))
+    # the bits of a path leave its start out, which the path before it has
+    halves = [step.select(F.col("source").alias("start"), F.col("target").alias("end"), F.array("source", "target").alias("path"), F.array(F.struct("target", *rest)).alias("edges"), _mask("target").alias("mask"), "internal")]
+    grown = [halves[0].join(starts.select(F.col("node").alias("start")), "start")]
+    for depth in range(2, max_depth + 1):
+        first, second = (depth + 1) // 2, depth // 2
+        while len(halves) < second:
+            n = len(halves) + 1
+            halves.append(_met(halves[(n + 1) // 2 - 1].where("internal"), halves[n // 2 - 1]))
+        grown.append(_met(grown[first - 1].where("internal"), halves[second - 1]))
+    return reduce(DataFrame.unionByName, grown).drop("mask").withColumn("depth", F.size("edges"))
 
 
 def crossing_tier(edges: Column) -> Column:
