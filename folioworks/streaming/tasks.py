@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+_LOG = logging.getLogger(__name__)
 STATE = "status string, worker_id string, applied int, refused int"
 OUT = "task_id string, " + STATE
 
@@ -42,9 +44,10 @@ def resume_stream(spark: SparkSession, folder: str, schema: str, work, checkpoin
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
 
 
-def poll(claim: Callable[[], list], work: Callable[[object], None], idle: Callable[[int], float | None], sleep: Callable[[float], None] = time.sleep) -> int:
+def poll(claim: Callable[[], list], work: Callable[[object], None], idle: Callable[[int], float | None], sleep: Callable[[float], None] = time.sleep, failed: Callable[[object, Exception], None] | None = None) -> int:
     """[Q8] A worker's loop: claim tasks, work on each, and wait ``idle(empty rounds)`` seconds when there are none; ends, and
-    returns the number of tasks, once that is None. A task that fails is left to its owner: the loop goes on."""
+    returns the number of tasks done, once that is None. A task that fails is reported to ``failed``, or logged with its
+    error, and left to its owner: the loop goes on."""
     done = empty = 0
     while True:
         tasks = claim()
@@ -52,8 +55,11 @@ def poll(claim: Callable[[], list], work: Callable[[object], None], idle: Callab
             try:
                 work(task)
                 done += 1
-            except Exception:  # any failure of a task
-                continue
+            except Exception as error:  # any failure of a task
+                if failed is None:
+                    _LOG.warning("task %r failed", task, exc_info=error)
+                else:
+                    failed(task, error)
         empty = 0 if tasks else empty + 1
         if not tasks:
             wait = idle(empty)

@@ -84,5 +84,6 @@ def test_poll_loop():
             raise ValueError
         seen.append(task)
 
-    done = poll(lambda: queue.pop(0) if queue else [], work, lambda empty: None if empty == 2 else 0.5 * empty, waits.append)
-    assert done == 2 and seen == [1, 2] and waits == [0.5, 0.5]
+    lost = []
+    done = poll(lambda: queue.pop(0) if queue else [], work, lambda empty: None if empty == 2 else 0.5 * empty, waits.append, lambda task, error: lost.append((task, type(error))))
+    assert done == 2 and seen == [1, 2] and waits == [0.5, 0.5] and lost == [("bad", ValueError)]
