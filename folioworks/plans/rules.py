@@ -283,10 +283,23 @@ def box_order(spark: SparkSession, sf: str) -> DataFrame:
     return O.text_box_order(two, ON).select("page", "pos", "read_index")
 
 
+def page_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """[C28] Tables of an order's pages, which go on over a page break or don't: by captions, footnotes, widths and columns."""
+    p, cols = F.col("l_partkey").cast("int"), (1 + F.col("l_suppkey") % 2).cast("int")
+    cells = lambda tag, text: F.concat(F.lit("<tr>"), F.repeat(F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>")), cols), F.lit("</tr>"))
+    tables = lines(spark, sf).select(
+        "l_orderkey", F.col("l_linenumber").cast("int").alias("page"), F.lit(True).alias("is_first"), F.lit(True).alias("is_last"),
+        F.concat(F.lit("<table>"), cells("th", F.lit("h")), cells("td", F.concat(F.lit("b"), "l_linenumber")), F.lit("</table>")).alias("html"),
+        F.when(p % 5 == 0, "Table X").when(p % 5 == 1, "Table X (continued)").alias("caption"), F.when(p % 11 == 0, 2).when(p % 7 == 0, 1).otherwise(0).alias("n_footnotes"),
+        F.lit(0.0).alias("x0"), (100 + p % 3 * 8).cast("double").alias("x1"),
+    )
+    return O.merge_page_tables(tables, "l_orderkey").select("l_orderkey", "page", "html", "n_footnotes")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        cached_calls, distinct_tables, box_order, code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts, split_formulas, nesting_tables,
+        page_tables, cached_calls, distinct_tables, box_order, code_kinds, confident_boxes, unreleased_items, char_spans, span_block_fit, ocr_rules, html_tables, cell_matches, gold_sections, document_ranks, head_cut, pack_variants, title_heights, block_conflicts, outside_spans, row_texts, split_formulas, nesting_tables,
         index_runs, nearer_figures, replaced_tables, paragraph_kinds, paragraph_islands, title_levels, table_shapes, table_texts, enqueued_tasks, text_cleaners, vertical_lines, retry_waits, selected_pages, ocr_parts,
     )
 }
@@ -300,6 +313,11 @@ _IOU = f"{_I} / ({_AA} + {_AC} - {_I})"
 _KINDS = "(['html', 'json', 'shell', 'python', 'c', 'java', 'sql', 'javascript', 'txt', 'xml'])[l_partkey % 10 + 1]"
 
 ORACLES = {
+    "page_tables": LINES + """, t as (select l_orderkey, l_linenumber::int as page, 1 + l_suppkey::int % 2 as cols, l_partkey::int % 5 as cap, case when l_partkey::int % 11 = 0 then 2 when l_partkey::int % 7 = 0 then 1 else 0 end as notes, 100 + l_partkey::int % 3 * 8 as w from lines),
+m as (select b.*, a.page is not null and b.cap <> 0 and a.notes <= case when b.cap = 1 then 1 else 0 end and abs(a.w - b.w) * 10 < least(a.w, b.w) and a.cols = b.cols as more from t b left join t a on a.l_orderkey = b.l_orderkey and a.page = b.page - 1),
+i as (select *, count(*) filter (not more) over (partition by l_orderkey order by page) as island from m),
+g as (select l_orderkey, island, min(page) as page, sum(notes) as notes, string_agg('<tr>' || repeat('<td>b' || page || '</td>', cols) || '</tr>', '' order by page) as body from i group by all)
+select i.l_orderkey, i.page, case when g.page = i.page then '<table><tr>' || repeat('<th>h</th>', i.cols) || '</tr>' || body || '</table>' else '' end as html, case when g.page = i.page then g.notes else 0 end::int as n_footnotes from i join g using (l_orderkey, island)""",
     "cached_calls": "select n_nationkey::int as key, case when n_nationkey % 3 = 1 then 'known' else 'm: ' || lower(n_name) end as response from nation",
     "distinct_tables": LINES + """, p as (select l_orderkey, list([l_linenumber::int] order by l_linenumber) as ps, map(list(l_linenumber::int), list(l_suppkey::int % 4)) as a, map(list(l_linenumber::int), list(l_partkey::int % 6 + 1)) as n from lines group by l_orderkey),
 g as (select l_orderkey, list_reduce(ps, lambda acc, k: case when len(list_filter(acc, lambda u: greatest(0, least(a[u] + n[u], a[k[1]] + n[k[1]]) - greatest(a[u], a[k[1]]))::double / least(n[u], n[k[1]]) >= 0.92::double)) > 0 then acc else list_append(acc, k[1]) end, []::int[]) as kept from p)
