@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from . import shingles as S
 
@@ -114,3 +115,18 @@ def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray | None = Non
             right = _context(data, end, high, inside, context, False) if context else end
             yield _block(data[left:right], np.array([0, right - left]), inside, breaks, (at - left, end - left), a, end == high)
             at = end
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed by their first bytes, second bytes and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def word_hash(words: pa.Array) -> np.ndarray:
+    """64 bits of each word that isn't empty."""
+    data, offsets = S.utf8(words)
+    return S.word_hashes(data, offsets, np.ones(256, dtype=bool))[0]

@@ -63,12 +63,12 @@ class Written:
     Its values hardly ever repeat: no dictionaries are tried.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, codec: str = "snappy"):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
         try:
             with _shuffles_end_with_the_job(spark):
-                df.write.option("parquet.enable.dictionary", "false").parquet(self.path)
+                df.write.option("parquet.enable.dictionary", "false").option("compression", codec).parquet(self.path)
         except BaseException:
             self.drop()
             raise
