@@ -48,8 +48,9 @@ def digests(x: Column) -> dict[str, Column]:
 
 
 def item_id(prefix: str, number: Column, width: int = 4) -> Column:
-    """[C16] ``R500_0007``"""
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+    """[C16] ``R500_0007``; longer numbers stand whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
 def cache_name(x: Column) -> Column:
