@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,34 +25,56 @@ def _box(row: dict) -> list[float]:
 
 
 def _area(b) -> float:
-    return max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+    w, h = b[2] - b[0], b[3] - b[1]
+    return w * h if w > 0 and h > 0 else 0.0
 
 
 def _shared(a, b) -> float:
-    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    # most boxes lie apart, which one side tells
+    w = (b[2] if b[2] < a[2] else a[2]) - (b[0] if b[0] > a[0] else a[0])
+    if not w > 0:
+        return 0.0
+    h = (b[3] if b[3] < a[3] else a[3]) - (b[1] if b[1] > a[1] else a[1])
+    return w * h if h > 0 else 0.0
 
 
 def _iou(a, b) -> float:
-    union = _area(a) + _area(b) - _shared(a, b)
-    return _shared(a, b) / union if union > 0 else 0.0
+    shared = _shared(a, b)
+    if shared == 0:
+        return 0.0
+    union = _area(a) + _area(b) - shared
+    return shared / union if union > 0 else 0.0
 
 
 def _union(a, b) -> list[float]:
     return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values; plain ones are converted at once."""
+    kind = column.type
+    plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
+    if pa.types.is_string(kind) or (plain and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _per_group(rows: DataFrame, on: list[str], run: Callable[[list[dict]], list[dict]], schema: str | None = None) -> DataFrame:
     """``run`` over the rows of each group, as dictionaries in no set order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = rows.schema if schema is None else _parse_datatype_string(schema)
-    shape = to_arrow_schema(StructType(kind.fields))
+    shape, names = to_arrow_schema(StructType(kind.fields)), rows.columns
     gathered = rows.groupBy(*on).agg(F.collect_list(F.struct(*rows.columns)).alias("members")).select("members")
 
     def each(batches):
         for batch in batches:
-            out = [r for members in batch.column("members") for r in run(members.as_py())]
-            yield pa.RecordBatch.from_pylist(out, schema=shape)
+            members = batch.column("members")
+            flat = members.flatten()
+            held = [dict(zip(names, values, strict=True)) for values in zip(*map(_values, flat.flatten()), strict=True)]
+            ends = (members.offsets.to_numpy() - members.offsets[0].as_py()).tolist()
+            out = [r for first, last in zip(ends, ends[1:], strict=False) for r in run(held[first:last])]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in shape], schema=shape)
 
     return gathered.mapInArrow(each, kind)
 
@@ -69,7 +93,9 @@ def _survivors(rows: list[dict], loser: Callable[[int, int, list], int | None])
     boxes, gone = [_box(r) for r in rows], set()
     for i in range(len(rows)):
         for j in range(i + 1, len(rows)):
-            if i not in gone and j not in gone:
+            if i in gone:
+                break
+            if j not in gone:
                 k = loser(i, j, boxes)
                 if k is not None:
                     gone.add(k)
@@ -90,8 +116,12 @@ def drop_smaller(spans: DataFrame, on: list[str], threshold: float = 0.65) -> Da
     """[W6] Of two spans that share more than the threshold of the smaller one, that one goes (the first of equals)."""
 
     def loser(i: int, j: int, b: list) -> int | None:
-        small = i if _area(b[i]) <= _area(b[j]) else j
-        return small if _area(b[small]) > 0 and _shared(b[i], b[j]) / _area(b[small]) > threshold else None
+        shared = _shared(b[i], b[j])
+        if shared == 0:
+            return None
+        one, other = _area(b[i]), _area(b[j])
+        small, area = (i, one) if one <= other else (j, other)
+        return small if area > 0 and shared / area > threshold else None
 
     return _per_group(spans, on, lambda rows: _survivors(rows, loser))
 
@@ -105,8 +135,11 @@ def absorb_smaller(blocks: DataFrame, on: list[str], threshold: float = 0.8) ->
         b, gone = [_box(r) for r in rows], set()
         for i in range(len(rows)):
             for j in range(i + 1, len(rows)):
+                shared = _shared(b[i], b[j])
+                if shared == 0:
+                    continue
                 small, large = (i, j) if _area(b[i]) <= _area(b[j]) else (j, i)
-                if small not in gone and _area(b[small]) > 0 and _shared(b[i], b[j]) / _area(b[small]) > threshold:
+                if small not in gone and _area(b[small]) > 0 and shared / _area(b[small]) > threshold:
                     b[large] = _union(b[i], b[j])
                     gone.add(small)
         return [r | dict(zip(BOX, box, strict=True)) for k, (r, box) in enumerate(zip(rows, b, strict=True)) if k not in gone]
@@ -322,8 +355,9 @@ def _span(attributes: str, name: str) -> int:
     return max(1, int(m.group(1))) if m else 1
 
 
+@lru_cache(maxsize=4096)
 def occupancy(html: str) -> list[tuple[int, int, int, int, str, bool]]:
-    """[W24] Cells (first row, last row, first column, last column, text, header) with spans laid out."""
+    """[W24] Cells (first row, last row, first column, last column, text, header) with spans laid out; not to be changed in place."""
     taken, out = set(), []
     for r, row in enumerate(_ROW.findall(html or "")):
         c = 0
@@ -338,15 +372,24 @@ def occupancy(html: str) -> list[tuple[int, int, int, int, str, bool]]:
 
 
 def grid_cells(tables: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """[W24] One row per cell of each table, in logical coordinates."""
+    """[W24] One row per cell of each table, in logical coordinates; tables of a batch that are alike are read once."""
+    cells = {"r0": pa.int32(), "r1": pa.int32(), "c0": pa.int32(), "c1": pa.int32(), "text": pa.string(), "header": pa.bool_()}
 
     def run(batches):
-        for pdf in batches:
-            rows = [(k, *cell) for k, h in zip(pdf[key], pdf[html], strict=True) for cell in occupancy(h)]
-            yield pd.DataFrame(rows, columns=[key, "r0", "r1", "c0", "c1", "text", "header"])
+        for batch in batches:
+            codes = batch.column(html).dictionary_encode("encode")
+            own = [occupancy(h) for h in codes.dictionary.to_pylist()]
+            columns = list(zip(*(c for each in own for c in each), strict=True)) or [()] * len(cells)
+            held = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, cells.values(), strict=True)], list(cells))
+            which, many = codes.indices.to_numpy(), np.array([len(each) for each in own], dtype=np.int64)
+            n, first = many[which], (np.cumsum(many) - many)[which]
+            # the places of each table's cells, one table after the other
+            at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([keys, *held.take(pa.array(at)).columns], [key, *cells])
 
     kind = dict(tables.dtypes)[key]
-    return tables.select(key, html).mapInPandas(run, f"{key} {kind}, r0 int, r1 int, c0 int, c1 int, text string, header boolean")
+    return tables.select(key, html).mapInArrow(run, f"{key} {kind}, r0 int, r1 int, c0 int, c1 int, text string, header boolean")
 
 
 # The tokens of the table notation. A cell with text or without, the same cell to the left, above, or both, and a new row.
@@ -387,6 +430,11 @@ def cells_html(cells: list[tuple[int, int, int, int, str, bool]]) -> str:
     return "<table>" + "".join(f"<tr>{''.join(rows[r])}</tr>" for r in sorted(rows)) + "</table>"
 
 
+@lru_cache(maxsize=4096)
+def _written(cells: tuple) -> str:
+    return cells_html(list(cells))
+
+
 def otsl_to_html(tables: DataFrame, key: str, otsl: str = "otsl") -> DataFrame:
     """[X18]"""
 
@@ -397,6 +445,8 @@ def otsl_to_html(tables: DataFrame, key: str, otsl: str = "otsl") -> DataFrame:
     return tables.select(key, otsl).mapInPandas(run, f"{key} {dict(tables.dtypes)[key]}, html string")
 
 
+# Fixed value: full-width forms and their ASCII twins.
+_HALF = {k: k - 0xFEE0 for k in range(0xFF01, 0xFF5F)}
 _MORE = re.compile(r"(?i)\((cont(\.|inued)?|续)\)|\bcontinued\b|续表")
 
 
@@ -413,7 +463,7 @@ def _header_rows(a: list, b: list, most: int = 5) -> int:
     n = 0
     while n < most:
         x, y = ([c for c in t if c[0] == n] for t in (a, b))
-        text = lambda cells: [re.sub(r"\s+", "", c[4]).translate({k: k - 0xFEE0 for k in range(0xFF01, 0xFF5F)}) for c in cells]
+        text = lambda cells: ["".join(c[4].split()).translate(_HALF) for c in cells]
         if not x or not y or _widths(x) != _widths(y) or text(x) != text(y):
             return n
         n += 1
@@ -457,7 +507,7 @@ def merge_page_tables(tables: DataFrame, doc: str) -> DataFrame:
             cells[k] = []
             rows[j]["n_footnotes"] += rows[k]["n_footnotes"]
             rows[k]["n_footnotes"] = 0
-        return [r | {"html": cells_html(c) if c else ""} for r, c in zip(rows, cells, strict=True)]
+        return [r | {"html": _written(tuple(c)) if c else ""} for r, c in zip(rows, cells, strict=True)]
 
     return _per_group(tables, [doc], run)
 

@@ -3,8 +3,51 @@
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as X
+from folioworks.operators import ordered as O
+from folioworks.operators import refs as R
 
 
 def test_long_item_ids(spark):
     rows = spark.createDataFrame([(7,), (9999,), (10000,), (123456,), (None,)], "n long").coalesce(1)
     assert [r[0] for r in rows.select(X.item_id("R_", F.col("n"))).collect()] == ["R_0007", "R_9999", "R_10000", "R_123456", None]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_lines_move_once(spark, tmp_path):
+    from folioworks.plans import layouts
+
+    line = [(k, n, k * 3 + n, k + n, 5.0, "N", "O") for k in range(9) for n in (1, 2, 2)]
+    rows = spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for query in (layouts.smaller_spans, layouts.sequential_nms, layouts.reading_order, layouts.absorbed_blocks):
+        found = query(spark, str(tmp_path))
+        assert _plan(found)[1].count("Exchange hashpartitioning") == 1
+        assert {r.page for r in found.collect()} == set(range(9))
+
+
+def test_values_of_groups(spark):
+    rows = spark.createDataFrame([(1, 2, None, "é", [1], True), (1, 1, 2, None, None, None), (2, 1, 3, "", [], False)], "k long, pos int, n int, t string, a array<int>, b boolean").repartition(1)
+    assert sorted(map(tuple, O._per_group(rows, ["k"], lambda x: x).collect())) == sorted(map(tuple, rows.collect()))
+    assert O._per_group(rows, ["k"], lambda x: []).count() == 0
+
+
+def test_tables_alike_are_read_once(spark):
+    html = "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><th>c</th></tr></table>"
+    assert O.occupancy(html) is O.occupancy(html)
+    texts = [html, None, "", html, "<table></table>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, html string").coalesce(1)
+    assert sorted(map(tuple, O.grid_cells(rows, "k").collect())) == sorted((k, *c) for k, t in enumerate(texts) for c in O.occupancy(t))
+    assert O.grid_cells(rows.where("k in (1, 2)"), "k").count() == 0
+    cells = tuple(O.occupancy(html))
+    assert O._written(cells) is O._written(cells) and O._written(cells) == O.cells_html(list(cells))
+
+
+def test_texts_are_searched_once(spark):
+    rows = spark.createDataFrame([("A", 1, 1, 1, "see Sec.2 [R.1] there"), ("B", 1, 1, 2, ""), ("C", 1, 1, 3, None)], "section_id string, pt int, ch int, sec int, text string")
+    for found in (R.corpus1_edges(rows), R.find_all(rows, R.SECTION)):
+        filters = [x for x in _plan(found)[0].splitlines() if "Filter" in x]
+        assert not any("regexp_extract_all" in x for x in filters)
+        assert len(found.collect()) == 1
