@@ -74,10 +74,12 @@ def merge_lines(lines: DataFrame, on: list[str], order: str, text: str = "text")
     own = stripped(F.col(text))
     rows = lines.withColumn("own", own).withColumn("next_small", F.coalesce(F.lead(text).over(w).rlike(r"^\p{IsLowercase}"), F.lit(False)))
     members = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "own", "next_small"))), lambda r: F.struct(r["own"].alias("own"), r["next_small"].alias("next_small")))
-    blocks = rows.groupBy(*on).agg(members.alias("rows")).withColumn("cjk", language_guess(F.array_join(F.transform("rows", lambda r: r["own"]), "")).isin("zh", "ja", "ko"))
+    blocks = rows.groupBy(*on).agg(members.alias("rows"))
+    cjk = language_guess(F.array_join(F.transform("rows", lambda r: r["own"]), "")).isin("zh", "ja", "ko")
     western = lambda r: F.when(~ends_in_hyphen(r["own"]), F.concat(r["own"], F.lit(" "))).when(r["next_small"], F.regexp_replace(r["own"], "-$", "")).otherwise(r["own"])
-    bits = F.transform(F.filter("rows", lambda r: r["own"] != ""), lambda r: F.when(F.col("cjk"), r["own"]).otherwise(western(r)))
-    return blocks.select(*on, stripped(F.array_join(bits, "")).alias("text"))
+    bits = lambda c: F.transform(F.filter("rows", lambda r: r["own"] != ""), lambda r: F.when(c, r["own"]).otherwise(western(r)))
+    # a text's language is a variable of its lines: as an expression it would be guessed from the whole text for each of them
+    return blocks.select(*on, stripped(F.array_join(F.transform(F.array(cjk), bits)[0], "")).alias("text"))
 
 
 def classify_paragraphs(lines: DataFrame, on: list[str]) -> DataFrame:

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as X
+from folioworks.operators import layout as L
 from folioworks.operators import ordered as O
-from folioworks.operators import refs as R
 
 
 def test_long_item_ids(spark):
@@ -45,9 +45,15 @@ def test_tables_alike_are_read_once(spark):
     assert O._written(cells) is O._written(cells) and O._written(cells) == O.cells_html(list(cells))
 
 
-def test_texts_are_searched_once(spark):
-    rows = spark.createDataFrame([("A", 1, 1, 1, "see Sec.2 [R.1] there"), ("B", 1, 1, 2, ""), ("C", 1, 1, 3, None)], "section_id string, pt int, ch int, sec int, text string")
-    for found in (R.corpus1_edges(rows), R.find_all(rows, R.SECTION)):
-        filters = [x for x in _plan(found)[0].splitlines() if "Filter" in x]
-        assert not any("regexp_extract_all" in x for x in filters)
-        assert len(found.collect()) == 1
+def test_paragraphs_of_many_lines(spark):
+    import time
+
+    def seconds(n: int) -> float:
+        rows = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("line"), F.lit("some words of a line that is not short").alias("text"))
+        start = time.time()
+        assert L.merge_lines(rows, ["doc_id"], "line").select(F.length("text").alias("n")).first().n == 39 * n - 1
+        return time.time() - start
+
+    seconds(100)
+    # a line costs no more among many than among few: four times as many lines, sixteen times the time if each reads all
+    assert seconds(8000) < 8 * max(seconds(2000), 0.5)
