@@ -20,21 +20,27 @@ def bm25_scores(docs: DataFrame, doc: str, queries: DataFrame, query: str, text:
 
     Terms that are more frequent than half the documents get ``epsilon`` times the mean raw idf of the vocabulary.
     Repeated query terms count each time. Documents without text are not in the index. Document frequencies are summed
-    before they move; term counts are made of the queries' terms alone, which filter the words before these move if they
-    are at most ``BROADCAST_BYTES`` long. The number of documents, their mean length and the mean idf are one row.
+    before they move; term counts are made of the queries' terms alone. If these are at most ``BROADCAST_BYTES`` long, they go
+    to all executors, and texts move once, to the task of their document, where all its scores are summed. The number of
+    documents, their mean length and the mean idf are one row.
     """
-    posted = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
+    texts = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    words = lambda rows: rows.select("doc", tokens(F.col("text")).alias("ts"))
+    posted = words(texts)
     size = posted.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
     df = posted.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    few = (wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) <= BROADCAST_BYTES
-    terms = posted.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    terms = terms.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
     idf = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean_raw")).otherwise(F.col("raw")))
-    hits = terms.join(idf.select("term", "idf", "avgdl"), "term").join(asked, "term")
+    known = asked.join(idf.select("term", "idf", "avgdl"), "term")
+    few = (asked.agg(F.sum(F.octet_length("term") + F.octet_length(F.col("query").cast("string")) + 48)).first()[0] or 0) <= BROADCAST_BYTES
+    # texts move once, by document: counts, terms met in place and sums need no other shuffle
+    terms = words(texts.repartition("doc") if few else texts)
+    terms = terms.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    terms = terms.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    hits = terms.join(F.broadcast(known) if few else known, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
@@ -43,8 +49,9 @@ def top_k(scores: DataFrame, docs: DataFrame, doc: str, queries: DataFrame, quer
     """[R3] The k best documents of each query; ties by document, and documents without a hit fill up with score 0."""
     ranked = scores.select("query", "doc", F.round("score", digits).alias("score"))
     first = docs.select(F.col(doc).alias("doc")).orderBy("doc").limit(k)
-    # of the k least ids at least as many lack a hit as the query lacks hits
-    fill = queries.select(F.col(query).alias("query")).crossJoin(F.broadcast(first)).join(ranked.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    # of the k least ids at least as many lack a hit as the query lacks hits; the hits of these few are looked up, not all
+    held = ranked.join(F.broadcast(first), "doc", "left_semi").select("query", "doc")
+    fill = queries.select(F.col(query).alias("query")).crossJoin(F.broadcast(first)).join(held, ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
     return ranked.unionByName(fill).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

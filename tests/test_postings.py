@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -92,3 +93,14 @@ def test_filled_up_results_are_those_of_all_pairs(spark, tmp_path):
     index = postings.write_index(table, "id", f"file://{tmp_path}/index", buckets=2)
     top = lambda scores: {(x.query, x.doc, x.score, x.rank) for x in retrieve.top_k(scores, table, "id", asked, "q", 6).select("query", "doc", F.round("score", 5).alias("score"), "rank").collect()}
     assert top(postings.search(index, asked, "q", 6).best) == top(retrieve.bm25_scores(table, "id", asked, "q"))
+
+
+def test_scores_are_summed_where_their_documents_are(spark, capsys):
+    """Texts move once, by document; rows of pairs of queries and documents don't move to be summed."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b d"), (2, "b b"), (3, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "a b b"), (8, "d x")], "item_id long, text string")
+    scores = retrieve.bm25_scores(docs, "doc_id", queries, "item_id")
+    scores.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(doc#" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
+    assert {(r.query, r.doc) for r in scores.collect()} == {(7, 1), (7, 2), (8, 1)}
