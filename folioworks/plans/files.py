@@ -64,7 +64,8 @@ def section_files(spark: SparkSession, sf: str) -> DataFrame:
     texts = {"b.md": F.lit("second"), "a.md": F.concat(F.lit("text of "), "name"), "a_raw.md": F.concat(F.lit("raw "), "name"), "a_content.md": F.lit("none"), "a.txt": F.lit("none")}
     files = F.explode(F.array(*(F.struct(F.concat(_section_folder(), F.lit(n)).alias("path"), t.alias("content")) for n, t in texts.items()), F.struct(F.format_string("other%d/a.md", "k").alias("path"), F.lit("elsewhere").alias("content"))))
     B.write_files(rows.select(files.alias("f")).select("f.*"), folder)
-    polished, raw = (C.sections(spark, [folder], raw=r) for r in (False, True))
+    listed = C.markdown(spark, [folder])
+    polished, raw = (C.sections(spark, [folder], raw=r, files=listed) for r in (False, True))
     ids = rows.select(F.format_string("Pt%d.Ch%d.Sec%d", F.col("pt"), F.col("ch"), F.col("k") + F.when(F.col("k") % 5 == 0, 1_000_000_000).otherwise(0)).alias("section_id"))
     return C.lookup(ids, polished).withColumn("variant", F.lit("polished")).unionByName(C.lookup(ids, raw).withColumn("variant", F.lit("raw")))
 

@@ -15,13 +15,18 @@ from ..operators.refs import canonical, identity
 SECTION_FOLDER = r"[^/]*Pt\d+-Chap\d+-sec\d+"
 
 
-def sections(spark: SparkSession, roots: list[str], raw: bool = False) -> DataFrame:
+def markdown(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The markdown files under the roots. They are listed once, here, however often the table is read."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(roots)
+
+
+def sections(spark: SparkSession, roots: list[str], raw: bool = False, files: DataFrame | None = None) -> DataFrame:
     """[S1][S3][S5] One row per section folder under the roots: the first markdown file by name.
 
     ``raw`` takes the unpolished variant; the polished one leaves raw and content files out. Undecodable bytes are
-    replaced. Roots are read as one listing, and keep their order in ``pos``.
+    replaced. Roots are read as one listing, and keep their order in ``pos``; several variants can share ``files``, that listing.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(roots)
+    files = markdown(spark, roots) if files is None else files
     path = F.col("path")
     name, folder = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     wanted = name.endswith("_raw.md") if raw else ~name.rlike(r"_raw|_content")

@@ -87,3 +87,15 @@ def test_poll_loop():
     lost = []
     done = poll(lambda: queue.pop(0) if queue else [], work, lambda empty: None if empty == 2 else 0.5 * empty, waits.append, lambda task, error: lost.append((task, type(error))))
     assert done == 2 and seen == [1, 2] and waits == [0.5, 0.5] and lost == [("bad", ValueError)]
+
+
+def test_variants_of_sections_share_a_listing(spark, monkeypatch):
+    """Each listing of the files is sent to the driver."""
+    from folioworks.plans import files
+    from folioworks.sources import corpus
+
+    listings, listed = [], corpus.markdown
+    monkeypatch.setattr(corpus, "markdown", lambda *args: listings.append(args) or listed(*args), raising=True)
+    found = files.section_files(spark, "/root/testdata/sf0.001")
+    assert len(listings) == 1
+    assert {r.variant for r in found.where("text <> ''").collect()} == {"polished", "raw"}
