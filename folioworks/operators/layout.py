@@ -90,9 +90,10 @@ def classify_paragraphs(lines: DataFrame, on: list[str]) -> DataFrame:
     w = Window.partitionBy(*on).orderBy("line")
     h = F.first(F.col("y1") - F.col("y0")).over(w)
     width, left, right = F.col("bx1") - F.col("bx0"), F.abs(F.col("x0") - F.col("bx0")), F.col("bx1") - F.col("x1")
-    cjk = language_guess(F.array_join(F.collect_list(F.col("text")).over(Window.partitionBy(*on)), "")).isin("zh", "ja", "ko")
+    # all windows stand on one order: each other one would be a sort of its own in the same task
+    cjk = language_guess(F.array_join(F.collect_list(F.col("text")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "")).isin("zh", "ja", "ko")
     ragged = F.when(cjk | (F.coalesce(width / F.nullif(F.col("page_w"), F.lit(0.0)), F.lit(0.0)) >= 0.5), 0.26).otherwise(0.36) * width
-    last = F.row_number().over(Window.partitionBy(*on).orderBy(F.col("line").desc())) == 1
+    last = F.lead(F.lit(1)).over(w).isNull()
     inset = (F.col("x0") - F.col("bx0") > 0.7 * h) & (right > 0.7 * h)
     centred = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("bx0") + F.col("bx1")) / 2) < h / 2
     clean = stripped(F.col("text"))

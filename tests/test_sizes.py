@@ -57,3 +57,15 @@ def test_paragraphs_of_many_lines(spark):
     seconds(100)
     # a line costs no more among many than among few: four times as many lines, sixteen times the time if each reads all
     assert seconds(8000) < 8 * max(seconds(2000), 0.5)
+
+
+def test_paragraph_kinds_sort_once(spark, capsys):
+    """Every further order of windows was a sort of its own, held by the same task."""
+    from folioworks.operators import layout
+
+    spec = "block long, line int, x0 double, y0 double, x1 double, y1 double, text string, bx0 double, by0 double, bx1 double, by1 double, page_w double"
+    rows = [(b, i, 0.0, 10.0 * i, 100.0 - 20 * (i == 3), 10.0 * i + 8, f"{i} word {i}", 0.0, 0.0, 100.0, 60.0, 150.0) for b in (1, 2) for i in range(1, 4)]
+    kinds = layout.classify_paragraphs(spark.createDataFrame(rows, spec), ["block"])
+    kinds.explain()
+    assert capsys.readouterr().out.count("Sort [") == 1
+    assert [r.kind for r in kinds.orderBy("block").collect()] == ["index", "index"]
