@@ -5,7 +5,7 @@ Paths are those of a file system (``/a``, ``file:``, ``hdfs:``, ``s3:``), of the
 
 * ``read_ranges`` answers a table of paths, however many: requests move to tasks by file and stripe, are sorted there, and
   ranges that touch or nearly touch are read at once. A file that very many requests ask for is spread by its stripes.
-* ``byte_blocks`` is a data source whose rows are blocks of files, a partition each. Filters on ``path`` and ``offset`` decide
+* ``byte_blocks`` is a data source whose rows are blocks of files, small ones packed into partitions. Filters on ``path`` and ``offset`` decide
   which blocks there are before any is read; the options ``offset`` and ``length`` read that one range of every file.
 * ``byte_files`` is a data source that writes ``(path, content)`` rows to files of a folder. A file appears whole under its
   name or not at all, and a task that runs again writes the same files again.
@@ -19,6 +19,7 @@ import urllib.request
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +32,8 @@ from .corpus import parse_range
 #: Requests this near to each other are read at once, up to so many bytes; stripes of a file go to tasks of their own.
 NEAR, AT_ONCE, STRIPE = 1 << 14, 1 << 23, 1 << 26
 BLOCK = 1 << 26
+#: Bytes that a partition of blocks has at most (or one block), what opening a range counts as, and blocks that have a partition each.
+PARTITION, RANGE_COST, FEW_PARTITIONS = 1 << 26, 1 << 16, 64
 
 
 class _Web:
@@ -179,13 +182,35 @@ def read_ranges(requests: DataFrame, stores: Stores | None = None, path: str = "
 
 
 @dataclass
-class _Range(D.InputPartition):
+class _Range:
     path: str
     offset: int
     length: int
     size: int
 
 
+@dataclass
+class _Ranges(D.InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: tuple[_Range, ...]
+
+
+def _packed(ranges: list[_Range]) -> list[_Ranges]:
+    """Few ranges with a partition each; many in order, as many to a partition as are worth a task."""
+    costs = [r.length + RANGE_COST for r in ranges]
+    full = min(PARTITION, -(-sum(costs) // FEW_PARTITIONS)) if len(ranges) > FEW_PARTITIONS else 0
+    out: list[list[_Range]] = []
+    held = full
+    for r, cost in zip(ranges, costs, strict=True):
+        if not out or held + cost > full:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += cost
+    return [_Ranges(tuple(rs)) for rs in out]
+
+
 class _BlockReader(D.DataSourceReader):
     def __init__(self, options: dict):
         self.stores = Stores(**json.loads(options.get("stores", "{}")))
@@ -236,16 +261,16 @@ class _BlockReader(D.DataSourceReader):
                 length = max(0, min(size - at, self.length if self.length is not None and self.length >= 0 else size))
                 if self._wanted("offset", at):
                     out.append(_Range(path, at, length, size))
-        return out or [_Range("", 0, 0, -1)]
+        return _packed(out) or [_Ranges(())]
 
     def read(self, partition):
-        if partition.size < 0:
-            return
-        handle = self.stores.open(partition.path)
-        try:
-            yield partition.path, partition.offset, partition.length, partition.size, read_at(handle, partition.offset, partition.length)
-        finally:
-            handle.close()
+        for path, ranges in groupby(partition.ranges, key=lambda r: r.path):
+            handle = self.stores.open(path)
+            try:
+                for r in ranges:
+                    yield r.path, r.offset, r.length, r.size, read_at(handle, r.offset, r.length)
+            finally:
+                handle.close()
 
 
 class ByteBlocks(D.DataSource):

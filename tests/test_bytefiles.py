@@ -120,3 +120,22 @@ def test_files_are_written_whole_where_the_rows_are(spark, tmp_path):
     assert found == {f"d{i % 4}/{i}.bin": "é" * i * (i != 7) for i in range(40)}
     with pytest.raises(Exception, match="is no path below"):
         B.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path / "out"))
+
+
+def test_small_blocks_share_partitions(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.bin").write_bytes(b"%06d" % k * 3)
+    blocks = B.byte_blocks(spark, str(tmp_path), block=8)
+    assert 64 <= blocks.rdd.getNumPartitions() < 100
+    rows = blocks.orderBy("path", "offset").collect()
+    assert len(rows) == 1800 and {r.length for r in rows} == {8, 2} and {r.size for r in rows} == {18}
+    held = {}
+    for r in rows:
+        held[r.path] = held.get(r.path, b"") + bytes(r.content)
+    assert sorted(held.values()) == [b"%06d" % k * 3 for k in range(600)]
+
+
+def test_large_blocks_keep_partitions_of_their_own():
+    whole = [B._Range("a", k << 26, 1 << 26, 10 << 26) for k in range(10)]
+    assert [len(p.ranges) for p in B._packed(whole)] == [1] * 10
+    assert B._packed([]) == []
