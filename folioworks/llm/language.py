@@ -54,7 +54,8 @@ BLANK = 0
 #: Entries (four bytes each) of all languages' dense tables.
 DENSE = 1 << 26
 UNDETERMINED = "und"
-_LANES = 1 << 14
+#: Blocks that are parsed at once, and texts, by their number and bytes, that are taken from a batch at once.
+_LANES, _ROWS, _BYTES = 1 << 11, 2_000, 1 << 20
 
 
 _POINTS = 0x40000  # no letters or marks of scripts stand beyond, but for _LATE
@@ -184,7 +185,7 @@ class Model:
             for at in range(0, len(sequence), BLOCK):
                 blocks.append(sequence[at : at + BLOCK])
                 owner.append(i)
-                if len(blocks) >= _LANES // 2:
+                if len(blocks) >= _LANES:
                     parse()
         parse()
         return costs, letters
@@ -270,6 +271,17 @@ def samples_of(rows: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> dic
     return samples
 
 
+def _parts(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of few bytes of text, or one row: what a task holds beside the batch doesn't grow with it."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, before + _BYTES, "right"))), at + _ROWS)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row of ``docs(doc_id, text)``."""
     spark: SparkSession = docs.sparkSession
@@ -277,8 +289,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for part in _parts(batch, 1):
                 names, scores = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -305,8 +316,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for part in _parts(batch, place):
                 kept, names = shared.value.identified([t or "" for t in part.column(place).to_pylist()])
                 given = part.column(named)
                 if pa.types.is_string(given.type) or pa.types.is_large_string(given.type):

@@ -421,3 +421,16 @@ def test_restored_words():
 
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in QUERIES][:10] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_batches_are_taken_in_slices_of_few_bytes():
+    import pyarrow as pa
+
+    from folioworks.llm import language
+
+    texts = ["x" * n for n in (5, language._BYTES, 3, 2 * language._BYTES, 1)] + [None, "é"] + ["z"] * (language._ROWS + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(language._parts(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= language._BYTES for p in parts) and max(p.num_rows for p in parts) <= language._ROWS
+    assert list(language._parts(batch.slice(0, 0), 1)) == []
