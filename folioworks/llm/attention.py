@@ -11,6 +11,7 @@ probability by their counts plus one.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ import numpy as np
 CONTEXT, SPAN = 16, 32
 WIDTH, HEADS, HIDDEN = 32, 1, 32
 FREQUENT, CLASSES, CLASS_SIZE = 2048, 64, 64
-#: Windows of a step, steps that a small sample is gone through for, and the highest rate.
-BATCH, STEPS, RATE = 64, 600, 4e-3
+#: Windows of a step, steps that a small sample is gone through for, the highest rate, and that of a fitted network that goes on.
+BATCH, STEPS, RATE, RATE_ON = 64, 600, 4e-3, 2e-3
 #: Windows scored at once: their weights stay in a core's cache.
 TOGETHER = 64
 NOTHING = -1
@@ -273,25 +274,45 @@ class Network:
 def train(vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray, seed: int = 1, steps: int = STEPS) -> tuple[Network, list[float]]:
     """A network fitted to windows by Adam, and the mean loss of each step: some ``steps``, whole times through
     the windows and once at least. No windows leave the counts alone to decide."""
-    net, losses = Network(vocabulary, seed), []
+    net = Network(vocabulary, seed)
     if not len(inputs):
         for name in ("class", "member"):
             net.weights[name][:] = 0
-        return net, losses
-    rng = np.random.default_rng(seed)
+        return net, []
+    once = -(-len(inputs) // BATCH)
+    return net, _descend(net, inputs, targets, seed, once * max(1, round(steps / once)), RATE)
+
+
+def moved(net: Network, inputs: np.ndarray, targets: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The weights of a network, one after the other, after going once through windows from where it stands."""
+    own = copy.deepcopy(net)
+    _descend(own, inputs, targets, seed, -(-len(inputs) // BATCH), RATE_ON)
+    return np.concatenate([x.ravel() for x in own.weights.values()])
+
+
+def with_weights(net: Network, flat: np.ndarray) -> Network:
+    """The network with other weights, one after the other."""
+    own, at = copy.deepcopy(net), 0
+    for name, x in own.weights.items():
+        own.weights[name] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+        at += x.size
+    return own
+
+
+def _descend(net: Network, inputs: np.ndarray, targets: np.ndarray, seed: int, steps: int, highest: float) -> list[float]:
+    rng, losses = np.random.default_rng(seed), []
     mean, square = ({k: np.zeros_like(x) for k, x in net.weights.items()} for _ in range(2))
     once = -(-len(inputs) // BATCH)
-    steps = once * max(1, round(steps / once))
     for step in range(steps):
         if step % once == 0:
             order = rng.permutation(len(inputs))
         at = step % once * BATCH
         loss, grads = net.gradients(inputs[order[at : at + BATCH]], targets[order[at : at + BATCH]])
         losses.append(loss)
-        rate = RATE * min(1, (step + 1) / 50) * (1 - 0.95 * step / steps)
+        rate = highest * min(1, (step + 1) / 50) * (1 - 0.95 * step / steps)
         for name, grad in grads.items():
             m, s = mean[name], square[name]
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
             net.weights[name] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
-    return net, losses
+    return losses

@@ -6,8 +6,9 @@ the first weights of its outputs. A text's subwords are those of its words, a bl
 
 1. Blocks of texts are written with their distinct words, their counts in training texts, and their subwords.
 2. The words of blocks go, packed, to the task of their bucket, which counts them, and the counts come back to the blocks.
-3. The network is trained on ``SAMPLE`` windows of training texts. Texts are drawn by their hashes, within a bound that the
-   number of all windows gives, and their windows by hashes that follow from it; equal texts count once.
+3. The network starts from ``SAMPLE`` windows of training texts. Texts are drawn by their hashes, within a bound that the
+   number of all windows gives, and their windows by hashes that follow from it; equal texts count once. From there each
+   block's task goes through all windows of its training texts; the weights that come of it are averaged, by windows.
 4. Each block scores its texts: words by their counts, subwords in overlapping windows by batched masked attention, each once.
 
 Defined results: a null or empty text has the end as its only token; rows with a null id aren't held out; repeated rows
@@ -39,12 +40,12 @@ from .stage import Written, cut
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that goes with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of texts of a block; windows of training texts that the network is fitted to.
+#: Bytes of texts of a block; windows of training texts that the network starts from.
 BLOCK, SAMPLE = 1 << 23, 32_000
 #: Words of blocks that one task counts, the same word of several blocks each time.
 BUCKET_WORDS = 1 << 21
-#: Windows whose outputs are looked up at once.
-TOGETHER = 2048
+#: Windows whose outputs are looked up at once; rows in which sums of weights reach the driver.
+TOGETHER, SUMS = 2048, 8
 _SPACE = re.compile(r"\s")
 _U = np.uint64
 
@@ -173,9 +174,42 @@ def _sampled(path: str, bound: int):
     return sampled
 
 
-def fit_network(chunks: DataFrame, path: str, sample: int = SAMPLE) -> tuple[A.Network, int]:
-    """The network of the blocks' training texts, and their number. What reaches the driver is bounded by the vocabulary and ``sample``."""
-    coder = subwords(path)
+def _moved(path: str, net: A.Network):
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights after each block's training windows, all from the same start, times the windows: a task's sum."""
+        coder, total, sums = subwords(path), 0, 0.0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                fit = ~np.array([t["held"] for t in row["texts"]], dtype=bool)
+                if not fit.any():
+                    continue
+                inputs, targets, _ = A.windows(*_outputs(row, coder, fit))
+                if len(inputs):
+                    sums = sums + len(inputs) * A.moved(net, inputs, targets, row["chunk"]).astype(np.float64)
+                    total += len(inputs)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tobytes()])], ["windows", "sums"])
+
+    return moved
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, sums = 0, 0.0
+    for batch in batches:
+        for windows, one in zip(batch.column("windows").to_pylist(), batch.column("sums"), strict=True):
+            total, sums = total + windows, sums + np.frombuffer(one.as_buffer(), np.float64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tobytes()])], ["windows", "sums"])
+
+
+def fit_network(chunks: DataFrame, path: str, sample: int | None = None) -> tuple[A.Network, int]:
+    """The network of the blocks' training texts, and their number: of all their windows, or of a ``sample`` alone.
+
+    What reaches the driver is bounded by the vocabulary and the sample.
+    """
+    coder, whole = subwords(path), sample is None
+    sample = SAMPLE if whole else sample
     counts = np.zeros(coder.end + 1)
     pairs = chunks.select(F.explode(F.arrays_zip("subwords", "subword_counts")).alias("x")).groupBy("x.subwords").agg(F.sum("x.subword_counts").alias("n"))
     for i, n in pairs.where("n > 0").collect():
@@ -186,11 +220,16 @@ def fit_network(chunks: DataFrame, path: str, sample: int = SAMPLE) -> tuple[A.N
     counts[coder.end] = texts or 0
     most = (1 << 63) - 1
     bound = most if not windows or windows <= 2 * sample else int(most * (2 * sample / windows))
-    rows = chunks.select("texts", "ends", "part", "codes", "pieces", "piece_counts", "first").mapInArrow(_sampled(path, bound), "draw long, window binary")
+    read = chunks.select("chunk", "texts", "ends", "part", "codes", "pieces", "piece_counts", "first")
+    rows = read.mapInArrow(_sampled(path, bound), "draw long, window binary")
     rows = [bytes(w) for _, w in rows.groupBy("draw").agg(F.min("window").alias("window")).orderBy("draw").limit(sample).collect()]
     both = np.frombuffer(b"".join(rows), dtype=np.int32).reshape(len(rows), A.CONTEXT + 2 * A.SPAN).astype(np.int64)
     cells = both[:, : A.CONTEXT + A.SPAN], both[:, A.CONTEXT + A.SPAN :]
-    return A.train(A.make_vocabulary(counts, coder.end), *cells)[0], int(counts[coder.end])
+    net = A.train(A.make_vocabulary(counts, coder.end), *cells)[0]
+    if whole and (windows or 0) > sample:
+        sums = read.mapInArrow(_moved(path, net), "windows long, sums binary").repartition(SUMS).mapInArrow(_added, "windows long, sums binary").collect()
+        net = A.with_weights(net, sum(np.frombuffer(x.sums, np.float64) for x in sums) / sum(x.windows for x in sums))
+    return net, int(counts[coder.end])
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("lengths", pa.binary()), ("ks", pa.binary()), ("ns", pa.binary())])
@@ -268,8 +307,10 @@ def _scored(path: str, net: A.Network, ended: int, total: int, distinct: int):
     return scored
 
 
-def score_texts(docs: DataFrame, ranks: str = RANKS, block_size: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``."""
+def score_texts(docs: DataFrame, ranks: str = RANKS, block_size: int = BLOCK, sample: int | None = None) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``.
+
+    The network learns from all training texts, or from a ``sample`` of so many windows alone."""
     kind = dict(docs.dtypes)["doc_id"]
     named = docs.select("doc_id", F.col("text").cast("string"), held_from_fit().alias("held"), F.xxhash64("text").alias("draw"))
     with Written(named.mapInArrow(_chunks(ranks, block_size), _chunk_type(kind)), "zstd") as chunks:

@@ -186,3 +186,19 @@ def test_held_out_texts_are_predicted(spark, seed):
         rows.append((i, " ".join(text)))
     got = [x for x in scored(spark, rows, sample=3000) if x.held_out]
     assert len(got) > 40 and sum(x.score for x in got) > sum(x.base_score for x in got)
+
+
+def test_all_training_windows_are_learnt_from(spark):
+    """More windows than the network starts from: the others used to be left out."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcde", k=4)) for _ in range(400)]
+    follow = {w: r.sample(words, 2) for w in words}
+    rows = []
+    for i in range(300):
+        text = [r.choice(words)]
+        for _ in range(2500):
+            text.append(r.choice(follow[text[-1]]))
+        rows.append((i, " ".join(text)))
+    total = lambda sample: sum(x.score for x in scored(spark, rows, block_size=1 << 20, sample=sample) if x.held_out)
+    some, every = total(L.SAMPLE), total(None)
+    assert every > some + 0.01 * abs(some)
