@@ -6,11 +6,12 @@ The index is a folder of Parquet tables.
   how long they are, the greatest count and the least length. Rows lie in ``bucket`` folders by word, sorted by word, so that
   few of them are opened for the words of a query.
 * ``terms``: the words with the number of documents that have them.
-* ``stats``: one row: documents, their mean length, the mean raw idf of all words.
+* ``stats``: one row: documents, their mean length, the mean raw idf of all words, and whether ids repeat.
 
 A search bounds what each block can add to a query: a document's part grows with its count and falls with its length, so the
 block's greatest count and least length bound it. The blocks of highest bound are scored first; of the others only those whose
-bound reaches the k-th score found are read (block-max pruning), and no result is lost.
+bound reaches the k-th score found are read (block-max pruning), and no result is lost. Where ids repeat, scores of several
+blocks add up, and all blocks are read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from .retrieve import tokens
 
 #: Documents of a block, folders of words, blocks of a query that are scored before any is left out.
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 64, 32, 2
-#: Bytes of the queries' words that are sent to all executors.
+#: Bytes of the queries and their words that are sent to all executors.
 SENT_BYTES = 1 << 24
-#: Parts that a bucket is written in.
-SPREAD = 4
+#: Parts that a bucket is written in, at least, and bytes of texts whose words make a part: sorting one never needs the disk.
+SPREAD, PART_BYTES = 4, 1 << 22
 _POSTINGS = "term string, block long, docs array<{kind}>, counts array<int>, lengths array<int>, most long, least long"
 #: What rounding and the order of sums may add to a score.
 SLACK = 2e-6
@@ -82,11 +83,12 @@ class Index:
     documents: int
     mean_length: float
     mean_raw: float
+    repeats: bool
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> Index:
         held = spark.read.parquet(f"{folder}/stats").first()
-        return Index(_postings(spark, folder, held.kind), spark.read.parquet(f"{folder}/terms"), held.documents or 0, held.mean_length or 0.0, held.mean_raw or 0.0)
+        return Index(_postings(spark, folder, held.kind), spark.read.parquet(f"{folder}/terms"), held.documents or 0, held.mean_length or 0.0, held.mean_raw or 0.0, held.repeats)
 
 
 def _postings(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -107,14 +109,18 @@ def write_index(docs: DataFrame, doc: str, folder: str, text: str = "text", buck
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(_posted, _POSTINGS.format(kind=kind))
     # a block's own row, without a word, has a bucket of its own; a frequent word's rows are dealt by block
     bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.hash("term"), F.lit(buckets)))
-    rows = rows.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
+    ids = docs.where(F.coalesce(F.col(text), F.lit("")) != "").groupBy(doc).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("bytes")).first()
+    spread = -(-(ids.bytes or 0) // (buckets * PART_BYTES))
+    keys = F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(max(spread, SPREAD)))
+    rows = rows.withColumn("bucket", bucket)
+    rows = (rows.repartition(buckets * spread, *keys) if spread > SPREAD else rows.repartition(*keys)).sortWithinPartitions("bucket", "term", "block")
     rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = _postings(spark, folder, kind)
     count = postings.where("bucket = -1").agg(F.coalesce(F.sum("most"), F.lit(0)).alias("documents"), (F.sum("least") / F.sum("most")).alias("mean_length")).first()
     terms = postings.where("bucket >= 0").groupBy("term", "bucket").agg(F.sum(F.size("docs")).alias("df"))
     terms.write.parquet(f"{folder}/terms")
     mean = spark.read.parquet(f"{folder}/terms").agg(F.avg(_raw(F.lit(count.documents))).alias("mean_raw"))
-    mean.select(F.lit(kind).alias("kind"), F.lit(count.documents).cast("long").alias("documents"), F.lit(count.mean_length).cast("double").alias("mean_length"), "mean_raw").write.parquet(f"{folder}/stats")
+    mean.select(F.lit(kind).alias("kind"), F.lit(count.documents).cast("long").alias("documents"), F.lit(count.mean_length).cast("double").alias("mean_length"), "mean_raw", F.lit((ids.most or 0) > 1).alias("repeats")).write.parquet(f"{folder}/stats")
     return Index.load(spark, folder)
 
 
@@ -142,26 +148,37 @@ def search(index: Index, queries: DataFrame, query: str, k: int, text: str = "te
     """
     part = lambda count, length: count * (k1 + 1) / (count + k1 * (1 - b + b * length / index.mean_length))
     asked = settled(_weights(index, queries, query, text, epsilon))
-    wanted = asked.select("term", "bucket").distinct()
-    few = (wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) <= SENT_BYTES
-    held = index.postings.where("bucket >= 0").join(F.broadcast(wanted) if few else wanted, ["bucket", "term"], "left_semi").drop("bucket")
+    few = (asked.agg(F.sum(F.octet_length("term") + F.octet_length(F.col("query").cast("string")) + 48)).first()[0] or 0) <= SENT_BYTES
+    sent = F.broadcast if few else lambda rows: rows
+    held = index.postings.where("bucket >= 0").join(sent(asked.select("term", "bucket").distinct()), ["bucket", "term"], "left_semi").drop("bucket")
+    asked = asked.drop("bucket")
     limit = F.greatest(F.lit(0.0), F.col("w") * part(F.col("most"), F.col("least")))
-    bounds = settled(asked.drop("bucket").join(held.select("term", "block", "most", "least"), "term").groupBy("query", "block").agg(F.sum(limit).alias("bound")))
-    by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-    first = settled(bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= FIRST_BLOCKS).select("query", "block"))
+    bounds = settled(held.select("term", "block", "most", "least").join(sent(asked), "term").groupBy("query", "block").agg(F.sum(limit).alias("bound")))
+    held = held.drop("most", "least")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(asked.drop("bucket"), "query").join(held.drop("most", "least"), ["term", "block"])
-        rows = rows.select("query", "w", F.posexplode("docs").alias("i", "doc"), "counts", "lengths")
+    def summed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("query", "block", "w", F.posexplode("docs").alias("i", "doc"), "counts", "lengths")
         one = F.col("w") * part(F.get("counts", F.col("i")), F.get("lengths", F.col("i")))
-        return rows.groupBy("query", "doc").agg(F.sum(one).alias("score"))
+        return rows.groupBy("query", "block", "doc").agg(F.sum(one).alias("score"))
+
+    def by_block(pairs: DataFrame) -> DataFrame:
+        """Postings move once, by block: they meet the queries that want the block, and sums need no other shuffle."""
+        wanted = pairs.groupBy("block").agg(F.collect_list("query").alias("askers"))
+        return summed(held.join(wanted.hint("shuffle_hash"), "block").join(sent(asked), "term").where(F.array_contains("askers", F.col("query"))))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    top = lambda rows: rows.withColumn("score", F.round("score", digits)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    early = settled(top(scored(first)))
+    top = lambda rows: rows.select("query", "doc", F.round("score", digits).alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    if index.repeats:
+        both = top(by_block(bounds.select("query", "block")).groupBy("query", "doc").agg(F.sum("score").alias("score")))
+        return Found(both.select("query", "doc", "score"), bounds.groupBy("query").agg(F.count("*").alias("blocks"), F.count("*").alias("scored")))
+    by_bound = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+    first = settled(bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= FIRST_BLOCKS).select("query", "block"))
+    early = settled(top(summed(held.join(sent(first.join(asked, "query")), ["term", "block"]))))
     reached = early.where(F.col("place") == k).select("query", F.col("score").alias("reached"))
-    rest = bounds.join(first.withColumn("done", F.lit(True)), ["query", "block"], "left").join(reached, "query", "left")
-    rest = settled(rest.select("query", "block", (F.col("done").isNull() & (F.col("reached").isNull() | (F.col("bound") + SLACK >= F.col("reached")))).alias("more"), F.col("done").isNotNull().alias("done")))
-    late = scored(rest.where("more").select("query", "block"))
-    both = top(early.drop("place").unionByName(late.select(*early.drop("place").columns))).select("query", "doc", "score")
+    within = lambda value: F.col("reached").isNull() | (F.col(value) + SLACK >= F.col("reached"))
+    rest = bounds.join(first.withColumn("done", F.lit(True)), ["query", "block"], "left").join(sent(reached), "query", "left")
+    rest = settled(rest.select("query", "block", (F.col("done").isNull() & within("bound")).alias("more"), F.col("done").isNotNull().alias("done")))
+    # what can't be among the best is left where it was summed
+    late = by_block(rest.where("more").select("query", "block")).join(sent(reached), "query", "left").where(within("score"))
+    both = top(early.select("query", "doc", "score").unionByName(late.select("query", "doc", "score"))).select("query", "doc", "score")
     return Found(both, rest.groupBy("query").agg(F.count("*").alias("blocks"), F.count_if(F.col("more") | F.col("done")).alias("scored")))

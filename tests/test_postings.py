@@ -104,3 +104,27 @@ def test_scores_are_summed_where_their_documents_are(spark, capsys):
     plan = capsys.readouterr().out
     assert "hashpartitioning(doc#" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
     assert {(r.query, r.doc) for r in scores.collect()} == {(7, 1), (7, 2), (8, 1)}
+
+
+def test_ids_that_repeat_over_blocks(spark, tmp_path, monkeypatch):
+    """Scores of rows of one id add up: a block was left out, or its part ranked alone, though the sum is among the best."""
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 2)
+    docs = [(i, f"apple {'x ' * (5 + i // 3)}") for i in range(60)] + [(500, "apple " + "y " * (200 + 40 * i)) for i in range(12)] + [(600 + i, "pear plum") for i in range(90)]
+    index = postings.write_index(spark.createDataFrame(docs, "id long, text string").repartition(3), "id", f"file://{tmp_path}/index", buckets=2)
+    found = postings.search(index, spark.createDataFrame([("q", "apple")], "q string, text string"), "q", 3)
+    parts, by_id = plain(docs, [("q", "apple")], 1000)["q"], {}
+    for d, s in parts:
+        by_id[d] = by_id.get(d, 0) + s
+    want = sorted(by_id.items(), key=lambda x: (-x[1], x[0]))[:3]
+    got = got_of(found)["q"]
+    assert [d for d, _ in got] == [d for d, _ in want] and any(d == 500 for d, _ in got)
+    assert all(math.isclose(a, b, abs_tol=1e-4) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_postings_move_once_for_a_search(spark, tmp_path, capsys):
+    """Scores of all pairs of queries and documents moved too."""
+    docs, queries = corpus(3)
+    index = postings.write_index(spark.createDataFrame(docs, "id long, text string"), "id", f"file://{tmp_path}/index", buckets=2)
+    postings.search(index, spark.createDataFrame(queries, "q string, text string"), "q", 3).best.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(query" in plan and "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(query#\w+, doc#", plan)
