@@ -1,17 +1,24 @@
 """Cross-references in section text: patterns, positions, resolution, context and leak scans.
 
-Every pattern is one row of a table of ``Pattern``; all matches of a text are found with their places by splitting the
-text at the pattern, so no function outside the engine runs. White space in patterns is Unicode white space.
+Every pattern is one row of a table of ``Pattern``; all matches of a text are found with their places by looking up what
+matched, or by splitting the text at a pattern that looks around, so no function outside the engine runs. White space in
+patterns is Unicode white space.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Unicode white space, and what makes a match depend on more than its own characters.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_LOOKS_AROUND = re.compile(r"\(\?<?[=!>]|\\[bBAGzZ1-9]|(?<!\[)\^|\$|[+*?}]\+")
+
+
 @dataclass(frozen=True)
 class Pattern:
     number: int
@@ -51,12 +58,18 @@ LEAKS = (
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """[X1-X8] All matches, as an array of ``(raw, offset, g1..)`` with 0-based code-point offsets."""
     raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(raws, F.length)
-    # running offsets: one pass that appends to the offsets so far
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(sizes)), sizes, lambda b, s: F.struct(b.alias("b"), F.coalesce(s, F.lit(0)).alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs"))
-    offs = F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x["b"] + x["s"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"] + x["b"])).alias("offs")))["offs"]
+    start = lambda at: F.struct(F.lit(at).alias("at"), F.array().cast("array<int>").alias("offs"))
+    offset = lambda at, offs, first: F.struct(at.alias("at"), F.concat(offs, F.array(first)).alias("offs"))
+    if _LOOKS_AROUND.search(pattern):
+        between = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = F.transform(raws, F.length)
+        # running offsets: one pass that appends to the offsets so far
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(sizes)), sizes, lambda b, s: F.struct(b.alias("b"), F.coalesce(s, F.lit(0)).alias("s")))
+        offs = F.aggregate(steps, start(0), lambda acc, x: offset(acc["at"] + x["b"] + x["s"], acc["offs"], acc["at"] + x["b"]))["offs"]
+    else:
+        # what matched stands nowhere between the match before and its own place: it would have matched there
+        found = F.aggregate(raws, start(1), lambda acc, raw: F.transform(F.array(F.position(raw, text, acc["at"])), lambda p: offset(p + F.length(raw), acc["offs"], p - 1))[0])
+        offs = found["offs"]
     # groups are read from each match: the text is searched for whole matches only
     return F.zip_with(raws, offs, lambda raw, at: F.struct(raw.alias("raw"), *(F.regexp_extract(raw, pattern, k).alias(f"g{k}") for k in range(1, groups + 1)), at.alias("offset")))
 
@@ -98,7 +111,7 @@ def identity(folder: Column) -> Column:
 
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def context(text: Column, offset: Column, size: Column, chars: int = 200) -> Column:
@@ -147,14 +160,16 @@ def corpus2_edges(sections: DataFrame, part: int = 217) -> DataFrame:
     is written (a small letter finds none); other parts' targets are kept as they are.
     """
     own = sections.select("section_id", "subpart", "sec", "text")
-    found = find_each(own, (SAME_PART, OTHER_PART, SUBPART, APPENDIX, PARAGRAPH))
     kinds = lambda *each: F.coalesce(*(F.when(F.col("pattern_no") == p.number, v) for p, v in zip((SAME_PART, OTHER_PART, SUBPART, APPENDIX, PARAGRAPH), each, strict=True)))
-    # what a match names, looked up in one index of sections, subparts and appendices
-    names = [sections.where("sec is not null").select(F.lit(SAME_PART.number).alias("t_no"), F.col("sec").alias("t_name"), F.col("section_id").alias("t_id"), F.col("subpart").alias("t_subpart"))]
+    # texts stay behind before anything is looked up
+    found = lambda *patterns: find_each(own, patterns).withColumn("context", context(F.col("text"), F.col("char_offset"), F.length("raw"))).drop("text")
+    # sections that are named move to the index of sections; subparts, appendices and names of other things stay where they are
+    index = sections.where("sec is not null").select(F.col("sec").alias("g1"), F.col("section_id").alias("t_id"), F.col("subpart").alias("t_subpart"))
+    near = found(SAME_PART).join(index, "g1")
     firsts = sections.where("subpart is not null and sec is not null").groupBy("subpart").agg(F.min("section_id").alias("t_id"))
-    names.append(firsts.select(F.lit(SUBPART.number), "subpart", "t_id", "subpart"))
-    names.append(sections.where("appendix is not null").select(F.lit(APPENDIX.number), "appendix", "section_id", F.lit(None).cast("string")))
-    rows = found.join(names[0].union(names[1]).union(names[2]), (F.col("pattern_no") == F.col("t_no")) & (F.col("g1") == F.col("t_name")), "left")
+    names = firsts.select(F.lit(SUBPART.number).alias("pattern_no"), F.col("subpart").alias("g1"), "t_id", F.col("subpart").alias("t_subpart"))
+    names = names.union(sections.where("appendix is not null").select(F.lit(APPENDIX.number), "appendix", "section_id", F.lit(None).cast("string")))
+    rows = near.unionByName(found(OTHER_PART, SUBPART, APPENDIX, PARAGRAPH).join(F.broadcast(names), ["pattern_no", "g1"], "left"))
     elsewhere = F.concat(F.lit("Pt"), "g1", F.when(F.col("g2") != "", F.concat(F.lit(".Sec"), "g1", F.lit("."), "g2")).otherwise(""))
     rows = rows.withColumn("target", kinds(F.col("t_id"), elsewhere, F.col("t_id"), F.col("t_id"), F.col("section_id")))
     rows = rows.where(F.col("target").isNotNull() & kinds(F.lit(True), F.col("g1") != str(part), ~F.col("g1").eqNullSafe(F.col("subpart")), F.lit(True), F.lit(True)))
@@ -163,7 +178,7 @@ def corpus2_edges(sections: DataFrame, part: int = 217) -> DataFrame:
     return rows.select(
         F.col("section_id").alias("source"), "target", kinds(kind, F.lit("cross_part"), F.lit("subpart_rep"), F.lit("appendix_ref"), F.lit("same_section_paragraph")).alias("kind"),
         kinds(same, F.lit(4), F.lit(3), F.lit(3), F.lit(1)).alias("tier_hint"), "raw", kinds(F.col("g2"), F.lit(""), F.lit(""), F.lit(""), F.col("g1")).alias("paragraphs"),
-        context(F.col("text"), F.col("char_offset"), F.length("raw")).alias("context"), "char_offset", "pattern_no",
+        "context", "char_offset", "pattern_no",
     )
 
 

@@ -19,7 +19,7 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     form = form.otherwise(F.concat(F.lit("Ch."), c, F.lit(" Sec."), s))
     gap = F.repeat(F.lit(" "), F.col("l_partkey") % 2 + 1)
     bits = line.select("l_orderkey", F.struct("l_linenumber", F.concat(F.lit("as given in "), form, gap, F.lit("and so on. ")).alias("bit")).alias("b"))
-    texts = bits.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["bit"]), "").alias("text"))
+    texts = bits.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("b"))["bit"], "").alias("text"))
     key = F.col("l_orderkey").cast("int")
     return texts.select((key % 5 + 1).alias("pt"), (key % 20 + 1).alias("ch"), (key % 97 + 1).alias("sec"), F.concat(F.lit("N"), key.cast("string")).alias("section_id"), "text")
 
@@ -78,7 +78,7 @@ def part_sections(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("12 CFR "), s % 5 + 214, F.lit("."), p % 50))
     )
     bits = line.select("l_orderkey", F.struct("l_linenumber", F.concat(F.lit("see "), form, F.lit(" too. ")).alias("bit")).alias("b"))
-    texts = bits.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["bit"]), "").alias("text"))
+    texts = bits.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("b"))["bit"], "").alias("text"))
     key = F.col("l_orderkey").cast("int")
     part = F.char(key % 10 + 65)
     own = texts.select(F.concat(F.lit("Pt217.Subpart"), part, F.lit(".Sec217."), key).alias("section_id"), part.alias("subpart"), key.cast("string").alias("sec"), F.lit(None).cast("string").alias("appendix"), "text")

@@ -69,3 +69,39 @@ def test_paragraph_kinds_sort_once(spark, capsys):
     kinds.explain()
     assert capsys.readouterr().out.count("Sort [") == 1
     assert [r.kind for r in kinds.orderBy("block").collect()] == ["index", "index"]
+
+
+def test_references_are_looked_up_without_their_texts(spark, capsys):
+    """Every match moved with its whole text, those that name no section to few tasks."""
+    from folioworks.operators import refs as R
+
+    rows = [(f"S{i}", "AB"[i % 2], str(i), None, f"see § 217.{(i + 3) % 9}(a)(1), subpart B of this part, appendix A to this part, paragraph (c)(2) of this section, 12 CFR part 225.") for i in range(9)] + [("X", None, None, "A", "")]
+    edges = R.corpus2_edges(spark.createDataFrame(rows, "section_id string, subpart string, sec string, appendix string, text string"))
+    assert sorted((x.kind, x.target) for x in edges.collect() if x.source == "S0") == [("appendix_ref", "X"), ("cross_part", "Pt225"), ("cross_subpart", "S3"), ("same_section_paragraph", "S0"), ("subpart_rep", "S1")]
+    edges.explain()
+    assert "hashpartitioning(pattern_no" not in capsys.readouterr().out
+
+
+def test_places_of_matches(spark):
+    """Places by looking up what matched, by splitting for patterns that look around, and Python's own; texts that hold a match's start before it."""
+    import re
+
+    from folioworks.operators import refs as R
+
+    texts = ["a 12 CFR 217.5 then 12 CFR 217 and é 12  CFR part 9.1a12 CFR 3", "Sec.1 [x] Ch.2 Sec.3 [Sec.1 [x]] Sec.1 [x]", "Pt. Ch. 1 Sec. 2 Ch. 1 Sec. 2", "", "😀§ 217.1(a)§ 217.1(a)(b) § 217.1"]
+    patterns = (R.ABSOLUTE, R.SECTION, R.CHAPTER, R.SAME_PART, R.OTHER_PART, R.PARAGRAPH)
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in patterns:
+        for row in table.select("text", R.matches(F.col("text"), p.regex, p.groups).alias("m")).collect():
+            assert [(m.raw, m.offset) for m in row.m] == [(m.group(), m.start()) for m in re.finditer(p.regex.replace("(?U)", "").replace("(?Ui)", "(?i)"), row.text)]
+    # a text is searched once, unless its pattern looks around
+    one, two = (table.select(R.matches(F.col("text"), p.regex, p.groups).alias("m"))._jdf.queryExecution().optimizedPlan().toString() for p in (R.SAME_PART, R.CHAPTER))
+    assert "split(" not in one and "split(" in two
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from folioworks.operators import refs as R
+
+    texts = [f"{c}a{c}b{c}{c}" for c in R.WHITE] + ["", " 　", "​a﻿", "a"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(R.stripped(F.col("t"))).collect()]
+    assert got == [*(f"a{c}b" for c in R.WHITE), "", "", "​a﻿", "a"]
