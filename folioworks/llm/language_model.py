@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import attention as A
 from . import shingles as S
 from .blocks import Block, blocks, pack, unpack, word_hash
-from .stage import Written, cut
+from .stage import Written, cut, rows_one_by_one
 
 #: A public vocabulary of byte pairs, one token in base64 and its rank a line.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -313,7 +313,7 @@ def score_texts(docs: DataFrame, ranks: str = RANKS, block_size: int = BLOCK, sa
     The network learns from all training texts, or from a ``sample`` of so many windows alone."""
     kind = dict(docs.dtypes)["doc_id"]
     named = docs.select("doc_id", F.col("text").cast("string"), held_from_fit().alias("held"), F.xxhash64("text").alias("draw"))
-    with Written(named.mapInArrow(_chunks(ranks, block_size), _chunk_type(kind)), "zstd") as chunks:
+    with Written(named.mapInArrow(_chunks(ranks, block_size), _chunk_type(kind)), "zstd") as chunks, rows_one_by_one(docs.sparkSession):
         net, ended = fit_network(chunks, ranks, sample)
         size, total = chunks.agg(F.sum(F.size("words")), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x))).first()
         dealt = chunks.select("chunk", "words", "counts").mapInArrow(_deal(-(-(size or 1) // BUCKET_WORDS)), "bucket int, chunk long, words binary, lengths binary, ks binary, ns binary")

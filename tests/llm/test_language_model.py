@@ -202,3 +202,23 @@ def test_all_training_windows_are_learnt_from(spark):
     total = lambda sample: sum(x.score for x in scored(spark, rows, block_size=1 << 20, sample=sample) if x.held_out)
     some, every = total(L.SAMPLE), total(None)
     assert every > some + 0.01 * abs(some)
+
+
+def test_blocks_reach_python_one_at_a_time(spark, monkeypatch):
+    """A task's blocks used to come together, up to the engine's own limit."""
+    inner = L._scored
+
+    def checked(*a):
+        score = inner(*a)
+
+        def one(batches):
+            for batch in batches:
+                assert batch.num_rows == 1
+                yield batch
+
+        return lambda batches: score(one(batches))
+
+    monkeypatch.setattr(L, "_scored", checked)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(scored(spark, corpus(1), block_size=1000)) == 150
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
