@@ -45,11 +45,13 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import connected_components
-from .stage import cut
+from .stage import cut, small_batches
 
 PERCENT = 80
 #: Shingles of all documents that one task counts at a time, of some six bytes each.
 BUCKET_SHINGLES, LEAST_BITS, MOST_BITS = 1 << 18, 10, 20
+#: Sets of a chunk and their shingles in all, but for the last set's: what a task holds at once.
+CHUNK_SETS, CHUNK_SHINGLES = 10_000, 1 << 23
 #: Sets smaller than this link with equal ones only.
 LEAST_SHARED = -(-PERCENT // (100 - PERCENT))
 #: Nodes, of sixteen bytes each, that are sent to all tasks to fetch their whole sets.
@@ -118,26 +120,34 @@ def _members(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[bytes, int, np.
 def _scatter(bits: int, sets):
     """Chunks of sets to packed shingles by bucket, their leading ``bits``."""
 
+    def packed(kept: dict[bytes, tuple[int, np.ndarray]], serial: int) -> pa.RecordBatch:
+        tokens = np.concatenate([x for _, x in kept.values()])
+        refs = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for _, x in kept.values()])
+        bucket = (tokens >> _U(32)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, refs, bucket = tokens[order], refs[order], bucket[order]
+        held, first = np.unique(bucket, return_index=True)
+        spans = zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)
+        rows = [(serial % (1 << bits), serial, b"".join(kept), np.array([n for n, _ in kept.values()], np.uint32).tobytes(), _NODES)]
+        rows += [(b, serial, _pack(tokens[i:j]), _pack_refs(refs[i:j]), None) for b, i, j in spans]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
+
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 24
+        serial, size = TaskContext.get().partitionId() << 24, 0
+        kept: dict[bytes, tuple[int, np.ndarray]] = {}
+        # a chunk is no batch: batches are small, and each chunk costs a row in every bucket
         for batch in batches:
-            for start in range(0, batch.num_rows, 65_536):
-                kept: dict[bytes, tuple[int, np.ndarray]] = {}
-                for node, n, tokens in sets(batch.slice(start, 65_536), bits):
-                    kept.setdefault(node, (n, tokens))
-                if not kept:
+            for node, n, tokens in sets(batch, bits):
+                if node in kept:
                     continue
-                serial += 1
-                tokens = np.concatenate([x for _, x in kept.values()])
-                refs = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for _, x in kept.values()])
-                bucket = (tokens >> _U(32)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                tokens, refs, bucket = tokens[order], refs[order], bucket[order]
-                held, first = np.unique(bucket, return_index=True)
-                spans = zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)
-                rows = [(serial % (1 << bits), serial, b"".join(kept), np.array([n for n, _ in kept.values()], np.uint32).tobytes(), _NODES)]
-                rows += [(b, serial, _pack(tokens[i:j]), _pack_refs(refs[i:j]), None) for b, i, j in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BLOB_SCHEMA, strict=True)], schema=_BLOB_SCHEMA)
+                kept[node] = n, tokens
+                size += len(tokens)
+                if len(kept) == CHUNK_SETS or size >= CHUNK_SHINGLES:
+                    serial += 1
+                    yield packed(kept, serial)
+                    kept, size = {}, 0
+        if kept:
+            yield packed(kept, serial + 1)
 
     return scatter
 
@@ -266,9 +276,10 @@ def candidate_nodes(docs: DataFrame, shingles: int) -> DataFrame:
     bits = min(MOST_BITS, max(LEAST_BITS, (shingles // BUCKET_SHINGLES).bit_length()))
     blobs = docs.select(F.col("text").cast("string")).mapInArrow(_scatter(bits, _texts), _BLOBS)
     shared = blobs.groupBy("bucket").applyInArrow(_spread, _BLOBS)
-    sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]))
-    again = sets.mapInArrow(_scatter(bits, _members), _BLOBS).groupBy("bucket").applyInArrow(_count, _BLOBS)
-    nodes = cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
+    with small_batches(docs.sparkSession):
+        sets = cut(shared.groupBy("chunk").applyInArrow(_shared, _SETS).dropDuplicates(["node"]))
+        again = sets.mapInArrow(_scatter(bits, _members), _BLOBS).groupBy("bucket").applyInArrow(_count, _BLOBS)
+        nodes = cut(again.groupBy("chunk").applyInArrow(_prefixes, _PREFIXES))
     # links are decided by whole hashes, which only the nodes that can still link need
     ids = nodes.select("node")
     few = frozenset(bytes(x.node) for x in ids.collect()) if nodes.count() <= SENT_NODES else None
@@ -276,7 +287,8 @@ def candidate_nodes(docs: DataFrame, shingles: int) -> DataFrame:
     if few is None:
         whole = whole.join(ids, "node", "left_semi")
     whole = whole.groupBy("node").agg(F.first("whole").alias("whole"))
-    return cut(nodes.join(whole, "node").mapInArrow(_exact(bits), _PREFIXES))
+    with small_batches(docs.sparkSession):
+        return cut(nodes.join(whole, "node").mapInArrow(_exact(bits), _PREFIXES))
 
 
 #: I >= 80 % of (na + nb - I)
@@ -342,7 +354,8 @@ def _total(rows: DataFrame) -> int:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs(doc_id, text)``; see the module for every case."""
-    rows = cut(shingle_nodes(docs))
+    with small_batches(docs.sparkSession):
+        rows = cut(shingle_nodes(docs))
     _, parts = node_links(candidate_nodes(docs, _total(rows)))
     placed = rows.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left").withColumn("root", F.coalesce("root", "node"))
     placed = cut(placed.select("doc_id", "n", "root"))
@@ -361,7 +374,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     digest = F.md5(F.col("text").cast("binary"))
     # a row is named by its id and its text
     named = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
-    found = cut(shingle_nodes(named).select("doc_id.*", "node", "n"))
+    with small_batches(docs.sparkSession):
+        found = cut(shingle_nodes(named).select("doc_id.*", "node", "n"))
     rows = cut(found.where("doc_id is not null and node is not null").drop("n").distinct())
     _, parts = node_links(candidate_nodes(docs.select("text"), _total(found)))
     placed = rows.join(parts.withColumnRenamed("node", "part_node"), F.col("node") == F.col("part_node"), "left").withColumn("root", F.coalesce("root", "node"))

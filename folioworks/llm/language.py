@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .shingles import utf8
-from .stage import held_out
+from .stage import cut, held_out, small_batches
 
 SAMPLE = 24_000
 #: Texts of a language that its sample is spread over, if they are long enough.
@@ -324,4 +324,6 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -
                     part = pa.RecordBatch.from_arrays([filled if i == named else c for i, c in enumerate(part.columns)], schema=part.schema)
                 yield part.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # small batches hold for what is executed here: later stages don't parse again, either
+    with small_batches(docs.sparkSession):
+        return cut(docs.mapInArrow(keep, docs.schema))

@@ -243,3 +243,37 @@ def test_windows_are_hashed_by_generated_code(spark, capsys):
     line_dedup._windows(docs).explain()
     hashed = [line for line in capsys.readouterr().out.splitlines() if "xxhash64(slice(" in line]
     assert hashed and all("*(" in line.split("Project")[0] for line in hashed)
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """The stages that give whole texts to Python: a task used to get up to 10,000 rows or 64 MB at once."""
+    import corpus_pipeline
+    from folioworks.llm import decontaminate, jaccard_join, language
+    from folioworks.llm.stage import BATCH_BYTES
+
+    def checked(f):
+        def one(batch, *a):
+            assert batch.nbytes <= 1.1 * BATCH_BYTES
+            return f(batch, *a)
+
+        return one
+
+    def checked_all(f):
+        return lambda batches: f(map(checked(lambda batch: batch), batches))
+
+    monkeypatch.setattr(language, "_parts", checked(language._parts))
+    monkeypatch.setattr(jaccard_join, "_texts", checked(jaccard_join._texts))
+    monkeypatch.setattr(jaccard_join, "_sets_of", checked_all(jaccard_join._sets_of))
+    search = decontaminate._search
+    monkeypatch.setattr(decontaminate, "_search", lambda *a: checked_all(search(*a)))
+    r = random.Random(13)
+    words = ["".join(r.choices("abcdeinorst", k=r.randint(2, 8))) for _ in range(500)]
+    rows = [(i, " ".join(r.choices(words, k=1200)), "en") for i in range(1500)]
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for k in (0, 2, 3):
+        docs = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).coalesce(1)
+    assert sorted(x.doc_id for x in docs.select("doc_id").collect()) == [i for i in range(1500) if i != 7]
+    assert spark.conf.get(key) == before
