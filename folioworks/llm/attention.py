@@ -99,6 +99,19 @@ def windows(inputs: np.ndarray, lengths: np.ndarray, prefix: np.ndarray) -> tupl
     return held[grid], wanted[grid[:, CONTEXT:]], owner
 
 
+class Scratch:
+    """Memory of results that the next batch overwrites: asked for anew each time, pages would be zeroed for every batch."""
+
+    def __init__(self):
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, dtype=np.float32) -> np.ndarray:
+        size, key = int(np.prod(shape)), (name, np.dtype(dtype))
+        if key not in self.held or self.held[key].size < size:
+            self.held[key] = np.empty(size, dtype)
+        return self.held[key][:size].reshape(shape)
+
+
 def _weights(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Softmax weights in place and their sums along the last axis. Logits are held within what float32 can sum."""
     if x.size and x.max() > 60:
@@ -130,29 +143,13 @@ class Network:
         }
         # how far a query looks back, and what it may not see
         self.distance = CONTEXT + np.arange(SPAN)[:, None] - np.arange(_LENGTH)
-        self.member_class = v.member_class
+        self.member_class, self.bands = v.member_class, self._bands()
         self.table = np.concatenate((v.place, [v.size + 1, v.size + 2]))
 
     def numbers(self, subwords: np.ndarray) -> np.ndarray:
         """Inputs as numbers; ``len(place)`` is the start symbol."""
         return self.table[subwords]  # NOTHING is the table's last
 
-    def _hidden(self, inputs: np.ndarray) -> tuple:
-        w, n = self.weights, len(inputs)
-        x = w["embed"].take(inputs, axis=0)
-        own = x[:, CONTEXT:]
-        split = lambda y: y.reshape(n, -1, HEADS, WIDTH // HEADS).transpose(0, 2, 1, 3)
-        q, k, v = split(own @ (w["q"] * _SCALE)), split(x @ w["k"]), split(x @ w["v"])
-        bias = np.where(self.distance >= 0, w["near"][:, np.maximum(self.distance, 0)], _FAR)
-        scores = q @ k.transpose(0, 1, 3, 2)
-        scores += bias
-        self._hide(scores, inputs)
-        seen, total = _weights(scores)
-        mixed = (seen @ v / total).transpose(0, 2, 1, 3).reshape(n, SPAN, WIDTH)
-        h = own + mixed @ w["o"]
-        z = np.maximum(h @ w["up"] + w["up0"], 0)
-        return x, q, k, v, seen, total, mixed, h, z, h + z @ w["down"]
-
     def _hide(self, scores: np.ndarray, inputs: np.ndarray) -> None:
         """Inputs that aren't there are not looked at; after a text's end the mask does as much."""
         absent = inputs[:, :CONTEXT] == self.vocabulary.size + 2
@@ -168,22 +165,25 @@ class Network:
         bias = np.where(self.distance >= 0, w["near"][:, np.maximum(self.distance, 0)], _FAR)
         return [((of("q") * _SCALE)[:, h].copy(), of("k")[:, h].copy(), of("v")[:, h] @ w["o"][h], b) for h, b in zip(heads, bias, strict=True)]
 
-    def _outputs(self, inputs: np.ndarray, tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-        """The last element of ``_hidden``."""
-        w, own = self.weights, inputs[:, CONTEXT:]
-        h = w["embed"].take(own, axis=0)
+    def _outputs(self, inputs: np.ndarray, tables: list[tuple[np.ndarray, ...]], of: Scratch) -> np.ndarray:
+        """What the output layers read."""
+        w, own, n = self.weights, np.ascontiguousarray(inputs[:, CONTEXT:]), len(inputs)
+        take = lambda name, table, at: np.take(table, at, axis=0, out=of(name, *at.shape, table.shape[1]), mode="clip")
+        h = take("h", w["embed"], own)
         for queries, keys, values, bias in tables:
-            scores = queries.take(own, axis=0) @ keys.take(inputs, axis=0).transpose(0, 2, 1)
+            scores = np.matmul(take("queries", queries, own), take("keys", keys, inputs).transpose(0, 2, 1), out=of("scores", n, SPAN, _LENGTH))
             scores += bias
             self._hide(scores, inputs)
             seen, total = _weights(scores)
-            mixed = seen @ values.take(inputs, axis=0)
+            mixed = np.matmul(seen, take("values", values, inputs), out=of("mixed", n, SPAN, WIDTH))
             mixed /= total
             h += mixed
         h = h.reshape(-1, WIDTH)
-        z = h @ w["up"]
+        z = np.matmul(h, w["up"], out=of("z", len(h), HIDDEN))
         z += w["up0"]
-        return h + np.maximum(z, 0, out=z) @ w["down"]
+        m = np.matmul(np.maximum(z, 0, out=z), w["down"], out=of("m", len(h), WIDTH))
+        m += h
+        return m
 
     def _members(self, m: np.ndarray, numbers: np.ndarray, use) -> None:
         """Calls ``use(rows, first, last, p)`` with the members' probabilities for the rows of each class of several members."""
@@ -201,11 +201,14 @@ class Network:
         numbers = self.vocabulary.place[flat[wanted]]
         kinds, edges = self.member_class[numbers], np.searchsorted(wanted, np.arange(0, len(inputs) + TOGETHER, TOGETHER) * SPAN)
         ids, tables, hidden, got = self.numbers(inputs), self._tables(), np.empty((len(wanted), WIDTH), np.float32), np.empty(len(wanted))
-        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        scratch = Scratch()
+        for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             first = k * TOGETHER
-            m = self._outputs(ids[first : first + TOGETHER], tables)
-            hidden[i:j] = m[wanted[i:j] - first * SPAN]
-            p, total = _weights(hidden[i:j] @ self.weights["class"] + self.weights["class0"])
+            m = self._outputs(ids[first : first + TOGETHER], tables, scratch)
+            np.take(m, wanted[i:j] - first * SPAN, axis=0, out=hidden[i:j], mode="clip")
+            p = np.matmul(hidden[i:j], self.weights["class"], out=scratch("p", j - i, len(self.weights["class0"])))
+            p += self.weights["class0"]
+            p, total = _weights(p)
             got[i:j] = p[np.arange(j - i), kinds[i:j]] / total[:, 0]
 
         def multiply(rows: np.ndarray, first: int, last: int, p: np.ndarray) -> None:
@@ -216,59 +219,143 @@ class Network:
         out[wanted] = np.log10(np.maximum(got, _LEAST)) + self.vocabulary.rest[flat[wanted]]
         return out.reshape(targets.shape)
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss a target in nats, and its gradients."""
-        w, n = self.weights, len(inputs)
+    def _bands(self) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of classes of several members by about equal size: first and last class, their members' numbers, a row each, and which
+        of these there are."""
+        v, at, bands = self.vocabulary, 0, []
+        size = np.diff(v.starts)
+        while at < len(size):
+            end = at + 1
+            while end < len(size) and size[end] <= (2 * size[at] if size[at] > 1 else 1):
+                end += 1
+            if size[at] > 1:
+                there = np.arange(size[at:end].max()) < size[at:end, None]
+                bands.append((at, end, np.minimum(v.starts[at:end, None] + np.arange(there.shape[1]), v.size - 1), there))
+            at = end
+        return bands
+
+    def _member_gradients(self, rows: np.ndarray, numbers: np.ndarray, scale: float, g: dict[str, np.ndarray], d: np.ndarray, of) -> float:
+        """Adds what the members of classes give to the gradients, all classes of a band at once; the sum of their losses.
+        The rows are sorted by their numbers."""
+        w, loss, starts = self.weights, 0.0, self.vocabulary.starts
+        edges = np.searchsorted(numbers, starts)
+        for at, end, members, there in self.bands:
+            low, high, many = edges[at], edges[end], edges[at + 1 : end + 1] - edges[at:end]
+            if low == high:
+                continue
+            # each class has as many places; those that no row takes are zero
+            kinds, size, top = end - at, members.shape[1], int(many.max())
+            band = np.repeat(np.arange(kinds), many)
+            place = np.arange(low, high) + (np.arange(kinds) * top - edges[at:end])[band]
+            x = of("x_of_band", kinds * top, WIDTH)
+            x[:] = 0
+            x[place] = rows[low:high]
+            x = x.reshape(kinds, top, WIDTH)
+            table = np.take(w["member"], members, axis=0, out=of("members", kinds, size, WIDTH), mode="clip")
+            p = np.matmul(x, table.transpose(0, 2, 1), out=of("p_of_band", kinds, top, size))
+            p += np.where(there, w["member0"][members], _FAR)[:, None]
+            p = _softmax(p)
+            own = place * size + numbers[low:high] - starts[at:end][band]
+            chosen = p.reshape(-1)[own]
+            loss -= float(np.log(np.maximum(chosen, _LEAST)).sum())
+            p.reshape(-1)[own] = chosen - 1
+            p *= scale
+            # a run's members follow one another
+            run = slice(starts[at], starts[end])
+            g["member"][run] = np.matmul(p.transpose(0, 2, 1), x, out=of("member", kinds, size, WIDTH))[there]
+            g["member0"][run] = ((np.arange(top) < many[:, None]).astype(p.dtype)[:, None] @ p)[:, 0][there]
+            d[low:high] += np.matmul(p, table, out=x).reshape(-1, WIDTH)[place]
+        return loss
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, g: dict[str, np.ndarray] | None = None, scratch: Scratch | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss a target in nats, and its gradients, in ``g`` if that is given."""
+        w, n, kind = self.weights, len(inputs), self.weights["q"].dtype
+        own_memory = scratch or Scratch()
+        of = lambda name, *shape: own_memory(name, *shape, dtype=kind)
+        size, places = WIDTH // HEADS, n * _LENGTH
         ids = self.numbers(inputs)
-        x, q, k, v, seen, total, mixed, h, z, m = self._hidden(ids)
+        # forward: as for scoring, with all that the way back needs
+        x = np.take(w["embed"], ids, axis=0, out=of("x", n, _LENGTH, WIDTH), mode="clip")
+        own = of("own", n * SPAN, WIDTH)
+        own.reshape(n, SPAN, WIDTH)[:] = x[:, CONTEXT:]
+        both = np.concatenate((w["k"], w["v"]), axis=1)
+        split = lambda y: y.reshape(n, -1, HEADS, size).transpose(0, 2, 1, 3)
+        q = split(np.matmul(own, w["q"] * _SCALE, out=of("q", n * SPAN, WIDTH)))
+        kv = np.matmul(x.reshape(places, WIDTH), both, out=of("kv", places, 2 * WIDTH))
+        k, v = split(kv[:, :WIDTH]), split(kv[:, WIDTH:])
+        seen = np.matmul(q, k.transpose(0, 1, 3, 2), out=of("seen", n, HEADS, SPAN, _LENGTH))
+        seen += np.where(self.distance >= 0, w["near"][:, np.maximum(self.distance, 0)], _FAR)
+        self._hide(seen, ids)
+        seen, total = _weights(seen)
         seen /= total
+        mixed = of("mixed", n * SPAN, WIDTH)
+        np.matmul(seen, v, out=split(mixed))
+        h = np.matmul(mixed, w["o"], out=of("h", n * SPAN, WIDTH))
+        h += own
+        z = np.matmul(h, w["up"], out=of("z", n * SPAN, HIDDEN))
+        z += w["up0"]
+        np.maximum(z, 0, out=z)
+        m = np.matmul(z, w["down"], out=of("m", n * SPAN, WIDTH))
+        m += h
+        # outputs
         flat = targets.ravel()
         wanted = np.flatnonzero(flat != NOTHING)
-        rows, numbers = m.reshape(-1, WIDTH)[wanted], self.vocabulary.place[flat[wanted]]
+        numbers = self.vocabulary.place[flat[wanted]]
+        order = np.argsort(numbers.astype(np.uint16), kind="stable")
+        wanted, numbers = wanted[order], numbers[order]
+        rows = np.take(m, wanted, axis=0, out=of("rows", len(wanted), WIDTH), mode="clip")
         kinds, scale, each = self.member_class[numbers], np.float32(1 / max(1, len(wanted))), np.arange(len(wanted))
-        p = _softmax(rows @ w["class"] + w["class0"])
-        loss = [-float(np.log(np.maximum(p[each, kinds], _LEAST)).sum())]
+        p = np.matmul(rows, w["class"], out=of("p", len(wanted), w["class"].shape[1]))
+        p += w["class0"]
+        p = _softmax(p)
+        loss = -float(np.log(np.maximum(p[each, kinds], _LEAST)).sum())
         p[each, kinds] -= 1
         p *= scale
-        g = {name: np.zeros_like(value) for name, value in w.items()}
-        g["class"], g["class0"], d = rows.T @ p, p.sum(axis=0), p @ w["class"].T
-
-        def add(chosen: np.ndarray, first: int, last: int, p: np.ndarray) -> None:
-            own = np.arange(len(chosen)), numbers[chosen] - first
-            loss.append(-float(np.log(np.maximum(p[own], _LEAST)).sum()))
-            p[own] -= 1
-            p *= scale
-            g["member"][first:last], g["member0"][first:last] = p.T @ rows[chosen], p.sum(axis=0)
-            d[chosen] += p @ w["member"][first:last]
-
-        self._members(rows, numbers, add)
-        dm = np.zeros((n * SPAN, WIDTH), np.float32)
+        if g is None:
+            g = {name: np.empty_like(value) for name, value in w.items()}
+        g["embed"][:], g["member"][:], g["member0"][:] = 0, 0, 0
+        np.matmul(rows.T, p, out=g["class"])
+        np.sum(p, axis=0, out=g["class0"])
+        d = np.matmul(p, w["class"].T, out=of("d", len(wanted), WIDTH))
+        loss += self._member_gradients(rows, numbers, scale, g, d, of)
+        # back
+        dm = of("dm", n * SPAN, WIDTH)
+        dm[:] = 0
         dm[wanted] = d
-        flat_z, flat_h = z.reshape(-1, HIDDEN), h.reshape(-1, WIDTH)
-        g["down"] = flat_z.T @ dm
-        dz = (dm @ w["down"].T) * (flat_z > 0)
-        g["up"], g["up0"] = flat_h.T @ dz, dz.sum(axis=0)
-        dh = dm + dz @ w["up"].T
-        g["o"] = mixed.reshape(-1, WIDTH).T @ dh
-        join = lambda y: y.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-        dmixed = (dh @ w["o"].T).reshape(n, SPAN, HEADS, -1).transpose(0, 2, 1, 3)
-        dseen = dmixed @ v.transpose(0, 1, 3, 2)
-        ds = seen * (dseen - (dseen * seen).sum(axis=-1, keepdims=True))
-        see = self.distance >= 0
-        by = ds.sum(axis=0)
+        np.matmul(z.T, dm, out=g["down"])
+        dz = np.matmul(dm, w["down"].T, out=of("dz", n * SPAN, HIDDEN))
+        dz *= z > 0
+        np.matmul(h.T, dz, out=g["up"])
+        np.sum(dz, axis=0, out=g["up0"])
+        dh = np.matmul(dz, w["up"].T, out=of("dh", n * SPAN, WIDTH))
+        dh += dm
+        np.matmul(mixed.T, dh, out=g["o"])
+        dmixed = split(np.matmul(dh, w["o"].T, out=of("dmixed", n * SPAN, WIDTH)))
+        dq, dkv = of("dq", n * SPAN, WIDTH), of("dkv", places, 2 * WIDTH)
+        np.matmul(seen.transpose(0, 1, 3, 2), dmixed, out=split(dkv[:, WIDTH:]))
+        ds = np.matmul(dmixed, v.transpose(0, 1, 3, 2), out=of("ds", n, HEADS, SPAN, _LENGTH))
+        ds *= seen
+        # each row's sum goes to its inputs by their weights
+        seen *= ds @ np.ones((_LENGTH, 1), kind)
+        ds -= seen
+        see, by = self.distance >= 0, ds.sum(axis=0)
         for head in range(HEADS):
             g["near"][head] = np.bincount(self.distance[see], weights=by[head][see], minlength=_LENGTH)
-        # q is scaled already
-        dq, dk, dv = join(ds @ k) * _SCALE, join(ds.transpose(0, 1, 3, 2) @ q), join(seen.transpose(0, 1, 3, 2) @ dmixed)
-        own, whole = x[:, CONTEXT:].reshape(-1, WIDTH), x.reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = own.T @ dq, whole.T @ dk, whole.T @ dv
-        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(n, _LENGTH, WIDTH)
-        dx[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(n, SPAN, WIDTH)
+        np.matmul(ds, k, out=split(dq))
+        dq *= _SCALE
+        np.matmul(ds.transpose(0, 1, 3, 2), q, out=split(dkv[:, :WIDTH]))  # q is scaled already
+        np.matmul(own.T, dq, out=g["q"])
+        whole = x.reshape(places, WIDTH).T @ dkv
+        g["k"][:], g["v"][:] = whole[:, :WIDTH], whole[:, WIDTH:]
+        dx = np.matmul(dkv, both.T, out=of("dx", places, WIDTH))
+        dh += np.matmul(dq, w["q"].T, out=of("dmixed", n * SPAN, WIDTH))
+        dx.reshape(n, _LENGTH, WIDTH)[:, CONTEXT:] += dh.reshape(n, SPAN, WIDTH)
         # sums by input: sorted rows, since unbuffered addition is slow
-        order = np.argsort(ids.ravel(), kind="stable")
-        held, first = np.unique(ids.ravel()[order], return_index=True)
-        g["embed"][held] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
-        return sum(loss) / max(1, len(wanted)), g
+        order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+        held = ids.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+        g["embed"][held[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=of("x", places, WIDTH), mode="clip"), first, axis=0)
+        return loss / max(1, len(wanted)), g
 
 
 def train(vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray, seed: int = 1, steps: int = STEPS) -> tuple[Network, list[float]]:
@@ -301,18 +388,34 @@ def with_weights(net: Network, flat: np.ndarray) -> Network:
 
 def _descend(net: Network, inputs: np.ndarray, targets: np.ndarray, seed: int, steps: int, highest: float) -> list[float]:
     rng, losses = np.random.default_rng(seed), []
-    mean, square = ({k: np.zeros_like(x) for k, x in net.weights.items()} for _ in range(2))
+    # one row of all weights, of which the network's are parts
+    flat = np.concatenate([x.ravel() for x in net.weights.values()])
+    mean, square, step_of, grad = (np.zeros_like(flat) for _ in range(4))
+    net.weights, grads, scratch = _parts(flat, net.weights), _parts(grad, net.weights), Scratch()
     once = -(-len(inputs) // BATCH)
     for step in range(steps):
         if step % once == 0:
             order = rng.permutation(len(inputs))
         at = step % once * BATCH
-        loss, grads = net.gradients(inputs[order[at : at + BATCH]], targets[order[at : at + BATCH]])
-        losses.append(loss)
+        losses.append(net.gradients(inputs[order[at : at + BATCH]], targets[order[at : at + BATCH]], grads, scratch)[0])
         rate = highest * min(1, (step + 1) / 50) * (1 - 0.95 * step / steps)
-        for name, grad in grads.items():
-            m, s = mean[name], square[name]
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            net.weights[name] -= (rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
+        np.subtract(grad, mean, out=step_of)
+        step_of *= 0.1
+        mean += step_of
+        np.multiply(grad, grad, out=step_of)
+        step_of -= square
+        step_of *= 0.01
+        square += step_of
+        np.multiply(square, 1 / (1 - 0.99 ** (step + 1)), out=step_of)
+        np.sqrt(step_of, out=step_of)
+        step_of += 1e-8
+        np.divide(mean, step_of, out=step_of)
+        step_of *= rate / (1 - 0.9 ** (step + 1))
+        flat -= step_of
     return losses
+
+
+def _parts(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of a row, in the shapes of these."""
+    ends = np.cumsum([x.size for x in like.values()])
+    return {name: flat[end - x.size : end].reshape(x.shape) for (name, x), end in zip(like.items(), ends.tolist(), strict=True)}

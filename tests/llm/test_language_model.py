@@ -222,3 +222,61 @@ def test_blocks_reach_python_one_at_a_time(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(scored(spark, corpus(1), block_size=1000)) == 150
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_steps_share_their_memory(monkeypatch):
+    """Each step used to ask for all its arrays anew, some 8 MB."""
+    import tracemalloc
+
+    rng, peaks, inner = np.random.default_rng(6), [], A.Network.gradients
+    counts = np.floor(1e6 / (1 + np.arange(5000))).astype(np.int64)
+    flat = rng.choice(5000, A.BATCH * A.SPAN * 6 - 50, p=counts / counts.sum())
+    inputs, targets, _ = A.windows(flat, np.array([len(flat)]), np.array([5000]))
+    net = A.Network(A.make_vocabulary(counts, 4999), 6)
+
+    def measured(*a):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        found = inner(*a)
+        peaks.append(tracemalloc.get_traced_memory()[1] - before)
+        return found
+
+    monkeypatch.setattr(A.Network, "gradients", measured)
+    tracemalloc.start()
+    try:
+        A.moved(net, inputs, targets)
+    finally:
+        tracemalloc.stop()
+    assert len(peaks) == 6 and max(peaks[2:]) < 2 << 20
+    # what a batch leaves behind is not read by the next, also if that is smaller
+    scratch, left = A.Scratch(), {k: np.full_like(x, 7) for k, x in net.weights.items()}
+    for part in (slice(0, 64), slice(64, 69), slice(320, 384)):
+        loss, got = inner(net, inputs[part], targets[part], left, scratch)
+        alone, want = inner(net, inputs[part], targets[part])
+        assert loss == alone and all((got[k] == want[k]).all() for k in want)
+
+
+def test_members_of_classes_of_any_size_have_gradients():
+    """Classes are gone through together by size: the same as one after the other."""
+    rng = np.random.default_rng(7)
+    for n in (3, 70, 5000):
+        counts = np.floor(1e5 / (1 + np.arange(n))).astype(np.int64)
+        net = A.Network(A.make_vocabulary(counts, n - 1), 7)
+        size, v = net.vocabulary.size, net.vocabulary
+        for many in (1, 900):
+            rows, numbers = rng.standard_normal((many, A.WIDTH)).astype(np.float32), np.sort(rng.integers(0, size, many))
+            g, d = {k: np.zeros_like(net.weights[k]) for k in ("member", "member0")}, np.zeros_like(rows)
+            want, e, losses = {k: np.zeros_like(x) for k, x in g.items()}, np.zeros_like(rows), []
+
+            def add(chosen, first, last, p):
+                own = np.arange(len(chosen)), numbers[chosen] - first
+                losses.append(-np.log(p[own]).sum())
+                p[own] -= 1
+                want["member"][first:last], want["member0"][first:last] = p.T @ rows[chosen] / 2, p.sum(axis=0) / 2
+                e[chosen] += p @ net.weights["member"][first:last] / 2
+
+            net._members(rows, numbers, add)
+            loss = net._member_gradients(rows, numbers, 0.5, g, d, A.Scratch())
+            assert math.isclose(loss, sum(losses), rel_tol=1e-4, abs_tol=1e-6)
+            assert np.allclose(d, e, atol=1e-4) and all(np.allclose(g[k], want[k], atol=1e-4) for k in g)
+        assert sum(len(b[2]) for b in net.bands) <= len(v.starts) - 1
