@@ -44,8 +44,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK, SAMPLE = 1 << 23, 32_000
 #: Words of blocks that one task counts, the same word of several blocks each time.
 BUCKET_WORDS = 1 << 21
-#: Windows whose outputs are looked up at once; rows in which sums of weights reach the driver.
-TOGETHER, SUMS = 2048, 8
+#: Windows whose outputs are looked up at once; rows in which sums of weights reach the driver; tasks a core that training has at least.
+TOGETHER, SUMS, SHARES = 2048, 8, 4
 _SPACE = re.compile(r"\s")
 _U = np.uint64
 
@@ -203,6 +203,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tobytes()])], ["windows", "sums"])
 
 
+def _dealt_out(chunks: DataFrame) -> DataFrame:
+    """Blocks over tasks of about equal numbers, if few of the input's parts hold them all: a file may have one part only."""
+    most = SHARES * chunks.sparkSession.sparkContext.defaultParallelism
+    loads = [n for _, n in chunks.groupBy(F.spark_partition_id()).count().limit(most).collect()]
+    if len(loads) >= most or max(loads, default=0) <= 1:
+        return chunks
+    return chunks.repartition(min(sum(loads), most))
+
+
 def fit_network(chunks: DataFrame, path: str, sample: int | None = None) -> tuple[A.Network, int]:
     """The network of the blocks' training texts, and their number: of all their windows, or of a ``sample`` alone.
 
@@ -227,7 +236,7 @@ def fit_network(chunks: DataFrame, path: str, sample: int | None = None) -> tupl
     cells = both[:, : A.CONTEXT + A.SPAN], both[:, A.CONTEXT + A.SPAN :]
     net = A.train(A.make_vocabulary(counts, coder.end), *cells)[0]
     if whole and (windows or 0) > sample:
-        sums = read.mapInArrow(_moved(path, net), "windows long, sums binary").repartition(SUMS).mapInArrow(_added, "windows long, sums binary").collect()
+        sums = _dealt_out(read).mapInArrow(_moved(path, net), "windows long, sums binary").repartition(SUMS).mapInArrow(_added, "windows long, sums binary").collect()
         net = A.with_weights(net, sum(np.frombuffer(x.sums, np.float64) for x in sums) / sum(x.windows for x in sums))
     return net, int(counts[coder.end])
 

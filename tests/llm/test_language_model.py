@@ -280,3 +280,14 @@ def test_members_of_classes_of_any_size_have_gradients():
             assert math.isclose(loss, sum(losses), rel_tol=1e-4, abs_tol=1e-6)
             assert np.allclose(d, e, atol=1e-4) and all(np.allclose(g[k], want[k], atol=1e-4) for k in g)
         assert sum(len(b[2]) for b in net.bands) <= len(v.starts) - 1
+
+
+def test_blocks_of_one_part_are_dealt_out(spark):
+    """The blocks of a single file used to be gone through by one task."""
+    blocks = spark.range(0, 9, 1, 1).withColumnRenamed("id", "chunk")
+    loads = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    assert loads(L._dealt_out(blocks)) == [1] * 9 and sorted(r.chunk for r in L._dealt_out(blocks).collect()) == list(range(9))
+    most = L.SHARES * spark.sparkContext.defaultParallelism
+    assert max(loads(L._dealt_out(spark.range(0, 40 * most, 1, 2)))) == 40
+    even = spark.range(0, 40 * most, 1, most)
+    assert L._dealt_out(even) is even and L._dealt_out(even.where("id < 0")).count() == 0
